@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts are whole, so a batch stays a few MB at usual lengths.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
+#: Bytes of one Arrow batch, for very long texts.
+BATCH_BYTES = str(8 << 20)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -17,6 +19,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def chunks(texts: list, most: int = 1 << 20):
+    """Runs of ``texts`` of about ``most`` characters or bytes together; a longer text is a run by itself."""
+    part, size = [], 0
+    for t in texts:
+        n = len(t) if t is not None else 0
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += n
+    if part:
+        yield part
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +70,14 @@ def crc_mod_py(value, n: int) -> int:
     return zlib.crc32(str(value).encode()) % n
 
 
+def labelled_sample(labels: DataFrame, id_col: str, label_col: str, usable: Column, limit: int) -> DataFrame:
+    """(_id, _y): about ``limit`` labelled ids at most, chosen by hash; of an id with several labels the largest counts."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & usable)
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
+    n = known.count()
+    return known if n <= limit else known.where(F.pmod(F.xxhash64("_id"), F.lit(n)) < limit)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where the body's lambdas read it for every element."""
     return F.transform(F.array(value), body)[0]

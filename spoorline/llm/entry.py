@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as rules
-from . import decontaminate, quality_mil, secret_scan, sentencepiece, simhash_dedup
-from .common import crc_mod, table
+from . import decontaminate, quality_mil, secret_scan, sentencepiece, simhash_dedup, warc
+from .common import crc_mod, shared_dir, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").drop("file")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), sentencepiece.load(spark))
 
@@ -44,5 +49,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+ORACLE_SQL = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+             g AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN g USING (payload_digest)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL

@@ -17,6 +17,7 @@ import functools
 import os
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -316,25 +317,26 @@ def encode_column(docs: DataFrame, model: Model, text_col: str = "text") -> Colu
     """The piece ids of ``text_col``, array<int>; null texts have none (an empty array)."""
     small_batches(docs.sparkSession)
 
-    def run(batches):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(model)
         for texts in batches:
             yield pd.Series([x for part in chunks(texts.tolist()) for x in encoder.encode(part)])
 
-    run.__annotations__ = {"batches": "Iterator[pd.Series]", "return": "Iterator[pd.Series]"}
-    return F.pandas_udf(run, T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR_ITER)(F.col(text_col))
+    return run(F.col(text_col))
 
 
 def decode_column(docs: DataFrame, model: Model, ids_col: str = "ids") -> Column:
     """The text of the piece ids in ``ids_col``; null for null."""
     small_batches(docs.sparkSession)
 
-    def run(batches):
+    @F.pandas_udf(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(model)
         for ids in batches:
             yield pd.Series([None if x is None else encoder.decode(np.asarray(x)) for x in ids], dtype=object)
 
-    return F.pandas_udf(run, T.StringType(), F.PandasUDFType.SCALAR_ITER)(F.col(ids_col))
+    return run(F.col(ids_col))
 
 
 def encode_decode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

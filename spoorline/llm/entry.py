@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_rules as rules
-from . import decontaminate, quality_mil, secret_scan, sentencepiece, simhash_dedup, warc
+from . import decontaminate, lang_id, lm_score, quality_mil, secret_scan, sentencepiece, simhash_dedup, toxicity, warc
 from .common import crc_mod, shared_dir, table
 
 
@@ -25,6 +25,26 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), sentencepiece.load(spark))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocab = lm_score.vocabulary(docs)
+    return lm_score.score(docs, vocab, lm_score.train(docs, vocab))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scorer = toxicity.train(docs, labels, crc_mod("doc_id", 3) != 1)
+    out = toxicity.predict(docs, scorer)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages, logp = lang_id.train(docs, crc_mod("doc_id", 5) != 0)
+    out = lang_id.predict(docs, languages, logp)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "shares")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     network = quality_mil.train(docs, labels, crc_mod("doc_id", 5) != 0)

@@ -61,11 +61,14 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, n, k, sh, fp): words, shingle length, shingle hashes and fingerprint of each item that has words."""
+    """(key, item, n, k, sh, fp): words, shingle length, shingle hashes and fingerprint of each item that has words.
+
+    The key tells rows apart that share an item id; it holds once the result is stored.
+    """
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
     sh = reduce(lambda rest, k: F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(rest), range(1, SHINGLE), shingles(F.col("w"), SHINGLE))
-    return items.select("item", F.size("w").alias("n"), "k", sh.alias("sh"), simhash(F.col("w")).alias("fp"))
+    return items.select(F.monotonically_increasing_id().alias("key"), "item", F.size("w").alias("n"), "k", sh.alias("sh"), simhash(F.col("w")).alias("fp"))
 
 
 def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -107,12 +110,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sh = reduce(lambda rest, k: F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(rest), range(1, SHINGLE), shingles(F.col("w"), SHINGLE))
     found = cut(found.select("id", "n", sh.alias("sh"), simhash(F.col("w")).alias("fp")))
 
-    weights = items.select(F.explode(F.array_distinct("sh")).alias("h"), "item").groupBy("h").agg(F.count("*").alias("df"))
-    weighed = items.select("item", F.explode("sh").alias("h")).groupBy("item", "h").agg(F.count("*").alias("c")).join(weights, "h")
-    bags = weighed.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("h", "c", F.log(1 + F.lit(n_items) / F.col("df")).alias("v")))).alias("bag"))
+    weights = items.select(F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    weighed = items.select("key", F.explode("sh").alias("h")).groupBy("key", "h").agg(F.count("*").alias("c")).join(weights, "h")
+    bags = weighed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("h", "c", F.log(1 + F.lit(n_items) / F.col("df")).alias("v")))).alias("bag"))
 
     values = [0] + [1 << b for b in range(BLOCK_BITS)]
-    index = items.join(bags, "item").select("item", "n", "bag", F.col("fp").alias("item_fp"), F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).bitwiseXOR(F.lit(v)).alias("value")) for b in range(BLOCKS) for v in values))).alias("x"))
+    index = items.join(bags, "key").select("item", "n", "bag", F.col("fp").alias("item_fp"), F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).bitwiseXOR(F.lit(v)).alias("value")) for b in range(BLOCKS) for v in values))).alias("x"))
     index = index.select("item", "n", "item_fp", "bag", "x.block", "x.value")
     probes = found.select("id", "n", "sh", "fp", F.explode(F.array(*(F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value")) for b in range(BLOCKS)))).alias("x"))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))

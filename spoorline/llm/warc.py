@@ -171,12 +171,19 @@ def write(pages: DataFrame, folder: str, ids_per_shard: int = IDS_PER_SHARD, rol
             yield pdf
 
     spark.read.parquet(f"{folder}/_staged").mapInPandas(commit, STAGED).drop("temporary").write.mode("overwrite").parquet(f"{folder}/manifest")
-    fs, path = _fs(folder)
-    if fs.get_file_info(f"{path}/_temporary").is_file is False and str(fs.get_file_info(f"{path}/_temporary").type) == "FileType.Directory":
-        fs.delete_dir(f"{path}/_temporary")  # what attempts that failed have left
+    _clear(folder)
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def _clear(folder: str) -> None:
+    """Removes what attempts that failed have left under temporary names."""
+    from pyarrow.fs import FileType
+
+    fs, path = _fs(folder)
+    if fs.get_file_info(f"{path}/_temporary").type == FileType.Directory:
+        fs.delete_dir(f"{path}/_temporary")
+
+
 def parse(stream) -> list:
     """Yields (header fields in lower case, block) of the records of an uncompressed WARC stream."""
     while True:

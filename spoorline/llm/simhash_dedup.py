@@ -73,7 +73,7 @@ def _key(i, first: Column, second: Column) -> Column:
     return (F.lit(i).cast("long") * F.lit(1 << 32)) + first * F.lit(1 << 16) + second
 
 
-def links(classes: DataFrame, pair_limit: int = 32) -> DataFrame:
+def links(classes: DataFrame, pair_limit: int = 512) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) at most 3 bits apart, enough to connect every such pair.
 
     A key that at most ``pair_limit`` classes probe gives all its links. A pair is missed there only if the keys of

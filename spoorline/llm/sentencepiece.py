@@ -13,7 +13,9 @@ Characters that no piece has become byte pieces.
 
 from __future__ import annotations
 
+import collections
 import functools
+import itertools
 import os
 import re
 import struct
@@ -32,6 +34,9 @@ SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20  # bits of the table that remembers pairs
 _FILTER = 22  # bits of the table that tells most substrings from pieces
+_NONE = np.zeros(0, dtype=np.int64)
+#: Words of earlier batches that an encoder keeps with their pieces.
+REMEMBERED = 300_000
 
 #: Fixed values of the file format: model types and piece types.
 UNIGRAM, BPE = 1, 2
@@ -192,12 +197,18 @@ def _keys(codes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes batches with one model; remembers a fixed number of pairs of pieces."""
+    """Encodes batches with one model; remembers a bounded number of words and of pairs of pieces."""
 
     def __init__(self, model: Model):
         self.m = model
         self.seen = np.full(1 << _SLOTS, -1, dtype=np.int64)
         self.verdict = np.zeros(1 << _SLOTS, dtype=bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Starts the table of words anew; that bounds memory and changes no result."""
+        self.place = collections.defaultdict(itertools.count().__next__)
+        self.flat, self.start, self.count = np.zeros(0, dtype=np.int32), _NONE, _NONE
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * len(self.m.pieces) + b
@@ -214,8 +225,8 @@ class Encoder:
             self.seen[slot[keep]], self.verdict[slot[keep]] = key[keep], out[keep]
         return out
 
-    def group(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of words of one length; a character that no piece has is -1 - its code point."""
+    def group(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words of one length one after the other, ids of each word); a character that no piece has is -1 - its code point."""
         m, n, size = self.m, len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, size)
         pre, power = _prefixes(codes.astype(np.uint64)), _powers(min(size, m.longest))
@@ -261,37 +272,54 @@ class Encoder:
             count[rows] += 1
             at[rows] -= step[at[rows], rows]
             rows = rows[at[rows] > 0]
-        return [out[size - c :, r] for r, c in enumerate(count)]
+        return out.T[(np.arange(size)[:, None] >= size - count).T], count
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The piece ids of each text. A null or empty text has none."""
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words that were not met before and adds them to what is remembered."""
         m = self.m
-        place: dict[str, int] = {}
-        lists = [[place.setdefault(w, len(place)) for w in m.words.findall(m.prefix + t.replace(" ", SPACE))] if t else [] for t in texts]
-        words = list(place)
-        if not words:
-            return [np.zeros(0, dtype=np.int32) for _ in texts]
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             groups.setdefault(len(w), []).append(i)
-        ids: list = [None] * len(words)
+        count, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        parts, size_so_far = [self.flat], len(self.flat)
         for size, members in sorted(groups.items()):
-            room = max(1, 4_000_000 // (size * min(size, m.longest)))
+            room = max(1, 2_000_000 // (size * min(size, m.longest)))
             for at in range(0, len(members), room):
-                part = members[at : at + room]
-                for i, found in zip(part, self.group([words[j] for j in part]), strict=True):
-                    ids[i] = self._bytes(found) if (found < 0).any() else found.astype(np.int32)
-        return [np.concatenate([ids[i] for i in x]) if x else np.zeros(0, dtype=np.int32) for x in lists]
-
-    def _bytes(self, ids: np.ndarray) -> np.ndarray:
-        out: list[int] = []
-        for i in ids.tolist():
-            if i >= 0:
-                out.append(i)
-            else:
-                found = [int(self.m.byte_ids[b]) for b in chr(-1 - i).encode("utf-8", "surrogatepass")]
-                out += found if min(found) >= 0 else [self.m.unknown]
-        return np.array(out, dtype=np.int32)
+                part = np.array(members[at : at + room])
+                flat, n = self.group([words[j] for j in part])
+                if (flat < 0).any():
+                    flat, n = self._bytes(flat, n)
+                count[part], start[part] = n, size_so_far + np.cumsum(n) - n
+                parts.append(flat.astype(np.int32))
+                size_so_far += len(flat)
+        self.flat = np.concatenate(parts)
+        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The piece ids of each text. A null or empty text has none."""
+        m = self.m
+        if len(self.place) > REMEMBERED:
+            self._forget()
+        known, place = len(self.place), self.place.__getitem__
+        lists = [np.array(list(map(place, m.words.findall(m.prefix + t.replace(" ", SPACE)))), dtype=np.int64) if t else _NONE for t in texts]
+        if len(self.place) > known:
+            self._learn(list(itertools.islice(self.place, known, None)))
+        words = np.concatenate([_NONE, *lists])
+        n = self.count[words]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.start[words] - (ends - n), n) + np.arange(int(n.sum()))]
+        total = np.concatenate([[0], ends])
+        return np.split(ids, total[np.cumsum([len(x) for x in lists])[:-1]]) if texts else []
+
+    def _bytes(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that no piece has as byte pieces, or as the unknown piece where the model has none."""
+        as_bytes = {}
+        for code in np.unique(flat[flat < 0]).tolist():
+            found = [int(self.m.byte_ids[b]) for b in chr(-1 - code).encode("utf-8", "surrogatepass")]
+            as_bytes[code] = found if min(found) >= 0 else [self.m.unknown]
+        longer = np.array([len(as_bytes[i]) if i < 0 else 1 for i in flat.tolist()], dtype=np.int64)
+        out = np.array([x for i in flat.tolist() for x in (as_bytes[i] if i < 0 else (i,))], dtype=np.int64)
+        return out, np.add.reduceat(longer, np.cumsum(n) - n)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids."""

@@ -6,10 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..frames import cut
 from ..functions import flags, ids, text
-from ..operators import analytics, columns, io_stats, lineage, listing, merge
+from ..operators import analytics, columns, extract, io_stats, lineage, listing, merge
 from ..sources import partitions
 from ..sources.tables import OrderTables
+from ..streaming.ingest import parse_events
 from .registry import query
 
 DAY = dt.datetime
@@ -553,8 +555,6 @@ def event_coalesce_latest(spark, sf_dir):
 
 @query("dlq_split", "SELECT CASE WHEN event_id % 3 = 0 THEN 'malformed' ELSE 'valid' END AS kind, count(*) AS n FROM events GROUP BY 1", mapped=False)
 def dlq_split(spark, sf_dir):
-    from ..streaming.ingest import parse_events
-
     e = OrderTables(spark, sf_dir).source("events")
     named = F.struct(F.lit("n").alias("namespace"), F.col("event_type").alias("name"))
     good = F.to_json(F.struct(F.col("ts").cast("timestamp").alias("eventTime"), F.lit("START").alias("eventType"), named.alias("job"), F.struct(ids.static_uuid(F.col("user_id").cast("string")).alias("runId")).alias("run")))
@@ -740,3 +740,71 @@ def union_pages(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     d = t.dataset.select("id", "name", F.lit("dataset").alias("kind"))
     return d.where("id <= 20").union(t.job.where("id <= 20").select("id", "name", F.lit("job").alias("kind"))).union(d.where("id BETWEEN 10 AND 25")).distinct()
+
+
+# ingest: run events made from orders and line items, extracted again
+
+
+def _made_events(spark, sf_dir):
+    """One event per line item: an operation of a Spark application (the order) that reads or writes a table behind a path."""
+    t = OrderTables(spark, sf_dir)
+    o = t.source("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    e = t.source("lineitem").where("l_linenumber <= 3").join(o, "l_orderkey")
+    at = F.col("o_orderdate").cast("timestamp")
+    uid = lambda k: ids.incremental_uuid(at, k.cast("string"))
+    op = uid(F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2 + 1_000_000_000)
+    app = F.concat(F.lit("app-"), F.col("o_custkey").cast("string"))
+    path = F.concat(F.lit("/data/s"), F.col("l_suppkey").cast("string"), F.lit("/day=1"))
+    table = F.concat(F.lit("db.s"), F.col("l_suppkey").cast("string"))
+    link = F.array(F.struct(F.lit("hive://meta:9083").alias("namespace"), table.alias("name"), F.lit("TABLE").alias("type")))
+    count = F.struct(F.col("l_quantity").cast("long").alias("rowCount"))
+    facets = F.when(F.col("l_suppkey") % 2 == 0, F.struct(F.struct(link.alias("identifiers")).alias("symlinks")))
+    data = F.struct(F.lit("HDFS://Host1:9820,host2:9820").alias("namespace"), path.alias("name"), facets.alias("facets"), F.struct(count.alias("inputStatistics")).alias("inputFacets"), F.struct(count.alias("outputStatistics")).alias("outputFacets"))
+    reads = F.col("l_returnflag") == "R"
+    event = F.struct(
+        (F.col("o_orderdate") + F.expr("make_dt_interval(0, l_linenumber)")).cast("timestamp").alias("eventTime"),
+        F.when(F.col("l_linestatus") == "F", "COMPLETE").otherwise("RUNNING").alias("eventType"),
+        F.struct(
+            F.lit("yarn://cluster").alias("namespace"), F.concat(app, F.lit(".save")).alias("name"),
+            F.struct(F.struct(F.lit("BATCH").alias("processingType"), F.lit("SPARK").alias("integration"), F.lit("SQL_JOB").alias("jobType")).alias("jobType"), F.struct(F.lit("  INSERT INTO x\n  SELECT 1").alias("query")).alias("sql")).alias("facets"),
+        ).alias("job"),
+        F.struct(op.alias("runId"), F.struct(F.struct(F.struct(F.lit("yarn://cluster").alias("namespace"), app.alias("name")).alias("job"), F.struct(uid(F.col("l_orderkey")).alias("runId")).alias("run")).alias("parent")).alias("facets")).alias("run"),
+    )
+    as_json = lambda side: F.when(side, F.concat(F.lit("["), F.to_json(data), F.lit("]"))).otherwise("[]")
+    value = F.concat(F.regexp_replace(F.to_json(event), r"\}$", ""), F.lit(', "inputs": '), as_json(reads), F.lit(', "outputs": '), as_json(~reads), F.lit("}"))
+    return extract.classified(cut(parse_events(cut(e.select(value.alias("value"))))[0]))
+
+
+_MADE = "(SELECT l.*, o_custkey, o_orderdate FROM lineitem l JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 3)"
+_DS = "CASE WHEN l_suppkey % 2 = 0 THEN 'db.s' || l_suppkey ELSE '/data/s' || l_suppkey END"
+
+
+@query("ingest_jobs", f"SELECT DISTINCT 'yarn' AS location_type, 'cluster' AS location_name, 'app-' || o_custkey AS name FROM {_MADE}", mapped=False)
+def ingest_jobs(spark, sf_dir):
+    return extract.jobs(extract.merged_runs(_made_events(spark, sf_dir))).select("location_type", "location_name", "name")
+
+
+@query("ingest_datasets", f"SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'hive' ELSE 'hdfs' END AS location_type, CASE WHEN l_suppkey % 2 = 0 THEN 'meta:9083' ELSE 'host1:9820' END AS location_name, {_DS} AS name FROM {_MADE} UNION SELECT 'hdfs', 'host1:9820', '/data/s' || l_suppkey FROM {_MADE}", mapped=False)
+def ingest_datasets(spark, sf_dir):
+    e = _made_events(spark, sf_dir)
+    return extract.datasets(extract.io(e, "inputs"), extract.io(e, "outputs"), extract.symlinks(e))
+
+
+@query("ingest_operations", f"SELECT 'app-' || o_custkey AS app, CAST(status AS BIGINT) AS status, count(*) AS n FROM (SELECT o_custkey, l_orderkey, l_linenumber % 2, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS status FROM {_MADE} GROUP BY ALL) GROUP BY ALL", mapped=False)
+def ingest_operations(spark, sf_dir):
+    e = _made_events(spark, sf_dir)
+    ops, runs = extract.merged_operations(e).where("name = 'save'"), extract.merged_runs(e)
+    both = ops.select("run_id", "status").join(runs.select(F.col("id").alias("run_id"), F.col("job.name").alias("app")), "run_id")
+    return _long(both.groupBy("app", "status").agg(F.count("*").alias("n")), "status")
+
+
+def _ingest_io(side, flag):
+    def run(spark, sf_dir):
+        io = extract.merged_io(_made_events(spark, sf_dir), side)
+        return io.groupBy(F.col("dataset.name").alias("name")).agg(F.count("*").alias("n"), F.sum("num_rows").alias("num_rows"))
+
+    return run
+
+
+for _side, _flag in (("inputs", "= 'R'"), ("outputs", "<> 'R'")):
+    query(f"ingest_{_side}", f"SELECT {_DS} AS name, count(*) AS n, CAST(sum(r) AS BIGINT) AS num_rows FROM (SELECT l_suppkey, l_orderkey, l_linenumber, max(CAST(l_quantity AS BIGINT)) AS r FROM {_MADE} WHERE l_returnflag {_flag} GROUP BY l_suppkey, l_orderkey, l_linenumber) GROUP BY l_suppkey", mapped=False)(_ingest_io(_side, _flag))

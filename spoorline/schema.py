@@ -36,33 +36,58 @@ _DATASET = _struct(
 )
 _JOB_ID, _RUN_ID = _struct(namespace=_S, name=_S), _struct(runId=_S)
 
-#: One run event; fields that no operator reads are left out, and so ignored by the parser.
-RUN_EVENT = _struct(
-    eventTime=_TS,
-    eventType=_S,
-    job=_struct(
-        namespace=_S,
-        name=_S,
-        facets=_struct(
-            jobType=_struct(processingType=_S, integration=_S, jobType=_S),
-            sql=_struct(query=_S),
-            tags=_struct(tags=T.ArrayType(_TAG)),
+_DAG = _struct(dag_id=_S, owner=_S, tags=T.ArrayType(_S))
+_DAG_RUN = _struct(run_id=_S, run_type=_S, data_interval_start=_TS)
+
+
+def run_event(custom_prefix: str = "custom") -> T.StructType:
+    """The type of one run event; fields that no operator reads are left out, and so ignored by the parser.
+
+    Producers without an integration of their own may describe runs and operations in two facets named
+    ``<custom_prefix>_run`` and ``<custom_prefix>_operation``.
+    """
+    return _struct(
+        eventTime=_TS,
+        eventType=_S,
+        job=_struct(
+            namespace=_S,
+            name=_S,
+            facets=_struct(
+                jobType=_struct(processingType=_S, integration=_S, jobType=_S),
+                sql=_struct(query=_S),
+                tags=_struct(tags=T.ArrayType(_TAG)),
+            ),
         ),
-    ),
-    run=_struct(
-        runId=_S,
-        facets=_struct(
-            parent=_struct(job=_JOB_ID, run=_RUN_ID, root=_struct(job=_JOB_ID, run=_RUN_ID)),
-            processing_engine=_struct(name=_S, version=_S, openlineageAdapterVersion=_S),
-            nominalTime=_struct(nominalStartTime=_TS, nominalEndTime=_TS),
-            tags=_struct(tags=T.ArrayType(_TAG)),
-            spark_applicationDetails=_struct(applicationId=_S, userName=_S, uiWebUrl=_S, proxyUrl=_S, historyUrl=_S),
-            spark_jobDetails=_struct(jobId=_I, jobDescription=_S, jobGroup=_S, jobCallSite=_S),
+        run=_struct(
+            runId=_S,
+            facets=_struct(
+                parent=_struct(job=_JOB_ID, run=_RUN_ID, root=_struct(job=_JOB_ID, run=_RUN_ID)),
+                processing_engine=_struct(name=_S, version=_S, openlineageAdapterVersion=_S),
+                nominalTime=_struct(nominalStartTime=_TS, nominalEndTime=_TS),
+                tags=_struct(tags=T.ArrayType(_TAG)),
+                spark_applicationDetails=_struct(applicationId=_S, userName=_S, uiWebUrl=_S, proxyUrl=_S, historyUrl=_S),
+                spark_jobDetails=_struct(jobId=_I, jobDescription=_S, jobGroup=_S),
+                airflow=_struct(
+                    dag=_DAG,
+                    dagRun=_DAG_RUN,
+                    task=_struct(task_id=_S, operator_class=_S, task_group=_struct(group_id=_S)),
+                    taskInstance=_struct(try_number=_I, map_index=_I, log_url=_S),
+                ),
+                airflowDagRun=_struct(dag=_DAG, dagRun=_DAG_RUN),
+                dbt_run=_struct(invocation_id=_S),
+                flink_job=_struct(jobId=_S),
+                hive_query=_struct(queryId=_S, operationName=_S),
+                hive_session=_struct(username=_S, clientIp=_S, sessionId=_S, creationTime=_TS),
+                **{
+                    f"{custom_prefix}_run": _struct(external_id=_S, attempt=_S, persistent_log_url=_S, running_log_url=_S, start_reason=_S, started_by_user=_S),
+                    f"{custom_prefix}_operation": _struct(name=_S, description=_S, group=_S, position=_I),
+                },
+            ),
         ),
-    ),
-    inputs=T.ArrayType(_DATASET),
-    outputs=T.ArrayType(_DATASET),
-)
+        inputs=T.ArrayType(_DATASET),
+        outputs=T.ArrayType(_DATASET),
+    )
+
 
 LOCATION = "id bigint, type string, name string, external_id string"
 DATASET = "id bigint, location_id bigint, name string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import RUN_EVENT
+from ..schema import run_event
 
 #: Event types of a run.
 EVENT_TYPES = ("START", "RUNNING", "COMPLETE", "ABORT", "FAIL", "OTHER")
@@ -19,10 +19,16 @@ def is_valid(event: str = "event") -> Column:
     return F.coalesce(needed & e("eventType").isin(*EVENT_TYPES) & e("run.runId").rlike(_UUID), F.lit(False))
 
 
-def parse_events(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(valid, malformed): valid rows have the event's fields as columns; malformed ones stay as they came."""
-    parsed = raw.withColumn("event", F.from_json(F.col(column).cast("string"), RUN_EVENT, {"mode": "PERMISSIVE"}))
+def parse_events(raw: DataFrame, column: str = "value", custom_prefix: str = "custom") -> tuple[DataFrame, DataFrame]:
+    """(valid, malformed): valid rows have the event's fields as columns; malformed ones stay as they came.
+
+    The two facets of producers without an integration keep the names ``custom_run`` and ``custom_operation``.
+    """
+    parsed = raw.withColumn("event", F.from_json(F.col(column).cast("string"), run_event(custom_prefix), {"mode": "PERMISSIVE"}))
     valid = parsed.where(is_valid()).select("event.*")
+    if custom_prefix != "custom":
+        facets = F.col("run.facets").withField("custom_run", F.col(f"run.facets.{custom_prefix}_run")).withField("custom_operation", F.col(f"run.facets.{custom_prefix}_operation"))
+        valid = valid.withColumn("run", F.col("run").withField("facets", facets))
     return valid, parsed.where(~is_valid()).drop("event")
 
 

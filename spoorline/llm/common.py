@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import zlib
 
@@ -9,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts are whole, so a batch stays a few MB at usual lengths.
-BATCH_ROWS = 4000
+BATCH_ROWS = 1000
 #: Bytes of one Arrow batch, for very long texts.
-BATCH_BYTES = str(8 << 20)
+BATCH_BYTES = str(4 << 20)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -22,7 +26,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def chunks(texts: list, most: int = 1 << 20):
+def chunks(texts: list, most: int = 1 << 19):
     """Runs of ``texts`` of about ``most`` characters or bytes together; a longer text is a run by itself."""
     part, size = [], 0
     for t in texts:
@@ -36,6 +40,22 @@ def chunks(texts: list, most: int = 1 << 20):
         yield part
 
 
+def released(run):
+    """``run`` for mapInPandas, giving memory back to the system at the end: idle Python workers stay beside the JVM."""
+
+    @functools.wraps(run)
+    def outer(batches):
+        yield from run(batches)
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

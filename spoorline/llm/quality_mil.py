@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, labelled_sample, small_batches
+from .common import chunks, labelled_sample, released, small_batches
 
 PASSAGE = 512
 #: Passages that are encoded at a time, which bounds memory for any length of text.
@@ -185,7 +185,7 @@ def classify(docs: DataFrame, network: dict, id_col: str = "doc_id", text_col: s
             p, a = map(np.concatenate, zip(*(score(network, part) for part in chunks(pdf["_t"].tolist())), strict=True))
             yield pd.DataFrame({id_col: pdf[id_col], "score": p, "attention": a})
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).mapInPandas(run, fields)
+    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).mapInPandas(released(run), fields)
 
 
 def score_column(docs: DataFrame, network: dict, text_col: str = "text") -> Column:

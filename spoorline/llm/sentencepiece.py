@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, small_batches
+from .common import chunks, released, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -36,7 +36,7 @@ _SLOTS = 20  # bits of the table that remembers pairs
 _FILTER = 22  # bits of the table that tells most substrings from pieces
 _NONE = np.zeros(0, dtype=np.int64)
 #: Words of earlier batches that an encoder keeps with their pieces.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 #: Fixed values of the file format: model types and piece types.
 UNIGRAM, BPE = 1, 2
@@ -375,10 +375,16 @@ def encode_decode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     round-trip as empty; repeated rows give a row each; an empty table gives an empty result; other columns are
     neither read nor kept.
     """
-    encoded = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).withColumn("_ids", encode_column(docs, model, "_t"))
-    decoded = encoded.withColumn("_back", decode_column(docs, model, "_ids"))
-    known = sorted(int(i) for i in model.byte_ids if i >= 0)
-    in_bytes = F.size(F.filter("_ids", lambda i: i.between(known[0], known[-1]))) if known and known[-1] - known[0] == len(known) - 1 else F.size(F.filter("_ids", lambda i: i.isin(known)))
-    return decoded.select(
-        F.col("_id").alias(id_col), F.size("_ids").cast("long").alias("n_pieces"), in_bytes.cast("long").alias("n_bytes"), F.col("_ids").alias("ids"), (F.col("_back") == F.coalesce("_t", F.lit(""))).alias("round_trip")
-    )
+    small_batches(docs.sparkSession)
+    fields = [docs.schema[id_col], T.StructField("n_pieces", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    is_byte = np.array([t == BYTE for t in model.types])
+
+    def run(batches):
+        # both ways in one worker, so a task holds one copy of the tables
+        encoder = Encoder(model)
+        for pdf in batches:
+            texts = pdf["_t"].tolist()
+            ids = [x for part in chunks(texts) for x in encoder.encode(part)]
+            yield pd.DataFrame({id_col: pdf[id_col], "n_pieces": [len(x) for x in ids], "n_bytes": [int(is_byte[x].sum()) for x in ids], "ids": ids, "round_trip": [encoder.decode(x) == t for x, t in zip(ids, texts, strict=True)]})
+
+    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInPandas(released(run), T.StructType(fields))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, released, small_batches
 
 RADIUS = 3
 SEGMENTS = 4
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle_words) for t in pdf["t"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({id_col: pdf[id_col], "fp": fps})
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).mapInPandas(run, out)
+    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).mapInPandas(released(run), out)
 
 
 def _segment(fp: Column, i) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..operators import analytics, columns, extract, io_stats, lineage, listing,
 from ..sources import partitions
 from ..sources.tables import OrderTables
 from ..streaming.ingest import parse_events
-from .registry import query
+from .registry import QUERIES, SQL, query
 
 DAY = dt.datetime
 SINCE, UNTIL = DAY(1997, 3, 1), DAY(1997, 3, 20)
@@ -745,11 +746,11 @@ def union_pages(spark, sf_dir):
 # ingest: run events made from orders and line items, extracted again
 
 
-def _made_events(spark, sf_dir):
-    """One event per line item: an operation of a Spark application (the order) that reads or writes a table behind a path."""
+def _made_events(spark, sf_dir, most=3):
+    """One event per line item (the first ``most`` of an order, or all): an operation of a Spark application (the order) that reads or writes a table behind a path."""
     t = OrderTables(spark, sf_dir)
     o = t.source("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
-    e = t.source("lineitem").where("l_linenumber <= 3").join(o, "l_orderkey")
+    e = t.source("lineitem").where("true" if most is None else F.col("l_linenumber") <= most).join(o, "l_orderkey")
     at = F.col("o_orderdate").cast("timestamp")
     uid = lambda k: ids.incremental_uuid(at, k.cast("string"))
     op = uid(F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2 + 1_000_000_000)
@@ -780,27 +781,27 @@ _DS = "CASE WHEN l_suppkey % 2 = 0 THEN 'db.s' || l_suppkey ELSE '/data/s' || l_
 
 
 @query("ingest_jobs", f"SELECT DISTINCT 'yarn' AS location_type, 'cluster' AS location_name, 'app-' || o_custkey AS name FROM {_MADE}", mapped=False)
-def ingest_jobs(spark, sf_dir):
-    return extract.jobs(extract.merged_runs(_made_events(spark, sf_dir))).select("location_type", "location_name", "name")
+def ingest_jobs(spark, sf_dir, most=3):
+    return extract.jobs(extract.merged_runs(_made_events(spark, sf_dir, most))).select("location_type", "location_name", "name")
 
 
 @query("ingest_datasets", f"SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'hive' ELSE 'hdfs' END AS location_type, CASE WHEN l_suppkey % 2 = 0 THEN 'meta:9083' ELSE 'host1:9820' END AS location_name, {_DS} AS name FROM {_MADE} UNION SELECT 'hdfs', 'host1:9820', '/data/s' || l_suppkey FROM {_MADE}", mapped=False)
-def ingest_datasets(spark, sf_dir):
-    e = _made_events(spark, sf_dir)
+def ingest_datasets(spark, sf_dir, most=3):
+    e = _made_events(spark, sf_dir, most)
     return extract.datasets(extract.io(e, "inputs"), extract.io(e, "outputs"), extract.symlinks(e))
 
 
 @query("ingest_operations", f"SELECT 'app-' || o_custkey AS app, CAST(status AS BIGINT) AS status, count(*) AS n FROM (SELECT o_custkey, l_orderkey, l_linenumber % 2, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS status FROM {_MADE} GROUP BY ALL) GROUP BY ALL", mapped=False)
-def ingest_operations(spark, sf_dir):
-    e = _made_events(spark, sf_dir)
+def ingest_operations(spark, sf_dir, most=3):
+    e = _made_events(spark, sf_dir, most)
     ops, runs = extract.merged_operations(e).where("name = 'save'"), extract.merged_runs(e)
     both = ops.select("run_id", "status").join(runs.select(F.col("id").alias("run_id"), F.col("job.name").alias("app")), "run_id")
     return _long(both.groupBy("app", "status").agg(F.count("*").alias("n")), "status")
 
 
 def _ingest_io(side, flag):
-    def run(spark, sf_dir):
-        io = extract.merged_io(_made_events(spark, sf_dir), side)
+    def run(spark, sf_dir, most=3):
+        io = extract.merged_io(_made_events(spark, sf_dir, most), side)
         return io.groupBy(F.col("dataset.name").alias("name")).agg(F.count("*").alias("n"), F.sum("num_rows").alias("num_rows"))
 
     return run
@@ -808,3 +809,9 @@ def _ingest_io(side, flag):
 
 for _side, _flag in (("inputs", "= 'R'"), ("outputs", "<> 'R'")):
     query(f"ingest_{_side}", f"SELECT {_DS} AS name, count(*) AS n, CAST(sum(r) AS BIGINT) AS num_rows FROM (SELECT l_suppkey, l_orderkey, l_linenumber, max(CAST(l_quantity AS BIGINT)) AS r FROM {_MADE} WHERE l_returnflag {_flag} GROUP BY l_suppkey, l_orderkey, l_linenumber) GROUP BY l_suppkey", mapped=False)(_ingest_io(_side, _flag))
+
+# the same over all line items
+_MADE_ALL = "(SELECT l.*, o_custkey, o_orderdate FROM lineitem l JOIN orders ON o_orderkey = l_orderkey)"
+
+for _name in ("ingest_jobs", "ingest_datasets", "ingest_operations", "ingest_inputs", "ingest_outputs"):
+    query(f"{_name}_all", SQL[_name].replace(_MADE, _MADE_ALL), mapped=False)(partial(QUERIES[_name], most=None))

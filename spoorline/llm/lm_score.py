@@ -5,8 +5,8 @@ log-probabilities scores the text. Words are counted over all documents with Spa
 tokens, any other word is one of ``SHAPES`` shape tokens. A token is a pair (class, member), predicted one after the
 other, so the distribution over all tokens is exact at the cost of two short softmaxes.
 
-Training covers all documents: every partition starts from the same network and walks over its own texts, masking a
-share of the positions; the networks are averaged by a Spark aggregation, weighted by positions, and the next round
+Training covers all documents: every partition starts from the same network and walks over its own texts, predicting
+every position (a word is never an input of its own prediction, so nothing is masked); the networks are averaged by a Spark aggregation, weighted by positions, and the next round
 starts from the average. What is gathered grows with the input (word counts, one network a partition); what is
 sent to the tasks is the vocabulary and one network, both of fixed size.
 """
@@ -28,7 +28,6 @@ SHAPES = 32
 MEMBERS = 32
 REACH = 2  # words on either side
 WIDTH, HIDDEN = 16, 32
-MASKED = 0.15
 STEP = 1024  # positions of a training step
 BLOCK = 4096  # positions scored at a time, few enough for the caches
 
@@ -169,7 +168,7 @@ class Walk:
     def texts(self, texts: list[str], known: Tokens) -> None:
         stream, _ = tokens(texts, known)
         real = np.flatnonzero(stream < VOCABULARY)
-        at = self.rng.permutation(real[self.rng.random(len(real)) < MASKED])
+        at = self.rng.permutation(real)
         for lo in range(0, len(at), STEP):
             part = at[lo : lo + STEP]
             self.step += 1

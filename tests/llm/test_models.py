@@ -202,3 +202,17 @@ def test_lm_on_an_empty_table(spark, tables):
     docs = tables[1].limit(0)
     vocab = lm_score.vocabulary(docs)
     assert vocab == {} and lm_score.score(docs, vocab, lm_score.train(docs, vocab)).count() == 0
+
+
+def test_lm_training_predicts_every_position():
+    texts = ["a b c d e f g h", "", "a b x"]
+    walk = lm_score.Walk(lm_score.Network.new(), seed=0)
+    walk.texts(texts, lm_score.Tokens({"a": 0, "b": 1}))
+    assert walk.seen == 11
+
+
+def test_lm_learns_at_the_rounds_of_the_query(spark, tables):
+    docs = tables[1]
+    vocab = lm_score.vocabulary(docs)
+    out = lm_score.score(docs, vocab, lm_score.train(docs, vocab)).where("n_tokens > 0 and doc_id < 900000").collect()
+    assert np.mean([r.mean_log_prob for r in out]) > 1 - math.log(lm_score.VOCABULARY)

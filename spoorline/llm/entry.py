@@ -27,8 +27,9 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vocab = lm_score.vocabulary(docs)
-    return lm_score.score(docs, vocab, lm_score.train(docs, vocab))
+    counts = lm_score.word_counts(docs)
+    vocab = lm_score.vocabulary(docs, counts=counts)
+    return lm_score.score(docs, vocab, lm_score.train(docs, vocab), counts=counts)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

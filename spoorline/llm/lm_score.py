@@ -2,17 +2,19 @@
 
 A small network predicts every word of a text from the words before and after it; the sum of the conditional
 log-probabilities scores the text. Words are counted over all documents with Spark; the most frequent ones are
-tokens, any other word is one of ``SHAPES`` shape tokens. A token is a pair (class, member), predicted one after the
+tokens, any other word is one of ``SHAPES`` shape tokens. Scoring gives every rare word its probability within its
+shape besides, from the counts of all words, which stay in a Spark table joined by word. A token is a pair (class, member), predicted one after the
 other, so the distribution over all tokens is exact at the cost of two short softmaxes.
 
 Training covers all documents: every partition starts from the same network and walks over its own texts, predicting
 every position (a word is never an input of its own prediction, so nothing is masked); the networks are averaged by a Spark aggregation, weighted by positions, and the next round
-starts from the average. What is gathered grows with the input (word counts, one network a partition); what is
-sent to the tasks is the vocabulary and one network, both of fixed size.
+starts from the average. What is gathered grows with the input (the count of every word, one network a partition);
+what is sent to the tasks is the vocabulary of the network and the network, both of fixed size.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, small_batches
+from .common import chunks, cut, small_batches
 
 VOCABULARY = 1024
 SHAPES = 32
@@ -41,10 +43,25 @@ def shape(word: str) -> int:
     return 4 * min((len(word) - 1) // 2, 7) + 2 * word.isalpha() + word.isascii()
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY) -> dict[str, int]:
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, s, n): the shape of each word and how often it occurs in all documents, written once. Its rows grow with the corpus and stay in Spark."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            seen: Counter = Counter()
+            for t in pdf["_t"]:
+                seen.update(words_of(t))
+            yield pd.DataFrame({"w": pd.Series(list(seen), dtype=object), "s": [shape(w) for w in seen], "n": list(seen.values())})
+
+    parts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInPandas(run, "w string, s int, n long")
+    return cut(parts.groupBy("w", "s").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY, counts: DataFrame | None = None) -> dict[str, int]:
     """The most frequent words of all documents, by count, then word; ``SHAPES`` places are left for rare words."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"\s+")).alias("w")).where("w <> ''")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size - SHAPES).collect()
+    counts = word_counts(docs, text_col) if counts is None else counts
+    top = counts.orderBy(F.desc("n"), "w").limit(size - SHAPES).collect()
     return {r["w"]: i for i, r in enumerate(top)}
 
 
@@ -213,21 +230,47 @@ def score_texts(texts: list[str], known: Tokens, network: Network) -> tuple[np.n
     return counts, np.bincount(np.repeat(np.arange(len(texts)), counts), weights=logp, minlength=len(texts))
 
 
-def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob): one row per input row; the natural logarithm, summed and by token.
 
-    Defined cases: null and empty texts, and texts of white space, have no tokens, log_prob 0 and a null mean;
-    repeated rows give a row each, with the same score; an empty table gives an empty result; other columns are
-    neither read nor kept.
+    With ``counts`` (of ``word_counts``) a rare word has the probability of its shape token times its share of all
+    occurrences of rare words of that shape; without, that of its shape token. Defined cases: a word that was never
+    counted has a share of one in all rare occurrences and one; null and empty texts, and texts of white space, have no tokens, log_prob 0 and a
+    null mean; repeated rows give a row each, with the same score; an empty table gives an empty result; other
+    columns are neither read nor kept.
     """
     small_batches(docs.sparkSession)
-    fields = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())])
+    inner = counts is not None
+    fields = [docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())]
+    if inner:
+        fields += [T.StructField("_row", T.LongType()), T.StructField("_w", T.ArrayType(T.StringType())), T.StructField("_n", T.ArrayType(T.LongType()))]
 
     def run(batches):
         known = Tokens(vocab)
         for pdf in batches:
-            counts, total = map(np.concatenate, zip(*(score_texts(part, known, network) for part in chunks(pdf["_t"].tolist())), strict=True))
-            yield pd.DataFrame({id_col: pdf[id_col], "n_tokens": counts, "log_prob": total})
-
-    out = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInPandas(run, fields)
+            texts = pdf["_t"].tolist()
+            counted, total = map(np.concatenate, zip(*(score_texts(part, known, network) for part in chunks(texts)), strict=True))
+            out = {id_col: pdf[id_col], "n_tokens": counted, "log_prob": total}
+            if inner:
+                rare = [Counter(w for w in words_of(t) if w not in vocab) for t in texts]
+                out |= {"_row": pdf["_row"], "_w": pd.Series([list(c) for c in rare], dtype=object), "_n": pd.Series([list(c.values()) for c in rare], dtype=object)}
+            yield pd.DataFrame(out)
+
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.monotonically_increasing_id().alias("_row")] if inner else []))
+    out = rows.mapInPandas(run, T.StructType(fields))
+    if inner:
+        out = within_shapes(cut(out), counts, vocab)
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+
+
+def within_shapes(scored: DataFrame, counts: DataFrame, vocab: dict[str, int]) -> DataFrame:
+    """``scored`` with the log-probability of every rare word within its shape added; a join by word, so nothing is sent to the tasks but the sums of the shapes."""
+    rare = counts.where(~F.col("w").isin(list(vocab))) if vocab else counts
+    sums = {r["s"]: r["n"] for r in rare.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # 32 at most
+    total = F.element_at(F.create_map(*(F.lit(x) for s in range(SHAPES) for x in (s, max(sums.get(s, 0), 1)))), F.col("s"))
+    inner = rare.select("w", (F.log("n") - F.log(total)).alias("lp"))
+    words = scored.select("_row", F.explode(F.arrays_zip("_w", "_n")).alias("x")).select("_row", F.col("x._w").alias("w"), F.col("x._n").alias("m"))
+    met = words.join(inner, "w", "left")
+    unseen = -F.log(F.lit(float(1 + sum(sums.values()))))
+    added = met.groupBy("_row").agg(F.sum(F.col("m") * F.coalesce("lp", unseen)).alias("_more"))
+    return scored.drop("_w", "_n").join(added, "_row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0))).drop("_row", "_more")

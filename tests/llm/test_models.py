@@ -216,3 +216,23 @@ def test_lm_learns_at_the_rounds_of_the_query(spark, tables):
     vocab = lm_score.vocabulary(docs)
     out = lm_score.score(docs, vocab, lm_score.train(docs, vocab)).where("n_tokens > 0 and doc_id < 900000").collect()
     assert np.mean([r.mean_log_prob for r in out]) > 1 - math.log(lm_score.VOCABULARY)
+
+
+def test_lm_rare_words_have_their_share_of_the_shape(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHAPES", lm_score.VOCABULARY - 2)  # a vocabulary of two words
+    texts = ["the the the of of of gnu yak yak emu", "the zebra yak", None, "the zebra yak", "of\u00a0\u0130x"]
+    docs = spark.createDataFrame([(i if i != 3 else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = lm_score.word_counts(docs)
+    vocab, net = lm_score.vocabulary(docs, counts=counts), lm_score.Network.new()
+    assert set(vocab) == {"the", "of"}
+    monkeypatch.undo()
+    n = {r.w: r.n for r in counts.collect()}
+    plain = lm_score.Counter(w for t in texts for w in (t or "").lower().split())
+    assert n == plain
+    rare = {w: c for w, c in plain.items() if w not in vocab}
+    share = {w: math.log(c / sum(d for v, d in rare.items() if lm_score.shape(v) == lm_score.shape(w))) for w, c in rare.items()}
+    assert share["yak"] > share["gnu"]  # equal shape
+    _, base = lm_score.score_texts([t or "" for t in texts], lm_score.Tokens(vocab), net)
+    want = sorted(b + sum(share.get(w, 0) for w in (t or "").lower().split()) for b, t in zip(base, texts, strict=True))
+    got = sorted(r.log_prob for r in lm_score.score(docs, vocab, net, counts=counts).collect())
+    assert np.allclose(got, want)

@@ -2,8 +2,8 @@
 
 Three base kinds (assign, access, hex) are reported by themselves. Weaker parts (short access identifiers and user
 names, short or bare secrets, endpoints) are common in clean text, so they are reported only where a complementary
-part lies in the same scope (the text between blank lines) and within ``gap`` characters: an interval join of
-weak parts with parts of the complementary roles. The join runs for a whole Arrow batch at once: both sides are
+part lies in the same scope (the text between blank lines), or within ``gap`` characters of it where the caller
+names a gap: an interval join of weak parts with parts of the complementary roles. The join runs for a whole Arrow batch at once: both sides are
 laid on one line by (row, scope) and place, and sorted searches find the nearest partner, so a text with
 thousands of parts makes no pairs.
 """
@@ -27,7 +27,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])")
+BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])")
 NAME = re.compile(r"""(?:access[_-]?key[_-]?id|client[_-]?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}""", re.IGNORECASE | re.ASCII)
 URL = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]+(?::\d{1,5})?(?:/[A-Za-z0-9._/-]*)?")
 HOST = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\d.])")
@@ -64,11 +64,12 @@ def parts_of(text: str) -> list[tuple[int, int, int]]:
     return found + weak
 
 
-def linked(row: np.ndarray, scope: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int) -> np.ndarray:
-    """The interval join: which parts have a partner of a completing role in their (row, scope), at most ``gap`` characters away."""
+def linked(row: np.ndarray, scope: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int | None) -> np.ndarray:
+    """The interval join: which parts have a partner of a completing role in their (row, scope), at most ``gap`` characters away where it is given."""
     out = np.zeros(len(row), dtype=bool)
     if not len(row):
         return out
+    gap = int(end.max()) if gap is None else gap
     _, group = np.unique(np.stack([row, scope]), axis=1, return_inverse=True)
     base = group.reshape(-1).astype(np.int64) * (int(end.max()) + 2 * gap + 2)
     lo, hi, role = base + start, base + end, ROLE[kind]
@@ -83,7 +84,7 @@ def linked(row: np.ndarray, scope: np.ndarray, kind: np.ndarray, start: np.ndarr
     return out
 
 
-def spans_of(texts: list[str], gap: int) -> list[list[tuple[int, int, int]]]:
+def spans_of(texts: list[str], gap: int | None) -> list[list[tuple[int, int, int]]]:
     """For each text its base spans and its linked weak spans, by start, then kind as listed."""
     rows = [(i, *p) for i, t in enumerate(texts) for p in parts_of(t)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -103,7 +104,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int = 200) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gap: int | None = None) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, found): one row per input row.
 
     ``found`` lists the spans as structs of kind, start and end. Defined cases: a null text counts as empty and has
@@ -126,7 +127,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(run, T.StructType(fields))
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", gap: int = 200) -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", gap: int | None = None) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``[kind]``; overlapping spans become one. Null texts stay null."""
     small_batches(docs.sparkSession)
 

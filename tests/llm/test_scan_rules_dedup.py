@@ -123,6 +123,15 @@ def test_masking_hides_all_spans(spark):
     assert "0123456789abcdef" not in out[2] and out[2].startswith("é [assign]")
 
 
+def test_partners_anywhere_in_the_scope(spark):
+    key = "Ab1" + "cD2+" * 21  # 87 characters
+    far = ["user=alice " + "x " * 400 + "password: short9", f"https://db.example.org {'x ' * 150}{key}=", "user=alice " + "x " * 400 + "\n\npassword: short9"]
+    out = {r.doc_id: [f.kind for f in r.found] for r in secret_scan.find_secrets(docs(spark, list(enumerate(far)))).collect()}
+    assert out == {0: ["weak_id", "weak_secret"], 1: ["endpoint", "weak_secret"], 2: []}
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs(spark, list(enumerate(far)))).collect()}
+    assert "short9" not in masked[0] and key not in masked[1] and masked[2] == far[2]
+
+
 def plain_fp(text):
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
     if not words:

@@ -10,6 +10,9 @@
 4. Verification. The similarity of a window and an item of as many words is the weight of the shingles that they
    share, repeats counted, over the weight of the item's shingles; a shingle weighs ln(1 + items / items that have it).
 
+The radius loses some windows of similarity 0.8, and steps 1 to 3 see aligned windows only. The query and the pipeline
+therefore use ``every_contaminated``, which verifies every window that shares a shingle; fingerprints give its distance.
+
 Items of fewer words than a shingle are one shingle as a whole. Broadcasts stand behind a count of what they hold.
 """
 
@@ -19,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut, let
 
@@ -136,7 +140,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return pairs.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max("similarity").alias("similarity"), F.min("distance").alias("distance"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """The rows of ``docs`` whose id has no row in ``contaminated``."""
-    found = cut(contaminated(docs, benchmark, id_col, **names).select(F.col(id_col).alias("_leaked")).distinct())
+def every_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, similarity, distance): as ``contaminated``, over all windows of an item's length and without a radius.
+
+    The shared weight of a window changes only where a hit enters or leaves it, so sums over sorted hits give it for
+    every start, at a cost that grows with the hits. distance is the least among the windows that are similar enough.
+    """
+    items = cut(items_of(benchmark, item_col, item_text_col))
+    n_items = items.count()
+    weights = items.select(F.explode(F.array_distinct("sh")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    index = items.select("key", "n", "k", F.explode("sh").alias("h")).groupBy("key", "n", "k", "h").agg(F.count("*").cast("int").alias("c")).join(weights, "h")
+    index = cut(index.withColumn("v", F.log(1 + F.lit(n_items) / F.col("df"))).drop("df"))
+    rows, lengths = index.count(), [r.k for r in index.select("k").distinct().collect()]  # five at most
+    goals = items.select("key", "item", F.col("fp").alias("item_fp")).join(index.groupBy("key").agg(F.sum(F.col("c") * F.col("v")).alias("goal")), "key")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("t"))
+    words = texts.select("id", "th", words_of(F.col("t")).alias("w"))
+
+    def hits(k: int) -> DataFrame:
+        placed = words.where(F.size("w") >= k).select("id", "th", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("p", "h"))
+        return placed.join(_side(index.where(F.col("k") == k), rows), "h")
+
+    found = reduce(DataFrame.unionByName, map(hits, lengths or [SHINGLE]))
+    found = found.groupBy("id", "th", "size", "key", "n", "k").agg(F.sort_array(F.collect_set(F.struct("h", "p", "c", "v"))).alias("hits"))
+    found = found.join(_side(goals, n_items), "key")
+    last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
+
+    def edges(x: Column, i: Column) -> Column:
+        """Of the starts whose window counts this hit: the first, and the one after the last."""
+        before = F.when(i >= x["c"], F.get("hits", i - x["c"]))  # with it in the window too, the hit is one too many
+        first = F.greatest(F.lit(0), x["p"] - (F.col("n") - F.col("k")), F.when(before["h"] == x["h"], before["p"] + 1).otherwise(0))
+        end = F.least(x["p"], last) + 1
+        return F.when(first < end, F.array(F.struct(first.alias("at"), x["v"].alias("v")), F.struct(end.alias("at"), (-x["v"]).alias("v")))).otherwise(F.array().cast("array<struct<at:int,v:double>>"))
+
+    least = F.col("goal") * SIMILARITY - 1e-9 * F.col("goal")
+    found = found.where(F.aggregate("hits", F.lit(0.0), lambda s, x: s + x["v"]) >= least)
+    found = found.withColumn("edges", F.sort_array(F.flatten(F.transform("hits", edges)))).drop("hits")
+    most = F.aggregate("edges", F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("top")), lambda s, e: let(s["sum"] + e["v"], lambda n: F.struct(n.alias("sum"), F.greatest(s["top"], n).alias("top"))))["top"]
+    found = cut(found.withColumn("most", most).where(F.col("most") >= least))
+
+    by = W.partitionBy("id", "th", "key").orderBy("at")
+    steps = found.select("id", "th", "key", "item", "item_fp", "n", "goal", "most", F.explode("edges").alias("e")).groupBy("id", "th", "key", "item", "item_fp", "n", "goal", "most", F.col("e.at").alias("at")).agg(F.sum("e.v").alias("v"))
+    steps = steps.withColumn("sum", F.sum("v").over(by)).withColumn("to", F.lead("at").over(by)).where((F.col("sum") >= least) & F.col("to").isNotNull())
+    spans = cut(steps.groupBy("id", "th", "item", "item_fp", "n").agg(F.max(F.col("most") / F.col("goal")).alias("similarity"), F.collect_set(F.struct("at", "to")).alias("spans")))
+    near = texts.join(_side(spans.withColumnRenamed("id", "of").withColumnRenamed("th", "of_th"), spans.count()), F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    starts = F.flatten(F.transform("spans", lambda x: F.sequence(x["at"], x["to"] - 1)))
+    distance = let(words_of(F.col("t")), lambda w: F.array_min(F.transform(starts, lambda s: F.bit_count(simhash(F.slice(w, s + 1, F.col("n"))).bitwiseXOR(F.col("item_fp"))))))
+    return near.withColumn("distance", distance).groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max("similarity").alias("similarity"), F.min("distance").alias("distance"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", search=contaminated, **names) -> DataFrame:
+    """The rows of ``docs`` whose id has no row in what ``search`` gives: ``contaminated`` or ``every_contaminated``."""
+    found = cut(search(docs, benchmark, id_col, **names).select(F.col(id_col).alias("_leaked")).distinct())
     return docs.join(_side(found, found.count()), F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")

@@ -191,3 +191,44 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     assert got == sorted(((i, tuple(tool.encode(t or ""))) for i, t in masked), key=str)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, str(tmp_path)).columns == table.columns, name
+
+
+def brute_all(docs, items):
+    """All windows of an item's length against that item, without a radius: (similarity, least distance where similar)."""
+    made = [(i, w, min(5, len(w)), shingle_list(w, min(5, len(w)))) for i, t in items if (w := word_hashes(t))]
+    df = {}
+    for _, _, _, sh in made:
+        for h in set(sh):
+            df[h] = df.get(h, 0) + 1
+    found = {}
+    for d, text in docs:
+        words = word_hashes(text)
+        for i, w, k, ish in made:
+            v, here = {h: math.log(1 + len(made) / df[h]) for h in ish}, shingle_list(words, k)
+            for s in range(max(len(words) - len(w), 0) + 1) if set(v) & set(here) else ():
+                sh = here[s : s + len(w) - k + 1]
+                sim = sum(v[h] * min(ish.count(h), sh.count(h)) for h in v) / sum(v[h] * ish.count(h) for h in v)
+                if sim >= 0.8 - 1e-9:
+                    apart = (simhash(words[s : s + len(w)]) ^ simhash(w)).bit_count()
+                    most, least = found.get((d, i), (0, 64))
+                    found[d, i] = max(most, sim), min(least, apart)
+    return found
+
+
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_every_window_equals_brute_force_without_a_radius(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    docs, items = fixture()
+    rnd = random.Random(8)
+    for j in range(40):  # edges differ or words are put in, so that the best window need not be aligned
+        words = items[j][1].split()
+        at, more = rnd.randrange(len(words)), [f"z{j}"] * rnd.randint(1, 3)
+        cut = rnd.randint(0, len(words) // 5)
+        docs.append((600 + j, " ".join(["q"] * cut + words[cut:] + ["r"] * 20) if j % 2 else " ".join([*words[:at], *more, *words[at:], "r"])))
+    d, b = frames(spark, docs, items)
+    out = decontaminate.every_contaminated(d, b).collect()
+    got, want = {(r.doc_id, r.item_id): (r.similarity, r.distance) for r in out}, brute_all(docs, items)
+    assert len(out) == len(got) and got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in got)
+    assert max(v[1] for v in want.values()) > decontaminate.RADIUS and len(want) > len(brute(docs, items))
+    assert decontaminate.every_contaminated(d.limit(0), b).count() == 0 and decontaminate.every_contaminated(d, b.limit(0)).count() == 0

@@ -189,6 +189,13 @@ def every_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", search=contaminated, **names) -> DataFrame:
-    """The rows of ``docs`` whose id has no row in what ``search`` gives: ``contaminated`` or ``every_contaminated``."""
-    found = cut(search(docs, benchmark, id_col, **names).select(F.col(id_col).alias("_leaked")).distinct())
-    return docs.join(_side(found, found.count()), F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of ``docs`` that have no row in what ``search`` gives: ``contaminated`` or ``every_contaminated``.
+
+    A row is judged on its own text: rows are told apart by id and a hash of the text, so others with its id stay.
+    """
+    text = F.col(names.get("text_col", "text"))
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"))
+    found = search(docs.withColumn("_row", row), benchmark, "_row", **names).select(F.col("_row.id").alias("_leaked"), F.col("_row.hash").alias("_hash"))
+    found = cut(found.distinct())
+    same = F.col(id_col).eqNullSafe(F.col("_leaked")) & (F.xxhash64(text) == F.col("_hash"))
+    return docs.join(_side(found, found.count()), same, "left_anti")

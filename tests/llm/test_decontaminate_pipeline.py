@@ -232,3 +232,13 @@ def test_every_window_equals_brute_force_without_a_radius(spark, monkeypatch, ro
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in got)
     assert max(v[1] for v in want.values()) > decontaminate.RADIUS and len(want) > len(brute(docs, items))
     assert decontaminate.every_contaminated(d.limit(0), b).count() == 0 and decontaminate.every_contaminated(d, b.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("search", [decontaminate.contaminated, decontaminate.every_contaminated])
+def test_rows_that_share_an_id_are_judged_on_their_text(spark, search):
+    items = [(0, " ".join(f"i{n}" for n in range(20)))]
+    clean = [(i, f"clean text number {n} of id {i}") for i in (None, 7) for n in range(3)]
+    docs = [*clean, (None, items[0][1]), (7, items[0][1] + " more"), (7, None), (None, None)]
+    d, b = frames(spark, docs, items)
+    kept = [(r.doc_id, r.text) for r in decontaminate.without_contaminated(d, b, search=search).collect()]
+    assert sorted(kept, key=str) == sorted([*clean, (7, None), (None, None)], key=str)

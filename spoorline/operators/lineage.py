@@ -201,22 +201,22 @@ def by_jobs(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: s
     return out
 
 
-def by_runs(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: str = RUN, since=None, until=None, depth: int = 1) -> Lineage:
-    """Lineage that starts from runs, with edges by run or operation; the sums by job go with them."""
+def by_runs(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, granularity: str = RUN, since=None, until=None, depth: int = 1) -> Lineage:
+    """Lineage that starts from runs (a frame names them in ``id``), with edges by run or operation; the sums by job go with them."""
     validate(direction, depth, since, until)
     out, walker = Lineage(), Walker(tables, since, until)
     kind = dict(tables.run.dtypes)["id"]
-    start = among(tables.run, ids_frame(tables.spark, ids, kind), "id").select("id")
+    start = among(tables.run, ids if isinstance(ids, DataFrame) else ids_frame(tables.spark, ids, kind), "id").select("id")
     walker.from_entities(out, cut(start), direction, RUN, depth, finest=granularity)
     return out
 
 
-def by_operations(tables, ids: Collection, direction: str = DOWNSTREAM, since=None, until=None, depth: int = 1) -> Lineage:
-    """Lineage that starts from operations. The period holds for the levels after the first only."""
+def by_operations(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, since=None, until=None, depth: int = 1) -> Lineage:
+    """Lineage that starts from operations (a frame names them in ``id``). The period holds for the levels after the first only."""
     validate(direction, depth, since, until)
     out, walker = Lineage(), Walker(tables, since, until)
     kind = dict(tables.operation.dtypes)["id"]
-    start = among(tables.operation, ids_frame(tables.spark, ids, kind), "id").select("id")
+    start = among(tables.operation, ids if isinstance(ids, DataFrame) else ids_frame(tables.spark, ids, kind), "id").select("id")
     walker.from_entities(out, cut(start), direction, OPERATION, depth, dated=False)
     return out
 

@@ -815,3 +815,52 @@ _MADE_ALL = "(SELECT l.*, o_custkey, o_orderdate FROM lineitem l JOIN orders ON
 
 for _name in ("ingest_jobs", "ingest_datasets", "ingest_operations", "ingest_inputs", "ingest_outputs"):
     query(f"{_name}_all", SQL[_name].replace(_MADE, _MADE_ALL), mapped=False)(partial(QUERIES[_name], most=None))
+
+
+# lineage over whole tables: all entities as starts, all pairs, all rows
+
+_WHOLE = f"SELECT source_dataset_id, target_dataset_id, source_column, target_column, CAST(types AS BIGINT) AS types, CAST(used AS DATE) AS last_at FROM ({_COMBINED.format('')})"
+
+
+@query("lineage_run_all", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "true") + _grain("OUTPUT", "dedup_out", "true")) + ")")
+def lineage_run_all(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    return _edges(lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.OPERATION))
+
+
+@query("lineage_operation_all", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "true") + _grain("OUTPUT", "dedup_out", "true")) + ")")
+def lineage_operation_all(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    return _edges(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH, SINCE, UNTIL))
+
+
+@query(
+    "lineage_parent_relations_all",
+    """WITH ops AS (SELECT id, run_id FROM operation WHERE id IN (SELECT operation_id FROM dedup_in UNION SELECT operation_id FROM dedup_out))
+       SELECT 'RUN' AS from_kind, CAST(run_id AS VARCHAR) AS from_id, 'OPERATION' AS to_kind, CAST(id AS VARCHAR) AS to_id FROM ops
+       UNION ALL SELECT DISTINCT 'JOB', CAST(job_id AS VARCHAR), 'RUN', CAST(run.id AS VARCHAR) FROM run JOIN ops ON ops.run_id = run.id""",
+)
+def lineage_parent_relations_all(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    return lineage.parent_relations(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH), t)
+
+
+@query("column_lineage_pairs_all", _WHOLE)
+def column_lineage_pairs_all(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    pairs = t.column_lineage.select("source_dataset_id", "target_dataset_id").distinct()
+    return _long(_date(columns.of_pairs(t.column_lineage, t.dataset_column_relation, pairs), "last_used_at"), "types")
+
+
+@query("column_lineage_by_job_all", _WHOLE)
+def column_lineage_by_job_all(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    shown = t.dataset.select("id")
+    return _long(_date(columns.of_entities(t.column_lineage, t.dataset_column_relation, "job_id", t.job.select("id"), shown, shown), "last_used_at"), "types")
+
+
+@query("union_pages_all", "SELECT id, name, 'dataset' AS kind FROM dataset UNION SELECT id, name, 'job' FROM job")
+def union_pages_all(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    d = t.dataset.select("id", "name", F.lit("dataset").alias("kind"))
+    return d.union(t.job.select("id", "name", F.lit("job").alias("kind"))).distinct()

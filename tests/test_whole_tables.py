@@ -26,3 +26,31 @@ def test_ingest_makes_events_of_all_line_items(spark):
     assert {r["name"] for r in QUERIES["ingest_jobs_all"](spark, SMALL).collect()} == {a for a, _, _ in ops}
     want = set(e["name"]) | {f"/data/s{s}" for s in e["l_suppkey"]}
     assert {r["name"] for r in QUERIES["ingest_datasets_all"](spark, SMALL).collect()} == want
+
+
+def test_lineage_starts_from_all_entities(spark):
+    e = lines()
+    e["op"] = e["l_orderkey"] * 2 + e["l_linenumber"] % 2
+    reads, writes = e[e["l_returnflag"] == "R"], e[e["l_returnflag"] != "R"]
+    want = {("INPUT", str(d), kind, str(i)) for kind, c in (("OPERATION", "op"), ("RUN", "l_orderkey"), ("JOB", "o_custkey")) for d, i in zip(reads["l_suppkey"], reads[c], strict=True)}
+    want |= {("OUTPUT", str(i), kind, str(d)) for kind, c in (("OPERATION", "op"), ("RUN", "l_orderkey"), ("JOB", "o_custkey")) for d, i in zip(writes["l_suppkey"], writes[c], strict=True)}
+    for name in ("lineage_run_all", "lineage_operation_all"):
+        got = {(r.kind, r.from_id, r.to_kind if r.kind == "INPUT" else r.from_kind, r.to_id) for r in QUERIES[name](spark, SMALL).collect()}
+        assert got == want, name
+    parents = QUERIES["lineage_parent_relations_all"](spark, SMALL).collect()
+    assert len(parents) == e["op"].nunique() + e["l_orderkey"].nunique()
+
+
+def test_column_lineage_of_all_pairs_and_jobs(spark):
+    e, part = lines(), pd.read_parquet(f"{SMALL}/part.parquet")
+    e["op"] = e["l_orderkey"] * 2 + e["l_linenumber"] % 2
+    both = e[e["l_returnflag"] == "R"].merge(e[e["l_returnflag"] != "R"], on="op", suffixes=("", "_to")).merge(part, left_on="l_partkey", right_on="p_partkey")
+    target = [t if s % 3 else None for t, s in zip(both["p_type"], both["p_size"], strict=True)]
+    want = set(zip(both["l_suppkey"], both["l_suppkey_to"], both["p_brand"], target, strict=True))
+    for name in ("column_lineage_pairs_all", "column_lineage_by_job_all"):
+        assert {tuple(r)[:4] for r in QUERIES[name](spark, SMALL).collect()} == want, name
+
+
+def test_union_of_whole_tables(spark):
+    n = sum(len(pd.read_parquet(f"{SMALL}/{t}.parquet")) for t in ("supplier", "customer"))
+    assert QUERIES["union_pages_all"](spark, SMALL).count() == n

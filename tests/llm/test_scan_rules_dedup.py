@@ -202,3 +202,43 @@ def test_empty_and_null_ids(spark):
     assert simhash_dedup.near_duplicates(docs(spark, [])).count() == 0
     out = simhash_dedup.near_duplicates(docs(spark, [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, None)])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0) for r in out) == [(False, 7, 7), (False, 7, 7), (True, 0, 0), (True, 0, 7)]
+
+
+def test_near_copies_of_similarity_are_all_found(spark):
+    rnd, rows = random.Random(6), [(0, None), (1, ""), (None, "a b"), (2, "A b"), (3, "a b c")]
+    for g in range(25):
+        base = [f"w{rnd.randint(0, 5000)}" for _ in range(rnd.choice([60, 100, 248]))]
+        for n in range(4):
+            copy = list(base)
+            for _ in range(n * len(base) // 80):
+                copy[rnd.randrange(len(copy))] = f"new{rnd.random()}"
+            rows.append((100 + 10 * g + n, " ".join(copy)))
+    rows += [rows[7], (None, rows[9][1])]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                near += sets[i] != sets[j]
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r)
+    want = sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()), key=str)
+    assert near > 20
+    got = sorted((r.doc_id for r in simhash_dedup.keep_first_similar(docs(spark, rows)).collect()), key=str)
+    assert got == want
+    assert simhash_dedup.keep_first(docs(spark, rows)).count() > len(want)
+    assert simhash_dedup.keep_first_similar(docs(spark, [])).count() == 0

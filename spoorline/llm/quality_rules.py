@@ -1,8 +1,10 @@
 """Quality rules: one Spark projection compiled from a table of thresholds. No user functions, no shuffle.
 
 ``measures`` gives the counts of each text, ``verdict`` compiles the table to one boolean column.
-Defined cases: a null or empty text has no words and fails; repeated rows are judged each on its own; an
-empty table gives an empty result; other columns of the input are neither read nor kept, so their names can't clash.
+Defined cases: a null, empty or blank text has no words, so all its counts but that of symbols are zero and it fails;
+repeated rows are judged each on its own; a null id keeps its row; an empty table gives an empty result; other columns
+of the input are neither read nor kept, so their names can't clash. A text is one row whatever its length: windows of a
+text take memory in proportion to its words (16 bytes a window), in the task that reads it.
 """
 
 from __future__ import annotations
@@ -86,18 +88,18 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _repeated(F.col("w")).cast("long").alias("n_repeat_words"),
         F.size(F.filter("w", lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size("l").cast("long").alias("n_lines"),
-        F.size(F.filter("l", lambda x: x.rlike(r"^\s*[-*•]"))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter("l", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.filter("l", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("l", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
     )
 
 
 def verdict(rules=THRESHOLDS) -> Column:
-    """The table as one boolean column over the columns of ``measures``."""
+    """The table as one boolean column over the columns of ``measures``; products, so nothing is divided by zero."""
 
     def one(rule) -> Column:
         _, measure, per, lowest, highest = rule
-        ratio = F.col(measure) / F.col(per)
-        sides = ([ratio >= lowest] if lowest is not None else []) + ([ratio <= highest] if highest is not None else [])
+        sides = [F.col(measure) >= lowest * F.col(per)] if lowest is not None else []
+        sides += [F.col(measure) <= highest * F.col(per)] if highest is not None else []
         return (F.col(per) == 0) | reduce(Column.__and__, sides)
 
     return reduce(Column.__and__, map(one, rules), F.lit(True))

@@ -71,6 +71,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Bytes that a side of a join may hold, by its count of rows and the width its caller names, to be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame, width: int, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast where its rows times ``width`` bytes are within the bound; beyond, the join shuffles. ``df`` should be stored."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from there, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -14,8 +14,6 @@ between them, see ``_dense_links``. That is exact and grows with the classes, no
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -158,90 +156,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the least id stays."""
-    fps = cut(fingerprints(docs, id_col, text_col))
-    fewer = classes_of(fps, id_col).where("fp = first_fp").select(F.col("component_id").alias("_id"), F.col("fp").alias("_fp"))
-    marked = fingerprint_column(docs, text_col)
-    kept = marked.join(fewer, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_simhash") == F.col("_fp")), "left_semi")
-    return kept.dropDuplicates([id_col, "_simhash"]).drop("_simhash")
-
-
-def fingerprint_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the fingerprint as a long in ``_simhash``."""
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf(T.LongType())
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
-
-    return docs.withColumn("_simhash", run(F.col(text_col).cast("binary")))
-
-
-def shingle_set(text: bytes | None, shingle_words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles, words as in ``fingerprint``; none without words."""
-    words = (text or b"").lower().split()
-    runs = zip(*(words[i:] for i in range(shingle_words)), strict=False) if len(words) >= shingle_words else [words] * bool(words)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs), dtype=np.uint64).view(np.int64))
-
-
-def _class(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
-
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies (five-word shingles, similarity 0.8); see ``near_copies``, whose fingerprints no such pair can evade."""
+    from . import near_copies
 
-def similar_pairs(classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of ``classes`` (c, size, prefix) that may be similar enough, found by prefix filtering.
-
-    Two sets of Jaccard similarity t share one of the first size - ceil(t * size) + 1 elements of each, in any fixed order,
-    and their sizes and what follows the shared element bound the similarity; so no such pair is missed.
-    """
-    marks = classes.select("c", "size", F.posexplode("prefix").alias("i", "h"))
-    a, b = (marks.select("h", *(F.col(x).alias(f"{x}_{side}") for x in ("c", "size", "i"))) for side in "ab")
-    rest = F.least("i_a", "i_b") + F.least(F.col("size_a") - F.col("i_a"), F.col("size_b") - F.col("i_b"))  # what can be shared before this element, and from it on
-    needed = (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    return a.join(b, "h").where((F.col("c_a") < F.col("c_b")) & (rest >= needed)).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct()
-
-
-def keep_first_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies by exact Jaccard similarity: of each component the row with the least id stays.
-
-    Links are all pairs whose sets of shingles are at least so similar. Texts without words are copies of each other.
-    """
-    small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-
-    def begin(batches):
-        for pdf in batches:
-            sets = [shingle_set(t, shingle_words) for t in pdf["t"]]
-            prefix = [s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1] for s in sets]
-            yield pd.DataFrame({"id": pdf["id"], "c": [_class(s) for s in sets], "size": [len(s) for s in sets], "prefix": pd.Series(prefix, dtype=object)})
-
-    begun = texts.mapInPandas(released(begin), T.StructType([T.StructField("id", kind), T.StructField("c", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]))
-    classes = cut(begun.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("m"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
-    pairs = cut(similar_pairs(classes, similarity))
-
-    def whole(batches):
-        for pdf in batches:
-            sets = [shingle_set(t, shingle_words) for t in pdf["t"]]
-            yield pd.DataFrame({"c": [_class(s) for s in sets], "sh": pd.Series(sets, dtype=object)})
-
-    met = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    one = classes.join(met, "c", "left_semi").select("m.id", "c")  # a row that stands for its class
-    shown = texts.join(one.select(F.col("id").alias("_id")).distinct(), F.col("id").eqNullSafe(F.col("_id")), "left_semi").mapInPandas(released(whole), "c long, sh array<long>")
-    sets = cut(shown.join(met, "c", "left_semi").dropDuplicates(["c"]))
-    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("sh").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    edges = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
-
-    labels = components(edges)
-    labelled = classes.join(labels.withColumnRenamed("v", "c"), "c", "left").select("c", "m", F.coalesce("label", "c").alias("label"))
-    first = labelled.groupBy("label").agg(F.min(F.struct("m", "c")).alias("f")).select(F.col("f.m.id").alias("_id"), F.col("f.c").alias("_first"))
-
-    @F.pandas_udf(T.LongType())
-    def class_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_class(shingle_set(t, shingle_words)) for t in texts], dtype="int64")
-
-    kept = docs.withColumn("_class", class_of(F.col(text_col).cast("binary")))
-    kept = kept.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_first")), "left_semi")
-    return kept.dropDuplicates([id_col, "_class"]).drop("_class")
+    return near_copies.keep_first(docs, id_col, text_col, shingle_words, similarity)

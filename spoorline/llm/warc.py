@@ -1,9 +1,12 @@
 """WARC archives from a table of pages: a deterministic sharded writer and the reader.
 
-A shard is a range of ``ids_per_shard`` consecutive ids, so what a shard holds depends on the rows alone, not on
-partitions or samples. All rows of a shard meet in one task, sorted by id, and are written one gzip member a record;
-a file rolls when its compressed size reaches ``roll_bytes``. Headers and digests are made anew from the payload
-and no clock or random number goes into a file, so the same rows give the same bytes.
+Records are sorted by (id, digest, address), nulls last, and cut into shards at boundary keys. Which keys are
+boundaries depends on the rows alone: a hash of the key chooses some ``PER_SHARD`` keys a shard, and bytes are summed
+along them. So any partitions give the same shards, whatever the ids look like: dense, sparse, text, repeated or null.
+Rows that are the same throughout are told apart by a number, so that even they can be cut. A shard is one partition,
+sorted and written one gzip member a record; a file rolls when its compressed size reaches ``roll_bytes``. Headers and
+digests are made anew from the payload and no clock or random number goes into a file, so the same rows give the same
+bytes.
 
 Commit: every attempt of a task writes under a temporary name of its own; the rows that tell what successful
 attempts wrote are stored first, then the files get their final names (a rename that was done before is not done
@@ -14,6 +17,7 @@ URI, so the folder may be in any store that pyarrow opens; it must be shared by
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -25,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, small_batches, small_side
 
 LEAST_REVISIT = 1000
-IDS_PER_SHARD = 2048
+#: Bytes of payload in a shard, about. The driver holds a boundary key (some 100 bytes) a shard and ``PER_SHARD`` keys for it.
+SHARD_BYTES = 64 << 20
+PER_SHARD = 16
 ROLL_BYTES = 64 << 20
-#: Up to so many groups of equal payloads (of some 200 bytes) are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Bytes of archives that one task reads back, about.
+READ_BYTES = 64 << 20
 #: Fixed values of the file format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,45 +119,89 @@ def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumn("digest", F.sha1("payload"))
     groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("first"))
     groups = cut(groups.where("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")))
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    width = F.lit(100) + F.octet_length(F.col("first_id").cast("string")) + F.coalesce(F.octet_length("first_url"), F.lit(0))
+    held = groups.agg(F.sum(width)).head()[0] or 0
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    found = rows.join(groups, "digest", "left").withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
+    found = rows.join(small_side(groups, 1, held), "digest", "left").withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
     return found.select("id", "url", "payload", "digest", "kind", *(F.when(revisit, F.col(c)).alias(c) for c in ("first_id", "first_url")))
 
 
-def write(pages: DataFrame, folder: str, ids_per_shard: int = IDS_PER_SHARD, roll_bytes: int = ROLL_BYTES, **names) -> DataFrame:
+def _key(id, digest, url, seq) -> tuple:
+    return id is None, id, digest, url is None, url, seq
+
+
+def shards_of(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``seq`` and ``times`` (how many equal rows one stands for, and the number of the first), dealt out to sorted shards; how many shards."""
+    key = ["id", "digest", "url"]
+    size = (F.octet_length("payload") + 600).cast("long")  # with headers, about
+    n, total = rows.agg(F.count("*"), F.sum(size)).head()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    rows = rows.withColumn("seq", F.lit(0)).withColumn("times", F.lit(1))
+    bounds: list[tuple] = []
+    if shards > 1:
+        picked = rows.where(F.pmod(F.xxhash64(*key), F.lit(max(1, n // (shards * PER_SHARD)))) == 0)
+        picked = picked.groupBy(*key).agg(F.sum(size).alias("b")).collect()
+        picked = sorted((_key(r["id"], r["digest"], r["url"], 0), r["b"]) for r in picked)
+        each, held = max(1, sum(b for _, b in picked) / shards), 0
+        for at, b in picked:
+            if held >= each * (len(bounds) + 1):
+                bounds.append(at)
+            held += b
+        many = rows.groupBy(*key).agg(F.count("*").alias("many"), F.first(size).alias("b")).where(F.col("many") * F.col("b") > shard_bytes)
+        many = cut(many.withColumn("piece", F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / F.col("b")))))
+        told = many.collect()  # each stands for more bytes than a shard
+        if told:
+            same = rows["id"].eqNullSafe(many["id"]) & (rows["digest"] == many["digest"]) & rows["url"].eqNullSafe(many["url"])
+            one = rows.join(F.broadcast(many), same, "left_semi").dropDuplicates(key)
+            pieces = one.join(F.broadcast(many), same).select(*(one[c] for c in rows.columns if c not in ("seq", "times")), "many", "piece")
+            pieces = pieces.withColumn("seq", F.explode(F.expr("sequence(0L, many - 1, piece)")))
+            pieces = pieces.select(*(c for c in rows.columns if c not in ("seq", "times")), F.col("seq").cast("int").alias("seq"), F.least("piece", F.col("many") - F.col("seq")).cast("int").alias("times"))
+            rows = rows.join(F.broadcast(many), same, "left_anti").unionByName(pieces)
+            bounds += [_key(r["id"], r["digest"], r["url"], q) for r in told for q in range(0, r["many"], r["piece"])]
+        bounds = sorted(set(bounds))
+
+    @F.pandas_udf(T.IntegerType())
+    def place(none: pd.Series, id: pd.Series, digest: pd.Series, url: pd.Series, seq: pd.Series) -> pd.Series:
+        keys = zip(none, id, digest, url, seq, strict=True)
+        return pd.Series([bisect.bisect_right(bounds, _key(None if gone else i, d, u, q)) for gone, i, d, u, q in keys], dtype="int32")
+
+    some = next((b[1] for b in bounds if b[1] is not None), None)  # in place of null, so that long ids stay whole numbers in pandas
+    rows = rows.withColumn("shard", place(F.col("id").isNull(), F.coalesce("id", F.lit(some).cast(rows.schema["id"].dataType)), "digest", "url", "seq") if bounds else F.lit(0))
+    rows = rows.repartitionById(len(bounds) + 1, F.col("shard"))
+    return rows.sortWithinPartitions(F.asc_nulls_last("id"), "digest", F.asc_nulls_last("url"), "seq"), len(bounds) + 1
+
+
+def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, **names) -> DataFrame:
     """Writes ``pages`` as WARC files under ``folder`` (a URI) and returns the manifest.
 
     Of the records with equal payloads of at least ``least`` bytes that with the largest id is a response and the
-    others revisit it; smaller ones are all responses. Defined cases: a null payload is empty; rows that repeat the
-    largest id are all responses; a null id has a shard of its own and, beside ids that are not null, revisits; an
-    empty table writes no file and an empty manifest; other columns are not read.
+    others revisit it; smaller ones are all responses. Ids have any type that can be ordered. Defined cases: a null
+    payload is empty; rows that repeat the largest id are all responses; null ids come last and, beside ids that are
+    not null, revisit; an id or a whole row that is repeated very often is cut into shards like others; an empty table
+    writes no file and an empty manifest; a payload is one record however long; other columns are not read.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    rows = records_of(pages, **names)
-    shard = F.floor(F.col("id") / F.lit(ids_per_shard))
-    rows = rows.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "id", "digest", "url")
-    rows = rows.select("shard", F.col("id").cast("string").alias("id"), "url", "payload", "digest", "kind", F.col("first_id").cast("string").alias("first_id"), "first_url")
+    rows, _ = shards_of(records_of(pages, **names), shard_bytes)
+    rows = rows.select("shard", F.col("id").cast("string").alias("id"), "url", "payload", "digest", "kind", F.col("first_id").cast("string").alias("first_id"), "first_url", "seq", "times")
 
     def run(batches):
-        roll, at, seq, before, seen = None, object(), 0, None, 0
+        roll, at, part, before, seen = None, None, 0, None, 0
         for pdf in batches:
-            pdf = pdf.astype({"shard": "Int64"}).astype(object)
+            pdf = pdf.astype(object)
             done = []
             for row in pdf.where(pdf.notna(), None).itertuples(index=False):
-                here = "none" if row.shard is None else f"{int(row.shard):013d}"
-                if here != at:
-                    done += [roll.close()] if roll else []
-                    roll, at, seq = None, here, 0
-                if roll and roll.bytes >= roll_bytes:
-                    done.append(roll.close())
-                    roll, seq = None, seq + 1
-                roll = roll or _Roll(folder, f"pages-{at}-{seq:05d}.warc.gz")
+                at = row.shard
                 same = (row.id, row.url, row.digest)
-                seen = seen + 1 if same == before else 0
+                seen = max(row.seq, seen + 1 if same == before else 0)
                 before = same
-                roll.add(row, seen)
+                for more in range(row.times):
+                    if roll and roll.bytes >= roll_bytes:
+                        done.append(roll.close())
+                        roll, part = None, part + 1
+                    roll = roll or _Roll(folder, f"pages-{at:08d}-{part:05d}.warc.gz")
+                    roll.add(row, seen + more)
+                seen += row.times - 1
             if done:
                 yield pd.DataFrame(done, columns=[f.split()[0] for f in STAGED.split(", ")])
         if roll:
@@ -201,7 +251,7 @@ def parse(stream) -> list:
         yield fields, stream.read(int(fields["content-length"]))
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, read_bytes: int = READ_BYTES) -> DataFrame:
     """One row per response or revisit record of the files that the manifest lists, with digests checked.
 
     payload_bytes and payload_digest (lower-case hex SHA-1) are of the full payload: computed for responses, from the
@@ -240,7 +290,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if part:
                     yield pd.DataFrame(part, columns=columns)
 
-    return spark.read.parquet(f"{folder}/manifest").select("file").repartition("file").mapInPandas(run, RECORD)
+    files = spark.read.parquet(f"{folder}/manifest").select("file", "bytes")
+    n, total = files.agg(F.count("*"), F.sum("bytes")).head()
+    # dealt out by a number of tasks that follows the archives' bytes; a column's partitions would be merged by the size of the file names
+    return files.select("file").repartition(max(1, min(n, -(-(total or 0) // read_bytes)))).mapInPandas(run, RECORD)
 
 
 def write_and_read(pages: DataFrame, folder: str, id_col: str = "page_id", **options) -> DataFrame:

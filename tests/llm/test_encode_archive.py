@@ -115,7 +115,7 @@ def files(folder):
 def test_archives_give_back_what_was_written(spark, tmp_path):
     rows = pages()
     folder = f"file://{tmp_path}/a"
-    out = warc.write_and_read(frame(spark, rows), folder, ids_per_shard=64, roll_bytes=2000).collect()
+    out = warc.write_and_read(frame(spark, rows), folder, shard_bytes=40_000, roll_bytes=2000).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=str) == plain(rows)
     found = files(folder)
     assert len(found) > 4 and all(gzip.decompress(x).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") for x in found.values())
@@ -125,9 +125,33 @@ def test_archives_give_back_what_was_written(spark, tmp_path):
     assert sum(m.records for m in manifest) == len(rows)
     # other partitions and order, the same bytes
     again = f"file://{tmp_path}/b"
-    warc.write(frame(spark, rows[::-1]).repartition(5), again, ids_per_shard=64, roll_bytes=2000)
+    warc.write(frame(spark, rows[::-1]).repartition(5), again, shard_bytes=40_000, roll_bytes=2000)
     assert files(again) == found
 
 
+def test_shards_of_any_ids(spark, tmp_path):
+    rows = [(f"page/{i * 7919 % 50}", None, "s" * 300) for i in range(50)] + [(None, f"u{i}", f"{i}") for i in range(40)]
+    made = spark.createDataFrame([(*r, "d") for r in rows], "page_id string, url string, html string, kind string")
+    out = warc.write_and_read(made, f"file://{tmp_path}/a", shard_bytes=10_000, least=200).collect()
+    assert len(out) == 90 and {r.page_id for r in out} == {r[0] for r in rows}
+    assert {r.refers_to for r in out if r.record_type == "revisit"} == {max(r[0] for r in rows[:50])}
+    # sparse ids beyond 2^53 share files; a third of all rows is one row, which is cut too
+    rows = [(2**60 + i * 10**15 + 1, "u", f"{i}") for i in range(100)] + [(5, "u", "same" * 200)] * 50
+    made = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert len(files(f"file://{tmp_path}/b")) == 0
+    out = warc.write_and_read(made, f"file://{tmp_path}/b", shard_bytes=20_000).collect()
+    assert sorted(r.page_id for r in out) == sorted(r[0] for r in rows)
+    manifest = spark.read.parquet(f"{tmp_path}/b/manifest").collect()
+    assert 4 <= len(manifest) < 15 and max(m.records for m in manifest) < 60 and sum(m.first_id == m.last_id == "5" for m in manifest) >= 2
+    found = b"".join(map(gzip.decompress, files(f"file://{tmp_path}/b").values()))
+    ids = [x for x in found.split(b"\r\n") if x.startswith(b"WARC-Record-ID")]
+    assert len(ids) == len(set(ids)) == 150 + len(manifest)
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    warc.write(frame(spark, pages()), f"file://{tmp_path}/a", shard_bytes=40_000)
+    assert warc.read(spark, f"file://{tmp_path}/a", read_bytes=1000).rdd.getNumPartitions() > 4
+
+
 def test_empty_archive(spark, tmp_path):
     assert warc.write_and_read(frame(spark, []), f"file://{tmp_path}/a").count() == 0

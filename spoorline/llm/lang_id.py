@@ -11,8 +11,6 @@ fitted on about ``max_per_language`` documents of each language at most.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +23,6 @@ BINS = 1 << 16
 UNIT_WORDS = 4
 ROUNDS = 12
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 #: Letters of ASCII in lower case, bytes of other scripts as they are, all else as a gap.
 _FOLD = np.zeros(256, dtype=np.uint8)
@@ -37,8 +34,8 @@ _FOLD[65:91] = np.arange(97, 123)
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, word, text) of every trigram that is not all gap; words are numbered through the batch."""
     sizes = np.array([len(t) + 3 for t in texts], dtype=np.int64)
-    buf = _FOLD[np.frombuffer(b"\n \n".join(texts) + b"\n \n", dtype=np.uint8)]
-    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    buf = _FOLD[np.frombuffer(b"\n \n".join([b"", *texts, b""]), dtype=np.uint8)]  # gaps before the first text too, so that its place in a batch changes nothing
+    text = np.concatenate([np.zeros(3, dtype=np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)])
     wide = buf.astype(np.uint32)
     code = np.zeros(len(buf), dtype=np.uint32)
     code[2:] = wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)
@@ -87,7 +84,7 @@ def mixture(texts: list[bytes], logp: np.ndarray) -> np.ndarray:
     share, ll = em(np.full((len(doc), languages), 1 / languages), live, row, first, like)
     best = share.copy()
     for _ in range(languages - 1):
-        weakest = np.where(active[live], best[live], np.inf).argmin(axis=1)
+        weakest = languages - 1 - np.where(active[live], best[live], np.inf)[:, ::-1].argmin(axis=1)  # of equals the last by name
         mask = active[live].copy()
         mask[np.arange(len(live)), weakest] = False
         place = np.full(len(doc), -1)
@@ -153,7 +150,7 @@ def predict(docs: DataFrame, languages: list[str], logp: np.ndarray, id_col: str
         for pdf in batches:
             texts = [t or "" for t in pdf["_t"]]
             share = np.concatenate([mixture([t.encode() for t in part], logp) for part in chunks(texts)]) if languages else np.zeros((len(texts), 0))
-            known = np.array([bool(_LETTER.search(t)) for t in texts]) & (share.sum(axis=1) > 0)
+            known = np.array([any(map(str.isalpha, t)) for t in texts]) & (share.sum(axis=1) > 0)
             top = share.argmax(axis=1) if languages else np.zeros(len(texts), dtype=int)
             score = np.where(known, share.max(axis=1, initial=0), 0.0).clip(0, 1)
             shares = [{names[k]: float(row[k]) for k in np.flatnonzero(row > 0)} if ok else {} for row, ok in zip(share, known, strict=True)]

@@ -7,8 +7,10 @@ shape besides, from the counts of all words, which stay in a Spark table joined
 other, so the distribution over all tokens is exact at the cost of two short softmaxes.
 
 Training covers all documents: every partition starts from the same network and walks over its own texts, predicting
-every position (a word is never an input of its own prediction, so nothing is masked); the networks are averaged by a Spark aggregation, weighted by positions, and the next round
-starts from the average. What is gathered grows with the input (the count of every word, one network a partition);
+every position (a word is never an input of its own prediction, so nothing is masked); the networks are averaged,
+weighted by positions, and the next round starts from the average. So the network, and with it the scores, depend a
+little on how the table is dealt out to partitions: the same files and settings give the same scores but for rounding,
+another layout gives others of the same kind. What is gathered grows with the input (the count of every word, one network a partition);
 what is sent to the tasks is the vocabulary of the network and the network, both of fixed size.
 """
 
@@ -31,6 +33,7 @@ MEMBERS = 32
 REACH = 2  # words on either side
 WIDTH, HIDDEN = 16, 32
 STEP = 1024  # positions of a training step
+SUMS = 8  # tasks that add up the networks of all partitions
 BLOCK = 4096  # positions scored at a time, few enough for the caches
 
 
@@ -212,15 +215,23 @@ def train(docs: DataFrame, vocab: dict[str, int], text_col: str = "text", rounds
             if walk.seen:
                 yield pd.DataFrame({"n": [walk.seen], "v": [walk.net.flat()]})
 
-        parts = texts.mapInPandas(run, "n long, v array<float>").select("n", F.posexplode("v").alias("i", "x"))
-        mean = parts.groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x")).toPandas()  # as many rows as the network has numbers
-        if len(mean):
-            flat = np.zeros(len(mean))
-            flat[mean["i"].to_numpy()] = mean["x"]
-            network = Network.of(flat)
+        parts = texts.mapInPandas(run, "n long, v array<float>")
+        sums = parts.repartition(SUMS).mapInPandas(_added, "n long, v array<double>").collect()  # a network's numbers in each of SUMS rows
+        if sums:
+            network = Network.of(sum(np.array(r["v"]) for r in sums) / sum(r["n"] for r in sums))
     return network
 
 
+def _added(batches):
+    """The sum of the networks of a partition, each weighted by its positions; one at a time is held."""
+    n, total = 0, None
+    for pdf in batches:
+        for k, v in zip(pdf["n"], pdf["v"], strict=True):
+            n, total = n + int(k), int(k) * np.asarray(v, dtype=np.float64) + (0 if total is None else total)
+    if n:
+        yield pd.DataFrame({"n": [n], "v": [total]})
+
+
 def score_texts(texts: list[str], known: Tokens, network: Network) -> tuple[np.ndarray, np.ndarray]:
     """(number of tokens, summed log-probability) of each text."""
     stream, counts = tokens(texts, known)

@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from .common import chunks, labelled_sample, released, small_batches
 
 PASSAGE = 512
-#: Passages that are encoded at a time, which bounds memory for any length of text.
-BLOCK = 4096
+#: Passages that are encoded at a time. A text's own memory is its bytes, 8 bytes a word and its passages' codes.
+BLOCK = 1024
+#: Passages of one labelled text that the fit takes at most, evenly from the whole of it.
+MAX_PASSAGES = 2000
 CODE, GATE = 24, 12
 
 #: The kinds of bytes. Letters, digits and white space are kinds; of the signs, those that noise is made of are their own.
@@ -37,21 +39,21 @@ _WINDOW = 4
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(features of every passage, number of passages of each text). An empty text has one passage, all zero."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    counts = np.maximum(1, -(-sizes // PASSAGE))
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    counts = np.maximum(1, -(-np.array([len(t) for t in texts], dtype=np.int64) // PASSAGE))
     out = np.zeros((int(counts.sum()), WIDTH), dtype=np.float32)
-    if not len(buf):
-        return out, counts
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    at = np.arange(len(buf), dtype=np.int64) - begins[doc]
-    passage = first[doc] + at // PASSAGE
-    kind = _KIND_OF[buf]
-    pair = np.empty(len(buf), dtype=np.int64)
-    pair[0], pair[1:] = 0, kind[:-1] * N_KINDS + kind[1:]
-    pair[begins[sizes > 0]] = kind[begins[sizes > 0]] * (N_KINDS + 1)
+    short = [i for i, t in enumerate(texts) if len(t) <= BLOCK * PASSAGE]
+    first = np.cumsum(counts) - counts
+    if short:
+        rows = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in short])
+        out[rows] = _encode([texts[i] for i in short], counts[short])
+    for i in set(range(len(texts))).difference(short):
+        _encode_long(texts[i], out[first[i] : first[i] + counts[i]])
+    np.sqrt(out, out=out)  # shares near zero tell most
+    return out, counts
+
+
+def _shares(out: np.ndarray, kind: np.ndarray, pair: np.ndarray, passage: np.ndarray) -> None:
+    """Fills in the shares of kinds and of neighbours, ``BLOCK`` passages at a time."""
     n = np.bincount(passage, minlength=len(out)).clip(1)
     for lo in range(0, len(out), BLOCK):
         a, b = np.searchsorted(passage, [lo, lo + BLOCK])
@@ -60,27 +62,83 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[lo : lo + m, :N_KINDS] = np.bincount(local * N_KINDS + kind[a:b], minlength=m * N_KINDS).reshape(m, -1)
         out[lo : lo + m, N_KINDS : N_KINDS * (N_KINDS + 1)] = np.bincount(local * N_KINDS**2 + pair[a:b], minlength=m * N_KINDS**2).reshape(m, -1)
     out[:, :-3] /= n[:, None]
-    out[:, -3:] = _seen_before(buf, kind, doc, passage, len(out))
-    np.sqrt(out, out=out)  # shares near zero tell most
-    return out, counts
 
 
-def _seen_before(buf: np.ndarray, kind: np.ndarray, doc: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
-    """Of each passage: the share of words, and of 4-word windows, that the document had before; the mean word length / 64."""
+def _encode(texts: list[bytes], counts: np.ndarray) -> np.ndarray:
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    out = np.zeros((int(counts.sum()), WIDTH), dtype=np.float32)
+    if not len(buf):
+        return out
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    passage = (np.cumsum(counts) - counts)[doc] + (np.arange(len(buf), dtype=np.int64) - begins[doc]) // PASSAGE
+    kind = _KIND_OF[buf]
+    pair = np.empty(len(buf), dtype=np.int64)
+    pair[0], pair[1:] = 0, kind[:-1] * N_KINDS + kind[1:]
+    pair[begins[sizes > 0]] = kind[begins[sizes > 0]] * (N_KINDS + 1)
+    _shares(out, kind, pair, passage)
     gap = (kind == 3) | (kind == 4)
     edge = np.empty(len(buf), dtype=bool)
     edge[0], edge[1:] = True, gap[:-1] | (doc[1:] != doc[:-1])
     start = np.flatnonzero(edge & ~gap)
+    if len(start):
+        word = np.cumsum(edge & ~gap) - 1
+        inside = np.flatnonzero(~gap)
+        hashes = np.add.reduceat(_values(buf[inside], inside - start[word[inside]]), np.searchsorted(inside, start))
+        out[:, -3:] = _seen_before(hashes, doc[start], passage[start], np.bincount(passage[inside], minlength=len(out)), len(out))
+    return out
+
+
+def _encode_long(text: bytes, out: np.ndarray) -> None:
+    """``_encode`` for one long text, a block of passages after the other, so that no array has more numbers than a block has bytes."""
+    buf = np.frombuffer(text, dtype=np.uint8)
+    hashes: list[np.ndarray] = []
+    begun: list[np.ndarray] = []
+    letters = np.zeros(len(out), dtype=np.int64)
+    before, run = -1, 0  # the kind before this block, and how much of a word that is not yet over was seen
+    for lo in range(0, len(out), BLOCK):
+        part = buf[lo * PASSAGE : (lo + BLOCK) * PASSAGE]
+        kind = _KIND_OF[part]
+        passage = np.arange(len(part)) // PASSAGE
+        pair = np.empty(len(part), dtype=np.int64)
+        pair[0], pair[1:] = (kind[0] if before < 0 else before) * N_KINDS + kind[0], kind[:-1] * N_KINDS + kind[1:]
+        here = out[lo : lo + BLOCK]
+        _shares(here, kind, pair, passage)
+        gap = (kind == 3) | (kind == 4)
+        edge = np.empty(len(part), dtype=bool)
+        edge[0], edge[1:] = before < 0 or before in (3, 4), gap[:-1]
+        start = np.flatnonzero(edge & ~gap)
+        inside = np.flatnonzero(~gap)
+        letters[lo : lo + BLOCK] = np.bincount(passage[inside], minlength=len(here))
+        head = int(start[0]) if len(start) else len(part)
+        rest = int(np.searchsorted(inside, head))  # of the word that was under way
+        if run and rest:
+            hashes[-1][-1:] += _values(part[inside[:rest]], run + inside[:rest]).sum(dtype=np.uint64, keepdims=True)
+        if len(start):
+            word = np.cumsum(edge & ~gap) - 1
+            own = inside[rest:]
+            hashes.append(np.add.reduceat(_values(part[own], own - start[word[own]]), np.searchsorted(own, start)))
+            begun.append((passage[start] + lo).astype(np.int32))
+        run = 0 if gap[-1] else (len(part) - int(start[-1]) if len(start) else run + len(part))
+        before = int(kind[-1])
+    if hashes:
+        words = np.concatenate(hashes)
+        out[:, -3:] = _seen_before(words, np.zeros(len(words), dtype=np.int32), np.concatenate(begun), letters, len(out))
+
+
+def _values(signs: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What each sign adds to the hash of its word."""
+    return (signs.astype(np.uint64) + np.uint64(1)) * _MIX[place & 63]
+
+
+def _seen_before(hashes: np.ndarray, d: np.ndarray, p: np.ndarray, letters: np.ndarray, n: int) -> np.ndarray:
+    """Of each passage: the share of words, and of 4-word windows, that the document had before; the mean word length / 64.
+
+    Of each word: its hash, document and passage; ``letters`` are the signs of words of each passage.
+    """
+    hashes = hashes ^ (hashes >> np.uint64(29))
     out = np.zeros((n, 3), dtype=np.float32)
-    if not len(start):
-        return out
-    word = np.cumsum(edge & ~gap) - 1
-    inside = np.flatnonzero(~gap)
-    place = (inside - start[word[inside]]) & 63
-    value = (buf[inside].astype(np.uint64) + np.uint64(1)) * _MIX[place]
-    hashes = np.add.reduceat(value, np.searchsorted(inside, start))
-    hashes ^= hashes >> np.uint64(29)
-    d, p = doc[start], passage[start]
     windows = hashes * _MIX[0]
     for k in range(1, _WINDOW):
         windows[:-k] += hashes[k:] * _MIX[k]
@@ -90,7 +148,7 @@ def _seen_before(buf: np.ndarray, kind: np.ndarray, doc: np.ndarray, passage: np
         repeated = np.ones(len(key), dtype=bool)
         repeated[np.unique(key, return_index=True)[1]] = False
         out[:, col] = np.bincount(p, weights=repeated, minlength=n) / words
-    out[:, 2] = np.bincount(passage[inside], minlength=n) / words / 64
+    out[:, 2] = letters / words / 64
     return out.clip(0, 1)
 
 
@@ -113,6 +171,20 @@ def score(w: dict, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return p.astype(np.float64), np.maximum.reduceat(weight, first).astype(np.float64)
 
 
+def gradients(w: dict, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean cross-entropy of bags ``counts`` of passages ``x`` with labels ``y``."""
+    first = np.cumsum(counts) - counts
+    h, t, s, weight, z, p = _forward(w, x, first, counts)
+    g = ((p - y) / len(y)).astype(x.dtype)
+    gz = np.repeat(g[:, None] * w["c"], counts, axis=0)
+    ga = (gz * h).sum(1)
+    graw = weight * (ga - np.repeat(np.add.reduceat(weight * ga, first), counts))
+    gt, gs = graw[:, None] * w["a"] * s * (1 - t * t), graw[:, None] * w["a"] * t * s * (1 - s)
+    pre = (gz * weight[:, None] + gt @ w["V"].T + gs @ w["U"].T) * (1 - h * h)
+    scaled = (x - w["mean"]) * w["scale"]
+    return {"E": scaled.T @ pre, "e": pre.sum(0), "V": h.T @ gt, "U": h.T @ gs, "a": (t * s).T @ graw, "c": z.T @ g, "d": g.sum(keepdims=True)}
+
+
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 30, seed: int = 0) -> dict:
     """The network, by Adam on the cross-entropy of document labels. With one label only, that label's share is the score."""
     rng = np.random.default_rng(seed)
@@ -131,20 +203,7 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 30, seed
     for epoch in range(epochs):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
             rows = np.concatenate([np.arange(start[i], start[i + 1]) for i in part])
-            n = counts[part]
-            first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            xb = x[rows]
-            h, t, s, weight, z, p = _forward(w, xb, first, n)
-            g = ((p - y[part]) / len(part)).astype(np.float32)
-            gz = np.repeat(g[:, None] * w["c"], n, axis=0)
-            gh = gz * weight[:, None]
-            ga = (gz * h).sum(1)
-            graw = weight * (ga - np.repeat(np.add.reduceat(weight * ga, first), n))
-            gt, gs = graw[:, None] * w["a"] * s * (1 - t * t), graw[:, None] * w["a"] * t * s * (1 - s)
-            gh += gt @ w["V"].T + gs @ w["U"].T
-            pre = gh * (1 - h * h)
-            scaled = (xb - w["mean"]) * w["scale"]
-            grads = {"E": scaled.T @ pre, "e": pre.sum(0), "V": h.T @ gt, "U": h.T @ gs, "a": (t * s).T @ graw, "c": z.T @ g, "d": g.sum(keepdims=True)}
+            grads = gradients(w, x[rows], counts[part], y[part])
             step += 1
             rate = 0.003 * (1 - epoch / epochs) + 1e-4
             for k in learned:
@@ -155,16 +214,23 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 30, seed
     return w
 
 
+def _bags(texts: list[bytes]) -> list[np.ndarray]:
+    """The passages of each text for the fit: all, or of a long text ``MAX_PASSAGES`` evenly from its whole length."""
+    x, counts = encode(texts)
+    parts = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
+    return [b if len(b) <= MAX_PASSAGES else b[np.linspace(0, len(b) - 1, MAX_PASSAGES).astype(np.int64)] for b in parts]
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 4000) -> dict:
-    """The network, fitted on at most about ``max_labelled`` rows of ``labels`` for which ``usable`` holds."""
+    """The network, fitted on at most about ``max_labelled`` rows of ``labels`` for which ``usable`` holds, so what comes to the driver is bounded."""
     sample = labelled_sample(labels, id_col, label_col, usable, max_labelled)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).join(F.broadcast(sample), "_id").select("_id", "_t", "_y")
     small_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            x, counts = map(np.concatenate, zip(*map(encode, chunks(pdf["_t"].tolist())), strict=True))
-            yield pd.DataFrame({"id": pdf["_id"].astype(str), "y": pdf["_y"], "n": counts, "x": [b.tobytes() for b in np.split(x.astype(np.float16), np.cumsum(counts)[:-1])]})
+            bags = [bag for part in chunks(pdf["_t"].tolist()) for bag in _bags(part)]
+            yield pd.DataFrame({"id": pdf["_id"].astype(str), "y": pdf["_y"], "n": [len(b) for b in bags], "x": [b.tobytes() for b in bags]})
 
     got = rows.mapInPandas(run, "id string, y int, n long, x binary").toPandas().sort_values(["id", "n"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32)
@@ -175,7 +241,8 @@ def classify(docs: DataFrame, network: dict, id_col: str = "doc_id", text_col: s
     """(id, score, attention): one row per input row; score is the probability of label 1, attention the largest weight of a passage.
 
     Defined cases: null and empty texts are one passage without anything in it and get its score; repeated rows give
-    a row each; an empty table gives an empty result; other columns are neither read nor kept.
+    a row each; an empty table gives an empty result; other columns are neither read nor kept. A text is scored whole:
+    a passage's codes (some 850 bytes) for each 512 bytes of it, besides what ``encode`` holds.
     """
     small_batches(docs.sparkSession)
     fields = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("attention", T.DoubleType())])

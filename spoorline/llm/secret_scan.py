@@ -3,7 +3,8 @@
 Three base kinds (assign, access, hex) are reported by themselves. Weaker parts (short access identifiers and user
 names, short or bare secrets, endpoints) are common in clean text, so they are reported only where a complementary
 part lies in the same scope (the text between blank lines), or within ``gap`` characters of it where the caller
-names a gap: an interval join of weak parts with parts of the complementary roles. The join runs for a whole Arrow batch at once: both sides are
+names a gap: an interval join of weak parts with parts of the complementary roles. A bare hex run may be a commit or a
+digest and completes nothing; a short secret counts only if it has a letter, a digit and six characters. The join runs for a whole Arrow batch at once: both sides are
 laid on one line by (row, scope) and place, and sorted searches find the nearest partner, so a text with
 thousands of parts makes no pairs.
 """
@@ -35,8 +36,10 @@ BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 #: Role of each kind, and the roles that complete it.
-ID, SECRET, ENDPOINT = range(3)
-ROLE = np.array([SECRET, ID, SECRET, ID, SECRET, ENDPOINT])
+ID, SECRET, ENDPOINT, NONE = range(4)
+ROLE = np.array([SECRET, ID, NONE, ID, SECRET, ENDPOINT])
+#: What a short secret must look like.
+SENSIBLE = re.compile(r"(?=.*[A-Za-z])(?=.*\d).{6,}")
 COMPLETES = {ID: (SECRET,), SECRET: (ID, ENDPOINT), ENDPOINT: (SECRET,)}
 BASE = 3
 
@@ -46,7 +49,10 @@ def parts_of(text: str) -> list[tuple[int, int, int]]:
     found, weak = [], []
     if ":" in text or "=" in text:
         for m in ASSIGN.finditer(text):
-            (found if len(m[2]) >= ASSIGN_LEAST else weak).append((0 if len(m[2]) >= ASSIGN_LEAST else 4, *m.span()))
+            if len(m[2]) >= ASSIGN_LEAST:
+                found.append((0, *m.span()))
+            elif SENSIBLE.fullmatch(m[2]):
+                weak.append((4, *m.span()))
         weak += [(3, *m.span()) for m in NAME.finditer(text)]
     if "AKIA" in text:
         for m in ACCESS.finditer(text):

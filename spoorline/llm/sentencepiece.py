@@ -9,6 +9,11 @@ right path, the one its merges give: a candidate scores 0 where the merge order
 before it, else minus infinity. Merges happen in the order of their ranks, so whether two pieces stay apart can be
 told from the two alone, by undoing their merges and asking whether a merge over the border would have come first.
 Characters that no piece has become byte pieces.
+
+A long word (text without spaces) is cut where two characters meet that no piece holds side by side. What is still long
+is, for BPE, cut into overlapping blocks of one length, which advance together too; two neighbours are set together at
+a place where both paths have a border and the pieces about it stay apart. Since a path is right exactly if all its
+neighbours stay apart, one look at the whole path proves it; one that fails is made again in one go.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 20  # bits of the table that remembers pairs
 _FILTER = 22  # bits of the table that tells most substrings from pieces
 _NONE = np.zeros(0, dtype=np.int64)
+#: Characters of a word that is encoded in one go, and by which blocks of longer ones overlap on either side.
+LONG, OVERLAP = 512, 64
 #: Words of earlier batches that an encoder keeps with their pieces.
 REMEMBERED = 200_000
 
@@ -119,6 +126,9 @@ class Model:
         inner = [self.pieces[i] for i in ids]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or ("\n" in p and len(p) > 1) for p in inner):
             raise ValueError("pieces that hold white space after other characters are not read")
+        pairs = {(ord(a) << 32) | ord(b) for p in inner for a, b in zip(p, p[1:], strict=False)}
+        self.beside = np.array(sorted(pairs), dtype=np.uint64)  # characters that some piece holds side by side
+        self.sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
         self.words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
     def _merges(self, ids: list[int]) -> list[int]:
@@ -274,12 +284,79 @@ class Encoder:
             rows = rows[at[rows] > 0]
         return out.T[(np.arange(size)[:, None] >= size - count).T], count
 
+    def _paths(self, words: list[str]) -> list[np.ndarray]:
+        """``group`` for words of one length, in portions that bound memory: the ids of each."""
+        room, out = max(1, 2_000_000 // (len(words[0]) * min(len(words[0]), self.m.longest))), []
+        for at in range(0, len(words), room):
+            flat, n = self.group(words[at : at + room])
+            out += np.split(flat, np.cumsum(n)[:-1])
+        return out
+
+    def _long(self, word: str) -> np.ndarray:
+        """The ids of a long word, as ``group`` has them: cut at sure places, each distinct part encoded once."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        pair = (codes[:-1] << np.uint64(32)) | codes[1:]
+        at = np.minimum(np.searchsorted(self.m.beside, pair), max(len(self.m.beside) - 1, 0))
+        sure = np.flatnonzero(self.m.beside[at] != pair) + 1 if len(self.m.beside) else np.arange(1, len(word))
+        edges = [0, *sure.tolist(), len(word)]
+        cut = [word[a:b] for a, b in itertools.pairwise(edges)]
+        groups: dict[int, list[str]] = {}
+        for part in dict.fromkeys(cut):
+            groups.setdefault(len(part), []).append(part)
+        known: dict[str, np.ndarray] = {}
+        for size, members in groups.items():
+            found = self._paths(members) if size <= LONG or self.m.kind != BPE else map(self._blocks, members)
+            known |= zip(members, found, strict=True)
+        return np.concatenate([known[part] for part in cut])
+
+    def _blocks(self, word: str) -> np.ndarray:
+        """The ids of a word without sure places, by overlapping blocks."""
+        n = len(word)
+        spans = [(max(0, lo - OVERLAP), min(n, lo + LONG + OVERLAP)) for lo in range(0, n, LONG)]
+        paths: dict[int, np.ndarray] = {}
+        by_size: dict[int, list[int]] = {}
+        for k, (a, b) in enumerate(spans):
+            by_size.setdefault(b - a, []).append(k)
+        for members in by_size.values():
+            paths |= zip(members, self._paths([word[slice(*spans[k])] for k in members]), strict=True)
+
+        def borders(ids: np.ndarray, begin: int) -> np.ndarray:
+            return begin + np.concatenate([[0], np.cumsum(np.where(ids < 0, 1, self.m.sizes[np.maximum(ids, 0)]))])
+
+        done, ids, here = [], paths[0], borders(paths[0], 0)  # the path so far, of which ``ids`` may still change at its end
+        for k in range(1, len(spans)):
+            after = paths[k]
+            there = borders(after, spans[k][0])
+            joint = None
+            for again in (False, True):
+                if again:  # from a border of the path so far
+                    begin = int(here[here <= k * LONG][-1])
+                    after = self._paths([word[begin : spans[k][1]]])[0]
+                    there = borders(after, begin)
+                common = np.intersect1d(here[1:], there[:-1])
+                for p in sorted(common.tolist(), key=lambda p: abs(p - k * LONG)):
+                    i, j = int(np.searchsorted(here, p)), int(np.searchsorted(there, p))
+                    if ids[i - 1] < 0 or after[j] < 0 or self._apart(ids[i - 1 : i], after[j : j + 1])[0]:
+                        joint = i, j
+                        break
+                if joint:
+                    break
+            if not joint:
+                return self._paths([word])[0]
+            done.append(ids[: joint[0]])
+            ids, here = after[joint[1] :], there[joint[1] :]
+        out = np.concatenate([*done, ids])
+        inner = np.flatnonzero((out[:-1] >= 0) & (out[1:] >= 0))
+        right = borders(out, 0)[-1] == n and all(self._apart(out[part], out[part + 1]).all() for part in np.array_split(inner, 1 + len(inner) // 100_000))
+        return out if right else self._paths([word])[0]
+
     def _learn(self, words: list[str]) -> None:
         """Encodes words that were not met before and adds them to what is remembered."""
         m = self.m
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            groups.setdefault(len(w), []).append(i)
+            if len(w) <= LONG:
+                groups.setdefault(len(w), []).append(i)
         count, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
         parts, size_so_far = [self.flat], len(self.flat)
         for size, members in sorted(groups.items()):
@@ -292,6 +369,13 @@ class Encoder:
                 count[part], start[part] = n, size_so_far + np.cumsum(n) - n
                 parts.append(flat.astype(np.int32))
                 size_so_far += len(flat)
+        for i in (i for i, w in enumerate(words) if len(w) > LONG):
+            flat = self._long(words[i])
+            if (flat < 0).any():
+                flat, _ = self._bytes(flat, np.array([len(flat)]))
+            count[i], start[i] = len(flat), size_so_far
+            parts.append(flat.astype(np.int32))
+            size_so_far += len(flat)
         self.flat = np.concatenate(parts)
         self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
 

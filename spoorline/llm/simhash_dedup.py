@@ -3,13 +3,15 @@
 A fingerprint has 64 bits in a ring of four 16-bit segments. If two fingerprints differ in at most 3 bits, then by
 the pigeonring principle some chain of consecutive segments, from some start, keeps every cumulative difference
 within its proportional budget: after k segments at most k * 3 / 4 bits, so 0 after one, 1 after two, 2 after
-three. The first two segments of such a chain are an equality key once one side lists the 17 values within one bit
-of its second segment, so candidates come from an equi-join; the third segment's budget prunes them, and the full
-Hamming distance decides.
+three. The first two segments of such a chain are an equality key once the side whose differing bit is clear lists the
+values with one more bit of its second segment set, so candidates come from an equi-join; the third segment's budget
+prunes them, and the full Hamming distance decides.
 
 Rows with equal fingerprints are one class before anything is joined. A key that more than ``pair_limit`` classes
 share (a large group of near copies) is not joined pair by pair: its classes are linked through the values
-between them, see ``_dense_links``. That is exact and grows with the classes, not with their square.
+between them, see ``_dense_links``. That is exact and grows with the classes, not with their square. A key has 32 bits
+in one of four places and a class probes 9 of them on average, so evenly spread fingerprints crowd keys only beyond
+2e11 classes; from there on a wider key (more segments) is the better choice.
 """
 
 from __future__ import annotations
@@ -76,13 +78,14 @@ def _key(i, first: Column, second: Column) -> Column:
 def links(classes: DataFrame, pair_limit: int = 512) -> DataFrame:
     """(a, b): links between distinct fingerprints (column ``fp``) at most 3 bits apart, enough to connect every such pair.
 
-    A key that at most ``pair_limit`` classes probe gives all its links. A pair is missed there only if the keys of
-    both its sides are denser, and ``_dense_links`` links all classes with such keys.
+    A key that at most ``pair_limit`` classes probe gives all its links. A pair is missed there only if the key that
+    one side has and the other probes is denser, and ``_dense_links`` links all classes that probe such keys.
     """
-    flips = [0] + [1 << b for b in range(WIDTH)]
-    own = [F.struct(F.lit(i).alias("i"), _key(i, _segment(F.col("fp"), i), _segment(F.col("fp"), i + 1)).alias("key")) for i in range(SEGMENTS)]
-    index = classes.select("fp", F.explode(F.array(*own)).alias("x")).select("fp", "x.i", "x.key")
-    probe = index.select(F.col("fp").alias("other"), F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    key = lambda i: _key(i, _segment(F.col("fp"), i), _segment(F.col("fp"), i + 1))
+    index = classes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), key(i).alias("key")) for i in range(SEGMENTS)))).alias("x")).select("fp", "x.i", "x.key")
+    clear = F.filter(F.array(*(F.lit(1 << b).cast("long") for b in range(WIDTH))), lambda m: F.col("key").bitwiseAND(m) == 0)
+    values = F.concat(F.array("key"), F.transform(clear, lambda m: F.col("key").bitwiseOR(m)))
+    probe = index.select(F.col("fp").alias("other"), F.explode(values).alias("key"))
     dense = probe.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > pair_limit).select("key")
     dense = cut(index.select("key").distinct().join(dense, "key", "left_semi"))
     pairs = probe.join(index.join(dense, "key", "left_anti"), "key").where(F.col("fp") != F.col("other"))
@@ -93,7 +96,7 @@ def links(classes: DataFrame, pair_limit: int = 512) -> DataFrame:
 
     pairs = pairs.where(apart(1) + apart(2) <= 2).where(_distance(F.col("fp"), F.col("other")) <= RADIUS)
     pairs = pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    crowded = index.join(dense, "key", "left_semi").select("fp").distinct()
+    crowded = probe.join(dense, "key", "left_semi").select(F.col("other").alias("fp")).distinct()
     return pairs.unionByName(_dense_links(crowded)).distinct()
 
 
@@ -149,7 +152,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the least id reachable over links of at most 3 bits. Defined cases: null and empty texts
     have fingerprint zero and are linked like any other; repeated rows are one class; a null id never is the least
     one, and its row has the component of its text; an empty table gives an empty result; other columns are
-    neither read nor kept.
+    neither read nor kept; a text is read whole, however long, in memory of about ten times its size.
     """
     fps = cut(fingerprints(docs, id_col, text_col))
     found = fps.join(classes_of(fps, id_col), "fp")

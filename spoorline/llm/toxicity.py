@@ -3,8 +3,8 @@
 The lexicon is learned: words and word beginnings that toxic documents of the labelled sample have far more often
 than others, counted by document with Spark. A text becomes a few dense numbers: lexicon densities, how near lexicon
 words stand to a second person, capitals, punctuation and obfuscation rates. Trees are fitted on the driver on a
-bounded sample of labelled rows (``max_labelled``); calibration uses scores of folds that a fit did not see. What is
-sent to the tasks is bounded by ``max_terms`` and the number of trees.
+bounded sample of labelled rows (``max_labelled``); calibration uses scores of folds that neither the lexicon nor the
+trees behind them have seen. What is sent to the tasks is bounded by ``max_terms`` and the number of trees.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, small_batches
+from .common import cut, labelled_sample, small_batches
 
 #: Words for the second person in the four languages of the tables.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
@@ -33,6 +33,7 @@ _MIXED = re.compile(r"[^\W\d_][\d@$*!_.\-]+[^\W\d_]")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-]){3,}[^\W\d_](?!\S)")
 BEGINNINGS = (5, 6)
 NEAR = 6  # words
+FOLDS = 4
 
 FEATURES = (
     "log_words", "word_weight", "word_hits", "word_distinct", "word_most", "begin_weight", "begin_hits", "begin_distinct",
@@ -182,58 +183,73 @@ class Scorer:
         return (0.99 * np.interp(raw, self.at, self.share) + 0.01 / (1 + np.exp(-raw))).clip(0, 1)
 
 
-def fit(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, folds: int = 4) -> Scorer:
-    """Trees on all rows; calibration on scores that each fold gets from trees fitted on the others."""
-    if len(y) < 2 * folds or y.min() == y.max():
+def fit(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, fold: np.ndarray) -> Scorer:
+    """Trees on all rows; calibration on scores that each fold gets from what the others taught.
+
+    ``x`` is (row, 1 + FOLDS, feature): features by the lexicon of all rows, then by the lexicon learned without each
+    fold. So a row's label is in neither the lexicon nor the trees that give the score it is calibrated with.
+    """
+    if len(y) < 2 * FOLDS or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        trees = Trees().fit(x.reshape(-1, len(FEATURES)), y, rounds=0)
+        trees = Trees().fit(x[:, 0], y, rounds=0)
         return Scorer(lexicon, trees, np.array([0.0]), np.array([share]))
-    trees = Trees().fit(x, y)
-    fold = np.empty(len(y), dtype=np.int64)
-    for label in (0, 1):  # every fold gets its part of either label
-        rows = np.flatnonzero(y == label)
-        fold[rows] = np.arange(len(rows)) % folds
     unseen = np.empty(len(y))
-    for k in range(folds):
-        unseen[fold == k] = Trees().fit(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Scorer(lexicon, trees, *isotonic(unseen, y))
+    for k in range(FOLDS):
+        out = fold == k
+        unseen[out] = Trees().fit(x[~out, 1 + k], y[~out]).raw(x[out, 1 + k])
+    return Scorer(lexicon, Trees().fit(x[:, 0], y), *isotonic(unseen, y))
+
 
+def learn_lexicons(sample: DataFrame, max_terms: int = 4000, least_documents: int = 4, least_odds: float = 1.5) -> list[Lexicon]:
+    """Terms of toxic documents: in ``least_documents`` of them and, in log-odds, ``least_odds`` likelier there.
 
-def learn_lexicon(sample: DataFrame, max_terms: int = 4000, least_documents: int = 4, least_odds: float = 1.5) -> Lexicon:
-    """Terms of toxic documents: in ``least_documents`` of them and, in log-odds, ``least_odds`` likelier there. ``sample`` has _t and _y."""
-    totals = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}  # two rows
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    The first lexicon is of all rows of ``sample`` (_t, _y, _fold), the others leave one fold out each. Terms are
+    counted once, by fold.
+    """
+    totals = {(r["_y"], r["_fold"]): r["count"] for r in sample.groupBy("_y", "_fold").count().collect()}  # 2 * FOLDS rows
 
     def run(batches):
         for pdf in batches:
-            for y, part in pdf.groupby("_y"):
+            for (y, fold), part in pdf.groupby(["_y", "_fold"]):
                 count: dict[str, int] = {}
                 for t in part["_t"]:
                     for term in terms_of(t):
                         count[term] = count.get(term, 0) + 1
-                yield pd.DataFrame({"term": list(count), "y": int(y), "n": list(count.values())})
-
-    counts = sample.select("_t", "_y").mapInPandas(run, "term string, y int, n long")
-    by_term = counts.groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n1 - F.col("toxic") + 0.5)) - F.log((F.col("clean") + 0.5) / (n0 - F.col("clean") + 0.5))
-    top = by_term.where(F.col("toxic") >= least_documents).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    rows = top.orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(max_terms).collect()
-    return Lexicon({r["term"]: r["odds"] for r in rows if r["term"][0] != "^"}, {r["term"][1:]: r["odds"] for r in rows if r["term"][0] == "^"})
+                yield pd.DataFrame({"term": list(count), "y": int(y), "fold": int(fold), "n": list(count.values())})
+
+    counts = sample.select("_t", "_y", "_fold").mapInPandas(run, "term string, y int, fold int, n long")
+
+    def seen(y: int, without: int) -> Column:
+        return F.sum(F.when((F.col("y") == y) & (F.col("fold") != without), F.col("n")).otherwise(0))
+
+    by_term = counts.groupBy("term").agg(*(seen(y, k).alias(f"n{y}_{k}") for y in (0, 1) for k in range(-1, FOLDS)))
+    by_term = cut(by_term.where(F.col("n1_-1") >= least_documents))
+    out = []
+    for k in range(-1, FOLDS):
+        n1, n0 = (sum(n for (v, f), n in totals.items() if v == y and f != k) for y in (1, 0))
+        toxic, clean = F.col(f"n1_{k}"), F.col(f"n0_{k}")
+        odds = F.log((toxic + 0.5) / (n1 - toxic + 0.5)) - F.log((clean + 0.5) / (n0 - clean + 0.5))
+        top = by_term.select("term", toxic.alias("toxic"), odds.alias("odds")).where((F.col("toxic") >= least_documents) & (F.col("odds") >= least_odds))
+        rows = top.orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(max_terms).collect()
+        out.append(Lexicon({r["term"]: r["odds"] for r in rows if r["term"][0] != "^"}, {r["term"][1:]: r["odds"] for r in rows if r["term"][0] == "^"}))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 12000) -> Scorer:
     """The scorer, fitted on at most about ``max_labelled`` rows of ``labels`` for which ``usable`` holds."""
     small_batches(docs.sparkSession)
     sample = labelled_sample(labels, id_col, label_col, usable, max_labelled)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(sample), "_id").select("_id", "_t", "_y")
-    lexicon = learn_lexicon(rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(sample), "_id")
+    rows = rows.select("_id", "_t", "_y", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("_fold"))
+    lexicons = learn_lexicons(rows)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["_id"].astype(str), "y": pdf["_y"], "x": [features(t, lexicon) for t in pdf["_t"]]})
+            yield pd.DataFrame({"id": pdf["_id"].astype(str), "y": pdf["_y"], "fold": pdf["_fold"], "x": [[v for lexicon in lexicons for v in features(t, lexicon)] for t in pdf["_t"]]})
 
-    got = rows.mapInPandas(run, "id string, y int, x array<double>").toPandas().sort_values("id", kind="stable")
-    return fit(np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)), got["y"].to_numpy(dtype=np.int64), lexicon)
+    got = rows.mapInPandas(run, "id string, y int, fold int, x array<double>").toPandas().sort_values("id", kind="stable")
+    x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), 1 + FOLDS, len(FEATURES))
+    return fit(x, got["y"].to_numpy(dtype=np.int64), lexicons[0], got["fold"].to_numpy())
 
 
 def predict(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,30 @@ def test_bpe_ids_equal_the_library(model_bytes):
     assert [encoder.decode(x) for x in encoder.encode(texts())] == [t.replace("▁", " ") for t in texts()]
 
 
+def long_words():
+    rnd = random.Random(7)
+    letters = "etaoinshrdlcumwfgypbvkjxqz"
+    out = ["".join(rnd.choice(letters[: rnd.randint(2, 26)]) for _ in range(n)) for n in (513, 700, 1100, 5000, 30_000)]
+    out += ["abc" * 2000, "a" * 4097, "xyzzy" * 1500, "the" * 3000 + "é" + "ing" * 1000, "".join(rnd.choice("一二三漢字かな") for _ in range(20_000)), "".join(rnd.choice("abC01+/") for _ in range(9000))]
+    return [*out, "start " + "q" * 1500 + " end"]
+
+
+def test_long_words_equal_the_library(model_bytes):
+    encoder = sentencepiece.Encoder(sentencepiece.Model(model_bytes))
+    tool = library.SentencePieceProcessor(model_proto=model_bytes)
+    for text in long_words():
+        assert encoder.encode([text])[0].tolist() == tool.encode(text), text[:30]
+
+
+def test_a_text_of_two_megabytes_without_spaces(model_bytes):
+    encoder = sentencepiece.Encoder(sentencepiece.Model(model_bytes))
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("etaoinshrdlcumwfgypbvkjxqz漢") for _ in range(2_000_000))
+    ids = encoder.encode([text])[0]
+    assert encoder.decode(ids) == text
+    assert ids[:3000].tolist() == library.SentencePieceProcessor(model_proto=model_bytes).encode(text[:20_000])[:3000]
+
+
 def as_unigram(proto):
     """The model with its type set to unigram and distinct scores."""
     at = proto.index(b"\x12", 0)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,9 +78,67 @@ def test_quality_passages_cover_the_text():
 
 def test_quality_gradient_by_differences():
     rng = np.random.default_rng(0)
-    x, counts, y = rng.random((40, 12)).astype(np.float32), np.array([5, 1, 14, 20]), np.array([1, 0, 1, 0])
-    w = quality_mil.fit(x, counts, y, epochs=1)
-    assert set(w) >= {"E", "V", "U", "a", "c"} and quality_mil.fit(x, counts, np.ones(4, int))["c"].any() == np.False_
+    x, counts, y = rng.random((40, 12)), np.array([5, 1, 14, 20]), np.array([1, 0, 1, 0])
+    w = {k: v.astype(np.float64) for k, v in quality_mil.fit(x.astype(np.float32), counts, y, epochs=3).items()}
+    first = np.cumsum(counts) - counts
+
+    def loss():
+        p = quality_mil._forward(w, x, first, counts)[-1]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grads = quality_mil.gradients(w, x, counts, y)
+    for k in ("E", "e", "V", "U", "a", "c", "d"):
+        for _ in range(6):
+            at, e = tuple(rng.integers(n) for n in w[k].shape), 1e-6
+            was = w[k][at]
+            w[k][at] = was + e
+            up = loss()
+            w[k][at] = was - e
+            down = loss()
+            w[k][at] = was
+            assert abs((up - down) / (2 * e) - grads[k][at]) < 1e-6, k
+    assert quality_mil.fit(x, counts, np.ones(4, int))["c"].any() == np.False_
+
+
+def test_quality_scores_equal_plain_loops():
+    texts = [b"the cat sat. " * 200, b"", b"### $$ x" * 90, b"A" * 700]
+    x, counts = quality_mil.encode(texts)
+    w = quality_mil.fit(x, counts, np.array([1, 0, 0, 1]), epochs=2)
+    for text, got in zip(texts, zip(*quality_mil.score(w, texts), strict=True), strict=True):
+        raw, codes = [], []
+        for row in quality_mil.encode([text])[0]:
+            h = [math.tanh(sum((row[i] - w["mean"][i]) * w["scale"][i] * w["E"][i, j] for i in range(len(row))) + w["e"][j]) for j in range(quality_mil.CODE)]
+            gate = [math.tanh(sum(h[i] * w["V"][i, j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * w["U"][i, j] for i in range(len(h))))) for j in range(quality_mil.GATE)]
+            raw.append(sum(g * a for g, a in zip(gate, w["a"], strict=True)))
+            codes.append(h)
+        share = [math.exp(r - max(raw)) for r in raw]
+        share = [v / sum(share) for v in share]
+        z = [sum(s * h[j] for s, h in zip(share, codes, strict=True)) for j in range(quality_mil.CODE)]
+        want = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, w["c"], strict=True)) + w["d"][0])))
+        assert abs(got[0] - want) < 1e-4 and abs(got[1] - max(share)) < 1e-4
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_quality_long_texts_are_encoded_alike(monkeypatch, block):
+    rnd = random.Random(block)
+    texts = ["".join(rnd.choice("ab cd#  \nE9é") for _ in range(rnd.randint(0, 6000))).encode() for _ in range(30)] + [b"x" * 5000, b" " * 3000, b"word " * 2000, b""]
+    want, n = quality_mil.encode(texts)
+    monkeypatch.setattr(quality_mil, "BLOCK", block)
+    got, m = quality_mil.encode(texts)
+    assert (n == m).all() and np.allclose(got, want, atol=1e-6)
+
+
+def test_quality_of_a_long_text_takes_memory_of_its_size():
+    import tracemalloc
+
+    text = b"a few words in a row, and " * 160_000  # 4 MB
+    w = quality_mil.fit(np.zeros((0, quality_mil.WIDTH), np.float32), np.zeros(0, int), np.zeros(0))
+    tracemalloc.start()
+    quality_mil.score(w, [text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text)
+    assert len(quality_mil._bags([text])[0]) == quality_mil.MAX_PASSAGES
 
 
 def test_quality_without_labels(spark, tables):
@@ -113,6 +172,62 @@ def test_isotonic_is_monotone_and_keeps_the_mean():
     y = (rng.random(300) < 1 / (1 + np.exp(-raw))).astype(int)
     at, share = toxicity.isotonic(raw, y)
     assert (np.diff(share) > 0).all() and (np.diff(at) > 0).all() and 0 <= share.min() and share.max() <= 1
+    # pool adjacent violators, plainly: the fit at each place is the largest of least means about it
+    s = y[np.argsort(raw, kind="stable")].astype(float)
+    sums = np.concatenate([[0], np.cumsum(s)])
+    fit = [max(min((sums[b] - sums[a]) / (b - a) for b in range(i + 1, len(s) + 1)) for a in range(i + 1)) for i in range(len(s))]
+    assert np.allclose(np.unique(np.round(fit, 9)), np.round(share, 9)) and abs(np.mean(fit) - y.mean()) < 1e-9
+
+
+def test_trees_equal_plain_splits():
+    """The first tree against an exhaustive search over all features and limits, node by node."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (150, 4)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 2] > 7)).astype(int)
+    trees = toxicity.Trees().fit(x, y, rounds=1)
+    p = 1 / (1 + math.exp(-trees.base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def value(rows, depth):
+        if depth == trees.depth:
+            return {int(i): -0.2 * g[rows].sum() / (h[rows].sum() + 1) for i in rows}
+        best = (1e-9, None)
+        for j in range(4):
+            for c in np.unique(np.quantile(x[:, j], np.linspace(0, 1, trees.bins + 1)[1:-1])):
+                left = rows[x[rows, j] <= c]
+                gl, hl, gt, ht = g[left].sum(), h[left].sum(), g[rows].sum(), h[rows].sum()
+                if hl >= 0.5 and ht - hl >= 0.5:
+                    gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (j, c))
+        if best[1] is None:
+            return value(rows, depth + 1)
+        j, c = best[1]
+        return value(rows[x[rows, j] <= c], depth + 1) | value(rows[x[rows, j] > c], depth + 1)
+
+    want = value(np.arange(len(y)), 0)
+    assert np.allclose(trees.raw(x), [trees.base + want[i] for i in range(len(y))])
+
+
+def test_toxicity_is_calibrated_on_what_no_fold_has_seen(spark, tables):
+    rows, docs, labels = tables
+    truth = {i: y[1] for i, _, _, y in rows}
+    sample = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")).where("doc_id < 400").withColumn("_y", F.create_map(*(F.lit(v) for k in truth.items() for v in k))[F.col("_id")])
+    sample = sample.withColumn("_fold", F.pmod(F.xxhash64("_id"), F.lit(toxicity.FOLDS)).cast("int"))
+    found = toxicity.learn_lexicons(sample)
+    assert len(found) == 1 + toxicity.FOLDS
+    got = sample.collect()
+    for k, lexicon in enumerate(found, -1):
+        seen = {}
+        for r in got:
+            if r["_fold"] != k:
+                for term in toxicity.terms_of(r["_t"]):
+                    seen.setdefault(term, [0, 0])[r["_y"]] += 1
+        n = [sum(r["_y"] == y and r["_fold"] != k for r in got) for y in (0, 1)]
+        odds = {t: math.log((b + 0.5) / (n[1] - b + 0.5)) - math.log((a + 0.5) / (n[0] - a + 0.5)) for t, (a, b) in seen.items() if b >= 4}
+        want = {t: o for t, o in odds.items() if o >= 1.5}
+        mine = lexicon.words | {"^" + t: o for t, o in lexicon.begins.items()}
+        assert mine.keys() == want.keys() and all(abs(mine[t] - want[t]) < 1e-9 for t in mine)
 
 
 def test_toxicity_with_one_label(spark, tables):
@@ -150,6 +265,47 @@ def test_language_mixture_finds_both_parts():
     assert abs(shares[1, 0] - n1 / (n1 + n2)) < 0.1
 
 
+def test_letters_are_what_unicode_calls_letters(spark):
+    rows = [(0, "½ ² Ⅷ ①"), (1, "12 !!"), (2, "é"), (None, "ta ki mo ru sen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.lang_pred for r in lang_id.predict(docs, ["aa", "bb"], np.full((lang_id.BINS, 2), -11.0, np.float32)).collect()}
+    assert out[0] == out[1] == "und" and out[2] == out[None] == "aa"
+
+
+def test_mixture_equals_plain_expectation_maximisation():
+    rnd, rng = random.Random(5), np.random.default_rng(5)
+    logp = np.log(rng.dirichlet(np.full(3, 0.5), lang_id.BINS)).astype(np.float32)
+    texts = [" ".join("".join(rnd.choice("abcdefgé") for _ in range(rnd.randint(1, 6))) for _ in range(n)).encode() for n in (1, 7, 30, 90)] + [b"12 3"]
+    for text, got in zip(texts, lang_id.mixture(texts, logp), strict=True):
+        code, word, _ = lang_id.grams([text])
+        units = {}
+        for c, w in zip(code, word, strict=True):
+            units.setdefault((w - word[0]) // lang_id.UNIT_WORDS, []).append(c)
+        like = [[math.fsum(float(logp[c, k]) for c in u) for k in range(3)] for u in units.values()]
+        like = [[math.exp(v - max(row)) for v in row] for row in like]
+
+        def em(share):
+            for _ in range(lang_id.ROUNDS):
+                r = [[a * b for a, b in zip(row, share, strict=True)] for row in like]
+                r = [[v / (sum(row) + 1e-300) for v in row] for row in r]
+                share = [sum(row[k] for row in r) / len(r) for k in range(3)]
+            return share, sum(math.log(sum(a * b for a, b in zip(row, share, strict=True)) + 1e-300) for row in like)
+
+        if not like:
+            assert not got.any()
+            continue
+        live, (share, ll) = [0, 1, 2], em([1 / 3] * 3)
+        while len(live) > 1:
+            weakest = min(live[::-1], key=lambda k: share[k])
+            start = [share[k] + 1e-3 if k in live and k != weakest else 0 for k in range(3)]
+            fewer, less = em([v / sum(start) for v in start])
+            if not -2 * less <= -2 * ll + math.log(max(len(like), 2)):
+                break
+            live.remove(weakest)
+            share, ll = fewer, less
+        assert np.allclose(got, share, atol=1e-3), text
+
+
 def test_no_language(spark, tables):
     _, docs, _ = tables
     names, logp = lang_id.train(docs, F.lit(False))
@@ -198,6 +354,35 @@ def test_lm_score(spark, tables):
     assert shuffled[1][0] / shuffled[0][0] < np.mean([r.mean_log_prob for i, r in got.items() if i is not None and i < 900_000])
 
 
+def test_lm_scores_equal_plain_loops():
+    net = lm_score.Network.new(4)
+    vocab = {"the": 0, "cat": 1, "sat": 37}
+    texts = ["the cat sat on the mat", "", "Ünï the"]
+    counts, total = lm_score.score_texts(texts, lm_score.Tokens(vocab), net)
+    p, pad = {k: v.tolist() for k, v in net.p.items()}, lm_score.VOCABULARY
+    for text, n, got in zip(texts, counts, total, strict=True):
+        words = text.lower().split()
+        ids = [vocab.get(w, lm_score.VOCABULARY - lm_score.SHAPES + lm_score.shape(w)) for w in words]
+        want = 0.0
+        for i, token in enumerate(ids):
+            around = [ids[j] if 0 <= j < len(ids) else pad for j in (i - 2, i - 1, i + 1, i + 2)]
+            x = [v for t in around for v in p["E"][t]]
+            h = [math.tanh(sum(x[a] * p["W"][a][b] for a in range(len(x))) + p["w"][b]) for b in range(lm_score.HIDDEN)]
+            kind, member = divmod(token, lm_score.MEMBERS)
+            for logits, target in (
+                ([sum(h[a] * p["A"][a][b] for a in range(len(h))) + p["a"][b] for b in range(len(p["a"]))], kind),
+                ([sum(h[a] * p["B"][a][b] for a in range(len(h))) + p["C"][kind][b] for b in range(lm_score.MEMBERS)], member),
+            ):
+                want += logits[target] - math.log(sum(map(math.exp, logits)))
+        assert n == len(ids) and abs(got - want) < 1e-3
+
+
+def test_lm_sums_of_networks(spark):
+    parts = [pd.DataFrame({"n": [2, 1], "v": [[1.0, 2.0], [4.0, 5.0]]}), pd.DataFrame({"n": [3], "v": [[0.0, 1.0]]})]
+    got = list(lm_score._added(iter(parts)))
+    assert len(got) == 1 and got[0]["n"][0] == 6 and got[0]["v"][0].tolist() == [6.0, 12.0] and not list(lm_score._added(iter([])))
+
+
 def test_lm_on_an_empty_table(spark, tables):
     docs = tables[1].limit(0)
     vocab = lm_score.vocabulary(docs)

@@ -81,6 +81,9 @@ SECRETS = [
     "user=alice\n\npassword: short9",
     "visit https://clean.example.org/page and 10.0.0.1 today",
     ("token = deadbeefdeadbeef01 host 10.1.2.3 " * 2000),
+    "commit deadbeefdeadbeef01 see https://docs.example.org/page and 10.0.0.1",
+    "user: anna said secret: yes at http://a.b",
+    ("key AKIA1234 and text " + "x" * 1000 + " ") * 3000,
 ]
 
 
@@ -102,6 +105,7 @@ def test_weak_candidates_need_a_partner(spark):
     assert out[6] == set()  # another scope
     assert out[7] == set()  # endpoints alone
     assert out[8] == {"assign", "hex", "endpoint"}
+    assert out[9] == {"hex"} and out[10] == set() and out[11] == set()  # a bare hash and an answer complete nothing
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -113,7 +117,7 @@ def test_interval_join_equals_all_pairs(seed):
     row, scope, kind, start = rnd.integers(0, 4, n), rnd.integers(0, 3, n), rnd.integers(0, 6, n), rnd.integers(0, 400, n)
     end = start + rnd.integers(1, 60, n)
     role = secret_scan.ROLE[kind]
-    want = [any(row[i] == row[j] and scope[i] == scope[j] and role[j] in secret_scan.COMPLETES[role[i]] and start[j] <= end[i] + gap and end[j] >= start[i] - gap for j in range(n)) for i in range(n)]
+    want = [any(row[i] == row[j] and scope[i] == scope[j] and role[j] in secret_scan.COMPLETES.get(role[i], ()) and start[j] <= end[i] + gap and end[j] >= start[i] - gap for j in range(n)) for i in range(n)]
     assert secret_scan.linked(row, scope, kind, start, end, gap).tolist() == want
 
 

@@ -121,16 +121,18 @@ def _dense_links(crowded: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): for every vertex of ``edges`` (a, b) the least vertex of its component.
 
-    Every round takes the least label among the neighbours, then the label of that label; a round's result is
+    Every round takes the least label among the neighbours, then twice the label of that label; a round's result is
     written to the shared folder. Stops when no label changed.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")))
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
     while True:
         heard = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, "v").select("v", "label", F.least("label", "heard").alias("new"))
-        jump = labels.select(F.col("v").alias("new"), F.col("label").alias("further"))
-        after = cut(lower.join(jump, "new", "left").select("v", "label", F.least("new", F.coalesce("further", "new")).alias("next")))
+        after = labels.join(heard, "v").select("v", "label", F.least("label", "heard").alias("next"))
+        for _ in range(2):
+            jump = labels.select(F.col("v").alias("next"), F.col("label").alias("further"))
+            after = after.join(jump, "next", "left").select("v", "label", F.least("next", F.coalesce("further", "next")).alias("next"))
+        after = cut(after)
         changed = after.where(F.col("label") != F.col("next")).limit(1).count()
         labels = after.select("v", F.col("next").alias("label"))
         if not changed:

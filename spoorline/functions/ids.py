@@ -61,11 +61,29 @@ def id_bounds(ids: Iterable[str]) -> tuple[dt.datetime, dt.datetime]:
     return min(instants), max(instants)
 
 
+def bounds_of(ids, column: str = "id") -> tuple[dt.datetime | None, dt.datetime | None]:
+    """``id_bounds`` of a list or of a frame's column; (None, None) where some id has no time in it, or there is none."""
+    if isinstance(ids, DataFrame):
+        if dict(ids.dtypes)[column] != "string":
+            return None, None
+        instant = uuid_instant(F.col(column))
+        low, high, known, n = ids.agg(F.min(F.unix_millis(instant)), F.max(F.unix_millis(instant)), F.count(instant), F.count("*")).head()
+        if not n or known < n:
+            return None, None
+        return tuple(dt.datetime.fromtimestamp(x / 1000, dt.UTC) for x in (low, high))
+    try:
+        return id_bounds(ids) if ids else (None, None)
+    except (ValueError, AttributeError):
+        return None, None
+
+
 def with_id_bounds(df: DataFrame, ids: Iterable[str], column: str = "id", created: str = "created_at") -> DataFrame:
     """The rows with the given ids, read from the days that the ids themselves tell (which Catalyst can't infer)."""
+    from ..operators.io_stats import in_period
+
     wanted = sorted(set(ids))
     if not wanted:
         return df.where(F.lit(False))
     lowest, highest = id_bounds(wanted)
-    near = df.where((F.col(created) >= F.lit(lowest)) & (F.col(created) < F.lit(highest + dt.timedelta(milliseconds=1))))
+    near = in_period(df, lowest, highest + dt.timedelta(microseconds=999), created)
     return near.where(F.col(column).isin(wanted))

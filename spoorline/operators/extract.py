@@ -306,15 +306,27 @@ def dataset_of(d: Column) -> Column:
     return F.when(table.isNotNull(), _ref(table["namespace"], table["name"])).otherwise(_ref(d["namespace"], d["name"]))
 
 
+#: Levels of nested fields that are cleaned; what lies deeper stays as it was told.
+NESTED = 6
+
+
 def schema_of(d: Column) -> Column:
-    """The fields of a dataset as JSON with sorted keys, empty types and descriptions left out; null without fields."""
+    """The fields of a dataset as JSON with sorted keys, empty types and descriptions left out, nested ones too; null without fields."""
     fields = d["facets"]["schema"]["fields"]
 
-    def one(f: Column) -> Column:
+    def nested(raw: Column, levels: int) -> Column:
+        """Fields that are kept as JSON text, cleaned; as they are where they are no list of fields."""
+        inner = F.from_json(raw, "array<struct<name: string, type: string, description: string, fields: string>>")
+        return F.coalesce(F.when(F.size(inner) > 0, listed(inner, levels)), raw)
+
+    def listed(fs: Column, levels: int) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.transform(fs, lambda f: one(f, levels)), ", "), F.lit("]"))
+
+    def one(f: Column, levels: int) -> Column:
         described = F.trim(F.coalesce(f["description"], F.lit("")))
         parts = F.array(
             F.when(described != "", F.concat(F.lit('"description": '), F.to_json(F.array(described)))),
-            F.when(f["fields"].isNotNull() & ~f["fields"].isin("[]", ""), F.concat(F.lit('"fields": '), f["fields"])),
+            F.when(f["fields"].isNotNull() & ~f["fields"].isin("[]", ""), F.concat(F.lit('"fields": '), nested(f["fields"], levels - 1) if levels else f["fields"])),
             F.concat(F.lit('"name": '), F.to_json(F.array(f["name"]))),
             F.when(f["type"] != "", F.concat(F.lit('"type": '), F.to_json(F.array(f["type"])))),
         )
@@ -322,7 +334,7 @@ def schema_of(d: Column) -> Column:
         bare = F.transform(F.array_compact(parts), lambda p: F.when(p.startswith('"fields"'), p).otherwise(F.regexp_replace(p, r'^("\w+": )\[(.*)\]$', "$1$2")))
         return F.concat(F.lit("{"), F.array_join(bare, ", "), F.lit("}"))
 
-    return F.when(F.size(fields) > 0, F.concat(F.lit("["), F.array_join(F.transform(fields, one), ", "), F.lit("]")))
+    return F.when(F.size(fields) > 0, listed(fields, NESTED))
 
 
 def output_type(d: Column) -> Column:
@@ -351,6 +363,7 @@ def io(events: DataFrame, side: str) -> DataFrame:
         _tick().alias("created_at"),
         F.col("own_id").alias("operation_id"),
         "run_id",
+        F.col("eventTime").alias("told_at"),
         dataset_of(d).alias("dataset"),
         schema.alias("schema"),
         ids.static_uuid(schema).alias("schema_digest"),
@@ -489,7 +502,7 @@ def _latest(column: str) -> Column:
 def merged_runs(events: DataFrame) -> DataFrame:
     """One row per run: the largest status, every other field as it was last told."""
     rows = runs(events)
-    job = F.max_by("job", F.struct(F.col("job.type").isNotNull(), "told_at")).alias("job")
+    job = F.max_by("job", F.struct(F.col("job.name") != "unknown", F.col("job.type").isNotNull(), "told_at")).alias("job")  # "unknown" gives way to any name
     rest = [c for c in rows.columns if c not in ("id", "job", "status", "told_at")]
     return rows.groupBy("id").agg(job, F.max("status").alias("status"), *map(_latest, rest)).withColumn("created_at", ids.uuid_instant(F.col("id")))
 
@@ -503,11 +516,17 @@ def merged_operations(events: DataFrame) -> DataFrame:
 
 
 def merged_io(events: DataFrame, side: str) -> DataFrame:
-    """One row per operation, dataset and hour: largest counters but 0, types combined, the last schema."""
-    rows = io(events, side)
+    """One row per operation, dataset and hour: largest counters but 0, types combined, the schema that was told first.
+
+    Of schemas told at one time the least digest stays, so the order of arrival doesn't matter.
+    """
+    return merged_rows(io(events, side), side)
+
+
+def merged_rows(rows: DataFrame, side: str) -> DataFrame:
     keys = ["created_at", "operation_id", "run_id", "dataset"]
     typed = [F.bit_or("type").alias("type")] if side == "outputs" else []
-    schema = F.max("schema_digest").alias("schema_digest")
+    schema = F.min_by("schema_digest", F.when(F.col("schema_digest").isNotNull(), F.struct("told_at", "schema_digest"))).alias("schema_digest")
     return rows.groupBy(*keys).agg(schema, *(F.max(F.when(F.col(c) != 0, F.col(c))).alias(c) for c in ("num_bytes", "num_rows", "num_files")), *typed)
 
 

@@ -88,10 +88,16 @@ def per_location(entities: DataFrame) -> DataFrame:
 
 
 def in_period(df: DataFrame, since=None, until=None, column: str = "created_at") -> DataFrame:
-    """The rows from ``since`` through ``until``, both inclusive, either may be open. Plain comparisons, so they reach the scan."""
-    if since is not None:
-        df = df.where(F.col(column) >= F.lit(since))
-    return df if until is None else df.where(F.col(column) <= F.lit(until))
+    """The rows from ``since`` through ``until``, both inclusive, either may be open. Plain comparisons, so they reach the scan.
+
+    Facts that are stored by day (``created_date``) are bounded by day too, so that only those days are opened.
+    """
+    by_day = column == "created_at" and "created_date" in df.columns
+    for bound, within in ((since, lambda c, v: c >= v), (until, lambda c, v: c <= v)):
+        if bound is not None:
+            df = df.where(within(F.col(column), F.lit(bound)))
+            df = df.where(within(F.col("created_date"), F.to_date(F.lit(bound)))) if by_day else df
+    return df
 
 
 def dataset_relations(inputs: DataFrame, outputs: DataFrame, since=None, until=None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A walk alternates between datasets and jobs, runs or operations. Each level reads the facts once, semi-joined to the
 frontier, and its result is written to the shared folder, so plans stay short and nothing is recomputed. What was
-visited is skipped as a frontier only: edges to it still appear.
+visited is skipped as a frontier only: edges to it still appear. Facts are never older than the run or operation they
+belong to, so ids with a time in them give the first level a lower bound.
 
 Downstream from a dataset means its readers, upstream its writers; from a job, run or operation downstream means what
 it writes, upstream what it reads. After the first step a branch keeps its direction. Of the two branches of BOTH,
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import among, cut, first_per, ids_frame, without
+from ..functions.ids import bounds_of
 from .io_stats import DATASET, JOB, KEYS, OPERATION, RUN, dataset_relations, dedup_io, in_period, roll_up
 
 DOWNSTREAM, UPSTREAM, BOTH = "DOWNSTREAM", "UPSTREAM", "BOTH"
@@ -100,8 +102,9 @@ class Walker:
         new = without(ends, ids)
         return cut(ids.union(self._skip(DATASET, new) if skip_seen else new).distinct()), touching
 
-    def _edges(self, io: DataFrame, ids: DataFrame, column: str, granularities, dated: bool = True) -> DataFrame:
-        found = among(in_period(io, self.since, self.until) if dated else io, ids, column)
+    def _edges(self, io: DataFrame, ids: DataFrame, column: str, granularities, dated: bool = True, floor: dt.datetime | None = None) -> DataFrame:
+        io = in_period(io, self.since, self.until) if dated else io
+        found = among(in_period(io, floor), ids, column)
         deduped = dedup_io(found)
         return cut(reduce(DataFrame.unionByName, (roll_up(deduped, g) for g in granularities)))
 
@@ -125,15 +128,15 @@ class Walker:
             else:
                 self._include(out, entities, granularity)
 
-    def from_entities(self, out: Lineage, ids: DataFrame, direction: str, granularity: str, depth: int, dated: bool = True, finest: str | None = None) -> None:
-        """From jobs, runs or operations. ``finest`` is the granularity of the edges where it is finer than the entities."""
+    def from_entities(self, out: Lineage, ids: DataFrame, direction: str, granularity: str, depth: int, dated: bool = True, finest: str | None = None, floor: dt.datetime | None = None) -> None:
+        """From jobs, runs or operations. ``finest`` is the granularity of the edges where it is finer than the entities; no fact of theirs is before ``floor``."""
         if ids.isEmpty():
             return
         column, finest = ENTITY[granularity], finest or granularity
         nexts = []
         for way, io, into in ((UPSTREAM, self.t.input, out.inputs), (DOWNSTREAM, self.t.output, out.outputs)):
             if direction in (way, BOTH):
-                edges = self._edges(io, ids, column, WITH_SUMS[finest], dated)
+                edges = self._edges(io, ids, column, WITH_SUMS[finest], dated, floor)
                 into.append(edges)
                 nexts.append((way, edges.select(F.col("dataset_id").alias("id")).distinct()))
                 if finest != granularity:
@@ -159,17 +162,19 @@ class Walker:
             out.ids[JOB].append(among(self.t.run, runs, "id").select(F.col("job_id").alias("id")).distinct())
 
     def over_datasets(self, out: Lineage, ids: DataFrame, direction: str, depth: int) -> None:
-        """Dataset granularity: breadth first over dataset relations, both directions level by level."""
+        """Dataset granularity: breadth first over dataset relations, both directions level by level.
+
+        A level reads the near side of its frontier's facts, then the far side of the operations found there.
+        """
         start, links = self.closure(ids)
         out.ids[DATASET].append(start)
         out.symlinks.append(links)
-        relations = cut(dataset_relations(self.t.input, self.t.output, self.since, self.until))
         known, frontier = start, {way: start for way in (DOWNSTREAM, UPSTREAM) if direction in (way, BOTH)}
         for _ in range(depth):
             new = []
-            for way, near, far in ((DOWNSTREAM, "in_dataset_id", "out_dataset_id"), (UPSTREAM, "out_dataset_id", "in_dataset_id")):
+            for way, far in ((DOWNSTREAM, "out_dataset_id"), (UPSTREAM, "in_dataset_id")):
                 if way in frontier and not frontier[way].isEmpty():
-                    found = cut(among(relations, frontier[way], near))
+                    found = cut(self._relations(frontier[way], way))
                     out.relations.append(found)
                     frontier[way], links = self.closure(cut(without(found.select(F.col(far).alias("id")).distinct(), known)), skip_seen=False)
                     out.symlinks.append(links)
@@ -180,6 +185,24 @@ class Walker:
         out.ids[DATASET].append(known)
 
 
+    def _relations(self, ids: DataFrame, way: str) -> DataFrame:
+        """Dataset relations from (downstream) or to (upstream) the given datasets."""
+        near, far = (self.t.input, self.t.output) if way == DOWNSTREAM else (self.t.output, self.t.input)
+        near = cut(among(in_period(near, self.since, self.until), ids, "dataset_id"))
+        far = among(in_period(far, self.since, self.until), near.select(F.col("operation_id").alias("id")).distinct(), "operation_id")
+        return dataset_relations(near, far) if way == DOWNSTREAM else dataset_relations(far, near)
+
+
+def _start(table: DataFrame, ids: Collection | DataFrame) -> tuple[DataFrame, dt.datetime | None]:
+    """(the rows' ids that exist, stored; the earliest instant that the given ids tell): the table is read in the days of the ids only."""
+    low, high = bounds_of(ids)
+    kind = dict(table.dtypes)["id"]
+    if low is not None:
+        table = in_period(table, low, high + dt.timedelta(microseconds=999))
+    wanted = ids if isinstance(ids, DataFrame) else ids_frame(table.sparkSession, ids, kind)
+    return cut(among(table, wanted, "id").select("id")), low
+
+
 def by_datasets(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: str = RUN, since=None, until=None, depth: int = 1) -> Lineage:
     """Lineage that starts from datasets (and their symlinks)."""
     validate(direction, depth, since, until)
@@ -205,9 +228,8 @@ def by_runs(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, gr
     """Lineage that starts from runs (a frame names them in ``id``), with edges by run or operation; the sums by job go with them."""
     validate(direction, depth, since, until)
     out, walker = Lineage(), Walker(tables, since, until)
-    kind = dict(tables.run.dtypes)["id"]
-    start = among(tables.run, ids if isinstance(ids, DataFrame) else ids_frame(tables.spark, ids, kind), "id").select("id")
-    walker.from_entities(out, cut(start), direction, RUN, depth, finest=granularity)
+    start, floor = _start(tables.run, ids)
+    walker.from_entities(out, start, direction, RUN, depth, finest=granularity, floor=floor)
     return out
 
 
@@ -215,9 +237,8 @@ def by_operations(tables, ids: Collection | DataFrame, direction: str = DOWNSTRE
     """Lineage that starts from operations (a frame names them in ``id``). The period holds for the levels after the first only."""
     validate(direction, depth, since, until)
     out, walker = Lineage(), Walker(tables, since, until)
-    kind = dict(tables.operation.dtypes)["id"]
-    start = among(tables.operation, ids if isinstance(ids, DataFrame) else ids_frame(tables.spark, ids, kind), "id").select("id")
-    walker.from_entities(out, cut(start), direction, OPERATION, depth, dated=False)
+    start, floor = _start(tables.operation, ids)
+    walker.from_entities(out, start, direction, OPERATION, depth, dated=False, floor=floor)
     return out
 
 
@@ -237,7 +258,10 @@ def parent_relations(out: Lineage, tables) -> DataFrame:
 
 
 def relation_rows(out: Lineage) -> DataFrame | None:
-    """Edges as (kind, from_kind, from_id, to_kind, to_id) with their sums: an input goes from the dataset, an output to it."""
+    """Edges as (kind, from_kind, from_id, to_kind, to_id) with their sums: an input goes from the dataset, an output to it.
+
+    A relation of two datasets is an input that goes from one to the other, without sums.
+    """
     kind = F.when(F.col("operation_id").isNotNull(), OPERATION).when(F.col("run_id").isNotNull(), RUN).otherwise(JOB)
     entity = F.coalesce(*(F.col(c).cast("string") for c in ("operation_id", "run_id", "job_id")))
     dataset = F.col("dataset_id").cast("string")
@@ -247,9 +271,21 @@ def relation_rows(out: Lineage) -> DataFrame | None:
         parts.append(rows.select(F.lit("INPUT").alias("kind"), F.lit(DATASET).alias("from_kind"), dataset.alias("from_id"), kind.alias("to_kind"), entity.alias("to_id"), *sums, F.lit(None).cast("int").alias("types")))
     if (rows := out.merged("outputs")) is not None:
         parts.append(rows.select(F.lit("OUTPUT").alias("kind"), kind.alias("from_kind"), entity.alias("from_id"), F.lit(DATASET).alias("to_kind"), dataset.alias("to_id"), *sums, "types"))
+    if (rows := out.all_relations()) is not None:
+        ends = [F.lit("INPUT").alias("kind"), F.lit(DATASET).alias("from_kind"), F.col("in_dataset_id").cast("string").alias("from_id"), F.lit(DATASET).alias("to_kind"), F.col("out_dataset_id").cast("string").alias("to_id")]
+        parts.append(rows.select(*ends, "last_interaction_at", *(F.lit(None).cast("long").alias(c) for c in sums[1:]), F.lit(None).cast("int").alias("types")))
     return reduce(DataFrame.unionByName, parts).orderBy("kind", "from_kind", "from_id", "to_id") if parts else None
 
 
+def symlink_rows(out: Lineage) -> DataFrame | None:
+    """Symlinks as (type, from_kind, from_id, to_kind, to_id), sorted by their ends."""
+    rows = out.all_symlinks()
+    if rows is None:
+        return None
+    end = lambda c: F.col(c).cast("string")
+    return rows.select("type", F.lit(DATASET).alias("from_kind"), end("from_dataset_id").alias("from_id"), F.lit(DATASET).alias("to_kind"), end("to_dataset_id").alias("to_id")).orderBy("from_id", "to_id", "type")
+
+
 def dataset_schemas(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """(dataset_id, schema_id, relevance): the schema of the latest write that has one, else of the latest read.
 

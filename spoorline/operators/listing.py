@@ -6,6 +6,7 @@ filter needs them.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Collection
 from dataclasses import dataclass
@@ -13,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import among, first_per, ids_frame
+from ..frames import among, ids_frame
+from ..functions.ids import bounds_of
 from ..functions.search import matches, rank, tokens
 from .io_stats import in_period, io_statistics, operation_counts, per_location
 
@@ -57,6 +59,11 @@ def page_rows(df: DataFrame, order: list[Column], page: int = 1, page_size: int
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def by_rank(*order: Column) -> list[Column]:
+    """The order of a searched listing: best match first, then as given."""
+    return [F.desc("search_rank"), *order]
+
+
 def paginate(df: DataFrame, order: list[Column], page: int = 1, page_size: int = 20) -> Page:
     return Page(page_rows(df, order, page, page_size), page, page_size, df.count())
 
@@ -117,13 +124,28 @@ def _named(locations: DataFrame) -> DataFrame:
     return locations.select(F.col("id").alias("location_id"), F.col("type").alias("location_type"), F.col("name").alias("location_name"))
 
 
+def with_tags(df: DataFrame, bridge: DataFrame, entity: str) -> DataFrame:
+    """Entities with ``tags``: an array of (tag, values), sorted, empty where there are none. ``bridge`` has entity, tag, value; it is read for these entities only."""
+    grouped = grouped_tags(among(bridge, df.select("id"), entity), entity)
+    lists = grouped.groupBy(F.col(entity).alias("id")).agg(F.sort_array(F.collect_list(F.struct("tag", "values"))).alias("tags"))
+    return df.join(lists, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<struct<tag:string,values:array<string>>>")))
+
+
+def _with_addresses(tables, df: DataFrame, key: str = "location_id") -> list:
+    """The branches of a search that find an entity by what its location is called: addresses and external id."""
+    places = df.select("id", F.col(key).alias("location_id")) if key != "id" else df.select("id", F.col("id").alias("location_id"))
+    urls = places.join(tables.address.select("location_id", "url"), "location_id")
+    external = places.join(tables.location.select(F.col("id").alias("location_id"), "external_id"), "location_id")
+    return [(urls, "id", ["url"]), (external, "id", ["external_id"])]
+
+
 def datasets(tables, ids=None, tag_values=None, location_ids=None, location_types=None, text: str | None = None) -> DataFrame:
     """Datasets with their location; ordered pages come from ``paginate`` by (search_rank desc,) name."""
     df = any_of(any_of(tables.dataset, "id", ids), "location_id", location_ids)
     if tag_values:
         df = with_all_tags(df, tables.dataset_tag_value, "dataset_id", "tag_value", tag_values)
     df = any_of_lower(df.join(_named(tables.location), "location_id"), "location_type", location_types)
-    return search(df, [(tables.dataset, "id", ["name"]), (df, "id", ["location_type", "location_name"])], text) if text else df
+    return search(df, [(tables.dataset, "id", ["name"]), (df, "id", ["location_type", "location_name"]), *_with_addresses(tables, df)], text) if text else df
 
 
 def jobs(tables, ids=None, types=None, tag_values=None, location_ids=None, location_types=None, text: str | None = None) -> DataFrame:
@@ -134,7 +156,7 @@ def jobs(tables, ids=None, types=None, tag_values=None, location_ids=None, locat
     df = any_of_lower(df.join(_named(tables.location), "location_id"), "location_type", location_types)
     last = last_runs(tables.run).select(F.col("job_id").alias("id"), F.col("id").alias("last_run_id"), F.col("created_at").alias("last_run_at"))
     df = df.join(last, "id", "left")
-    return search(df, [(tables.job, "id", ["name"]), (df, "id", ["location_type", "location_name"])], text) if text else df
+    return search(df, [(tables.job, "id", ["name"]), (df, "id", ["location_type", "location_name"]), *_with_addresses(tables, df)], text) if text else df
 
 
 def locations(tables, ids=None, types=None, text: str | None = None) -> DataFrame:
@@ -143,18 +165,22 @@ def locations(tables, ids=None, types=None, text: str | None = None) -> DataFram
     for name, entities in (("total_datasets", tables.dataset), ("total_jobs", tables.job)):
         df = df.join(per_location(entities).select(F.col("location_id").alias("id"), F.col("total").alias(name)), "id", "left")
     df = df.na.fill(0, ["total_datasets", "total_jobs"])
-    return search(df, [(tables.location, "id", ["type", "name", "external_id"])], text) if text else df
+    return search(df, [(tables.location, "id", ["type", "name", "external_id"]), _with_addresses(tables, df, "id")[0]], text) if text else df
 
 
-def runs(tables, ids=None, since=None, until=None, job_ids=None, parent_run_ids=None, job_types=None, statuses=None, users=None, started_since=None, started_until=None, text: str | None = None) -> DataFrame:
-    """Runs with their job; pages are ordered by (created_at desc, id desc)."""
+def runs(tables, ids=None, since=None, until=None, job_ids=None, parent_run_ids=None, job_types=None, statuses=None, users=None, started_since=None, started_until=None, text: str | None = None, ended_since=None, ended_until=None, job_location_ids=None) -> DataFrame:
+    """Runs with their job; ids with a time in them bound the days that are read; pages are ordered by (created_at desc, id desc)."""
     if (job_ids or parent_run_ids or text) and since is None:
         raise ValueError("since has to be given with job_ids, parent_run_ids or a search")
+    low, high = bounds_of(ids)
     df = any_of(in_period(tables.run, since, until), "id", ids)
+    df = in_period(df, low, high and high + dt.timedelta(microseconds=999))
     df = any_of(any_of(any_of(df, "job_id", job_ids), "parent_run_id", parent_run_ids), "status", statuses)
     df = in_period(df, started_since, started_until, "started_at")
-    if job_types:
-        df = df.join(any_of(tables.job, "type", job_types).select(F.col("id").alias("job_id")), "job_id", "left_semi")
+    df = in_period(df, ended_since, ended_until, "ended_at")
+    if job_types or job_location_ids:
+        wanted = any_of(any_of(tables.job, "type", job_types), "location_id", job_location_ids)
+        df = df.join(wanted.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     if users:
         df = df.join(any_of_lower(tables.user, "name", users).select(F.col("id").alias("started_by_user_id")), "started_by_user_id", "left_semi")
     if text:
@@ -171,13 +197,27 @@ def with_run_statistics(page: DataFrame, tables) -> DataFrame:
     return page.join(stats.withColumnRenamed("run_id", "id"), "id", "left").join(counts.withColumnRenamed("run_id", "id"), "id", "left").na.fill(0, ["total_operations"])
 
 
+def with_operation_statistics(page: DataFrame, tables) -> DataFrame:
+    """A page of operations with input and output statistics, 0 where there are none. Facts are read for its operations only."""
+    ids = page.select("id")
+    stats = io_statistics(ids, among(tables.input, ids, "operation_id"), among(tables.output, ids, "operation_id"), "operation_id")
+    return page.join(stats.withColumnRenamed("operation_id", "id"), "id", "left")
+
+
+def with_query_text(operations: DataFrame, queries: DataFrame) -> DataFrame:
+    """Operations with ``sql_query``, the text of ``sql_fingerprint`` (``queries`` has fingerprint, query); null where there is none."""
+    return operations.join(queries.select(F.col("fingerprint").alias("sql_fingerprint"), F.col("query").alias("sql_query")), "sql_fingerprint", "left")
+
+
 def operations(tables, ids=None, run_ids=None, since=None, until=None) -> DataFrame:
     """Operations; run ids need a lower bound in time."""
     if not ids and not run_ids:
         raise ValueError("operations are listed by ids or by runs")
     if run_ids and since is None:
         raise ValueError("since has to be given with run_ids")
-    return any_of(any_of(in_period(tables.operation, since, until), "id", ids), "run_id", run_ids)
+    low, high = bounds_of(ids)
+    near = in_period(in_period(tables.operation, since, until), low, high and high + dt.timedelta(microseconds=999))
+    return any_of(any_of(near, "id", ids), "run_id", run_ids)
 
 
 def tags(tag_values: DataFrame, text: str | None = None) -> DataFrame:
@@ -197,7 +237,3 @@ def touching(symlinks: DataFrame, ids: Collection) -> DataFrame:
     """Symlinks from or to one of the given datasets."""
     wanted = ids_frame(symlinks.sparkSession, ids)
     return among(symlinks, wanted, "from_dataset_id").unionByName(among(symlinks, wanted, "to_dataset_id")).distinct()
-
-
-def first_of_duplicates(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    return first_per(df, keys, *order)

@@ -33,12 +33,10 @@ def merge_io(batch: DataFrame) -> DataFrame:
 
 
 def upsert_io(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored and new rows by (created_at, id): counters greatest, where 0 counts; types combined; the new schema if there is one."""
+    """Stored and new rows by time, operation, dataset and schema: counters greatest, where 0 counts; types combined. Another schema is a row of its own."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     types = [F.bit_or("type").alias("type")] if "type" in both.columns else []
-    return both.groupBy("created_at", "operation_id", "run_id", "job_id", "dataset_id").agg(
-        latest_known("schema_id", F.col("_new")).alias("schema_id"), *(F.max(c).alias(c) for c in ("num_bytes", "num_rows", "num_files")), *types
-    )
+    return both.groupBy("created_at", "operation_id", "run_id", "job_id", "dataset_id", "schema_id").agg(*(F.max(c).alias(c) for c in ("num_bytes", "num_rows", "num_files")), *types)
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], greatest: tuple[str, ...] = ("status",)) -> DataFrame:
@@ -105,3 +103,27 @@ def collapse_partitions(datasets: DataFrame, name: Column) -> DataFrame:
 
     low = F.lower(strip_partitions(name))
     return datasets.select("id", F.min("id").over(W.partitionBy("location_id", low)).alias("new_id"))
+
+
+def repoint(facts: DataFrame, moved: DataFrame, column: str = "dataset_id") -> DataFrame:
+    """Facts with ``column`` moved from ``id`` to ``new_id`` (of ``collapse_partitions``); ids that did not move stay."""
+    changed = moved.where("id <> new_id").select(F.col("id").alias(column), F.col("new_id").alias("_to"))
+    out = facts.join(changed, column, "left")
+    return out.withColumn(column, F.coalesce("_to", column)).select(*facts.columns)
+
+
+def match_locations(new: DataFrame, stored: DataFrame, addresses: DataFrame) -> DataFrame:
+    """``new`` (type, name, addresses) with the ``id`` of the stored location (id, type, name) of that type and name, else of
+    that type with one of the addresses (location_id, url), the least of several; null where there is none."""
+    by_name = stored.select("type", "name", F.col("id").alias("_named")).groupBy("type", "name").agg(F.min("_named").alias("_named"))
+    known = addresses.join(stored.select(F.col("id").alias("location_id"), "type"), "location_id").groupBy("type", "url").agg(F.min("location_id").alias("_at"))
+    asked = new.select("type", "name", F.explode("addresses").alias("url")).join(known, ["type", "url"]).groupBy("type", "name").agg(F.min("_at").alias("_at"))
+    out = new.join(by_name, ["type", "name"], "left").join(asked, ["type", "name"], "left")
+    return out.select(*new.columns, F.coalesce("_named", "_at").alias("id"))
+
+
+def set_external_id(locations: DataFrame, location_id: int, external_id: str | None) -> DataFrame:
+    """Locations with the external id of one of them changed; KeyError where it is not there."""
+    if locations.where(F.col("id") == location_id).isEmpty():
+        raise KeyError(f"no location {location_id}")
+    return locations.withColumn("external_id", F.when(F.col("id") == location_id, F.lit(external_id)).otherwise(F.col("external_id")))

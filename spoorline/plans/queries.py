@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..frames import cut
+from ..frames import cut, first_per
 from ..functions import flags, ids, text
 from ..operators import analytics, columns, extract, io_stats, lineage, listing, merge
 from ..sources import partitions
@@ -236,34 +235,12 @@ def _grain(kind, table, where):
     return rows
 
 
-@query("lineage_run", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "run_id % 97 = 1 AND run_id < 3000") + _grain("OUTPUT", "dedup_out", "run_id % 97 = 1 AND run_id < 3000")) + ")")
-def lineage_run(spark, sf_dir):
-    t = OrderTables(spark, sf_dir)
-    return _edges(lineage.by_runs(t, [i for i in range(3000) if i % 97 == 1], lineage.BOTH, lineage.OPERATION))
-
-
-@query("lineage_operation", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "operation_id < 60") + _grain("OUTPUT", "dedup_out", "operation_id < 60")) + ")")
-def lineage_operation(spark, sf_dir):
-    return _edges(lineage.by_operations(OrderTables(spark, sf_dir), range(60), lineage.BOTH, SINCE, UNTIL))
-
-
 @query("lineage_symlink_closure", f"WITH s0 AS (SELECT id FROM dataset WHERE id IN {_STARTS}) SELECT id FROM ({_CLOSE.format('s0')})")
 def lineage_symlink_closure(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     return lineage.Walker(t).closure(t.dataset.where(F.col("id").isin(_IDS)).select("id"))[0]
 
 
-@query(
-    "lineage_parent_relations",
-    """WITH ops AS (SELECT id, run_id FROM operation WHERE id < 60 AND (id IN (SELECT operation_id FROM dedup_in UNION SELECT operation_id FROM dedup_out)))
-       SELECT 'RUN' AS from_kind, CAST(run_id AS VARCHAR) AS from_id, 'OPERATION' AS to_kind, CAST(id AS VARCHAR) AS to_id FROM ops
-       UNION ALL SELECT DISTINCT 'JOB', CAST(job_id AS VARCHAR), 'RUN', CAST(run.id AS VARCHAR) FROM run JOIN ops ON ops.run_id = run.id""",
-)
-def lineage_parent_relations(spark, sf_dir):
-    t = OrderTables(spark, sf_dir)
-    return lineage.parent_relations(lineage.by_operations(t, range(60), lineage.BOTH), t)
-
-
 @query(
     "lineage_dataset_schema_pick",
     """WITH o AS (SELECT dataset_id, first(schema_id ORDER BY created_at, schema_id) AS a, last(schema_id ORDER BY created_at, schema_id) AS b FROM outputs WHERE schema_id IS NOT NULL GROUP BY 1),
@@ -307,27 +284,6 @@ def column_lineage_indirect(spark, sf_dir):
     return _flat(columns.indirect(columns.combined(t.column_lineage, t.dataset_column_relation)), "source_dataset_id", "target_dataset_id")
 
 
-@query(
-    "column_lineage_pairs",
-    f"SELECT source_dataset_id, target_dataset_id, source_column, target_column, CAST(types AS BIGINT) AS types, CAST(used AS DATE) AS last_at FROM ({_COMBINED.format('WHERE source_dataset_id % 3 = 0 AND target_dataset_id = source_dataset_id + 1')})",
-)
-def column_lineage_pairs(spark, sf_dir):
-    t = OrderTables(spark, sf_dir)
-    pairs = t.dataset.where("id % 3 = 0").select(F.col("id").alias("source_dataset_id"), (F.col("id") + 1).alias("target_dataset_id"))
-    return _long(_date(columns.of_pairs(t.column_lineage, t.dataset_column_relation, pairs), "last_used_at"), "types")
-
-
-@query(
-    "column_lineage_by_job",
-    f"SELECT source_dataset_id, target_dataset_id, source_column, target_column, CAST(types AS BIGINT) AS types, CAST(used AS DATE) AS last_at FROM ({_COMBINED.format('WHERE job_id < 200 AND source_dataset_id % 2 = 0 AND target_dataset_id % 2 = 1')})",
-)
-def column_lineage_by_job(spark, sf_dir):
-    t = OrderTables(spark, sf_dir)
-    even, odd = t.dataset.where("id % 2 = 0").select("id"), t.dataset.where("id % 2 = 1").select("id")
-    out = columns.of_entities(t.column_lineage, t.dataset_column_relation, "job_id", t.job.where("id < 200").select("id"), even, odd)
-    return _long(_date(out, "last_used_at"), "types")
-
-
 @query("anti_missing_fingerprints", "SELECT fingerprint, source_column, target_column, CAST(type AS BIGINT) AS type FROM column_relation WHERE fingerprint NOT IN (SELECT fingerprint FROM column_lineage WHERE created_at >= TIMESTAMP '2000-01-01')")
 def anti_missing_fingerprints(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
@@ -665,7 +621,7 @@ def partition_cleanup_selection(spark, sf_dir):
 
 @query("dedup_row_number", "SELECT dataset_id, operation_id, CAST(created_at AS DATE) AS last_at, num_bytes FROM outputs QUALIFY row_number() OVER (PARTITION BY dataset_id, operation_id ORDER BY outputs.created_at DESC, num_bytes DESC, num_files DESC) = 1")
 def dedup_row_number(spark, sf_dir):
-    out = listing.first_of_duplicates(OrderTables(spark, sf_dir).output, ["dataset_id", "operation_id"], F.desc("created_at"), F.desc("num_bytes"), F.desc("num_files"))
+    out = first_per(OrderTables(spark, sf_dir).output, ["dataset_id", "operation_id"], F.desc("created_at"), F.desc("num_bytes"), F.desc("num_files"))
     return _date(out.select("dataset_id", "operation_id", "created_at", "num_bytes"), "created_at")
 
 
@@ -681,14 +637,14 @@ def batch_merge_io(spark, sf_dir):
 
 @query(
     "upsert_io_merge",
-    """SELECT CAST(created_at AS DATE) AS created, operation_id, run_id, job_id, dataset_id, coalesce(last(schema_id ORDER BY schema_id) FILTER (schema_id IS NOT NULL AND num_files % 2 = 1), last(schema_id ORDER BY schema_id) FILTER (schema_id IS NOT NULL)) AS schema_id,
-       max(num_bytes) AS num_bytes, max(num_rows) AS num_rows, max(num_files) AS num_files, CAST(bit_or(type) AS BIGINT) AS type FROM outputs GROUP BY outputs.created_at, operation_id, run_id, job_id, dataset_id""",
+    """SELECT CAST(created_at AS DATE) AS created, operation_id, run_id, job_id, dataset_id, schema_id,
+       max(num_bytes) AS num_bytes, max(num_rows) AS num_rows, max(num_files) AS num_files, CAST(bit_or(type) AS BIGINT) AS type FROM outputs GROUP BY outputs.created_at, operation_id, run_id, job_id, dataset_id, schema_id""",
 )
 def upsert_io_merge(spark, sf_dir):
     out = OrderTables(spark, sf_dir).output
     part = lambda odd: out.where(F.col("num_files") % 2 == odd)
-    keys = ["created_at", "operation_id", "run_id", "job_id", "dataset_id"]
-    once = lambda df: df.groupBy(*keys).agg(F.max("schema_id").alias("schema_id"), *(F.max(c).alias(c) for c in io_stats.COUNTERS), F.bit_or("type").alias("type"))
+    keys = ["created_at", "operation_id", "run_id", "job_id", "dataset_id", "schema_id"]
+    once = lambda df: df.groupBy(*keys).agg(*(F.max(c).alias(c) for c in io_stats.COUNTERS), F.bit_or("type").alias("type"))
     return _long(_date(merge.upsert_io(once(part(0)), once(part(1))), "created_at", "created"), "type")
 
 
@@ -736,21 +692,14 @@ def dataset_partition_collapse(spark, sf_dir):
     return merge.collapse_partitions(d, name)
 
 
-@query("union_pages", "SELECT id, name, 'dataset' AS kind FROM dataset WHERE id <= 20 UNION SELECT id, name, 'job' FROM job WHERE id <= 20 UNION SELECT id, name, 'dataset' FROM dataset WHERE id BETWEEN 10 AND 25")
-def union_pages(spark, sf_dir):
-    t = OrderTables(spark, sf_dir)
-    d = t.dataset.select("id", "name", F.lit("dataset").alias("kind"))
-    return d.where("id <= 20").union(t.job.where("id <= 20").select("id", "name", F.lit("job").alias("kind"))).union(d.where("id BETWEEN 10 AND 25")).distinct()
-
-
 # ingest: run events made from orders and line items, extracted again
 
 
-def _made_events(spark, sf_dir, most=3):
-    """One event per line item (the first ``most`` of an order, or all): an operation of a Spark application (the order) that reads or writes a table behind a path."""
+def _made_events(spark, sf_dir):
+    """One event per line item: an operation of a Spark application (the order) that reads or writes a table behind a path."""
     t = OrderTables(spark, sf_dir)
     o = t.source("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
-    e = t.source("lineitem").where("true" if most is None else F.col("l_linenumber") <= most).join(o, "l_orderkey")
+    e = t.source("lineitem").join(o, "l_orderkey")
     at = F.col("o_orderdate").cast("timestamp")
     uid = lambda k: ids.incremental_uuid(at, k.cast("string"))
     op = uid(F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2 + 1_000_000_000)
@@ -776,32 +725,32 @@ def _made_events(spark, sf_dir, most=3):
     return extract.classified(cut(parse_events(cut(e.select(value.alias("value"))))[0]))
 
 
-_MADE = "(SELECT l.*, o_custkey, o_orderdate FROM lineitem l JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 3)"
+_MADE = "(SELECT l.*, o_custkey, o_orderdate FROM lineitem l JOIN orders ON o_orderkey = l_orderkey)"
 _DS = "CASE WHEN l_suppkey % 2 = 0 THEN 'db.s' || l_suppkey ELSE '/data/s' || l_suppkey END"
 
 
 @query("ingest_jobs", f"SELECT DISTINCT 'yarn' AS location_type, 'cluster' AS location_name, 'app-' || o_custkey AS name FROM {_MADE}", mapped=False)
-def ingest_jobs(spark, sf_dir, most=3):
-    return extract.jobs(extract.merged_runs(_made_events(spark, sf_dir, most))).select("location_type", "location_name", "name")
+def ingest_jobs(spark, sf_dir):
+    return extract.jobs(extract.merged_runs(_made_events(spark, sf_dir))).select("location_type", "location_name", "name")
 
 
 @query("ingest_datasets", f"SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'hive' ELSE 'hdfs' END AS location_type, CASE WHEN l_suppkey % 2 = 0 THEN 'meta:9083' ELSE 'host1:9820' END AS location_name, {_DS} AS name FROM {_MADE} UNION SELECT 'hdfs', 'host1:9820', '/data/s' || l_suppkey FROM {_MADE}", mapped=False)
-def ingest_datasets(spark, sf_dir, most=3):
-    e = _made_events(spark, sf_dir, most)
+def ingest_datasets(spark, sf_dir):
+    e = _made_events(spark, sf_dir)
     return extract.datasets(extract.io(e, "inputs"), extract.io(e, "outputs"), extract.symlinks(e))
 
 
 @query("ingest_operations", f"SELECT 'app-' || o_custkey AS app, CAST(status AS BIGINT) AS status, count(*) AS n FROM (SELECT o_custkey, l_orderkey, l_linenumber % 2, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS status FROM {_MADE} GROUP BY ALL) GROUP BY ALL", mapped=False)
-def ingest_operations(spark, sf_dir, most=3):
-    e = _made_events(spark, sf_dir, most)
+def ingest_operations(spark, sf_dir):
+    e = _made_events(spark, sf_dir)
     ops, runs = extract.merged_operations(e).where("name = 'save'"), extract.merged_runs(e)
     both = ops.select("run_id", "status").join(runs.select(F.col("id").alias("run_id"), F.col("job.name").alias("app")), "run_id")
     return _long(both.groupBy("app", "status").agg(F.count("*").alias("n")), "status")
 
 
 def _ingest_io(side, flag):
-    def run(spark, sf_dir, most=3):
-        io = extract.merged_io(_made_events(spark, sf_dir, most), side)
+    def run(spark, sf_dir):
+        io = extract.merged_io(_made_events(spark, sf_dir), side)
         return io.groupBy(F.col("dataset.name").alias("name")).agg(F.count("*").alias("n"), F.sum("num_rows").alias("num_rows"))
 
     return run
@@ -810,57 +759,153 @@ def _ingest_io(side, flag):
 for _side, _flag in (("inputs", "= 'R'"), ("outputs", "<> 'R'")):
     query(f"ingest_{_side}", f"SELECT {_DS} AS name, count(*) AS n, CAST(sum(r) AS BIGINT) AS num_rows FROM (SELECT l_suppkey, l_orderkey, l_linenumber, max(CAST(l_quantity AS BIGINT)) AS r FROM {_MADE} WHERE l_returnflag {_flag} GROUP BY l_suppkey, l_orderkey, l_linenumber) GROUP BY l_suppkey", mapped=False)(_ingest_io(_side, _flag))
 
-# the same over all line items
-_MADE_ALL = "(SELECT l.*, o_custkey, o_orderdate FROM lineitem l JOIN orders ON o_orderkey = l_orderkey)"
-
-for _name in ("ingest_jobs", "ingest_datasets", "ingest_operations", "ingest_inputs", "ingest_outputs"):
-    query(f"{_name}_all", SQL[_name].replace(_MADE, _MADE_ALL), mapped=False)(partial(QUERIES[_name], most=None))
-
-
 # lineage over whole tables: all entities as starts, all pairs, all rows
 
 _WHOLE = f"SELECT source_dataset_id, target_dataset_id, source_column, target_column, CAST(types AS BIGINT) AS types, CAST(used AS DATE) AS last_at FROM ({_COMBINED.format('')})"
 
 
-@query("lineage_run_all", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "true") + _grain("OUTPUT", "dedup_out", "true")) + ")")
-def lineage_run_all(spark, sf_dir):
+@query("lineage_run", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "true") + _grain("OUTPUT", "dedup_out", "true")) + ")")
+def lineage_run(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     return _edges(lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.OPERATION))
 
 
-@query("lineage_operation_all", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "true") + _grain("OUTPUT", "dedup_out", "true")) + ")")
-def lineage_operation_all(spark, sf_dir):
+@query("lineage_operation", "SELECT * FROM (" + " UNION ALL ".join(_grain("INPUT", "dedup_in", "true") + _grain("OUTPUT", "dedup_out", "true")) + ")")
+def lineage_operation(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     return _edges(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH, SINCE, UNTIL))
 
 
 @query(
-    "lineage_parent_relations_all",
+    "lineage_parent_relations",
     """WITH ops AS (SELECT id, run_id FROM operation WHERE id IN (SELECT operation_id FROM dedup_in UNION SELECT operation_id FROM dedup_out))
        SELECT 'RUN' AS from_kind, CAST(run_id AS VARCHAR) AS from_id, 'OPERATION' AS to_kind, CAST(id AS VARCHAR) AS to_id FROM ops
        UNION ALL SELECT DISTINCT 'JOB', CAST(job_id AS VARCHAR), 'RUN', CAST(run.id AS VARCHAR) FROM run JOIN ops ON ops.run_id = run.id""",
 )
-def lineage_parent_relations_all(spark, sf_dir):
+def lineage_parent_relations(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     return lineage.parent_relations(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH), t)
 
 
-@query("column_lineage_pairs_all", _WHOLE)
-def column_lineage_pairs_all(spark, sf_dir):
+@query("column_lineage_pairs", _WHOLE)
+def column_lineage_pairs(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     pairs = t.column_lineage.select("source_dataset_id", "target_dataset_id").distinct()
     return _long(_date(columns.of_pairs(t.column_lineage, t.dataset_column_relation, pairs), "last_used_at"), "types")
 
 
-@query("column_lineage_by_job_all", _WHOLE)
-def column_lineage_by_job_all(spark, sf_dir):
+@query("column_lineage_by_job", _WHOLE)
+def column_lineage_by_job(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     shown = t.dataset.select("id")
     return _long(_date(columns.of_entities(t.column_lineage, t.dataset_column_relation, "job_id", t.job.select("id"), shown, shown), "last_used_at"), "types")
 
 
-@query("union_pages_all", "SELECT id, name, 'dataset' AS kind FROM dataset UNION SELECT id, name, 'job' FROM job")
-def union_pages_all(spark, sf_dir):
+@query("union_pages", "SELECT id, name, 'dataset' AS kind FROM dataset UNION SELECT id, name, 'job' FROM job")
+def union_pages(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     d = t.dataset.select("id", "name", F.lit("dataset").alias("kind"))
     return d.union(t.job.select("id", "name", F.lit("job").alias("kind"))).distinct()
+
+
+@query(
+    "ingest_schema_first",
+    f"""SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, CAST(sum(c) AS BIGINT) AS digits FROM (
+        SELECT l_orderkey, l_suppkey, l_orderkey * 2 + l_linenumber % 2 AS op, min(l_linenumber) AS c FROM {_MADE} WHERE l_returnflag = 'R' GROUP BY ALL) GROUP BY 1""",
+    mapped=False,
+)
+def ingest_schema_first(spark, sf_dir):
+    """Of several schemas of a read in an hour that told first: here a line item's number is its schema, and its minute the time."""
+    e = OrderTables(spark, sf_dir).source("lineitem").where("l_returnflag = 'R'")
+    rows = e.select(
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"), (F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2).alias("operation_id"), F.col("l_orderkey").alias("run_id"),
+        F.timestamp_seconds(F.col("l_linenumber") * 60).alias("told_at"), F.col("l_suppkey").alias("dataset"), F.col("l_linenumber").cast("string").alias("schema_digest"),
+        *(F.lit(None).cast("long").alias(c) for c in io_stats.COUNTERS),
+    )
+    first = extract.merged_rows(rows, "inputs")
+    return first.groupBy(F.col("run_id").alias("l_orderkey")).agg(F.count("*").alias("n"), F.sum(F.col("schema_digest").cast("long")).alias("digits"))
+
+
+# listings by address, location, end, with tags, statistics and texts
+
+
+@query("search_location_address", _search_sql([("location", "id", "type || ' ' || name"), ("(SELECT location_id AS id, url FROM address)", "id", "url")], ["h12.example"], ["h12", "example"]))
+def search_location_address(spark, sf_dir):
+    return listing.locations(OrderTables(spark, sf_dir), text="h12.example").select("id", "search_rank")
+
+
+@query("search_dataset_address", _search_sql([("dataset", "id", "name"), ("(SELECT d.id, url FROM dataset d JOIN address USING (location_id))", "id", "url")], ["h7.example:9000"], ["h7", "example", "9000"]))
+def search_dataset_address(spark, sf_dir):
+    return listing.datasets(OrderTables(spark, sf_dir), text="h7.example:9000").select("id", "search_rank")
+
+
+@query("search_job_page", f"SELECT id, search_rank FROM ({_search_sql([('job', 'id', 'name'), (_JOBS, 'id', "lt || ' ' || ln")], ['customer'], ['customer'])}) JOIN job USING (id) ORDER BY search_rank DESC, name LIMIT 20")
+def search_job_page(spark, sf_dir):
+    found = listing.jobs(OrderTables(spark, sf_dir), text="customer")
+    return listing.page_rows(found, listing.by_rank(F.asc("name"))).select("id", "search_rank")
+
+
+@query("runs_ended_in_locations", "SELECT run.id, job_id, CAST(ended_at AS DATE) AS ended FROM run WHERE ended_at BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' AND job_id IN (SELECT id FROM job WHERE location_id IN (1, 2, 3, 4, 5))")
+def runs_ended_in_locations(spark, sf_dir):
+    found = listing.runs(OrderTables(spark, sf_dir), ended_since=DAY(1997, 1, 1), ended_until=DAY(1997, 12, 31), job_location_ids=[1, 2, 3, 4, 5])
+    return _date(found.select("id", "job_id", "ended_at"), "ended_at", "ended")
+
+
+@query("jobs_with_tags", "SELECT job.id, coalesce((SELECT string_agg(tag_value, '|' ORDER BY tag_value) FROM job_tag_value t WHERE t.job_id = job.id), '') AS priorities FROM job")
+def jobs_with_tags(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    bridge = t.job_tag_value.select("job_id", F.lit("priority").alias("tag"), F.col("tag_value").alias("value"))
+    rows = listing.with_tags(t.job, bridge, "job_id")
+    return rows.select("id", F.coalesce(F.array_join(F.get("tags", F.lit(0))["values"], "|"), F.lit("")).alias("priorities"))
+
+
+@query(
+    "operations_page_with_stats",
+    """WITH p AS (SELECT id FROM operation WHERE operation.created_at >= TIMESTAMP '1998-01-01' ORDER BY operation.created_at DESC, id DESC LIMIT 50)
+       SELECT p.id, (SELECT count(DISTINCT dataset_id) FROM dedup_in d WHERE d.operation_id = p.id) AS inputs_total_datasets, (SELECT coalesce(CAST(sum(num_rows) AS BIGINT), 0) FROM dedup_in d WHERE d.operation_id = p.id) AS inputs_total_rows,
+       (SELECT coalesce(CAST(sum(num_bytes) AS BIGINT), 0) FROM dedup_out d WHERE d.operation_id = p.id) AS outputs_total_bytes FROM p""",
+)
+def operations_page_with_stats(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    page = listing.page_rows(io_stats.in_period(t.operation, DAY(1998, 1, 1)), [F.desc("created_at"), F.desc("id")], page_size=50)
+    return listing.with_operation_statistics(page, t).select("id", "inputs_total_datasets", "inputs_total_rows", "outputs_total_bytes")
+
+
+@query("operations_with_query_text", "SELECT id, CASE WHEN id % 3 <> 0 THEN 'SELECT ' || (id % 50) END AS sql_query FROM operation")
+def operations_with_query_text(spark, sf_dir):
+    rows = OrderTables(spark, sf_dir).operation.withColumn("sql_fingerprint", F.when(F.col("id") % 3 != 0, ids.static_uuid((F.col("id") % 50).cast("string"))))
+    texts = spark.range(50).select(ids.static_uuid(F.col("id").cast("string")).alias("fingerprint"), F.concat(F.lit("SELECT "), F.col("id").cast("string")).alias("query"))
+    return listing.with_query_text(rows, texts).select("id", "sql_query")
+
+
+@query("location_patched", "SELECT id, name, CASE WHEN id = 3 THEN 'ext-3' END AS external_id FROM location")
+def location_patched(spark, sf_dir):
+    return merge.set_external_id(OrderTables(spark, sf_dir).location, 3, "ext-3").select("id", "name", "external_id")
+
+
+@query("location_match", "SELECT type, CASE WHEN id % 2 = 0 THEN name ELSE 'other-' || id END AS name, CASE WHEN id % 5 <> 1 OR id % 2 = 0 THEN id END AS id FROM location")
+def location_match(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    known = t.location.join(t.address.select(F.col("location_id").alias("id"), "url"), "id")
+    name = F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("other-"), F.col("id").cast("string")))
+    new = known.select("type", name.alias("name"), F.array(F.when(F.col("id") % 5 != 1, F.col("url")).otherwise("jdbc://nowhere")).alias("addresses"))
+    return merge.match_locations(new, t.location, t.address).select("type", "name", "id")
+
+
+@query("facts_repointed", "SELECT CAST(CASE WHEN dataset_id % 2 = 0 AND dataset_id > 0 THEN dataset_id - 1 ELSE dataset_id END AS BIGINT) AS dataset_id, count(*) AS n, CAST(sum(num_rows) AS BIGINT) AS num_rows FROM inputs GROUP BY 1")
+def facts_repointed(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    pair = F.floor((F.col("id") + 1) / 2).cast("string")
+    moved = merge.collapse_partitions(t.dataset.withColumn("location_id", F.lit(0)), F.concat(F.lit("/data/"), pair, F.lit("/day="), F.col("id").cast("string")))
+    return merge.repoint(t.input, moved).groupBy("dataset_id").agg(F.count("*").alias("n"), F.sum("num_rows").alias("num_rows"))
+
+
+@query(
+    "lineage_symlinks_encoded",
+    f"SELECT DISTINCT type, 'DATASET' AS from_kind, CAST(from_dataset_id AS VARCHAR) AS from_id, 'DATASET' AS to_kind, CAST(to_dataset_id AS VARCHAR) AS to_id FROM dataset_symlink WHERE from_dataset_id IN {_STARTS} OR to_dataset_id IN {_STARTS}",
+)
+def lineage_symlinks_encoded(spark, sf_dir):
+    t = OrderTables(spark, sf_dir)
+    out = lineage.Lineage()
+    out.symlinks.append(lineage.Walker(t).closure(t.dataset.where(F.col("id").isin(_IDS)).select("id"))[1])
+    return lineage.symlink_rows(out)

@@ -12,12 +12,13 @@ SQL: dict[str, str] = {}
 #: The mapping of order tables onto lineage tables, in SQL.
 MAPPED = """
 location AS (SELECT CAST(n_nationkey AS BIGINT) AS id, lower(r_name) AS type, lower(n_name) AS name FROM nation JOIN region ON n_regionkey = r_regionkey),
+address AS (SELECT CAST(n_nationkey AS BIGINT) AS location_id, 'jdbc://h' || n_nationkey || '.example:9000' AS url FROM nation),
 dataset AS (SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS location_id, s_name AS name FROM supplier),
 job AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS location_id, c_name AS name, c_mktsegment AS type FROM customer),
 run AS (SELECT o_orderkey AS id, o_orderdate AS created_at, o_custkey AS job_id,
                CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey - 1 END AS parent_run_id,
                CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS status,
-               'run-' || o_orderkey AS external_id, o_orderdate AS started_at, o_custkey % 150 AS started_by_user_id, o_orderpriority AS start_reason
+               'run-' || o_orderkey AS external_id, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 2 DAY END AS ended_at, o_custkey % 150 AS started_by_user_id, o_orderpriority AS start_reason
         FROM orders),
 users AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS id, 'user' || user_id AS name FROM events),
 facts AS (SELECT l_shipdate AS created_at, l_orderkey * 2 + l_linenumber % 2 AS operation_id, l_orderkey AS run_id, o_custkey AS job_id, l_suppkey AS dataset_id,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,38 @@ def partitions_before(names: DataFrame, keep_after: dt.date) -> DataFrame:
     return names.where(found != "").withColumn("begin", begin).where(F.col("begin") < F.lit(keep_after))
 
 
+DRY_RUN, DETACH, DROP, TRUNCATE = "dry_run", "detach", "drop", "truncate"
+
+
+def clean_up(path: str, tables: list[str], keep_after: dt.date, command: str = DRY_RUN) -> list[tuple[str, dt.date]]:
+    """(table, day) of the stored days before ``keep_after``, after doing to them what ``command`` names.
+
+    A dry run only lists them. Detached days move to ``<table>_detached``, dropped ones go, truncated ones keep an
+    empty folder. Folders are handled by name, so no data is read; ``path`` is a URI of any store that pyarrow opens.
+    """
+    from pyarrow import fs
+
+    if command not in (DRY_RUN, DETACH, DROP, TRUNCATE):
+        raise ValueError(f"unknown command {command}")
+    files, root = fs.FileSystem.from_uri(path)
+    found = []
+    for table in tables:
+        for info in files.get_file_info(fs.FileSelector(f"{root}/{table}", allow_not_found=True)):
+            day = re.fullmatch(r"created_date=(\d{4}-\d{2}-\d{2})", info.base_name)
+            if day and info.type == fs.FileType.Directory and dt.date.fromisoformat(day[1]) < keep_after:
+                found.append((table, dt.date.fromisoformat(day[1])))
+    for table, day in found:
+        folder = f"{root}/{table}/created_date={day}"
+        if command == DROP:
+            files.delete_dir(folder)
+        elif command == TRUNCATE:
+            files.delete_dir_contents(folder)
+        elif command == DETACH:
+            files.create_dir(f"{root}/{table}_detached", recursive=True)
+            files.move(folder, f"{root}/{table}_detached/created_date={day}")
+    return sorted(found)
+
+
 def write_fact(df: DataFrame, path: str, created: str = "created_at") -> None:
     """Writes facts by day. Days that ``df`` has are replaced, others stay."""
     dated = df.withColumn("created_date", F.to_date(created))

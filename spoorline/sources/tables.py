@@ -43,6 +43,11 @@ class OrderTables:
         nation = self.source("nation").join(region, "n_regionkey")
         return nation.select(F.col("n_nationkey").cast("long").alias("id"), "type", F.lower("n_name").alias("name"), F.lit(None).cast("string").alias("external_id"))
 
+    @cached_property
+    def address(self) -> DataFrame:
+        n = self.source("nation").select(F.col("n_nationkey").cast("long").alias("location_id"))
+        return n.select("location_id", F.concat(F.lit("jdbc://h"), F.col("location_id").cast("string"), F.lit(".example:9000")).alias("url"))
+
     @cached_property
     def dataset(self) -> DataFrame:
         return self.source("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("location_id"), F.col("s_name").alias("name"))
@@ -64,6 +69,7 @@ class OrderTables:
             status.alias("status"),
             F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("external_id"),
             F.col("o_orderdate").alias("started_at"),
+            F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("ended_at"),
             (F.col("o_custkey") % 150).alias("started_by_user_id"),
             F.col("o_orderpriority").alias("start_reason"),
         )

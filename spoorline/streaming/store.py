@@ -1,12 +1,13 @@
 """Stored lineage tables that micro-batches of run events are merged into.
 
-Entities are kept under natural keys, so a batch that comes again changes nothing. Facts are partitioned by day and
-only the days that a batch touches are written again (dynamic partition overwrite); other tables get a new version
-and the one before stays until the next, so readers and failed writes never see half a table.
+Entities are kept under natural keys, so a batch that comes again changes nothing. Facts are partitioned by day, other
+tables by a hash of their key, and only the days or buckets that a batch touches are written again (dynamic partition
+overwrite). Tables whose rows never change are only added to: a batch's missing rows are appended.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,37 +29,34 @@ KEYS = {
 FACTS = {
     "run": ["id"],
     "operation": ["id"],
-    "input": ["created_at", "operation_id", "dataset"],
-    "output": ["created_at", "operation_id", "dataset"],
+    "input": ["created_at", "operation_id", "dataset", "schema_digest"],
+    "output": ["created_at", "operation_id", "dataset", "schema_digest"],
     "column_lineage": ["created_at", "operation_id", "source", "target", "fingerprint"],
 }
 
 
-class Store:
-    """Tables under ``path``; ``save`` merges a batch of parsed events."""
+#: Tables of which a row, once told, is never told otherwise.
+FIXED = ("schema", "sql_query", "dataset_tag_value", "dataset_symlink")
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+class Store:
+    """Tables under ``path``; ``save`` merges a batch of parsed events. ``buckets`` is fixed with the first batch."""
 
-    def _versions(self, name: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(f"{self.path}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        found = [x.getPath() for x in fs.listStatus(folder)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName()[0] == "v" and fs.exists(hadoop.Path(p, "_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-    def _exists(self, name: str) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+    def _stored(self, name: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # before the first batch
+                return None
+            raise
 
     def read(self, name: str) -> DataFrame | None:
         """A table as it stands; None before the first batch."""
-        if name in FACTS:
-            return self.spark.read.parquet(f"{self.path}/{name}") if self._exists(name) else None
-        versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/v{versions[-1]}") if versions else None
+        found = self._stored(name)
+        return found if found is None or name in FACTS else found.drop("_bucket")
 
     def save(self, events: DataFrame) -> None:
         """Merges the entities of a batch, in the order in which tables refer to each other."""
@@ -69,20 +67,26 @@ class Store:
                 self._merge_table(name, rows)
 
     def _merge_table(self, name: str, rows: DataFrame) -> None:
-        stored = self.read(name)
+        keys = ["job"] if name == "job_tag_value" else KEYS[name]
+        rows = self._keyed(name, rows) if name in KEYS else rows
+        rows = cut(rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")))
+        shown = [c for c in rows.columns if c not in ("_low", "_target")]
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # as many as there are buckets
+        stored = self._stored(name)
+        if not touched:
+            return
+        stored = stored if stored is None else stored.where(F.col("_bucket").isin(touched)).select(*shown)
+        if name in FIXED:
+            fresh = rows.dropDuplicates(keys) if stored is None else merge.insert_missing(self._keyed(name, stored), rows, keys)
+            return fresh.select(*shown).write.mode("append").partitionBy("_bucket").parquet(f"{self.path}/{name}")
         if name == "job_tag_value":
-            merged = rows if stored is None else merge.replace_tags(stored, rows, "job")
+            merged = rows if stored is None else merge.replace_tags(stored, rows.select(*shown), "job")
         else:
-            keyed = self._keyed(name, rows)
-            both = keyed if stored is None else self._keyed(name, stored).withColumn("_new", F.lit(0)).unionByName(keyed.withColumn("_new", F.lit(1)))
+            both = rows if stored is None else self._keyed(name, stored).withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
             order = F.col("_new") if stored is not None else F.lit(1)
-            rest = [c for c in rows.columns if c not in KEYS[name]]
-            merged = (both.groupBy(*KEYS[name]).agg(*(self._value(c, order) for c in rest)) if rest else both.select(*KEYS[name]).distinct()).select(*rows.columns)
-        versions = self._versions(name)
-        cut(merged).write.mode("overwrite").parquet(f"{self.path}/{name}/v{versions[-1] + 1 if versions else 0}")
-        for old in versions[:-1]:
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/v{old}")
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            rest = [c for c in shown if c not in (*keys, "_bucket")]
+            merged = both.groupBy(*keys, "_bucket").agg(*(self._value(c, order) for c in rest)) if rest else both.select(*keys, "_bucket").distinct()
+        cut(merged.select(*shown)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/{name}")
 
     def _keyed(self, name: str, rows: DataFrame) -> DataFrame:
         if "_low" in KEYS[name]:
@@ -103,7 +107,7 @@ class Store:
         days = [r[0] for r in rows.select("created_date").distinct().collect()]  # as many as a batch touches
         if not days:
             return
-        stored = self.read(name)
+        stored = self._stored(name)
         if stored is not None:
             stored = stored.where(F.col("created_date").isin(days) | (F.col("created_date").isNull() if None in days else F.lit(False)))
             greatest = ("status", "num_bytes", "num_rows", "num_files")

@@ -1,6 +1,8 @@
 """Run events of every integration, in order and reversed, through extraction, stream and store."""
 
+import datetime as dt
 import json
+import uuid
 
 import pytest
 
@@ -8,11 +10,18 @@ from spoorline.operators import extract
 from spoorline.streaming import ingest
 from spoorline.streaming.store import Store
 
-APP, SQL, DAG, TASK = (f"01908224-8410-79a2-8de6-a769ad6944c{i}" for i in range(4))
-FLINK, DBT, MODEL, HIVE, OTHER, INNER = (f"01908224-8410-79a2-8de6-a769ad6944d{i}" for i in range(6))
 
 
-def event(kind, run, name, namespace="local://host", at="2024-07-05T09:06:29.462Z", job=None, facets=None, inputs=(), outputs=()):
+def made_id(n, at="2024-03-11T14:20:31.250"):
+    """A UUIDv7 of an instant with ``n`` in its last bits."""
+    millis = int(dt.datetime.fromisoformat(at + "+00:00").timestamp() * 1000)
+    return str(uuid.UUID(int=millis << 80 | 7 << 76 | 2 << 62 | n))
+
+
+APP, SQL, DAG, TASK, FLINK, DBT, MODEL, HIVE, OTHER, INNER = map(made_id, range(101, 111))
+
+
+def event(kind, run, name, namespace="local://host", at="2024-03-11T14:21:07.125Z", job=None, facets=None, inputs=(), outputs=()):
     return {"eventTime": at, "eventType": kind, "job": {"namespace": namespace, "name": name, "facets": job or {}}, "run": {"runId": run, "facets": facets or {}}, "inputs": list(inputs), "outputs": list(outputs), "producer": "x"}
 
 
@@ -41,20 +50,20 @@ def events():
     click = {"namespace": "clickhouse://ch:8123", "name": "db.out", "facets": {"columnLineage": lineage, "lifecycleStateChange": {"lifecycleStateChange": "OVERWRITE"}}}
     spark = {"processing_engine": {"name": "Spark", "version": "3.5.1", "openlineageAdapterVersion": "1.19"}}
     app = {**spark, "spark_applicationDetails": {"applicationId": "app_1", "userName": "me", "uiWebUrl": "http://ui:4040", "historyUrl": "http://h/1,http://h/2"}}
-    dag = {"dag": {"dag_id": "my dag", "owner": "airflow", "tags": ["env:prod", "plain"]}, "dagRun": {"run_id": "manual__1+0", "run_type": "manual", "data_interval_start": "2024-07-05T09:04:12Z"}}
+    dag = {"dag": {"dag_id": "my dag", "owner": "airflow", "tags": ["env:prod", "plain"]}, "dagRun": {"run_id": "manual__1+0", "run_type": "manual", "data_interval_start": "2024-03-11T14:04:12Z"}}
     task = {**dag, "task": {"task_id": "t1", "operator_class": "Op", "task_group": {"group_id": "g"}}, "taskInstance": {"try_number": 2}}
     return [
         event("START", APP, "app", job=job_type("SPARK", "APPLICATION", "NONE"), facets=app),
-        event("START", SQL, "app.insert\n  x", at="2024-07-05T09:06:30Z", job=job_type("SPARK", "SQL_JOB"), facets={**spark, **parent(APP, "app")}, inputs=[path], outputs=[click]),
-        event("COMPLETE", SQL, "app.insert\n  x", at="2024-07-05T10:40:00Z", job=job_type("SPARK", "SQL_JOB"), facets={**spark, **parent(APP, "app"), "spark_jobDetails": {"jobId": 3, "jobDescription": "what"}}, inputs=[path], outputs=[{**click, "outputFacets": {"outputStatistics": {"rowCount": 7, "size": 0}}}]),
-        event("COMPLETE", APP, "app", at="2024-07-05T11:00:00Z", job=job_type("SPARK", "APPLICATION", "NONE")),
-        event("START", DAG, "my dag", "http://air:8081", job=job_type("AIRFLOW", "DAG"), facets={"airflowDagRun": dag, "processing_engine": {"name": "Airflow", "version": "2.10.5"}, "nominalTime": {"nominalStartTime": "2024-07-05T09:00:00Z", "nominalEndTime": "2024-07-05T09:00:00Z"}}),
+        event("START", SQL, "app.insert\n  x", at="2024-03-11T14:21:09Z", job=job_type("SPARK", "SQL_JOB"), facets={**spark, **parent(APP, "app")}, inputs=[path], outputs=[click]),
+        event("COMPLETE", SQL, "app.insert\n  x", at="2024-03-11T15:55:00Z", job=job_type("SPARK", "SQL_JOB"), facets={**spark, **parent(APP, "app"), "spark_jobDetails": {"jobId": 3, "jobDescription": "what"}}, inputs=[path], outputs=[{**click, "outputFacets": {"outputStatistics": {"rowCount": 7, "size": 0}}}]),
+        event("COMPLETE", APP, "app", at="2024-03-11T16:10:00Z", job=job_type("SPARK", "APPLICATION", "NONE")),
+        event("START", DAG, "my dag", "http://air:8081", job=job_type("AIRFLOW", "DAG"), facets={"airflowDagRun": dag, "processing_engine": {"name": "Airflow", "version": "2.10.5"}, "nominalTime": {"nominalStartTime": "2024-03-11T14:00:00Z", "nominalEndTime": "2024-03-11T14:00:00Z"}}),
         event("START", TASK, "my dag.t1", "http://air:8081", job=job_type("AIRFLOW", "TASK"), facets={"airflow": task, **parent(DAG, "my dag", "http://air:8081"), "processing_engine": {"name": "Airflow", "version": "3.0.1"}}),
-        event("FAIL", TASK, "my dag.t1", "http://air:8081", at="2024-07-05T12:00:00Z", job=job_type("AIRFLOW", "TASK"), facets=parent(DAG, "my dag", "http://air:8081")),
+        event("FAIL", TASK, "my dag.t1", "http://air:8081", at="2024-03-11T17:00:00Z", job=job_type("AIRFLOW", "TASK"), facets=parent(DAG, "my dag", "http://air:8081")),
         event("RUNNING", FLINK, "kafka job", "http://flink:8081/", job=job_type("FLINK", "JOB", "STREAMING"), facets={"flink_job": {"jobId": "f1"}}, inputs=[{"namespace": "kafka://k1:9092,k2:9092", "name": "in", "facets": {"symlinks": {"identifiers": [{"namespace": "kafka://k1:9092", "name": "fake", "type": "TABLE"}]}}}], outputs=[{"namespace": "kafka://k1:9092", "name": "out"}]),
         event("START", DBT, "dbt-run", job=job_type("DBT", "JOB"), facets={"dbt_run": {"invocation_id": "inv"}, "tags": {"tags": [{"key": "team:data", "value": "true"}, {"key": "openlineage_client_version", "value": "1.2"}]}}),
         event("COMPLETE", MODEL, "schema.model", job=job_type("DBT", "MODEL", sql={"query": "  select 1\n  from x"}), facets={"dbt_run": {"invocation_id": "inv"}, **parent(DBT, "dbt-run")}, outputs=[{"namespace": "spark://th:10000", "name": "None.schema.model"}]),
-        event("COMPLETE", HIVE, "createtable_as_select.db.t", "hive://hs:10000", job=job_type("HIVE", "QUERY", sql={"query": "create table t as select 1"}), facets={"hive_query": {"queryId": "q1", "operationName": "CREATETABLE_AS_SELECT"}, "hive_session": {"username": "me", "clientIp": "1.2.3.4", "sessionId": "s1", "creationTime": "2024-07-05T09:00:00.5Z"}}, outputs=[{"namespace": "hive://meta:9083", "name": "db.t"}]),
+        event("COMPLETE", HIVE, "createtable_as_select.db.t", "hive://hs:10000", job=job_type("HIVE", "QUERY", sql={"query": "create table t as select 1"}), facets={"hive_query": {"queryId": "q1", "operationName": "CREATETABLE_AS_SELECT"}, "hive_session": {"username": "me", "clientIp": "1.2.3.4", "sessionId": "s1", "creationTime": "2024-03-11T14:00:00.5Z"}}, outputs=[{"namespace": "hive://meta:9083", "name": "db.t"}]),
         event("OTHER", OTHER, "thing", job={}, facets={"mine_run": {"external_id": "e1", "started_by_user": "You"}}),
         event("START", INNER, "thing.step", job={}, facets={**parent(OTHER, "thing"), "mine_operation": {"name": "step", "position": 4}}),
     ]
@@ -78,7 +87,7 @@ def test_runs(tables):
     assert len(runs) == 7
     app = runs[APP]
     assert (app["external_id"], app["user"], app["status"], app["persistent_log_url"], app["running_log_url"]) == ("app_1", "me", 1, "http://h/1", "http://ui:4040")
-    assert app["job"]["type"] == "SPARK_APPLICATION" and str(app["started_at"])[:19] == "2024-07-05 09:06:29"
+    assert app["job"]["type"] == "SPARK_APPLICATION" and str(app["started_at"])[:19] == "2024-03-11 14:21:07"
     assert runs[DAG]["persistent_log_url"] == "http://air:8081/dags/my dag/grid?dag_run_id=manual__1%2B0"
     assert runs[DAG]["start_reason"] == "MANUAL" and runs[DAG]["user"] is None and runs[DAG]["expected_start_at"] is not None and runs[DAG]["expected_end_at"] is None
     task = runs[TASK]
@@ -102,9 +111,9 @@ def test_operations(tables):
 
 def test_reads_and_writes(tables):
     ins = {(r["operation_id"], str(r["created_at"])[11:16]): r for r in tables["input"]}
-    first = ins[SQL, "09:05"]
+    first = ins[SQL, "14:20"]
     assert first["dataset"]["name"] == "db.src" and first["num_rows"] is None and first["num_bytes"] == 10 and first["schema_digest"]
-    assert (SQL, "10:05") in ins  # the hour of the last event
+    assert (SQL, "15:20") in ins  # the hour of the last event
     outs = {r["dataset"]["name"]: r for r in tables["output"] if r["num_rows"] or r["dataset"]["name"] != "db.out"}
     assert outs["db.out"]["type"] == 16 and outs["db.out"]["num_rows"] == 7 and outs["db.out"]["num_bytes"] is None
     assert outs["out"]["type"] == 1 and outs["schema.model"]["type"] == 1 and outs["db.t"]["type"] == 2
@@ -161,3 +170,42 @@ def test_stream_into_the_store_twice(spark, tmp_path):
     valid, _ = ingest.parse_events(spark.createDataFrame([(json.dumps(e),) for e in events()], "value string"))
     store.save(valid)  # a batch that comes again changes nothing
     assert {name: store.read(name).count() for name in snapshot} == snapshot
+
+
+def test_schema_of_a_read_is_the_one_told_first(spark):
+    first, then = ({"namespace": "hdfs://nn:9820", "name": "/x", "facets": {"schema": {"fields": [{"name": n, "type": "int"}]}}} for n in ("a", "b"))
+    rows = [event("RUNNING", SQL, "app.x", at=f"2024-03-11T14:3{i}:00Z", job=job_type("SPARK", "SQL_JOB"), facets=parent(APP, "app"), inputs=[d]) for i, d in enumerate((first, then))]
+    for some in (rows, rows[::-1]):
+        got = extract.merged_io(parsed(spark, some)[0], "inputs").collect()
+        digest = extract.io(parsed(spark, rows[:1])[0], "inputs").head().schema_digest
+        assert [r.schema_digest for r in got] == [digest]
+
+
+def test_another_schema_is_a_row_of_its_own_in_the_store(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", buckets=4)
+    for i, (name, rows) in enumerate((("a", 5), ("b", 3), ("a", 9))):
+        d = {"namespace": "hdfs://nn:9820", "name": "/x", "facets": {"schema": {"fields": [{"name": name, "type": "int"}]}}, "inputFacets": {"inputStatistics": {"rowCount": rows}}}
+        store.save(parsed(spark, [event("RUNNING", SQL, "app.x", at=f"2024-03-11T14:3{i}:00Z", job=job_type("SPARK", "SQL_JOB"), facets=parent(APP, "app"), inputs=[d])])[0])
+    assert sorted(r.num_rows for r in store.read("input").collect()) == [3, 9]
+    assert store.read("schema").count() == 2 and store.read("dataset").count() == 1 and store.read("nothing") is None
+    assert sorted(store.read("schema").columns) == ["schema", "schema_digest"]
+
+
+def test_unknown_job_names_give_way(spark):
+    rows = [event("START", APP, "unknown", at="2024-03-11T14:30:00Z", job=job_type("SPARK", "APPLICATION", "NONE")), event("RUNNING", APP, "real", at="2024-03-11T14:31:00Z", job=job_type("SPARK", "APPLICATION", "NONE")), event("COMPLETE", APP, "unknown", at="2024-03-11T14:32:00Z", job=job_type("SPARK", "APPLICATION", "NONE"))]
+    assert [r.job.name for r in extract.merged_runs(parsed(spark, rows)[0]).collect()] == ["real"]
+
+
+def test_nested_fields_are_cleaned(spark):
+    inner = [{"name": "y", "type": "int", "description": "  "}, {"name": "z", "type": "", "fields": [{"name": "w", "type": "", "description": " deep "}]}]
+    d = {"namespace": "hdfs://nn:9820", "name": "/x", "facets": {"schema": {"fields": [{"name": "x", "type": "struct", "fields": inner}, {"name": "q", "type": "int", "fields": []}]}}}
+    e = event("RUNNING", SQL, "app.x", job=job_type("SPARK", "SQL_JOB"), facets=parent(APP, "app"), inputs=[d])
+    got = json.loads(extract.io(parsed(spark, [e])[0], "inputs").head().schema)
+    assert got == [{"name": "x", "type": "struct", "fields": [{"name": "y", "type": "int"}, {"name": "z", "fields": [{"name": "w", "description": "deep"}]}]}, {"name": "q", "type": "int"}]
+
+
+def test_partition_key_takes_the_root_then_the_parent(spark):
+    root = {"parent": {**parent(APP, "app")["parent"], "root": {"job": {"namespace": "n", "name": "top"}, "run": {"runId": APP}}}}
+    rows = [event("START", SQL, "a.b", facets=root), event("START", SQL, "a.b", facets=parent(APP, "app")), event("START", APP, "app")]
+    got = {r[0] for r in parsed(spark, rows)[0].select(ingest.partition_key()).collect()}
+    assert got == {"run:n/top", "run:local://host/app"}

@@ -10,10 +10,14 @@
 4. Verification. The similarity of a window and an item of as many words is the weight of the shingles that they
    share, repeats counted, over the weight of the item's shingles; a shingle weighs ln(1 + items / items that have it).
 
-The radius loses some windows of similarity 0.8, and steps 1 to 3 see aligned windows only. The query and the pipeline
-therefore use ``every_contaminated``, which verifies every window that shares a shingle; fingerprints give its distance.
-
-Items of fewer words than a shingle are one shingle as a whole. Broadcasts stand behind a count of what they hold.
+No radius bounds the similarity: with seven words at the edges of a 39-word item changed, similarity is exactly 0.8 and
+one window in seven lies beyond 15 bits. Steps 1 to 3 also see aligned windows only. The query and the pipeline therefore
+use ``every_contaminated``, which weighs every window of an item's length that shares a shingle with it; fingerprints
+give its distance.
+
+Items of fewer words than a shingle are one shingle as a whole. Broadcasts stand behind a count of rows of a fixed
+width, or of bytes where rows hold lists. A text is read as one row, however long: a row of hits takes 24 bytes for each
+place of the text where a shingle of that item stands.
 """
 
 from __future__ import annotations
@@ -24,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, let
+from .common import cut, let, small_side
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS, BLOCK_BITS = 8, 8
-#: Up to so many rows (of about 50 bytes) a side may be broadcast; beyond, the join shuffles.
+#: Up to so many rows of a fixed width (some 60 bytes) a side may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
@@ -80,12 +84,12 @@ def windows_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     marks = items.select("k", "n", F.posexplode("sh").alias("q", "h")).groupBy("h", "k").agg(F.collect_set(F.struct("n", "q")).alias("at"))
     marks = cut(marks)
     lengths = [r.k for r in marks.select("k").distinct().collect()]  # five at most
-    rows = marks.count()
+    held = marks.agg(F.sum(F.size("at") * 8 + 60)).head()[0] or 0
     words = docs.select("id", words_of(F.col("t")).alias("w"))
 
     def hits(k: int) -> DataFrame:
         placed = words.select("id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("p", "h"))
-        met = placed.join(_side(marks.where(F.col("k") == k).drop("k"), rows), "h")
+        met = placed.join(small_side(marks.where(F.col("k") == k).drop("k"), 1, held), "h")
         at = met.select("id", "size", "p", F.explode("at").alias("x")).select("id", "size", F.col("x.n").alias("n"), (F.col("p") - F.col("x.q")).alias("start"))
         # a window that would hang over an end of the text is moved inside it
         start = F.greatest(F.lit(0), F.least(F.col("start"), F.col("size") - F.col("n")))
@@ -108,7 +112,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_items = items.count()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     windows = cut(windows_of(texts, items))
-    found = texts.join(_side(windows.withColumnRenamed("id", "of"), windows.count()), F.col("id").eqNullSafe(F.col("of")))
+    held = windows.agg(F.sum(F.size("windows") * 16 + 100)).head()[0] or 0
+    found = texts.join(small_side(windows.withColumnRenamed("id", "of"), 1, held), F.col("id").eqNullSafe(F.col("of")))
     found = found.select("id", words_of(F.col("t")).alias("w"), F.explode("windows").alias("x"))
     found = found.select("id", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w"), F.col("x.n").alias("n"), F.col("x.k").alias("k"))
     sh = reduce(lambda rest, k: F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(rest), range(1, SHINGLE), shingles(F.col("w"), SHINGLE))
@@ -182,7 +187,8 @@ def every_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     steps = found.select("id", "th", "key", "item", "item_fp", "n", "goal", "most", F.explode("edges").alias("e")).groupBy("id", "th", "key", "item", "item_fp", "n", "goal", "most", F.col("e.at").alias("at")).agg(F.sum("e.v").alias("v"))
     steps = steps.withColumn("sum", F.sum("v").over(by)).withColumn("to", F.lead("at").over(by)).where((F.col("sum") >= least) & F.col("to").isNotNull())
     spans = cut(steps.groupBy("id", "th", "item", "item_fp", "n").agg(F.max(F.col("most") / F.col("goal")).alias("similarity"), F.collect_set(F.struct("at", "to")).alias("spans")))
-    near = texts.join(_side(spans.withColumnRenamed("id", "of").withColumnRenamed("th", "of_th"), spans.count()), F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
+    held = spans.agg(F.sum(F.size("spans") * 16 + 100)).head()[0] or 0
+    near = texts.join(small_side(spans.withColumnRenamed("id", "of").withColumnRenamed("th", "of_th"), 1, held), F.col("id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("of_th")))
     starts = F.flatten(F.transform("spans", lambda x: F.sequence(x["at"], x["to"] - 1)))
     distance = let(words_of(F.col("t")), lambda w: F.array_min(F.transform(starts, lambda s: F.bit_count(simhash(F.slice(w, s + 1, F.col("n"))).bitwiseXOR(F.col("item_fp"))))))
     return near.withColumn("distance", distance).groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col)).agg(F.max("similarity").alias("similarity"), F.min("distance").alias("distance"))

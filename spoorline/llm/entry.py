@@ -86,5 +86,25 @@ ORACLE_SQL = {
 }
 
 
+def _rules_sql() -> str:
+    """The counts of operator 8 in plain SQL, and its table of thresholds compiled again from the same values."""
+    space, none = r"\x20\x09-\x0D", r"[^\x20\x09-\x0D]"
+    stop = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+    sides = [f"({per} = 0 OR ({' AND '.join([f'{m} >= {lo} * {per}'] * (lo is not None) + [f'{m} <= {hi} * {per}'] * (hi is not None))}))" for _, m, per, lo, hi in rules.THRESHOLDS]
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+             s AS (SELECT r, doc_id, t, regexp_extract_all(t, '{none}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{none}')) AS l FROM d),
+             win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s)),
+             twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+             rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+             m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+                          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop_words, len(l) AS n_lines,
+                          len(list_filter(l, lambda x: regexp_matches(x, '^[{space}]*[-*•]'))) AS n_bullet_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[{space}]*$'))) AS n_ellipsis_lines
+                   FROM s LEFT JOIN rep USING (r)),
+             f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(sides)} AS kept FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL
+    return ORACLE_SQL | {"op8_quality_rules": _rules_sql()}

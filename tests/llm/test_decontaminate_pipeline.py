@@ -200,6 +200,16 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     assert got == sorted(((i, tuple(tool.encode(t or ""))) for i, t in masked), key=str)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, str(tmp_path)).columns == table.columns, name
+    # a run that failed goes on after the stages that it finished
+    def again(*_):
+        pytest.fail("a finished stage ran again")
+
+    folder = f"file://{tmp_path}/stages"
+    first = sorted(((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path), folder).collect()), key=str)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "STAGES", [(n, again if i < 4 else f) for i, (n, f) in enumerate(corpus_pipeline.STAGES)])
+        second = sorted(((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path), folder).collect()), key=str)
+    assert first == second == got
 
 
 def brute_all(docs, items):

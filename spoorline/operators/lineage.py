@@ -90,14 +90,14 @@ class Walker:
         return without(ids, self.seen[kind]) if kind in self.seen else ids
 
     def _visit(self, kind: str, ids: DataFrame) -> None:
-        self.seen[kind] = cut(self.seen[kind].union(ids).distinct()) if kind in self.seen else ids
+        self.seen[kind] = self.seen[kind].union(ids) if kind in self.seen else ids  # each part is stored
 
     # steps
 
     def closure(self, ids: DataFrame, skip_seen: bool = True) -> tuple[DataFrame, DataFrame]:
         """(ids with those one symlink away, the symlinks). Both directions, one step."""
         links = self.t.dataset_symlink
-        touching = cut(among(links, ids, "from_dataset_id").unionByName(among(links, ids, "to_dataset_id")).distinct())
+        touching = among(links, ids, "from_dataset_id").unionByName(among(links, ids, "to_dataset_id")).distinct()
         ends = touching.select(F.col("from_dataset_id").alias("id")).union(touching.select(F.col("to_dataset_id").alias("id"))).distinct()
         new = without(ends, ids)
         return cut(ids.union(self._skip(DATASET, new) if skip_seen else new).distinct()), touching

@@ -254,29 +254,3 @@ def test_texts_of_megabytes():
     base = [p for p in found if p[0] < secret_scan.BASE]
     assert [(s, k, e) for k, s, e in base] == plain_base(long)
     assert {secret_scan.KINDS[k] for k, _, _ in found} == {"assign", "hex", "weak_secret", "weak_id", "endpoint"}
-
-
-def test_near_copies_in_one_large_group(spark):
-    """Copies that drift from one text: a chain of links, found whatever members the stars take."""
-    rnd = random.Random(13)
-    words = [f"v{rnd.randint(0, 3000)}" for _ in range(150)]
-    rows = []
-    for i in range(300):
-        words[rnd.randrange(150)] = f"n{i}"
-        rows.append((i, " ".join(words)))
-    rows += [(1000 + i, " ".join(f"u{rnd.randint(0, 10**6)}" for _ in range(80))) for i in range(20)]
-    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    parent = list(range(len(rows)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    want = sorted({rows[find(i)][0] for i in range(len(rows))})
-    assert 20 < len(want) < 120
-    assert sorted(r.doc_id for r in simhash_dedup.keep_first(docs(spark, rows)).collect()) == want

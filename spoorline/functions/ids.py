@@ -77,6 +77,31 @@ def bounds_of(ids, column: str = "id") -> tuple[dt.datetime | None, dt.datetime
         return None, None
 
 
+#: Days that a condition names one by one; beyond, the first and the last bound them.
+MOST_DAYS = 64
+
+
+def near_ids(df: DataFrame, ids: DataFrame, column: str = "id", created: str = "created_at") -> DataFrame:
+    """The rows of ``df`` that were created when the ids of a frame say, by a range of instants and, for tables by day, by the days themselves.
+
+    For tables whose rows are made with their ids (runs, operations). ``ids`` should be stored: it is read for its
+    instants. Where some id has no time in it, nothing is bounded.
+    """
+    from ..operators.io_stats import in_period
+
+    if dict(ids.dtypes)[column] != "string":
+        return df
+    instant = uuid_instant(F.col(column))
+    days = ids.groupBy(F.to_date(instant).alias("day")).agg(F.min(F.unix_millis(instant)).alias("low"), F.max(F.unix_millis(instant)).alias("high"))
+    told = days.agg(F.min("low"), F.max("high"), F.count("*"), F.count("day"), F.slice(F.sort_array(F.collect_set("day")), 1, MOST_DAYS + 1)).head()
+    low, high, n, known, named = told
+    if not n or known < n:
+        return df
+    low, high = (dt.datetime.fromtimestamp(x / 1000, dt.UTC) for x in (low, high))
+    near = in_period(df, low, high + dt.timedelta(microseconds=999), created)
+    return near.where(F.col("created_date").isin(named)) if "created_date" in df.columns and 1 < len(named) <= MOST_DAYS else near
+
+
 def with_id_bounds(df: DataFrame, ids: Iterable[str], column: str = "id", created: str = "created_at") -> DataFrame:
     """The rows with the given ids, read from the days that the ids themselves tell (which Catalyst can't infer)."""
     from ..operators.io_stats import in_period

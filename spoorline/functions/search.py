@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 KEPT = "/._-"
 
 
-def tokens(*names: Column) -> Column:
-    """Distinct lower-case tokens of names: as they are written, and split at slashes and dots. Other signs part words."""
+def token_list(*names: Column) -> Column:
+    """Lower-case tokens of names in order: first as they are written, then split at slashes and dots. Other signs part words."""
     text = F.regexp_replace(F.concat_ws(" ", *names), r"[^\p{L}\p{N}/._-]", " ")
     both = F.concat_ws(" ", text, F.translate(text, "/.", "  "))
-    return F.array_distinct(F.filter(F.split(F.lower(both), r"\s+"), lambda t: t != ""))
+    return F.filter(F.split(F.lower(both), r"\s+"), lambda t: t != "")
+
+
+def tokens(*names: Column) -> Column:
+    """The distinct ones of ``token_list``."""
+    return F.array_distinct(token_list(*names))
 
 
 def query_words(text: str) -> tuple[list[str], list[str]]:

@@ -7,8 +7,10 @@ Rows carry natural keys (location type and name, entity name); surrogate ids are
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -499,17 +501,17 @@ def _latest(column: str) -> Column:
     return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col("told_at"))).alias(column)
 
 
-def merged_runs(events: DataFrame) -> DataFrame:
-    """One row per run: the largest status, every other field as it was last told."""
-    rows = runs(events)
+def merged_runs(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """One row per run: the largest status, every other field as it was last told. ``rows`` are those of ``runs`` where they are stored."""
+    rows = runs(events) if rows is None else rows
     job = F.max_by("job", F.struct(F.col("job.name") != "unknown", F.col("job.type").isNotNull(), "told_at")).alias("job")  # "unknown" gives way to any name
     rest = [c for c in rows.columns if c not in ("id", "job", "status", "told_at")]
     return rows.groupBy("id").agg(job, F.max("status").alias("status"), *map(_latest, rest)).withColumn("created_at", ids.uuid_instant(F.col("id")))
 
 
-def merged_operations(events: DataFrame) -> DataFrame:
+def merged_operations(events: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """One row per operation, like ``merged_runs``; a position of 0 does not replace another."""
-    rows = operations(events)
+    rows = operations(events) if rows is None else rows
     rest = [c for c in rows.columns if c not in ("id", "run_id", "created_at", "status", "position", "told_at")]
     place = F.coalesce(F.max_by(F.when(F.col("position") != 0, F.col("position")), F.when(F.coalesce("position", F.lit(0)) != 0, F.col("told_at"))), F.max("position")).alias("position")
     return rows.groupBy("id", "run_id", "created_at").agg(F.max("status").alias("status"), place, *map(_latest, rest))
@@ -549,14 +551,21 @@ def jobs(all_runs: DataFrame) -> DataFrame:
 
 
 def entities(events: DataFrame) -> dict[str, DataFrame]:
-    """All tables of a batch of events, in the order in which they refer to each other. The classified events are stored once."""
+    """All tables of a batch of events, in the order in which they refer to each other.
+
+    The rules are long expressions, so the rows that they make of a batch are stored once, side by side; what is merged
+    from them has short plans.
+    """
     events = cut(classified(events))
-    all_runs, ins, outs = merged_runs(events), merged_io(events, "inputs"), merged_io(events, "outputs")
-    links = symlinks(events)
+    rules = (runs, operations, lambda e: io(e, "inputs"), lambda e: io(e, "outputs"), symlinks, column_relations, job_tags, dataset_tags)
+    with ThreadPoolExecutor(len(rules)) as pool:
+        told = pool.map(inheritable_thread_target(events.sparkSession)(lambda rule: cut(rule(events))), rules)
+        run_rows, operation_rows, in_rows, out_rows, links, column_rows, tags_of_jobs, tags_of_datasets = told
+    all_runs, ins, outs = cut(merged_runs(events, run_rows)), cut(merged_rows(in_rows, "inputs")), cut(merged_rows(out_rows, "outputs"))
     places = dataset_refs(ins, outs, links).select(*KEY, "addresses").unionByName(all_runs.select("job.*").select(*KEY, "addresses")).where("location_name is not null")
-    lineage, relations = fingerprinted(column_relations(events))
-    schemas = io(events, "inputs").select("schema_digest", "schema").union(io(events, "outputs").select("schema_digest", "schema")).where("schema is not null").distinct()
-    ops = merged_operations(events)
+    lineage, relations = fingerprinted(column_rows)
+    schemas = in_rows.select("schema_digest", "schema").union(out_rows.select("schema_digest", "schema")).where("schema is not null").distinct()
+    ops = merged_operations(events, operation_rows)
     return {
         "location": places.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set("addresses"))).alias("addresses")),
         "dataset": datasets(ins, outs, links),
@@ -571,6 +580,6 @@ def entities(events: DataFrame) -> dict[str, DataFrame]:
         "output": outs,
         "dataset_column_relation": relations,
         "column_lineage": lineage,
-        "job_tag_value": job_tags(events),
-        "dataset_tag_value": dataset_tags(events),
+        "job_tag_value": tags_of_jobs,
+        "dataset_tag_value": tags_of_datasets,
     }

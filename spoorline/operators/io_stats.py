@@ -49,6 +49,17 @@ def roll_up(deduped: DataFrame, granularity: str) -> DataFrame:
     return out.select(*(F.col(k) if k in keys else F.lit(None).cast(kinds[k]).alias(k) for k in KEYS[OPERATION]), *(c for c in out.columns if c not in keys))
 
 
+def roll_up_sets(deduped: DataFrame, granularities) -> DataFrame:
+    """``roll_up`` for several granularities in one pass over the rows."""
+    if len(granularities) == 1:
+        return roll_up(deduped, granularities[0])
+    known = {KEYS[g][0]: g for g in granularities}  # the finest id that a row has tells its granularity
+    keys = [k for k in KEYS[OPERATION] if any(k in KEYS[g] for g in granularities)]
+    kinds = dict(deduped.dtypes)
+    out = deduped.groupingSets([[F.col(k) for k in KEYS[g]] for g in known.values()], *map(F.col, keys)).agg(*_sums(deduped))
+    return out.select(*(F.col(k) if k in keys else F.lit(None).cast(kinds[k]).alias(k) for k in KEYS[OPERATION]), *(c for c in out.columns if c not in keys))
+
+
 def roll_up_all(deduped: DataFrame) -> DataFrame:
     """All three granularities in one pass; ``granularity`` names them."""
     sets = [[F.col(k) for k in KEYS[g]] for g in (OPERATION, RUN, JOB)]

@@ -3,7 +3,8 @@
 A walk alternates between datasets and jobs, runs or operations. Each level reads the facts once, semi-joined to the
 frontier, and its result is written to the shared folder, so plans stay short and nothing is recomputed. What was
 visited is skipped as a frontier only: edges to it still appear. Facts are never older than the run or operation they
-belong to, so ids with a time in them give the first level a lower bound.
+belong to, so wherever a frontier's ids have a time in them, the earliest is a lower bound for the facts that are read at
+that level, and runs and operations are looked up in the days that their ids tell.
 
 Downstream from a dataset means its readers, upstream its writers; from a job, run or operation downstream means what
 it writes, upstream what it reads. After the first step a branch keeps its direction. Of the two branches of BOTH,
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import among, cut, first_per, ids_frame, without
-from ..functions.ids import bounds_of
-from .io_stats import DATASET, JOB, KEYS, OPERATION, RUN, dataset_relations, dedup_io, in_period, roll_up
+from ..functions.ids import bounds_of, near_ids
+from . import columns
+from .io_stats import DATASET, JOB, KEYS, OPERATION, RUN, dataset_relations, dedup_io, in_period, roll_up_sets
 
 DOWNSTREAM, UPSTREAM, BOTH = "DOWNSTREAM", "UPSTREAM", "BOTH"
 MAX_DEPTH = 10
@@ -51,6 +53,10 @@ class Lineage:
     ids: dict[str, list[DataFrame]] = field(default_factory=lambda: {DATASET: [], JOB: [], RUN: [], OPERATION: []})
     symlinks: list[DataFrame] = field(default_factory=list)
     relations: list[DataFrame] = field(default_factory=list)
+    #: What the walk was asked for: the granularity whose entities column lineage is looked up by, and the period.
+    by: str | None = None
+    since: dt.datetime | None = None
+    until: dt.datetime | None = None
 
     def merged(self, kind: str) -> DataFrame | None:
         """Edges of all levels (``inputs`` or ``outputs``); of equal ones that of the later level stays."""
@@ -105,8 +111,7 @@ class Walker:
     def _edges(self, io: DataFrame, ids: DataFrame, column: str, granularities, dated: bool = True, floor: dt.datetime | None = None) -> DataFrame:
         io = in_period(io, self.since, self.until) if dated else io
         found = among(in_period(io, floor), ids, column)
-        deduped = dedup_io(found)
-        return cut(reduce(DataFrame.unionByName, (roll_up(deduped, g) for g in granularities)))
+        return cut(roll_up_sets(dedup_io(found), granularities))
 
     def from_datasets(self, out: Lineage, ids: DataFrame, direction: str, granularity: str, depth: int) -> None:
         if ids.isEmpty():
@@ -126,13 +131,14 @@ class Walker:
             if depth > 1:
                 self.from_entities(out, cut(self._skip(granularity, entities)), way, granularity, depth - 1)
             else:
-                self._include(out, entities, granularity)
+                self._include(out, cut(entities), granularity)
 
     def from_entities(self, out: Lineage, ids: DataFrame, direction: str, granularity: str, depth: int, dated: bool = True, finest: str | None = None, floor: dt.datetime | None = None) -> None:
         """From jobs, runs or operations. ``finest`` is the granularity of the edges where it is finer than the entities; no fact of theirs is before ``floor``."""
         if ids.isEmpty():
             return
         column, finest = ENTITY[granularity], finest or granularity
+        floor = bounds_of(ids)[0] if floor is None and granularity != JOB else floor
         nexts = []
         for way, io, into in ((UPSTREAM, self.t.input, out.inputs), (DOWNSTREAM, self.t.output, out.outputs)):
             if direction in (way, BOTH):
@@ -140,7 +146,7 @@ class Walker:
                 into.append(edges)
                 nexts.append((way, edges.select(F.col("dataset_id").alias("id")).distinct()))
                 if finest != granularity:
-                    self._include(out, edges.select(F.col(ENTITY[finest]).alias("id")).where("id is not null").distinct(), finest)
+                    self._include(out, cut(edges.select(F.col(ENTITY[finest]).alias("id")).where("id is not null").distinct()), finest)
         self._include(out, ids, granularity)
         self._visit(granularity, ids)
         for way, datasets in nexts:
@@ -156,10 +162,10 @@ class Walker:
         """Adds entities with the coarser ones that hold them."""
         out.ids[granularity].append(ids)
         if granularity == OPERATION:
-            out.ids[RUN].append(among(self.t.operation, ids, "id").select(F.col("run_id").alias("id")).distinct())
+            out.ids[RUN].append(cut(among(near_ids(self.t.operation, ids), ids, "id").select(F.col("run_id").alias("id")).distinct()))
         if granularity in (OPERATION, RUN):
             runs = out.ids[RUN][-1]
-            out.ids[JOB].append(among(self.t.run, runs, "id").select(F.col("job_id").alias("id")).distinct())
+            out.ids[JOB].append(among(near_ids(self.t.run, runs), runs, "id").select(F.col("job_id").alias("id")).distinct())
 
     def over_datasets(self, out: Lineage, ids: DataFrame, direction: str, depth: int) -> None:
         """Dataset granularity: breadth first over dataset relations, both directions level by level.
@@ -184,12 +190,12 @@ class Walker:
             known = cut(reduce(DataFrame.union, new, known).distinct())
         out.ids[DATASET].append(known)
 
-
     def _relations(self, ids: DataFrame, way: str) -> DataFrame:
         """Dataset relations from (downstream) or to (upstream) the given datasets."""
         near, far = (self.t.input, self.t.output) if way == DOWNSTREAM else (self.t.output, self.t.input)
         near = cut(among(in_period(near, self.since, self.until), ids, "dataset_id"))
-        far = among(in_period(far, self.since, self.until), near.select(F.col("operation_id").alias("id")).distinct(), "operation_id")
+        operations = near.select(F.col("operation_id").alias("id")).distinct()
+        far = among(in_period(in_period(far, self.since, self.until), bounds_of(operations)[0]), operations, "operation_id")
         return dataset_relations(near, far) if way == DOWNSTREAM else dataset_relations(far, near)
 
 
@@ -206,7 +212,7 @@ def _start(table: DataFrame, ids: Collection | DataFrame) -> tuple[DataFrame, dt
 def by_datasets(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: str = RUN, since=None, until=None, depth: int = 1) -> Lineage:
     """Lineage that starts from datasets (and their symlinks)."""
     validate(direction, depth, since, until)
-    out, walker = Lineage(), Walker(tables, since, until)
+    out, walker = Lineage(by=granularity, since=since, until=until), Walker(tables, since, until)
     start = among(tables.dataset, ids_frame(tables.spark, ids), "id").select("id")
     if granularity == DATASET:
         walker.over_datasets(out, cut(start), direction, depth)
@@ -218,7 +224,7 @@ def by_datasets(tables, ids: Collection, direction: str = DOWNSTREAM, granularit
 def by_jobs(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: str = JOB, since=None, until=None, depth: int = 1) -> Lineage:
     """Lineage that starts from jobs, with edges by job or run."""
     validate(direction, depth, since, until)
-    out, walker = Lineage(), Walker(tables, since, until)
+    out, walker = Lineage(by=JOB, since=since, until=until), Walker(tables, since, until)
     start = among(tables.job, ids_frame(tables.spark, ids), "id").select("id")
     walker.from_entities(out, cut(start), direction, JOB, depth, finest=granularity)
     return out
@@ -227,7 +233,7 @@ def by_jobs(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: s
 def by_runs(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, granularity: str = RUN, since=None, until=None, depth: int = 1) -> Lineage:
     """Lineage that starts from runs (a frame names them in ``id``), with edges by run or operation; the sums by job go with them."""
     validate(direction, depth, since, until)
-    out, walker = Lineage(), Walker(tables, since, until)
+    out, walker = Lineage(by=RUN, since=since, until=until), Walker(tables, since, until)
     start, floor = _start(tables.run, ids)
     walker.from_entities(out, start, direction, RUN, depth, finest=granularity, floor=floor)
     return out
@@ -236,7 +242,7 @@ def by_runs(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, gr
 def by_operations(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, since=None, until=None, depth: int = 1) -> Lineage:
     """Lineage that starts from operations (a frame names them in ``id``). The period holds for the levels after the first only."""
     validate(direction, depth, since, until)
-    out, walker = Lineage(), Walker(tables, since, until)
+    out, walker = Lineage(by=OPERATION, since=since, until=until), Walker(tables, since, until)
     start, floor = _start(tables.operation, ids)
     walker.from_entities(out, start, direction, OPERATION, depth, dated=False, floor=floor)
     return out
@@ -286,6 +292,65 @@ def symlink_rows(out: Lineage) -> DataFrame | None:
     return rows.select("type", F.lit(DATASET).alias("from_kind"), end("from_dataset_id").alias("from_id"), F.lit(DATASET).alias("to_kind"), end("to_dataset_id").alias("to_id")).orderBy("from_id", "to_id", "type")
 
 
+def column_lineage(out: Lineage, tables) -> DataFrame | None:
+    """Which columns depend on which, for what a walk has shown; None where it shows no reads or no writes.
+
+    Looked up by the jobs, runs or operations that the walk holds, between datasets that it shows as read and as
+    written, in its period (by operations: from the earliest of their ids on); a walk over datasets takes the pairs
+    that it has found. Rows as of ``columns.combined``.
+    """
+    if out.by == DATASET:
+        pairs = out.all_relations()
+        if pairs is None:
+            return None
+        pairs = pairs.select(F.col("in_dataset_id").alias("source_dataset_id"), F.col("out_dataset_id").alias("target_dataset_id"))
+        return columns.of_pairs(tables.column_lineage, tables.dataset_column_relation, pairs, out.since, out.until)
+    reads, writes = out.merged("inputs"), out.merged("outputs")
+    if reads is None or writes is None:
+        return None
+    sources, targets = (df.select(F.col("dataset_id").alias("id")).distinct() for df in (reads, writes))
+    nodes = cut(out.nodes(out.by))
+    facts = tables.column_lineage
+    since, until = (out.since, out.until) if out.by != OPERATION else (None, None)
+    if out.by != JOB:
+        facts = in_period(facts, bounds_of(nodes)[0])
+    return columns.of_entities(facts, tables.dataset_column_relation, ENTITY[out.by], nodes, sources, targets, since, until)
+
+
+def shown_schemas(out: Lineage) -> DataFrame | None:
+    """(dataset_id, schema_id, relevance) of the datasets that a walk shows, from its edges; the latest write that has a schema counts, else the latest read."""
+    sides = []
+    for kind in ("outputs", "inputs"):
+        rows = out.merged(kind)
+        if rows is not None:
+            known = rows.where("newest_schema_id is not null")
+            sides.append(known.groupBy("dataset_id").agg(F.max_by("newest_schema_id", F.struct("last_interaction_at", "newest_schema_id")).alias("new"), F.min("oldest_schema_id").alias("old"), F.max("newest_schema_id").alias("top")).withColumn("side", F.lit(len(sides))))
+    if not sides:
+        return None
+    first = first_per(reduce(DataFrame.unionByName, sides), ["dataset_id"], F.asc("side"))
+    return first.select("dataset_id", F.col("new").alias("schema_id"), F.when((F.col("old") == F.col("new")) & (F.col("top") == F.col("new")), "EXACT_MATCH").otherwise("LATEST_KNOWN").alias("relevance"))
+
+
+@dataclass
+class Shown:
+    """A walk's whole result: edges, symlinks, what holds what, columns by target column and by target, schemas by dataset. None where there is nothing of a kind."""
+
+    relations: DataFrame | None
+    symlinks: DataFrame | None
+    parents: DataFrame
+    direct: DataFrame | None = None
+    indirect: DataFrame | None = None
+    schemas: DataFrame | None = None
+
+
+def shown(out: Lineage, tables, with_columns: bool = False) -> Shown:
+    """All that a walk has to tell, with column lineage where it is asked for."""
+    found = column_lineage(out, tables) if with_columns else None
+    found = None if found is None else cut(found)
+    sides = (None, None) if found is None else (columns.direct(found), columns.indirect(found))
+    return Shown(relation_rows(out), symlink_rows(out), parent_relations(out, tables), *sides, shown_schemas(out))
+
+
 def dataset_schemas(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """(dataset_id, schema_id, relevance): the schema of the latest write that has one, else of the latest read.
 

@@ -10,6 +10,7 @@ import datetime as dt
 import math
 from collections.abc import Collection
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,16 +150,33 @@ def datasets(tables, ids=None, tag_values=None, location_ids=None, location_type
 
 
 def jobs(tables, ids=None, types=None, tag_values=None, location_ids=None, location_types=None, text: str | None = None) -> DataFrame:
-    """Jobs with their location and last run."""
+    """Jobs with their location; ``with_last_runs`` adds the last runs of a page of them."""
     df = any_of(any_of(any_of(tables.job, "id", ids), "type", types), "location_id", location_ids)
     if tag_values:
         df = with_all_tags(df, tables.job_tag_value, "job_id", "tag_value", tag_values)
     df = any_of_lower(df.join(_named(tables.location), "location_id"), "location_type", location_types)
-    last = last_runs(tables.run).select(F.col("job_id").alias("id"), F.col("id").alias("last_run_id"), F.col("created_at").alias("last_run_at"))
-    df = df.join(last, "id", "left")
     return search(df, [(tables.job, "id", ["name"]), (df, "id", ["location_type", "location_name"]), *_with_addresses(tables, df)], text) if text else df
 
 
+def with_last_runs(page: DataFrame, tables) -> DataFrame:
+    """A page of jobs with the id and time of their last runs, null where there is none. Runs are read for its jobs only."""
+    runs = among(tables.run, page.select("id"), "job_id").select("id", "job_id", "created_at")
+    last = last_runs(runs).select(F.col("job_id").alias("id"), F.col("id").alias("last_run_id"), F.col("created_at").alias("last_run_at"))
+    return page.join(last, "id", "left")
+
+
+def parents(runs: DataFrame, all_runs: DataFrame | None = None) -> DataFrame:
+    """(id, parent_id, parent_job_id): the runs that have a parent, with it and its job; parents are looked up in ``all_runs``, bounded by their ids where these tell a time."""
+    having = runs.where("parent_run_id is not null").select("id", F.col("parent_run_id").alias("parent_id"))
+    found = runs if all_runs is None else all_runs
+    return having.join(found.select(F.col("id").alias("parent_id"), F.col("job_id").alias("parent_job_id")), "parent_id").select("id", "parent_id", "parent_job_id")
+
+
+def either(*pages: DataFrame) -> DataFrame:
+    """The distinct rows of several listings that have the same columns."""
+    return reduce(DataFrame.unionByName, pages).distinct()
+
+
 def locations(tables, ids=None, types=None, text: str | None = None) -> DataFrame:
     """Locations with how many datasets and jobs they hold."""
     df = any_of_lower(any_of(tables.location, "id", ids), "type", types)

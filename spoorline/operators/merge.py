@@ -122,6 +122,28 @@ def match_locations(new: DataFrame, stored: DataFrame, addresses: DataFrame) ->
     return out.select(*new.columns, F.coalesce("_named", "_at").alias("id"))
 
 
+def location_groups(locations: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(location_type, location_name, stands_for): one row per location; of locations that are the same one name stands for all.
+
+    ``locations`` has location_type, location_name, addresses and ``stored``. Locations of one type are the same where they
+    share an address, also by way of others; ``links`` (location_type, location_name, stands_for) tells more of them. The
+    least name among those that are ``stored`` stands for a group, else the least of all. A location without addresses
+    stands for itself; null addresses count as none; rows of one location are taken together.
+    """
+    from .components import components
+
+    key = ["location_type", "location_name"]
+    vertex = lambda kind, c: F.concat_ws("\n", F.lit(kind), "location_type", c)
+    named = locations.groupBy(*key).agg(F.max("stored").alias("stored"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("addresses", F.array().cast("array<string>"))))).alias("addresses"))
+    edges = named.select(vertex("name", "location_name").alias("a"), F.explode(F.transform("addresses", lambda url: F.concat_ws("\n", F.lit("address"), "location_type", url))).alias("b"))
+    if links is not None:
+        edges = edges.union(links.select(vertex("name", "location_name").alias("a"), vertex("name", "stands_for").alias("b")))
+    labels = components(edges)
+    found = named.withColumn("v", vertex("name", "location_name")).join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    heads = found.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("stored"), F.col("location_name"))), F.min("location_name")).alias("stands_for"))
+    return found.join(heads, "label").select(*key, "stands_for")
+
+
 def set_external_id(locations: DataFrame, location_id: int, external_id: str | None) -> DataFrame:
     """Locations with the external id of one of them changed; KeyError where it is not there."""
     if locations.where(F.col("id") == location_id).isEmpty():

@@ -368,8 +368,9 @@ def datasets_page(spark, sf_dir):
        WHERE j.type = 'BUILDING' AND l.type = 'asia' ORDER BY j.name LIMIT 20""",
 )
 def jobs_page(spark, sf_dir):
-    found = listing.jobs(OrderTables(spark, sf_dir), types=["BUILDING"], location_types=["asia"])
-    return listing.page_rows(found, [F.asc("name")]).select("id", "name", "location_type", "last_run_id")
+    t = OrderTables(spark, sf_dir)
+    page = listing.page_rows(listing.jobs(t, types=["BUILDING"], location_types=["asia"]), [F.asc("name")])
+    return listing.with_last_runs(page, t).select("id", "name", "location_type", "last_run_id")
 
 
 @query("locations_page", "SELECT id, type, name, (SELECT count(*) FROM dataset d WHERE d.location_id = l.id) AS total_datasets, (SELECT count(*) FROM job j WHERE j.location_id = l.id) AS total_jobs FROM location l ORDER BY name, type LIMIT 10 OFFSET 10")
@@ -402,9 +403,7 @@ def symlinks_touching(spark, sf_dir):
 
 @query("run_parents", "SELECT r.id, p.id AS parent_id, p.job_id AS parent_job_id FROM run r JOIN run p ON r.parent_run_id = p.id")
 def run_parents(spark, sf_dir):
-    runs = OrderTables(spark, sf_dir).run
-    parents = runs.select(F.col("id").alias("parent_run_id"), F.col("job_id").alias("parent_job_id"))
-    return runs.select("id", "parent_run_id").join(parents, "parent_run_id").withColumnRenamed("parent_run_id", "parent_id")
+    return listing.parents(OrderTables(spark, sf_dir).run)
 
 
 # search: the SQL states tokens, match and rank again
@@ -804,8 +803,7 @@ def column_lineage_by_job(spark, sf_dir):
 @query("union_pages", "SELECT id, name, 'dataset' AS kind FROM dataset UNION SELECT id, name, 'job' FROM job")
 def union_pages(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
-    d = t.dataset.select("id", "name", F.lit("dataset").alias("kind"))
-    return d.union(t.job.select("id", "name", F.lit("job").alias("kind"))).distinct()
+    return listing.either(*(df.select("id", "name", F.lit(kind).alias("kind")) for kind, df in (("dataset", t.dataset), ("job", t.job))))
 
 
 @query(

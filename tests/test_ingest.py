@@ -160,7 +160,7 @@ def test_stream_into_the_store_twice(spark, tmp_path):
     query = ingest.start(stream, store.save, f"{tmp_path}/checkpoint", dead_letters=f"{tmp_path}/dead", available_now=True)
     query.awaitTermination(300)
     assert query.exception() is None
-    assert [r.value for r in spark.read.parquet(f"{tmp_path}/dead").collect()] == ["{broken"]
+    assert [bytes(r.value).decode() for r in spark.read.parquet(f"{tmp_path}/dead").collect()] == ["{broken"]
     snapshot = {}
     for name in ("run", "operation", "input", "output", "job", "dataset", "dataset_symlink", "column_lineage", "dataset_column_relation"):
         snapshot[name] = store.read(name).count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of an iteration, written to the shared folder and read again.
+
+    A checkpoint keeps what the optimizer has inferred of its rows; over the rounds of an iteration that grows until planning
+    takes longer than the work. A table that is read has none of it, and its size is known. ``keep`` removes all but
+    some of them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", 0
+        self.paths: list[str] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append(path)
+        return out
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Removes the tables that none of ``frames`` reads."""
+        live = [f for df in frames for f in df.inputFiles()]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for p in [p for p in self.paths if not any(f"{p.rsplit('/', 2)[1]}/{p.rsplit('/', 1)[1]}/" in f for f in live)]:
+            at = path(p)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths.remove(p)
+
+
 def ids_frame(spark: SparkSession, ids: Iterable, kind: str = "bigint", name: str = "id") -> DataFrame:
     """A one-column frame of the ids that a caller names."""
     return spark.createDataFrame([(i,) for i in sorted(set(ids))], f"{name} {kind}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..frames import shared_dir
 from ..operators import lineage, search_index
 from ..sources.tables import OrderTables
-from .queries import _CLEAN, _CLOSE, _DATASETS, _IDS, _JOBS, _TIMED, DAY, LONG, PERIOD, SINCE, UNTIL, _date, _edges, _long, _relations_sql, _search_sql
+from .queries import _CLEAN, _CLOSE, _DATASETS, _IDS, _JOBS, _TIMED, DAY, LONG, PERIOD, _date, _edges, _long, _relations_sql, _search_sql
 from .registry import query
 
 JOBS = [1, 2, 4, 7, 8, 10, 11, 13]
@@ -17,6 +17,10 @@ _J0 = "(1, 2, 4, 7, 8, 10, 11, 13)"
 RUNS = [1, 2, 3, 4, 5, 6, 7, 32, 33]
 _R0 = "(1, 2, 3, 4, 5, 6, 7, 32, 33)"
 
+#: The walks' period: so many years that three levels find something.
+FROM, TO = DAY(1993, 1, 1), DAY(2000, 12, 31)
+WIDE = "TIMESTAMP '1993-01-01' AND TIMESTAMP '2000-12-31'"
+_WALKED = _TIMED.replace(PERIOD, WIDE)
 _FACT = "operation_id, run_id, job_id, dataset_id, num_rows"
 
 
@@ -24,7 +28,7 @@ def _rows(kind: str, grain: str, key: str, source: str) -> str:
     """Sums by (entity, dataset) of facts that carry the level at which they were met; of equal edges that of the later level stays."""
     ends = f"'DATASET' AS from_kind, CAST(dataset_id AS VARCHAR) AS from_id, '{grain}' AS to_kind, CAST({key} AS VARCHAR) AS to_id" if kind == "INPUT" else f"'{grain}' AS from_kind, CAST({key} AS VARCHAR) AS from_id, 'DATASET' AS to_kind, CAST(dataset_id AS VARCHAR) AS to_id"
     level = f"SELECT lvl, {key}, dataset_id, CAST(sum(num_rows) AS BIGINT) AS num_rows FROM ({source}) GROUP BY ALL"
-    return f"SELECT '{kind}' AS kind, {ends}, num_rows FROM ({level} QUALIFY row_number() OVER (PARTITION BY {key}, dataset_id ORDER BY lvl DESC) = 1)"
+    return f"SELECT '{kind}' AS kind, {ends}, num_rows FROM (SELECT * FROM ({level}) QUALIFY row_number() OVER (PARTITION BY {key}, dataset_id ORDER BY lvl DESC) = 1)"
 
 
 def _entities_sql(key: str, start: str, depth: int, way: str, grains: list[tuple[str, str]]) -> str:
@@ -46,35 +50,35 @@ def _entities_sql(key: str, start: str, depth: int, way: str, grains: list[tuple
             parts += [f"ve{i + 1} AS (SELECT id FROM ve{i} UNION SELECT id FROM e{i + 1})", f"vd{i + 1} AS (SELECT id FROM vd{i})"]
             met[then].append(f"SELECT * FROM f{i}")
     sides = [_rows(kinds[io], grain, of, " UNION ALL ".join(found)) for io, found in met.items() if found for grain, of in grains]
-    return f"WITH {_TIMED}, {', '.join(parts)} {' UNION ALL '.join(sides)}"
+    return f"WITH {_WALKED}, {', '.join(parts)} {' UNION ALL '.join(sides)}"
 
 
 @query("lineage_job_upstream_depth3", _entities_sql("job_id", f"job WHERE id IN {_J0}", 3, lineage.UPSTREAM, [("JOB", "job_id")]))
 def lineage_job_upstream_depth3(spark, sf_dir):
-    return _edges(lineage.by_jobs(OrderTables(spark, sf_dir), JOBS, lineage.UPSTREAM, lineage.JOB, SINCE, UNTIL, 3))
+    return _edges(lineage.by_jobs(OrderTables(spark, sf_dir), JOBS, lineage.UPSTREAM, lineage.JOB, FROM, TO, 3))
 
 
 @query("lineage_job_by_run", _entities_sql("job_id", f"job WHERE id IN {_J0}", 1, lineage.DOWNSTREAM, [("RUN", "run_id"), ("JOB", "job_id")]))
 def lineage_job_by_run(spark, sf_dir):
-    return _edges(lineage.by_jobs(OrderTables(spark, sf_dir), JOBS, lineage.DOWNSTREAM, lineage.RUN, SINCE, UNTIL, 1))
+    return _edges(lineage.by_jobs(OrderTables(spark, sf_dir), JOBS, lineage.DOWNSTREAM, lineage.RUN, FROM, TO, 1))
 
 
 for _way in (lineage.DOWNSTREAM, lineage.UPSTREAM):
     query(f"lineage_run_{_way.lower()}_depth3", _entities_sql("run_id", f"run WHERE id IN {_R0}", 3, _way, [("RUN", "run_id"), ("JOB", "job_id")]))(
-        lambda spark, sf_dir, way=_way: _edges(lineage.by_runs(OrderTables(spark, sf_dir), RUNS, way, lineage.RUN, SINCE, UNTIL, 3))
+        lambda spark, sf_dir, way=_way: _edges(lineage.by_runs(OrderTables(spark, sf_dir), RUNS, way, lineage.RUN, FROM, TO, 3))
     )
 
 
 @query(
     "lineage_job_both_depth2",
-    f"""WITH {_TIMED}, i1 AS (SELECT {_FACT} FROM d_in WHERE job_id IN {_J0}), o1 AS (SELECT {_FACT} FROM d_out WHERE job_id IN {_J0}),
+    f"""WITH {_WALKED}, i1 AS (SELECT {_FACT} FROM d_in WHERE job_id IN {_J0}), o1 AS (SELECT {_FACT} FROM d_out WHERE job_id IN {_J0}),
         a AS (SELECT DISTINCT dataset_id AS id FROM i1), up AS ({_CLOSE.format("a")}), o2 AS (SELECT {_FACT} FROM d_out WHERE dataset_id IN (SELECT id FROM up)),
         b AS (SELECT DISTINCT dataset_id AS id FROM o1 WHERE dataset_id NOT IN (SELECT id FROM up)), c AS ({_CLOSE.format("b")}),
         dn AS (SELECT id FROM b UNION SELECT id FROM c WHERE id NOT IN (SELECT id FROM up)), i2 AS (SELECT {_FACT} FROM d_in WHERE dataset_id IN (SELECT id FROM dn))
         {_rows("INPUT", "JOB", "job_id", "SELECT 0 AS lvl, * FROM (SELECT * FROM i1 UNION SELECT * FROM i2)")} UNION ALL {_rows("OUTPUT", "JOB", "job_id", "SELECT 0 AS lvl, * FROM (SELECT * FROM o1 UNION SELECT * FROM o2)")}""",
 )
 def lineage_job_both_depth2(spark, sf_dir):
-    return _edges(lineage.by_jobs(OrderTables(spark, sf_dir), JOBS, lineage.BOTH, lineage.JOB, SINCE, UNTIL, 2))
+    return _edges(lineage.by_jobs(OrderTables(spark, sf_dir), JOBS, lineage.BOTH, lineage.JOB, FROM, TO, 2))
 
 
 # column lineage of a walk
@@ -91,19 +95,19 @@ def _columns(out, t):
     return _long(_date(lineage.column_lineage(out, t), "last_used_at"), "types")
 
 
-_WITHIN = f"created_at BETWEEN {PERIOD}"
+_WITHIN = f"created_at BETWEEN {WIDE}"
 
 
 @query("walk_columns_by_job", _columns_sql(f"job_id IN {_J0}", f"job_id IN {_J0} AND {_WITHIN}", f"job_id IN {_J0} AND {_WITHIN}", _WITHIN))
 def walk_columns_by_job(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
-    return _columns(lineage.by_jobs(t, JOBS, lineage.BOTH, lineage.JOB, SINCE, UNTIL), t)
+    return _columns(lineage.by_jobs(t, JOBS, lineage.BOTH, lineage.JOB, FROM, TO), t)
 
 
 @query("walk_columns_by_run", _columns_sql("true", _WITHIN, _WITHIN, _WITHIN))
 def walk_columns_by_run(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
-    return _columns(lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.RUN, SINCE, UNTIL), t)
+    return _columns(lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.RUN, FROM, TO), t)
 
 
 @query("walk_columns_by_operation", _columns_sql("true", "true", "true", "true"))

@@ -9,9 +9,13 @@ import gc
 import re
 import tempfile
 import zlib
+from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of one Arrow batch. Texts are whole, so a batch stays a few MB at usual lengths.
 BATCH_ROWS = 1000
@@ -41,16 +45,38 @@ def chunks(texts: list, most: int = 1 << 19):
         yield part
 
 
+def map_beside(docs: DataFrame, id_col: str, columns: list[Column], run, fields: list[T.StructField]) -> DataFrame:
+    """(id, fields...): what ``run`` makes of the pandas frames of ``columns``, one frame for each with as many rows, with the id beside it.
+
+    The id never passes through pandas, where a null in a batch makes fractions of whole numbers and rounds those
+    above 2^53: its Arrow column is set before the others as it came, of whatever type.
+    """
+    rest = to_arrow_schema(T.StructType(fields))
+
+    def outer(batches):
+        ids: deque = deque()
+
+        def frames():
+            for batch in batches:
+                ids.append(batch.column(0))
+                yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).to_pandas()
+
+        for out in run(frames()):
+            made = pa.RecordBatch.from_pandas(out, schema=rest, preserve_index=False)
+            yield pa.RecordBatch.from_arrays([ids.popleft(), *made.columns], names=[id_col, *rest.names])
+
+    out_type = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
+    return docs.select(F.col(id_col), *columns).mapInArrow(outer, out_type)
+
+
 def released(run):
     """``run`` for mapInPandas, giving memory back to the system at the end: idle Python workers stay beside the JVM."""
 
     @functools.wraps(run)
     def outer(batches):
         yield from run(batches)
-        import pyarrow
-
         gc.collect()
-        pyarrow.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # not every C library has it
             ctypes.CDLL(None).malloc_trim(0)
 
@@ -111,6 +137,12 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, usable: Colu
     return known if n <= limit else known.where(F.pmod(F.xxhash64("_id"), F.lit(n)) < limit)
 
 
+def one_text_an_id(docs: DataFrame, id_col: str, text_col: str, sample: DataFrame) -> DataFrame:
+    """(_id, _t, _y): a text for each id of ``sample`` (of ``labelled_sample``) that has a row; of several the least, so that an id that is repeated often is one row."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    return rows.join(F.broadcast(sample), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where the body's lambdas read it for every element."""
     return F.transform(F.array(value), body)[0]

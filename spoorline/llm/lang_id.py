@@ -11,16 +11,20 @@ fitted on about ``max_per_language`` documents of each language at most.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, small_batches
+from .common import chunks, cut, map_beside, small_batches, small_side
 
 BINS = 1 << 16
 UNIT_WORDS = 4
+#: Bytes of texts whose trigrams are held at a time.
+BLOCK = 1 << 20
 ROUNDS = 12
 UNKNOWN = "und"
 
@@ -51,14 +55,24 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (code[at] & np.uint32(BINS - 1)).astype(np.int64), word[at], text[at]
 
 
-def mixture(texts: list[bytes], logp: np.ndarray) -> np.ndarray:
-    """The proportions (text by language) of the chosen sets; all zero for a text without units."""
+def _blocks(text: bytes, most: int = BLOCK) -> list[bytes]:
+    """A text cut after gaps into blocks of about ``most`` bytes; what has no gap within twice that is cut as it is."""
+    out, at = [], 0
+    while len(text) - at > most:
+        near = text[at + most : at + 2 * most]
+        gap = re.search(rb"[^A-Za-z\x80-\xff]", near)
+        end = at + most + (gap.end() if gap else len(near))
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
+def _likelihoods(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the likelihood of every unit by language, up to a factor; the text of each). Units are ``UNIT_WORDS`` words of one text."""
     n, languages = len(texts), logp.shape[1]
-    out = np.zeros((n, languages))
     code, word, text = grams(texts)
     if not len(code) or not languages:
-        return out
-    # units: UNIT_WORDS words of one text
+        return np.zeros((0, languages)), np.zeros(0, dtype=np.int64)
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     word_text = text[starts]
     first_word = np.searchsorted(word_text, np.arange(n))
@@ -66,8 +80,38 @@ def mixture(texts: list[bytes], logp: np.ndarray) -> np.ndarray:
     new = np.r_[True, (unit_of_word[1:] != unit_of_word[:-1]) | (word_text[1:] != word_text[:-1])]
     unit_starts = starts[new]
     like = np.stack([np.add.reduceat(logp[code, k], unit_starts) for k in range(languages)], axis=1)
-    like = np.exp(like - like.max(axis=1, keepdims=True))
-    doc, row = np.unique(word_text[new], return_inverse=True)
+    return np.exp(like - like.max(axis=1, keepdims=True)), word_text[new].astype(np.int64)
+
+
+def chunks_of(pieces: list[tuple[int, bytes]], most: int):
+    """Runs of pieces of about ``most`` bytes together."""
+    part, size = [], 0
+    for p in pieces:
+        if part and size + len(p[1]) > most:
+            yield part
+            part, size = [], 0
+        part.append(p)
+        size += len(p[1])
+    if part:
+        yield part
+
+
+def mixture(texts: list[bytes], logp: np.ndarray) -> np.ndarray:
+    """The proportions (text by language) of the chosen sets; all zero for a text without units.
+
+    A long text goes by blocks, so beside it only the likelihoods of its units are held.
+    """
+    n, languages = len(texts), logp.shape[1]
+    out = np.zeros((n, languages))
+    pieces = [(i, block) for i, t in enumerate(texts) for block in _blocks(t)]
+    found = []
+    for part in chunks_of(pieces, BLOCK):
+        like, of = _likelihoods([block for _, block in part], logp)
+        found.append((like, np.array([i for i, _ in part])[of] if len(of) else of))
+    like, text = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    if not len(like):
+        return out
+    doc, row = np.unique(text, return_inverse=True)
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     units = np.diff(np.r_[first, len(row)])
 
@@ -109,14 +153,14 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     small_batches(docs.sparkSession)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("binary").alias("t"))
-    sizes = rows.groupBy("lang").count()  # as many rows as languages
-    rows = rows.join(F.broadcast(sizes), "lang").where((F.col("count") <= max_per_language) | (F.pmod("h", F.col("count")) < max_per_language)).select("lang", "t")
+    sizes = cut(rows.groupBy("lang").count())  # as many rows as languages
+    rows = rows.join(small_side(sizes, 100), "lang").where((F.col("count") <= max_per_language) | (F.pmod("h", F.col("count")) < max_per_language)).select("lang", "t")
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                for texts in chunks(part["t"].tolist()):
+                for texts in chunks([block for t in part["t"] for block in _blocks(t)], BLOCK):
                     total[lang] = total.get(lang, 0) + np.bincount(grams(texts)[0], minlength=BINS)
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
@@ -139,11 +183,13 @@ def predict(docs: DataFrame, languages: list[str], logp: np.ndarray, id_col: str
     """(id, lang_pred, score, shares): the language with the largest proportion, that proportion, and all of the chosen set.
 
     Defined cases: ``und`` with score 0 for null texts, texts without a letter, and where no language was learned; of
-    equal proportions the language first by name; repeated rows give a row each; an empty table gives an empty
-    result; other columns are neither read nor kept.
+    equal proportions the language first by name; a null id stays null and ids of any type stay as they are; repeated
+    rows give a row each; an empty table gives an empty result; a text of any length is read whole, by blocks of
+    ``BLOCK`` bytes, beside which the likelihoods of its units are held (8 bytes a language for ``UNIT_WORDS`` words);
+    other columns are neither read nor kept.
     """
     small_batches(docs.sparkSession)
-    fields = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))]
     names = np.array([*languages, UNKNOWN])
 
     def run(batches):
@@ -153,7 +199,7 @@ def predict(docs: DataFrame, languages: list[str], logp: np.ndarray, id_col: str
             known = np.array([any(map(str.isalpha, t)) for t in texts]) & (share.sum(axis=1) > 0)
             top = share.argmax(axis=1) if languages else np.zeros(len(texts), dtype=int)
             score = np.where(known, share.max(axis=1, initial=0), 0.0).clip(0, 1)
-            shares = [{names[k]: float(row[k]) for k in np.flatnonzero(row > 0)} if ok else {} for row, ok in zip(share, known, strict=True)]
-            yield pd.DataFrame({id_col: pdf[id_col], "lang_pred": np.where(known, names[top], UNKNOWN), "score": score, "shares": shares})
+            shares = [[(names[k], float(row[k])) for k in np.flatnonzero(row > 0)] if ok else [] for row, ok in zip(share, known, strict=True)]
+            yield pd.DataFrame({"lang_pred": np.where(known, names[top], UNKNOWN), "score": score, "shares": pd.Series(shares, dtype=object)})
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("_t")).mapInPandas(run, fields)
+    return map_beside(docs, id_col, [F.col(text_col).alias("_t")], run, fields)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, cut, small_batches
+from .common import chunks, cut, map_beside, small_batches
 
 VOCABULARY = 1024
 SHAPES = 32
@@ -252,7 +252,7 @@ def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str
     """
     small_batches(docs.sparkSession)
     inner = counts is not None
-    fields = [docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())]
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())]
     if inner:
         fields += [T.StructField("_row", T.LongType()), T.StructField("_w", T.ArrayType(T.StringType())), T.StructField("_n", T.ArrayType(T.LongType()))]
 
@@ -261,14 +261,13 @@ def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str
         for pdf in batches:
             texts = pdf["_t"].tolist()
             counted, total = map(np.concatenate, zip(*(score_texts(part, known, network) for part in chunks(texts)), strict=True))
-            out = {id_col: pdf[id_col], "n_tokens": counted, "log_prob": total}
+            out = {"n_tokens": counted, "log_prob": total}
             if inner:
                 rare = [Counter(w for w in words_of(t) if w not in vocab) for t in texts]
                 out |= {"_row": pdf["_row"], "_w": pd.Series([list(c) for c in rare], dtype=object), "_n": pd.Series([list(c.values()) for c in rare], dtype=object)}
             yield pd.DataFrame(out)
 
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.monotonically_increasing_id().alias("_row")] if inner else []))
-    out = rows.mapInPandas(run, T.StructType(fields))
+    out = map_beside(docs, id_col, [F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.monotonically_increasing_id().alias("_row")] if inner else [])], run, fields)
     if inner:
         out = within_shapes(cut(out), counts, vocab)
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, labelled_sample, released, small_batches
+from .common import chunks, labelled_sample, map_beside, one_text_an_id, released, small_batches
 
 PASSAGE = 512
 #: Passages that are encoded at a time. A text's own memory is its bytes, 8 bytes a word and its passages' codes.
 BLOCK = 1024
-#: Passages of one labelled text that the fit takes at most, evenly from the whole of it.
-MAX_PASSAGES = 2000
+#: Passages that the fit takes of all labelled texts together, some 430 bytes each: of a long text evenly from the whole of it.
+MAX_PASSAGES = 300_000
 CODE, GATE = 24, 12
 
 #: The kinds of bytes. Letters, digits and white space are kinds; of the signs, those that noise is made of are their own.
@@ -214,23 +214,27 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 30, seed
     return w
 
 
-def _bags(texts: list[bytes]) -> list[np.ndarray]:
-    """The passages of each text for the fit: all, or of a long text ``MAX_PASSAGES`` evenly from its whole length."""
+def _bags(texts: list[bytes], most: int) -> list[np.ndarray]:
+    """The passages of each text for the fit: all, or of a long text ``most`` evenly from its whole length."""
     x, counts = encode(texts)
     parts = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
-    return [b if len(b) <= MAX_PASSAGES else b[np.linspace(0, len(b) - 1, MAX_PASSAGES).astype(np.int64)] for b in parts]
+    return [b if len(b) <= most else b[np.linspace(0, len(b) - 1, most).astype(np.int64)] for b in parts]
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 4000) -> dict:
-    """The network, fitted on at most about ``max_labelled`` rows of ``labels`` for which ``usable`` holds, so what comes to the driver is bounded."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 4000, max_passages: int = MAX_PASSAGES) -> dict:
+    """The network, fitted on at most about ``max_labelled`` rows of ``labels`` for which ``usable`` holds, one text an id.
+
+    What comes to the driver is at most about ``max_passages`` passages, whatever the ids and the lengths of the texts.
+    """
     sample = labelled_sample(labels, id_col, label_col, usable, max_labelled)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).join(F.broadcast(sample), "_id").select("_id", "_t", "_y")
+    rows = one_text_an_id(docs, id_col, text_col, sample).select(F.col("_id").cast("string").alias("_id"), F.col("_t").cast("binary").alias("_t"), "_y")
+    most = max(1, max_passages // max(1, max_labelled))
     small_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
-            bags = [bag for part in chunks(pdf["_t"].tolist()) for bag in _bags(part)]
-            yield pd.DataFrame({"id": pdf["_id"].astype(str), "y": pdf["_y"], "n": [len(b) for b in bags], "x": [b.tobytes() for b in bags]})
+            bags = [bag for part in chunks(pdf["_t"].tolist()) for bag in _bags(part, most)]
+            yield pd.DataFrame({"id": pdf["_id"], "y": pdf["_y"], "n": [len(b) for b in bags], "x": [b.tobytes() for b in bags]})
 
     got = rows.mapInPandas(run, "id string, y int, n long, x binary").toPandas().sort_values(["id", "n"], kind="stable")
     x = np.frombuffer(b"".join(got["x"]), dtype=np.float16).reshape(-1, WIDTH).astype(np.float32)
@@ -245,14 +249,14 @@ def classify(docs: DataFrame, network: dict, id_col: str = "doc_id", text_col: s
     a passage's codes (some 850 bytes) for each 512 bytes of it, besides what ``encode`` holds.
     """
     small_batches(docs.sparkSession)
-    fields = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("attention", T.DoubleType())])
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("attention", T.DoubleType())]
 
     def run(batches):
         for pdf in batches:
             p, a = map(np.concatenate, zip(*(score(network, part) for part in chunks(pdf["_t"].tolist())), strict=True))
-            yield pd.DataFrame({id_col: pdf[id_col], "score": p, "attention": a})
+            yield pd.DataFrame({"score": p, "attention": a})
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")).mapInPandas(released(run), fields)
+    return map_beside(docs, id_col, [F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_t")], released(run), fields)
 
 
 def score_column(docs: DataFrame, network: dict, text_col: str = "text") -> Column:

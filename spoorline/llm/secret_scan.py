@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import map_beside, small_batches
 
 #: The base patterns and the least lengths of what they must hold.
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -114,11 +114,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_assign, n_access, n_hex, base_sha256, spans, found): one row per input row.
 
     ``found`` lists the spans as structs of kind, start and end. Defined cases: a null text counts as empty and has
-    no spans; repeated rows give a row each; an empty table gives an empty result; other columns are neither read
-    nor kept.
+    no spans; a null id stays null and ids of any type stay as they are; repeated rows give a row each; of spans that
+    begin at one place the kind listed first comes first; a text is scanned whole, its parts in memory (some 200 bytes
+    a part); an empty table gives an empty result; other columns are neither read nor kept.
     """
     small_batches(docs.sparkSession)
-    fields = [docs.schema[id_col]] + [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:BASE]]
+    fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:BASE]]
     fields += [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     fields.append(T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
 
@@ -126,11 +127,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in batches:
             spans = spans_of(pdf["t"].tolist(), gap)
             base = [[p for p in x if p[0] < BASE] for x in spans]
-            out = {id_col: pdf[id_col]} | {f"n_{k}": [sum(p[0] == i for p in x) for x in base] for i, k in enumerate(KINDS[:BASE])}
+            out = {f"n_{k}": [sum(p[0] == i for p in x) for x in base] for i, k in enumerate(KINDS[:BASE])}
             out |= {"base_sha256": [hashlib.sha256(joined(x).encode()).hexdigest() for x in base], "spans": [joined(x) for x in spans]}
             yield pd.DataFrame(out | {"found": [[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in x] for x in spans]})
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(run, T.StructType(fields))
+    return map_beside(docs, id_col, [F.coalesce(F.col(text_col), F.lit("")).alias("t")], run, fields)
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", gap: int | None = None) -> DataFrame:

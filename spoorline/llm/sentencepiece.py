@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, released, small_batches
+from .common import chunks, map_beside, released, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -42,6 +42,8 @@ _FILTER = 22  # bits of the table that tells most substrings from pieces
 _NONE = np.zeros(0, dtype=np.int64)
 #: Characters of a word that is encoded in one go, and by which blocks of longer ones overlap on either side.
 LONG, OVERLAP = 512, 64
+#: Blocks of one word that are kept while they may come back.
+AGAIN = 256
 #: Words of earlier batches that an encoder keeps with their pieces.
 REMEMBERED = 200_000
 
@@ -318,7 +320,11 @@ class Encoder:
         for k, (a, b) in enumerate(spans):
             by_size.setdefault(b - a, []).append(k)
         for members in by_size.values():
-            paths |= zip(members, self._paths([word[slice(*spans[k])] for k in members]), strict=True)
+            texts = [word[slice(*spans[k])] for k in members]
+            known = dict.fromkeys(texts)  # blocks of a text that repeats are one
+            known |= zip(known, self._paths(list(known)), strict=True)
+            paths |= {k: known[t] for k, t in zip(members, texts, strict=True)}
+        met: dict[str, np.ndarray] = {}  # blocks that were encoded again from a border; in a text that repeats they come back
 
         def borders(ids: np.ndarray, begin: int) -> np.ndarray:
             return begin + np.concatenate([[0], np.cumsum(np.where(ids < 0, 1, self.m.sizes[np.maximum(ids, 0)]))])
@@ -331,7 +337,11 @@ class Encoder:
             for again in (False, True):
                 if again:  # from a border of the path so far
                     begin = int(here[here <= k * LONG][-1])
-                    after = self._paths([word[begin : spans[k][1]]])[0]
+                    part = word[begin : spans[k][1]]
+                    if part not in met:
+                        met = met if len(met) < AGAIN else {}
+                        met[part] = self._paths([part])[0]
+                    after = met[part]
                     there = borders(after, begin)
                 common = np.intersect1d(here[1:], there[:-1])
                 for p in sorted(common.tolist(), key=lambda p: abs(p - k * LONG)):
@@ -460,7 +470,7 @@ def encode_decode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     neither read nor kept.
     """
     small_batches(docs.sparkSession)
-    fields = [docs.schema[id_col], T.StructField("n_pieces", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    fields = [T.StructField("n_pieces", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
     is_byte = np.array([t == BYTE for t in model.types])
 
     def run(batches):
@@ -469,6 +479,6 @@ def encode_decode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
         for pdf in batches:
             texts = pdf["_t"].tolist()
             ids = [x for part in chunks(texts) for x in encoder.encode(part)]
-            yield pd.DataFrame({id_col: pdf[id_col], "n_pieces": [len(x) for x in ids], "n_bytes": [int(is_byte[x].sum()) for x in ids], "ids": ids, "round_trip": [encoder.decode(x) == t for x, t in zip(ids, texts, strict=True)]})
+            yield pd.DataFrame({"n_pieces": [len(x) for x in ids], "n_bytes": [int(is_byte[x].sum()) for x in ids], "ids": ids, "round_trip": [encoder.decode(x) == t for x, t in zip(ids, texts, strict=True)]})
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInPandas(released(run), T.StructType(fields))
+    return map_beside(docs, id_col, [F.coalesce(F.col(text_col), F.lit("")).alias("_t")], released(run), fields)

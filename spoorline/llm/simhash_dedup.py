@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, released, small_batches
+from ..operators.components import components
+from .common import cut, map_beside, released, small_batches
 
 RADIUS = 3
 SEGMENTS = 4
@@ -51,15 +52,12 @@ def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> i
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """(id, fp): one row per input row; fp is the 64 bits as a signed long. Null texts count as empty."""
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
-    out = T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for pdf in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in pdf["t"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({id_col: pdf[id_col], "fp": fps})
+            yield pd.DataFrame({"fp": np.array([fingerprint(t, shingle_words) for t in pdf["t"]], dtype=np.uint64).view(np.int64)})
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("t")).mapInPandas(released(run), out)
+    return map_beside(docs, id_col, [F.col(text_col).cast("binary").alias("t")], released(run), [T.StructField("fp", T.LongType())])
 
 
 def _segment(fp: Column, i) -> Column:
@@ -118,27 +116,6 @@ def _dense_links(crowded: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, label): for every vertex of ``edges`` (a, b) the least vertex of its component.
-
-    Every round takes the least label among the neighbours, then twice the label of that label; a round's result is
-    written to the shared folder. Stops when no label changed.
-    """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    while True:
-        heard = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("heard"))
-        after = labels.join(heard, "v").select("v", "label", F.least("label", "heard").alias("next"))
-        for _ in range(2):
-            jump = labels.select(F.col("v").alias("next"), F.col("label").alias("further"))
-            after = after.join(jump, "next", "left").select("v", "label", F.least("next", F.coalesce("further", "next")).alias("next"))
-        after = cut(after)
-        changed = after.where(F.col("label") != F.col("next")).limit(1).count()
-        labels = after.select("v", F.col("next").alias("label"))
-        if not changed:
-            return labels
-
-
 def classes_of(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(fp, component_id, first_id, first_fp): for every distinct fingerprint its component's least id, and the row that stands for it."""
     classes = cut(fps.groupBy("fp").agg(F.min(id_col).alias("id")))

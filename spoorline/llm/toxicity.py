@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, labelled_sample, small_batches
+from .common import cut, labelled_sample, map_beside, one_text_an_id, small_batches
 
 #: Words for the second person in the four languages of the tables.
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine deinen ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros".split())
@@ -239,15 +239,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     """The scorer, fitted on at most about ``max_labelled`` rows of ``labels`` for which ``usable`` holds."""
     small_batches(docs.sparkSession)
     sample = labelled_sample(labels, id_col, label_col, usable, max_labelled)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(sample), "_id")
-    rows = rows.select("_id", "_t", "_y", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("_fold"))
+    rows = one_text_an_id(docs, id_col, text_col, sample)
+    rows = cut(rows.select("_id", "_t", "_y", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("_fold")))
     lexicons = learn_lexicons(rows)
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["_id"].astype(str), "y": pdf["_y"], "fold": pdf["_fold"], "x": [[v for lexicon in lexicons for v in features(t, lexicon)] for t in pdf["_t"]]})
+            yield pd.DataFrame({"id": pdf["_id"], "y": pdf["_y"], "fold": pdf["_fold"], "x": [[v for lexicon in lexicons for v in features(t, lexicon)] for t in pdf["_t"]]})
 
-    got = rows.mapInPandas(run, "id string, y int, fold int, x array<double>").toPandas().sort_values("id", kind="stable")
+    got = rows.withColumn("_id", F.col("_id").cast("string")).mapInPandas(run, "id string, y int, fold int, x array<double>").toPandas().sort_values("id", kind="stable")
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), 1 + FOLDS, len(FEATURES))
     return fit(x, got["y"].to_numpy(dtype=np.int64), lexicons[0], got["fold"].to_numpy())
 
@@ -255,15 +255,15 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 def predict(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): one row per input row; score is the calibrated probability of label 1.
 
-    Defined cases: null and empty texts have all features zero and get the score of that; repeated rows give a row
-    each; an empty table gives an empty result; with no label or one label only the score is that label's share;
-    other columns are neither read nor kept.
+    Defined cases: null and empty texts have all features zero and get the score of that; a null id stays null and
+    ids of any type stay as they are; repeated rows give a row each; an empty table gives an empty result; with no label
+    or one label only the score is that label's share; a text is scored whole, its words in memory (some 150 bytes a
+    word); other columns are neither read nor kept.
     """
     small_batches(docs.sparkSession)
-    fields = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "score": scorer.score(pdf["_t"].tolist())})
+            yield pd.DataFrame({"score": scorer.score(pdf["_t"].tolist())})
 
-    return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).mapInPandas(run, fields)
+    return map_beside(docs, id_col, [F.coalesce(F.col(text_col), F.lit("")).alias("_t")], run, [T.StructField("score", T.DoubleType())])

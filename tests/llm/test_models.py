@@ -138,7 +138,7 @@ def test_quality_of_a_long_text_takes_memory_of_its_size():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * len(text)
-    assert len(quality_mil._bags([text])[0]) == quality_mil.MAX_PASSAGES
+    assert len(quality_mil._bags([text], 2000)[0]) == 2000
 
 
 def test_quality_without_labels(spark, tables):

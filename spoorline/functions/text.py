@@ -21,39 +21,52 @@ STATEMENTS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written into the plan once, where ``body`` names it several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scheme_of(namespace: Column) -> Column:
     """The lower-case scheme of a namespace; ``unknown`` without one. A bare ``file`` is the local file system."""
     low = F.lower(namespace)
-    scheme = F.regexp_extract(low, r"^([a-z][a-z0-9+.\-]*):", 1)
-    return F.when(low == "file", F.lit("file")).when(scheme != "", scheme).otherwise(F.lit("unknown"))
+    named = let(F.regexp_extract(low, r"^([a-z][a-z0-9+.\-]*):", 1), lambda scheme: F.when(scheme != "", scheme).otherwise(F.lit("unknown")))
+    return F.when(low == "file", F.lit("file")).otherwise(named)
 
 
 def authority_of(namespace: Column) -> Column:
     """What stands between the scheme and the path of a namespace, or else its path."""
     low = F.lower(namespace)
     rest = F.when(low == "file", F.lit("")).otherwise(F.regexp_replace(low, r"^[a-z][a-z0-9+.\-]*:", ""))
-    return F.when(rest.startswith("//") & (F.regexp_extract(rest, r"^//([^/?#]*)", 1) != ""), F.regexp_extract(rest, r"^//([^/?#]*)", 1)).otherwise(
-        F.regexp_extract(F.regexp_replace(rest, r"^//", ""), r"^([^?#]*)", 1)
-    )
+
+    def found(rest: Column) -> Column:
+        host = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
+        return F.when(rest.startswith("//") & (host != ""), host).otherwise(F.regexp_extract(F.regexp_replace(rest, r"^//", ""), r"^([^?#]*)", 1))
+
+    return let(rest, found)
 
 
 def hosts_of(namespace: Column) -> Column:
     """The hosts of a dataset's namespace, which may list several; ``unknown`` where there is none."""
-    hosts = F.filter(F.split(authority_of(namespace), ","), lambda h: h != "")
-    return F.when(F.size(hosts) > 0, hosts).otherwise(F.array(F.lit("unknown")))
+    return let(F.filter(F.split(authority_of(namespace), ","), lambda h: h != ""), lambda hosts: F.when(F.size(hosts) > 0, hosts).otherwise(F.array(F.lit("unknown"))))
 
 
 def dataset_location(namespace: Column) -> Column:
     """struct(type, name, addresses) of a dataset's namespace: the first host names the location."""
-    scheme, hosts = scheme_of(namespace), hosts_of(namespace)
-    addresses = F.transform(hosts, lambda h: F.concat(scheme, F.lit("://"), h))
-    return F.when(namespace.isNotNull(), F.struct(scheme.alias("type"), hosts[0].alias("name"), addresses.alias("addresses")))
+
+    def where(x: Column) -> Column:
+        addresses = F.transform(x["hosts"], lambda h: F.concat(x["scheme"], F.lit("://"), h))
+        return F.struct(x["scheme"].alias("type"), x["hosts"][0].alias("name"), addresses.alias("addresses"))
+
+    return let(namespace, lambda n: F.when(n.isNotNull(), let(F.struct(scheme_of(n).alias("scheme"), hosts_of(n).alias("hosts")), where)))
 
 
 def job_location(namespace: Column) -> Column:
     """struct(type, name, addresses) of a job's namespace; several hosts stay one name."""
-    scheme, name = scheme_of(namespace), authority_of(namespace)
-    return F.when(namespace.isNotNull(), F.struct(scheme.alias("type"), name.alias("name"), F.array(F.concat(scheme, F.lit("://"), name)).alias("addresses")))
+
+    def where(x: Column) -> Column:
+        return F.struct(x["scheme"].alias("type"), x["name"].alias("name"), F.array(F.concat(x["scheme"], F.lit("://"), x["name"])).alias("addresses"))
+
+    return let(namespace, lambda n: F.when(n.isNotNull(), let(F.struct(scheme_of(n).alias("scheme"), authority_of(n).alias("name")), where)))
 
 
 def strip_partitions(path: Column) -> Column:

@@ -26,10 +26,7 @@ def usage(io: DataFrame, runs: DataFrame, users: DataFrame, datasets: DataFrame,
         .groupBy("dataset_id", "user_id")
         .agg(F.max("last_interaction_at").alias("last_interaction_at"), F.sum("n").alias("num_of_interactions"), *(F.sum(c).alias(c) for c in ("num_bytes", "num_rows", "num_files")))
     )
-    named = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), "location_id")
-    where = locations.select(F.col("id").alias("location_id"), F.col("name").alias("dataset_location"), F.col("type").alias("dataset_location_type"))
-    people = users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
-    return total.join(people, "user_id").join(named, "dataset_id").join(where, "location_id", "left").drop("location_id")
+    return named(total, users, datasets, locations)
 
 
 def refresh(tables, folder: str, depths=tuple(DEPTHS), now: dt.datetime | None = None) -> None:
@@ -37,3 +34,47 @@ def refresh(tables, folder: str, depths=tuple(DEPTHS), now: dt.datetime | None =
     for depth in depths:
         for name, io in (("input", tables.input), ("output", tables.output)):
             usage(io, tables.run, tables.user, tables.dataset, tables.location, depth, now).write.mode("overwrite").parquet(f"{folder}/{name}_{depth}_stats")
+
+
+# usage by day
+
+_SUMS = ("num_bytes", "num_rows", "num_files")
+
+
+def day_sums(io: DataFrame, runs: DataFrame) -> DataFrame:
+    """(day, dataset_id, user_id, last_interaction_at, num_of_interactions, sums): one row for each day on which a user's runs touched a dataset."""
+    by_run = io.groupBy("run_id", "dataset_id", F.to_date("created_at").alias("day")).agg(F.max("created_at").alias("last_interaction_at"), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in _SUMS))
+    started = runs.select(F.col("id").alias("run_id"), F.col("started_by_user_id").alias("user_id"))
+    return _added(by_run.join(started, "run_id"), "n", "day", "dataset_id", "user_id")
+
+
+def _added(rows: DataFrame, n: str, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max("last_interaction_at").alias("last_interaction_at"), F.sum(n).alias("num_of_interactions"), *(F.sum(c).alias(c) for c in _SUMS))
+
+
+def refresh_days(io: DataFrame, runs: DataFrame, path: str, days: list[dt.date] | None = None) -> None:
+    """Writes the sums of ``days`` (all that ``io`` has, where none are named) to ``path``, by day; other days stay as they are and are not read."""
+    if days is not None:
+        if not days:
+            return
+        io = io.where(F.col("created_date").isin(days) if "created_date" in io.columns else F.to_date("created_at").isin(days))
+    sums = day_sums(io, runs).hint("rebalance", "day")  # a day to a task, large ones to several
+    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def usage_of_days(sums: DataFrame, io: DataFrame, runs: DataFrame, users: DataFrame, datasets: DataFrame, locations: DataFrame, depth: str, now: dt.datetime) -> DataFrame:
+    """``usage`` made of the sums of days (``day_sums``, stored); facts are read for the day only in which the period begins."""
+    since = F.lit(now) - F.expr(f"INTERVAL {DEPTHS[depth]}")
+    whole = sums.where(F.col("day") > F.to_date(since)).select("dataset_id", "user_id", "last_interaction_at", "num_of_interactions", *_SUMS)
+    edge = io.where((F.col("created_at") >= since) & (F.col("created_at") < F.date_add(F.to_date(since), 1)))
+    edge = edge.where(F.col("created_date") == F.to_date(since)) if "created_date" in io.columns else edge
+    edge = day_sums(edge, runs).select(*whole.columns)
+    return named(_added(whole.unionByName(edge), "num_of_interactions", "dataset_id", "user_id"), users, datasets, locations)
+
+
+def named(total: DataFrame, users: DataFrame, datasets: DataFrame, locations: DataFrame) -> DataFrame:
+    """Sums by dataset_id and user_id with names of users, datasets and locations."""
+    what = datasets.select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), "location_id")
+    where = locations.select(F.col("id").alias("location_id"), F.col("name").alias("dataset_location"), F.col("type").alias("dataset_location_type"))
+    people = users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
+    return total.join(people, "user_id").join(what, "dataset_id").join(where, "location_id", "left").drop("location_id")

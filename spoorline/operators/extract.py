@@ -2,12 +2,15 @@
 
 Every rule is a column expression over parsed events (``schema.run_event``), so a batch is one scan per entity and
 Catalyst prunes what an entity does not read. Which integration sent an event decides the rules, by the first match.
-Rows carry natural keys (location type and name, entity name); surrogate ids are given when they are stored.
+Rows carry natural keys (location type and name, entity name); surrogate ids are given when they are stored. ``register``
+adds the rules of further producers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -42,8 +45,59 @@ def _is(*kinds: str) -> Column:
     return F.col("integration").isin(*kinds)
 
 
+@dataclass(frozen=True)
+class Integration:
+    """The rules of a producer that a user adds. Every rule makes a column over an event; rules that are not given give null.
+
+    ``match`` tells the producer's events, ``operation`` which of them tell of an operation, ``parental`` whether an operation
+    belongs to the parent run that its event names. ``runs`` and ``operations`` make columns of those tables
+    (external_id, user, attempt, persistent_log_url, running_log_url, start_reason; name, position, group,
+    description); ``output_type`` makes the bit of what a write did (by the lifecycle and query rules where not given).
+    """
+
+    name: str
+    match: Callable[[], Column]
+    operation: Callable[[], Column] = field(default=lambda: F.lit(True))
+    parental: bool = False
+    runs: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
+    operations: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
+    output_type: Callable[[Column], Column] | None = None
+
+
+_ADDED: dict[str, Integration] = {}
+_RUNS = ("external_id", "user", "attempt", "persistent_log_url", "running_log_url", "start_reason")
+_OPERATIONS = ("name", "position", "group", "description")
+
+
+def register(rules: Integration) -> None:
+    """Adds a producer, or replaces the one of that name. Those that were added are matched first, in the order of adding."""
+    if rules.name in (SPARK, AIRFLOW_DAG, AIRFLOW_TASK, HIVE, FLINK, DBT, OTHER):
+        raise ValueError(f"{rules.name} has its own rules")
+    if unknown := {*rules.runs} - {*_RUNS} | {*rules.operations} - {*_OPERATIONS}:
+        raise ValueError(f"no columns {sorted(unknown)}")
+    _ADDED[rules.name] = rules
+
+
+def unregister(name: str) -> None:
+    _ADDED.pop(name, None)
+
+
+def _by_added(value: Column, rule: Callable[[Integration], Column | None]) -> Column:
+    """``value``, or what the rules of the event's added producer give; where these say nothing, null (or ``value`` for a rule of None)."""
+    made = [(name, rule(r)) for name, r in _ADDED.items()]
+    return reduce(lambda rest, x: rest if x[1] is None else F.when(_is(x[0]), x[1]).otherwise(rest), made, value)
+
+
+def _ruled(value: Column, table: str, column: str) -> Column:
+    return _by_added(value, lambda r: rules[column]() if column in (rules := getattr(r, table)) else F.lit(None))
+
+
 def integration() -> Column:
     """Which rules an event follows."""
+    return reduce(lambda rest, r: F.when(F.coalesce(r.match(), F.lit(False)), r.name).otherwise(rest), reversed(_ADDED.values()), _built_in())
+
+
+def _built_in() -> Column:
     name, kind = job_facet("jobType.integration"), job_facet("jobType.jobType")
     return (
         F.when(name == "SPARK", SPARK)
@@ -60,20 +114,21 @@ def is_operation() -> Column:
     """Whether an event tells of an operation inside a run, beside the run itself."""
     kind = F.coalesce(job_facet("jobType.jobType"), F.lit(""))
     touches = (F.coalesce(F.size("inputs"), F.lit(0)) > 0) | (F.coalesce(F.size("outputs"), F.lit(0)) > 0)
-    return (
+    return _by_added(
         F.when(_is(SPARK), kind != "APPLICATION")
         .when(_is(AIRFLOW_DAG), False)
         .when(_is(AIRFLOW_TASK, HIVE), True)
         .when(_is(FLINK), kind == "JOB")
         .when(_is(DBT), kind != "JOB")
-        .otherwise(run_facet("custom_operation").isNotNull() | touches)
+        .otherwise(run_facet("custom_operation").isNotNull() | touches),
+        lambda r: F.coalesce(r.operation(), F.lit(False)),
     )
 
 
 def in_parent() -> Column:
     """Whether the operation of an event belongs to the parent run that it names."""
     custom = run_facet("parent").isNotNull() & run_facet("custom_operation").isNotNull() & run_facet("custom_run").isNull()
-    return F.col("is_operation") & (_is(SPARK, DBT) | (_is(OTHER) & custom))
+    return F.col("is_operation") & (_is(SPARK, DBT, *(name for name, r in _ADDED.items() if r.parental)) | (_is(OTHER) & custom))
 
 
 def _hive_run_id() -> Column:
@@ -98,8 +153,7 @@ def classified(events: DataFrame) -> DataFrame:
 
 
 def _job(namespace: Column, name: Column, kind: Column) -> Column:
-    where = text.job_location(namespace)
-    return F.struct(where["type"].alias("location_type"), where["name"].alias("location_name"), where["addresses"].alias("addresses"), name.alias("name"), kind.alias("type"))
+    return text.let(text.job_location(namespace), lambda where: F.struct(where["type"].alias("location_type"), where["name"].alias("location_name"), where["addresses"].alias("addresses"), name.alias("name"), kind.alias("type")))
 
 
 def own_job() -> Column:
@@ -215,12 +269,12 @@ def runs(events: DataFrame) -> DataFrame:
         F.when(hive, 0).when(plain, flags.status_of_event(kind)).otherwise(-1).alias("status"),
         F.when(hive, run_facet("hive_session.creationTime")).when(plain & (kind == "START"), at).alias("started_at"),
         F.when(plain & kind.isin(*ENDS), at).alias("ended_at"),
-        external.alias("external_id"),
-        F.when(_is(AIRFLOW_TASK), run_facet("airflow.taskInstance.try_number").cast("string")).when(_is(OTHER) & own, custom["attempt"]).alias("attempt"),
-        persistent.alias("persistent_log_url"),
-        running.alias("running_log_url"),
-        reason.alias("start_reason"),
-        user.alias("user"),
+        _ruled(external, "runs", "external_id").alias("external_id"),
+        _ruled(F.when(_is(AIRFLOW_TASK), run_facet("airflow.taskInstance.try_number").cast("string")).when(_is(OTHER) & own, custom["attempt"]), "runs", "attempt").alias("attempt"),
+        _ruled(persistent, "runs", "persistent_log_url").alias("persistent_log_url"),
+        _ruled(running, "runs", "running_log_url").alias("running_log_url"),
+        _ruled(reason, "runs", "start_reason").alias("start_reason"),
+        _ruled(user, "runs", "user").alias("user"),
         F.when(plain, planned).alias("expected_start_at"),
         F.when(plain & ~planned.eqNullSafe(until), until).alias("expected_end_at"),
         at.alias("told_at"),
@@ -265,14 +319,14 @@ def operations(events: DataFrame) -> DataFrame:
         F.col("own_id").alias("id"),
         "run_id",
         ids.uuid_instant(F.col("own_id")).alias("created_at"),
-        operation_name().alias("name"),
+        _by_added(operation_name(), lambda r: r.operations["name"]() if "name" in r.operations else None).alias("name"),
         F.coalesce(job_facet("jobType.processingType"), F.lit("BATCH")).alias("type"),
         flags.status_of_event(kind).alias("status"),
         F.when(kind == "START", at).alias("started_at"),
         F.when(kind.isin(*ENDS), at).alias("ended_at"),
-        F.when(_is(SPARK), jobs["jobId"]).when(_is(AIRFLOW_TASK), run_facet("airflow.taskInstance.map_index")).otherwise(custom["position"]).alias("position"),
-        F.when(_is(SPARK), jobs["jobGroup"]).when(_is(AIRFLOW_TASK), run_facet("airflow.task.task_group.group_id")).when(_is(DBT), job_facet("jobType.jobType")).otherwise(custom["group"]).alias("group"),
-        F.when(_is(SPARK), jobs["jobDescription"]).when(_is(AIRFLOW_TASK), run_facet("airflow.task.operator_class")).when(_is(HIVE), run_facet("hive_query.operationName")).otherwise(custom["description"]).alias("description"),
+        _ruled(F.when(_is(SPARK), jobs["jobId"]).when(_is(AIRFLOW_TASK), run_facet("airflow.taskInstance.map_index")).otherwise(custom["position"]), "operations", "position").alias("position"),
+        _ruled(F.when(_is(SPARK), jobs["jobGroup"]).when(_is(AIRFLOW_TASK), run_facet("airflow.task.task_group.group_id")).when(_is(DBT), job_facet("jobType.jobType")).otherwise(custom["group"]), "operations", "group").alias("group"),
+        _ruled(F.when(_is(SPARK), jobs["jobDescription"]).when(_is(AIRFLOW_TASK), run_facet("airflow.task.operator_class")).when(_is(HIVE), run_facet("hive_query.operationName")).otherwise(custom["description"]), "operations", "description").alias("description"),
         sql_text().alias("sql_query"),
         ids.static_uuid(sql_text()).alias("sql_fingerprint"),
         at.alias("told_at"),
@@ -287,8 +341,8 @@ def _name(name: Column) -> Column:
 
 
 def _ref(namespace: Column, name: Column) -> Column:
-    where = text.dataset_location(namespace)
-    return F.struct(where["type"].alias("location_type"), where["name"].alias("location_name"), where["addresses"].alias("addresses"), _name(name).alias("name"))
+    own = _name(name)
+    return text.let(text.dataset_location(namespace), lambda where: F.struct(where["type"].alias("location_type"), where["name"].alias("location_name"), where["addresses"].alias("addresses"), own.alias("name")))
 
 
 def _identifiers(d: Column) -> Column:
@@ -304,8 +358,8 @@ def _table(d: Column) -> Column:
 
 def dataset_of(d: Column) -> Column:
     """The dataset that stands for an input or output, as struct(location_type, location_name, addresses, name)."""
-    table = _table(d)
-    return F.when(table.isNotNull(), _ref(table["namespace"], table["name"])).otherwise(_ref(d["namespace"], d["name"]))
+    own = F.struct(d["namespace"].alias("namespace"), d["name"].alias("name"), F.lit(None).cast("string").alias("type"))
+    return text.let(F.coalesce(_table(d), own), lambda x: _ref(x["namespace"], x["name"]))
 
 
 #: Levels of nested fields that are cleaned; what lies deeper stays as it was told.
@@ -345,7 +399,8 @@ def output_type(d: Column) -> Column:
     by_query = F.coalesce(told, text.output_type_of_sql(sql_text()))
     hive, kinds = run_facet("hive_query.operationName"), ("CREATE", "ALTER", "DROP", "TRUNCATE")
     of_hive = reduce(lambda rest, k: F.when(hive.startswith(k), flags.OUTPUT_TYPES[k]).otherwise(rest), reversed(kinds), F.lit(flags.OUTPUT_TYPES["APPEND"]))
-    return F.when(_is(HIVE), F.when(hive.isNull(), 0).otherwise(of_hive)).when(_is(FLINK, DBT), F.coalesce(by_query, F.lit(flags.OUTPUT_TYPES["APPEND"]))).otherwise(F.coalesce(by_query, F.lit(0)))
+    known = F.when(_is(HIVE), F.when(hive.isNull(), 0).otherwise(of_hive)).when(_is(FLINK, DBT), F.coalesce(by_query, F.lit(flags.OUTPUT_TYPES["APPEND"]))).otherwise(F.coalesce(by_query, F.lit(0)))
+    return _by_added(known, lambda r: r.output_type(d) if r.output_type else None)
 
 
 def _tick() -> Column:

@@ -21,12 +21,12 @@ def largest_but_zero(column: str) -> Column:
 
 
 def merge_io(batch: DataFrame) -> DataFrame:
-    """Reports of one input or output inside a batch: first time, largest counters but 0, types combined, last known schema."""
+    """Reports of one input or output inside a batch: first time, largest counters but 0, types combined, the schema that was told first (as ``extract.merged_rows``)."""
     keys = ["operation_id", "run_id", "job_id", "dataset_id"]
     types = [F.bit_or("type").alias("type")] if "type" in batch.columns else []
     return batch.groupBy(*keys).agg(
         F.min("created_at").alias("created_at"),
-        latest_known("schema_id", F.struct("created_at", "schema_id")).alias("schema_id"),
+        F.min_by("schema_id", F.when(F.col("schema_id").isNotNull(), F.struct("created_at", "schema_id"))).alias("schema_id"),
         *(largest_but_zero(c).alias(c) for c in ("num_bytes", "num_rows", "num_files")),
         *types,
     )

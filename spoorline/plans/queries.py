@@ -626,7 +626,7 @@ def dedup_row_number(spark, sf_dir):
 
 @query(
     "batch_merge_io",
-    """SELECT operation_id, run_id, job_id, dataset_id, CAST(min(created_at) AS DATE) AS created, last(schema_id ORDER BY created_at, schema_id) FILTER (schema_id IS NOT NULL) AS schema_id,
+    """SELECT operation_id, run_id, job_id, dataset_id, CAST(min(created_at) AS DATE) AS created, first(schema_id ORDER BY created_at, schema_id) FILTER (schema_id IS NOT NULL) AS schema_id,
        max(nullif(num_bytes, 0)) AS num_bytes, max(nullif(num_rows - num_rows % 3, 0)) AS num_rows, max(nullif(num_files - 1, 0)) AS num_files, CAST(bit_or(type) AS BIGINT) AS type FROM outputs GROUP BY ALL""",
 )
 def batch_merge_io(spark, sf_dir):

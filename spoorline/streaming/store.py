@@ -25,8 +25,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import cut
-from ..operators import extract, merge
+from ..functions.search import query_words
+from ..operators import extract, merge, search_index
 from .ledger import Ledger
 
 #: Keys of each table; ``_low`` stands for the name without regard to case.
@@ -43,6 +43,7 @@ KEYS = {
     "dataset_column_relation": ["fingerprint", "source_column", "_target"],
     "job_tag_value": ["job"],
     "dataset_tag_value": ["dataset", "tag", "value"],
+    "posting": ["token", "kind", "branch", "id", "vector"],
 }
 FACTS = {
     "run": ["id"],
@@ -140,23 +141,25 @@ class Store:
         kind = StructType.fromJson(table["schema"])
         return StructType([*kind.fields, *(StructType.fromDDL(also).fields if also else [])])
 
-    def _merged(self, name: str, state: dict) -> DataFrame | None:
+    def _merged(self, name: str, state: dict, where: Column | None = None) -> DataFrame | None:
+        """A table's rows for which ``where`` holds, a condition on its key."""
+        where = F.lit(True) if where is None else where
         table = state.get("tables", {}).get(name)
         if table is None:
             return None
         deltas, base = table.get("deltas", []), table.get("base", {})
         if not deltas:
-            return self._base(name, table)
-        new = self._deltas(name, deltas, table)
+            return self._base(name, table).where(where)
+        new = self._deltas(name, deltas, table).where(where)
         if not base:
             return self._fold(name, new, [c for c in new.columns if c != "_order"])
         columns = [c for c in new.columns if c != "_order"]
         if name in FACTS:
             touched = {day for d in deltas for day in d["parts"]}
-            rest, old = self._base(name, table, set(base) - touched), self._base(name, table, touched)
+            rest, old = (df if df is None else df.where(where) for df in (self._base(name, table, set(base) - touched), self._base(name, table, touched)))
         else:
             keys = self._keyed(name, new).select(*KEYS[name]).distinct()
-            whole = self._keyed(name, self._base(name, table))
+            whole = self._keyed(name, self._base(name, table).where(where))
             same = reduce(lambda a, b: a & b, (whole[k].eqNullSafe(keys[k]) for k in KEYS[name]))
             rest, old = whole.join(keys, same, "left_anti").select(*columns), whole.join(keys, same, "left_semi").select(*columns)
         both = new if old is None else new.unionByName(old.withColumn("_order", F.lit(0).cast("long")))
@@ -207,7 +210,11 @@ class Store:
         return self.add(extract.entities(events), batch)
 
     def add(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> int:
-        """Adds rows to tables, as ``extract.entities`` gives them, all at once; the version that holds them."""
+        """Adds rows to tables, as ``extract.entities`` gives them, all at once, with what searches need of them; the version that holds them."""
+        if batch and self._known(self.ledger.state()[1], batch):
+            return self.version()
+        if "posting" not in tables and (postings := self._postings(tables)) is not None:
+            tables = tables | {"posting": postings}
         with ThreadPoolExecutor(WRITERS) as pool:  # jobs of small tables side by side
             written = pool.map(inheritable_thread_target(self.spark)(lambda t: self._write_delta(*t)), tables.items())
             added = {name: d for name, d in zip(tables, written, strict=True) if d}
@@ -222,6 +229,38 @@ class Store:
 
         return self.ledger.change(decide) if added or batch else self.version()
 
+    @staticmethod
+    def _postings(tables: dict[str, DataFrame]) -> DataFrame | None:
+        """The postings of a batch's locations, datasets and jobs, by natural key."""
+        parts = []
+        for kind in ("location", "dataset", "job"):
+            if kind not in tables:
+                continue
+            df = tables[kind].withColumn("ref", F.struct("location_type", "location_name", (F.lit("") if kind == "location" else F.col("name")).alias("name")))
+            parts.append(search_index.vectors(df, kind, "location", "ref", ["location_type", "location_name"]))
+            if kind == "location":
+                parts.append(search_index.vectors(df.withColumn("url", F.explode("addresses")), kind, "address", "ref", ["url"]))
+            else:
+                parts.append(search_index.vectors(df, kind, "name", "ref", ["name"]))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def search(self, kind: str, text: str) -> DataFrame | None:
+        """(location_type, location_name, name, search_rank): the locations, datasets or jobs that match; None where nothing is stored.
+
+        Reads the postings of the query's words only: their buckets, and in those their ranges of tokens.
+        """
+        state = self.ledger.state()[1]
+        words = sorted({w for some in query_words(text) for w in some})
+        near = F.col("_bucket").isin(sorted({ord(w[0]) % self.buckets for w in words})) & (F.col("kind") == kind) & search_index.in_ranges(F.col("token"), words)
+        postings = self._merged("posting", state, near)
+        if postings is None:
+            return None
+        found = search_index.search(postings, kind, text).select("id.*", "search_rank")
+        alias = self._merged("location_alias", state)
+        if alias is not None:
+            found = self._pointed(found, "", alias)
+        return found.groupBy("location_type", "location_name", "name").agg(F.max("search_rank").alias("search_rank"))
+
     @staticmethod
     def _known(state: dict, batch: tuple[str, int]) -> bool:
         return state.get("streams", {}).get(batch[0], -1) >= batch[1]
@@ -232,7 +271,9 @@ class Store:
             rows = rows.withColumn(_DAY, F.to_date("created_at"))
         else:
             keyed = self._keyed(name, rows)
-            rows = keyed.withColumn("_bucket", F.pmod(F.xxhash64(*KEYS[name]), F.lit(self.buckets)).cast("int")).select(*rows.columns, "_bucket")
+            place = F.ascii("token") if name == "posting" else F.xxhash64(*KEYS[name])  # a beginning of a word tells its bucket
+            rows = keyed.withColumn("_bucket", F.pmod(place, F.lit(self.buckets)).cast("int")).select(*rows.columns, "_bucket")
+            rows = rows.sortWithinPartitions("token") if name == "posting" else rows
         id = uuid.uuid4().hex
         folder = f"{self.path}/{name}/delta/batch={id}"
         rows.write.mode("errorifexists").parquet(folder)
@@ -319,6 +360,7 @@ class Store:
         both = new if old is None else new.unionByName(old.withColumn("_order", F.lit(0).cast("long")))
         version = uuid.uuid4().hex
         rows = self._fold(name, both, [c for c in new.columns if c != "_order"])
+        rows = rows.repartitionByRange("_bucket", "token").sortWithinPartitions("_bucket", "token") if name == "posting" else rows
         rows.write.mode("errorifexists").partitionBy(part).parquet(f"{self.path}/{name}/base/version={version}")
         return [d["id"] for d in deltas], dict.fromkeys(sorted(touched), version), table["base"]
 

@@ -19,7 +19,7 @@ from spoorline.streaming import ingest
 from spoorline.streaming.ledger import Ledger
 from spoorline.streaming.store import FACTS, KEYS, Store
 
-TABLES = [t for t in (*KEYS, *FACTS) if t not in ("location_external_id",)]
+TABLES = [t for t in (*KEYS, *FACTS) if t not in ("location_external_id", "posting")]
 
 
 def rows_of(store: Store, name: str) -> list[str]:
@@ -275,3 +275,28 @@ def test_events_of_one_application_lie_together(spark):
     dealt = ingest.by_application(parsed(spark, rows)[0], 4)
     got = dealt.select(ingest.partition_key().alias("k"), F.spark_partition_id().alias("p")).distinct().collect()
     assert len(got) == 2 and len({r.k for r in got}) == 2
+
+
+def test_searches_read_the_postings_of_their_words(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", buckets=8)
+    assert store.search("dataset", "orders") is None
+    store.add(tables(spark, *({"dataset": ref(n)} for n in ("/data/orders", "/data/orders_old", "/other/customers.parquet"))))
+    store.compact()
+    store.add(reads(spark, "/data/Orders/day"))
+
+    def names(kind, text):
+        return {r.name: r.search_rank for r in store.search(kind, text).collect()}
+
+    got = names("dataset", "orders")
+    assert set(got) == {"/data/orders", "/data/orders_old", "/data/Orders/day"} and got["/data/orders"] == max(got.values())
+    assert set(names("dataset", "customers.par")) == {"/other/customers.parquet"} and names("dataset", "nothing") == {} and set(names("dataset", "data ORD")) == set(got)
+    assert {r.location_name for r in store.search("location", "nn:98").collect()} == {"nn:9820"}
+    found = store.search("dataset", "orders")
+    assert found.inputFiles() and all("/posting/" in f for f in found.inputFiles())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [x.split("PushedFilters: ", 1) for x in plan.split("PartitionFilters: ")[1:]]
+    assert any("_bucket" in parts for parts, _ in scans), plan
+    assert all("token" in pushed.split("ReadSchema")[0] for _, pushed in scans), plan
+    before = got
+    store.compact()
+    assert names("dataset", "orders") == before

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, small_side
+from .common import BROADCAST_BYTES, cut, small_batches, small_side
 
 LEAST_REVISIT = 1000
 #: Bytes of payload in a shard, about. The driver holds a boundary key (some 100 bytes) a shard and ``PER_SHARD`` keys for it.
 SHARD_BYTES = 64 << 20
 PER_SHARD = 16
+#: Places to which rows of one payload are dealt out where what is known of payloads is too large to be broadcast.
+SALTS = 32
 ROLL_BYTES = 64 << 20
 #: Bytes of archives that one task reads back, about.
 READ_BYTES = 64 << 20
@@ -113,33 +115,45 @@ class _Roll:
         return self.file, self.temporary, self.records, self.bytes, self.sha.hexdigest(), self.first, self.last
 
 
-def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """(id, url, payload, digest, kind, first_id, first_url): what is written for each row."""
+def records_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_REVISIT) -> tuple[DataFrame, DataFrame]:
+    """((id, url, payload, digest, kind, first_id, first_url): what is written for each row, (id, url, digest, size): its narrow part, stored).
+
+    Payloads are read twice: once for the narrow rows, which everything is decided by, once to be written.
+    """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("first"))
+    narrow = cut(rows.select("id", "url", "digest", F.octet_length("payload").cast("long").alias("size")))
+    groups = narrow.where(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("first"))
     groups = cut(groups.where("n > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url")))
     width = F.lit(100) + F.octet_length(F.col("first_id").cast("string")) + F.coalesce(F.octet_length("first_url"), F.lit(0))
     held = groups.agg(F.sum(width)).head()[0] or 0
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    found = rows.join(small_side(groups, 1, held), "digest", "left").withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
-    return found.select("id", "url", "payload", "digest", "kind", *(F.when(revisit, F.col(c)).alias(c) for c in ("first_id", "first_url")))
+    if held <= BROADCAST_BYTES:
+        found = rows.join(F.broadcast(groups), "digest", "left")
+    else:  # a payload that very many rows share is dealt out to SALTS places
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    found = found.withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
+    return found.select("id", "url", "payload", "digest", "kind", *(F.when(revisit, F.col(c)).alias(c) for c in ("first_id", "first_url"))), narrow
 
 
 def _key(id, digest, url, seq) -> tuple:
     return id is None, id, digest, url is None, url, seq
 
 
-def shards_of(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``rows`` with ``seq`` and ``times`` (how many equal rows one stands for, and the number of the first), dealt out to sorted shards; how many shards."""
+def shards_of(rows: DataFrame, narrow: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``seq`` and ``times`` (how many equal rows one stands for, and the number of the first), dealt out to sorted shards; how many shards.
+
+    Shards are decided by ``narrow`` (of ``records_of``).
+    """
     key = ["id", "digest", "url"]
-    size = (F.octet_length("payload") + 600).cast("long")  # with headers, about
-    n, total = rows.agg(F.count("*"), F.sum(size)).head()
+    size = F.col("size") + 600  # with headers, about
+    n, total = narrow.agg(F.count("*"), F.sum(size)).head()
     shards = max(1, -(-(total or 0) // shard_bytes))
     rows = rows.withColumn("seq", F.lit(0)).withColumn("times", F.lit(1))
     bounds: list[tuple] = []
     if shards > 1:
-        picked = rows.where(F.pmod(F.xxhash64(*key), F.lit(max(1, n // (shards * PER_SHARD)))) == 0)
+        picked = narrow.where(F.pmod(F.xxhash64(*key), F.lit(max(1, n // (shards * PER_SHARD)))) == 0)
         picked = picked.groupBy(*key).agg(F.sum(size).alias("b")).collect()
         picked = sorted((_key(r["id"], r["digest"], r["url"], 0), r["b"]) for r in picked)
         each, held = max(1, sum(b for _, b in picked) / shards), 0
@@ -147,16 +161,18 @@ def shards_of(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
             if held >= each * (len(bounds) + 1):
                 bounds.append(at)
             held += b
-        many = rows.groupBy(*key).agg(F.count("*").alias("many"), F.first(size).alias("b")).where(F.col("many") * F.col("b") > shard_bytes)
+        many = narrow.groupBy(*key).agg(F.count("*").alias("many"), F.first(size).alias("b")).where(F.col("many") * F.col("b") > shard_bytes)
         many = cut(many.withColumn("piece", F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / F.col("b")))))
-        told = many.collect()  # each stands for more bytes than a shard
+        told = many.collect()  # each stands for more bytes than a shard, so there are fewer of them than shards
         if told:
             same = rows["id"].eqNullSafe(many["id"]) & (rows["digest"] == many["digest"]) & rows["url"].eqNullSafe(many["url"])
-            one = rows.join(F.broadcast(many), same, "left_semi").dropDuplicates(key)
-            pieces = one.join(F.broadcast(many), same).select(*(one[c] for c in rows.columns if c not in ("seq", "times")), "many", "piece")
+            width = sum(len(str(r["id"])) + len(r["url"] or "") + 100 for r in told)
+            few = small_side(many, 1, width)
+            one = rows.join(few, same, "left_semi").dropDuplicates(key)
+            pieces = one.join(few, same).select(*(one[c] for c in rows.columns if c not in ("seq", "times")), "many", "piece")
             pieces = pieces.withColumn("seq", F.explode(F.expr("sequence(0L, many - 1, piece)")))
             pieces = pieces.select(*(c for c in rows.columns if c not in ("seq", "times")), F.col("seq").cast("int").alias("seq"), F.least("piece", F.col("many") - F.col("seq")).cast("int").alias("times"))
-            rows = rows.join(F.broadcast(many), same, "left_anti").unionByName(pieces)
+            rows = rows.join(few, same, "left_anti").unionByName(pieces)
             bounds += [_key(r["id"], r["digest"], r["url"], q) for r in told for q in range(0, r["many"], r["piece"])]
         bounds = sorted(set(bounds))
 
@@ -182,7 +198,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     """
     spark = pages.sparkSession
     small_batches(spark)
-    rows, _ = shards_of(records_of(pages, **names), shard_bytes)
+    rows, _ = shards_of(*records_of(pages, **names), shard_bytes)
     rows = rows.select("shard", F.col("id").cast("string").alias("id"), "url", "payload", "digest", "kind", F.col("first_id").cast("string").alias("first_id"), "first_url", "seq", "times")
 
     def run(batches):

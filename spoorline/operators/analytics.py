@@ -53,13 +53,13 @@ def _added(rows: DataFrame, n: str, *keys: str) -> DataFrame:
 
 
 def refresh_days(io: DataFrame, runs: DataFrame, path: str, days: list[dt.date] | None = None) -> None:
-    """Writes the sums of ``days`` (all that ``io`` has, where none are named) to ``path``, by day; other days stay as they are and are not read."""
+    """Writes the sums of ``days`` to ``path``, by day; other days stay as they are and are not read. Without ``days`` the table is made anew."""
     if days is not None:
         if not days:
             return
         io = io.where(F.col("created_date").isin(days) if "created_date" in io.columns else F.to_date("created_at").isin(days))
     sums = day_sums(io, runs).hint("rebalance", "day")  # a day to a task, large ones to several
-    sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    sums.write.mode("overwrite").option("partitionOverwriteMode", "static" if days is None else "dynamic").partitionBy("day").parquet(path)
 
 
 def usage_of_days(sums: DataFrame, io: DataFrame, runs: DataFrame, users: DataFrame, datasets: DataFrame, locations: DataFrame, depth: str, now: dt.datetime) -> DataFrame:

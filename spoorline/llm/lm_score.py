@@ -16,6 +16,7 @@ what is sent to the tasks is the vocabulary of the network and the network, both
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ WIDTH, HIDDEN = 16, 32
 STEP = 1024  # positions of a training step
 SUMS = 8  # tasks that add up the networks of all partitions
 BLOCK = 4096  # positions scored at a time, few enough for the caches
+#: The most frequent words outside the vocabulary that are told to the tasks, and the characters such a word may have: 8 MB at most.
+HEAD, HEAD_CHARS = 1 << 16, 32
 
 
 def words_of(text: str) -> list[str]:
@@ -241,17 +244,21 @@ def score_texts(texts: list[str], known: Tokens, network: Network) -> tuple[np.n
     return counts, np.bincount(np.repeat(np.arange(len(texts)), counts), weights=logp, minlength=len(texts))
 
 
-def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None, head: int = HEAD) -> DataFrame:
     """(id, n_tokens, log_prob, mean_log_prob): one row per input row; the natural logarithm, summed and by token.
 
     With ``counts`` (of ``word_counts``) a rare word has the probability of its shape token times its share of all
-    occurrences of rare words of that shape; without, that of its shape token. Defined cases: a word that was never
+    occurrences of rare words of that shape; without, that of its shape token. The ``head`` most frequent rare words are
+    told to the tasks, the others are joined by word, so no frequent word is a key of the join; scores are the same for
+    any head but for rounding. Defined cases: a word that was never
     counted has a share of one in all rare occurrences and one; null and empty texts, and texts of white space, have no tokens, log_prob 0 and a
     null mean; repeated rows give a row each, with the same score; an empty table gives an empty result; other
     columns are neither read nor kept.
     """
     small_batches(docs.sparkSession)
     inner = counts is not None
+    rare_words, unseen = within_shape(counts, vocab) if inner else (None, 0.0)
+    told = {r["w"]: r["lp"] for r in rare_words.where(F.length("w") <= HEAD_CHARS).orderBy(F.desc("n"), "w").limit(head).collect()} if inner else {}
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())]
     if inner:
         fields += [T.StructField("_row", T.LongType()), T.StructField("_w", T.ArrayType(T.StringType())), T.StructField("_n", T.ArrayType(T.LongType()))]
@@ -264,23 +271,27 @@ def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str
             out = {"n_tokens": counted, "log_prob": total}
             if inner:
                 rare = [Counter(w for w in words_of(t) if w not in vocab) for t in texts]
+                out["log_prob"] = total + [sum(n * told[w] for w, n in c.items() if w in told) for c in rare]
+                rare = [{w: n for w, n in c.items() if w not in told} for c in rare]
                 out |= {"_row": pdf["_row"], "_w": pd.Series([list(c) for c in rare], dtype=object), "_n": pd.Series([list(c.values()) for c in rare], dtype=object)}
             yield pd.DataFrame(out)
 
     out = map_beside(docs, id_col, [F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *([F.monotonically_increasing_id().alias("_row")] if inner else [])], run, fields)
     if inner:
-        out = within_shapes(cut(out), counts, vocab)
+        out = with_rare(cut(out), rare_words, unseen)
     return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
-def within_shapes(scored: DataFrame, counts: DataFrame, vocab: dict[str, int]) -> DataFrame:
-    """``scored`` with the log-probability of every rare word within its shape added; a join by word, so nothing is sent to the tasks but the sums of the shapes."""
+def within_shape(counts: DataFrame, vocab: dict[str, int]) -> tuple[DataFrame, float]:
+    """(w, n, lp): of every counted word outside ``vocab`` the logarithm of its share of all occurrences of such words of its shape; and that of a word never counted."""
     rare = counts.where(~F.col("w").isin(list(vocab))) if vocab else counts
     sums = {r["s"]: r["n"] for r in rare.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # 32 at most
     total = F.element_at(F.create_map(*(F.lit(x) for s in range(SHAPES) for x in (s, max(sums.get(s, 0), 1)))), F.col("s"))
-    inner = rare.select("w", (F.log("n") - F.log(total)).alias("lp"))
+    return rare.select("w", "n", (F.log("n") - F.log(total)).alias("lp")), -math.log(1 + sum(sums.values()))
+
+
+def with_rare(scored: DataFrame, rare: DataFrame, unseen: float) -> DataFrame:
+    """``scored`` with the log-probability within its shape of every rare word that the tasks were not told; a join by word."""
     words = scored.select("_row", F.explode(F.arrays_zip("_w", "_n")).alias("x")).select("_row", F.col("x._w").alias("w"), F.col("x._n").alias("m"))
-    met = words.join(inner, "w", "left")
-    unseen = -F.log(F.lit(float(1 + sum(sums.values()))))
-    added = met.groupBy("_row").agg(F.sum(F.col("m") * F.coalesce("lp", unseen)).alias("_more"))
+    added = words.join(rare.select("w", "lp"), "w", "left").groupBy("_row").agg(F.sum(F.col("m") * F.coalesce("lp", F.lit(unseen))).alias("_more"))
     return scored.drop("_w", "_n").join(added, "_row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0))).drop("_row", "_more")

@@ -419,5 +419,6 @@ def test_lm_rare_words_have_their_share_of_the_shape(spark, monkeypatch):
     assert share["yak"] > share["gnu"]  # equal shape
     _, base = lm_score.score_texts([t or "" for t in texts], lm_score.Tokens(vocab), net)
     want = sorted(b + sum(share.get(w, 0) for w in (t or "").lower().split()) for b, t in zip(base, texts, strict=True))
-    got = sorted(r.log_prob for r in lm_score.score(docs, vocab, net, counts=counts).collect())
-    assert np.allclose(got, want)
+    for head in (0, 2, lm_score.HEAD):  # all rare words joined, some told to the tasks, all told
+        got = sorted(r.log_prob for r in lm_score.score(docs, vocab, net, counts=counts, head=head).collect())
+        assert np.allclose(got, want)

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from spoorline.llm import quality_rules, secret_scan, simhash_dedup
+from spoorline.llm import near_copies, quality_rules, secret_scan, simhash_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("t", T.StringType()), T.StructField("fp", T.LongType())])
@@ -280,3 +280,12 @@ def test_near_copies_in_one_large_group(spark):
     want = sorted({rows[find(i)][0] for i in range(len(rows))})
     assert 20 < len(want) < 120
     assert sorted(r.doc_id for r in simhash_dedup.keep_first(docs(spark, rows)).collect()) == want
+
+
+@pytest.mark.parametrize("share", [0.5, 4, 4096])  # no group is hot, the large one, all
+def test_first_of_hot_groups(spark, monkeypatch, share):
+    monkeypatch.setattr(near_copies, "HOT_SHARE", share)
+    many = "one text that very many rows repeat to the letter"
+    rows = [(i, many) for i in range(100, 40, -1)] + [(7, "another text that three rows repeat word for word")] * 3 + [(8, "a text of its own without any copy"), (None, many), (None, None)]
+    got = sorted((r.doc_id for r in near_copies.keep_first(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([41, 7, 8, None], key=str)

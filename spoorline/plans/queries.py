@@ -604,11 +604,15 @@ def static_uuid_fingerprint(spark, sf_dir):
 
 @query(
     "partition_ranges",
-    "SELECT strftime(t, 'y%Y_m%m') AS name, CAST(t AS DATE) AS begin_at, CAST(t + INTERVAL 1 MONTH AS DATE) AS end_at FROM (SELECT unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-11-01', INTERVAL 1 MONTH)) AS t)",
+    """WITH t AS (SELECT o_orderdate AS t FROM orders UNION ALL SELECT l_shipdate FROM lineitem UNION ALL SELECT ts FROM events),
+            s AS (SELECT date_trunc('month', min(t)) AS a, date_trunc('month', max(t)) + INTERVAL 2 MONTH AS b FROM t)
+       SELECT strftime(m, 'y%Y_m%m') AS name, CAST(m AS DATE) AS begin_at, CAST(m + INTERVAL 1 MONTH AS DATE) AS end_at FROM (SELECT unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM s)""",
     mapped=False,
 )
 def partition_ranges(spark, sf_dir):
-    out = partitions.partition_ranges(spark, dt.date(1995, 1, 2), dt.date(2001, 11, 4), "month")
+    source = OrderTables(spark, sf_dir).source
+    facts = [source("orders").select(F.col("o_orderdate").alias("created_at")), source("lineitem").select(F.col("l_shipdate").alias("created_at")), source("events").select(F.col("ts").alias("created_at"))]
+    out = partitions.partitions_of(facts, granularity="month", ahead=2)
     return out.select("name", F.col("begin").alias("begin_at"), F.col("end").alias("end_at"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,46 @@ def partition_ranges(spark: SparkSession, start: dt.date, end: dt.date, granular
         raise ValueError(f"granularity is one of {GRANULARITIES}")
     if start > end:
         raise ValueError("start has to be before end")
-    step = f"INTERVAL 1 {granularity}"
+    one = spark.range(1).select(F.explode(F.sequence(F.date_trunc(granularity, F.lit(start)), F.date_trunc(granularity, F.lit(end)), F.expr(f"INTERVAL 1 {granularity}"))).alias("t"))
+    return _named(one, granularity)
+
+
+def partitions_of(facts: list[DataFrame], created: str = "created_at", granularity: str = "month", ahead: int = 0) -> DataFrame:
+    """(name, begin, end): the partitions from the first to the last moment of all ``facts``, and ``ahead`` more after them; none without facts.
+
+    A moment is read by its minimum and maximum only, which Parquet's footers answer; null moments count for nothing.
+    """
+    if granularity not in GRANULARITIES:
+        raise ValueError(f"granularity is one of {GRANULARITIES}")
+    times = reduce(DataFrame.union, (f.select(F.col(created).cast("timestamp").alias("t")) for f in facts))
+    last = F.date_trunc(granularity, F.max("t")) + F.make_interval(**{f"{granularity}s": F.lit(ahead)})
+    span = times.agg(F.date_trunc(granularity, F.min("t")).alias("first"), last.alias("last")).where("first is not null")
+    return _named(span.select(F.explode(F.sequence("first", "last", F.expr(f"INTERVAL 1 {granularity}"))).alias("t")), granularity)
+
+
+def _named(begins: DataFrame, granularity: str) -> DataFrame:
     pattern = {"day": "'y'yyyy_'m'MM_'d'dd", "month": "'y'yyyy_'m'MM", "year": "'y'yyyy"}[granularity]
-    one = spark.range(1).select(F.explode(F.sequence(F.date_trunc(granularity, F.lit(start)), F.date_trunc(granularity, F.lit(end)), F.expr(step))).alias("t"))
-    return one.select(F.date_format("t", pattern).alias("name"), F.to_date("t").alias("begin"), F.to_date(F.col("t") + F.expr(step)).alias("end"))
+    return begins.select(F.date_format("t", pattern).alias("name"), F.to_date("t").alias("begin"), F.to_date(F.col("t") + F.expr(f"INTERVAL 1 {granularity}")).alias("end"))
+
+
+def create_days(path: str, tables: list[str], start: dt.date, end: dt.date) -> list[tuple[str, dt.date]]:
+    """(table, day) of the days from ``start`` through ``end`` that were not there; each has an empty folder then.
+
+    Writing makes folders by itself; made beforehand they let readers list a day that has no facts yet. Days that are
+    there stay as they are. ``path`` is a URI of any store that pyarrow opens.
+    """
+    from pyarrow import fs
+
+    if start > end:
+        raise ValueError("start has to be before end")
+    files, root = fs.FileSystem.from_uri(path)
+    days = [start + dt.timedelta(i) for i in range((end - start).days + 1)]
+    wanted = [(t, d) for t in tables for d in days]
+    infos = files.get_file_info([f"{root}/{t}/created_date={d}" for t, d in wanted])
+    missing = [w for w, info in zip(wanted, infos, strict=True) if info.type == fs.FileType.NotFound]
+    for t, d in missing:
+        files.create_dir(f"{root}/{t}/created_date={d}", recursive=True)
+    return sorted(missing)
 
 
 def partitions_before(names: DataFrame, keep_after: dt.date) -> DataFrame:

@@ -111,3 +111,22 @@ def test_partitions(spark, tmp_path):
     partitions.write_fact(facts, f"{tmp_path}/f")
     partitions.write_fact(facts.where("id = 2").withColumn("id", F.lit(5).cast("long")), f"{tmp_path}/f")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/f").collect()) == [1, 5]
+    dated = facts.union(spark.createDataFrame([(3, dt.datetime(2024, 2, 29, 23)), (4, None)], facts.schema))
+    for granularity, names in (("year", ["y2024", "y2025"]), ("month", ["y2024_m01", "y2024_m02", "y2024_m03"]), ("day", 61)):
+        got = [r.name for r in partitions.partitions_of([facts, dated], granularity=granularity, ahead=1).collect()]
+        assert got == names if isinstance(names, list) else len(got) == names and got[-1] == "y2024_m03_d01"
+    assert partitions.partitions_of([facts.where("id is null")]).count() == 0
+
+
+def test_days_are_created_once_and_read_as_empty(spark, tmp_path):
+    path, days = f"file://{tmp_path}", [dt.date(2024, 1, d) for d in (1, 2, 3)]
+    facts = spark.createDataFrame([(1, dt.datetime(2024, 1, 2))], "id long, created_at timestamp")
+    partitions.write_fact(facts, f"{path}/f")
+    assert partitions.create_days(path, ["f", "g"], days[0], days[2]) == [("f", days[0]), ("f", days[2]), *(("g", d) for d in days)]
+    assert partitions.create_days(path, ["f", "g"], days[0], days[2]) == []
+    assert [r.id for r in spark.read.parquet(f"{path}/f").collect()] == [1]
+    partitions.write_fact(facts.withColumn("created_at", F.lit(dt.datetime(2024, 1, 3, 5))), f"{path}/f")
+    assert spark.read.parquet(f"{path}/f").count() == 2
+    assert partitions.clean_up(path, ["f", "g"], days[1], partitions.DROP) == [("f", days[0]), ("g", days[0])]
+    with pytest.raises(ValueError, match="before end"):
+        partitions.create_days(path, ["f"], days[1], days[0])

@@ -137,6 +137,10 @@ class Network:
         around = (*range(-REACH, 0), *range(1, REACH + 1))
         return [(o, self.p["E"] @ self.p["W"][k * WIDTH : (k + 1) * WIDTH]) for k, o in enumerate(around)]
 
+    def bound(self) -> float:
+        """What no logit is above: the hidden layer is within 1, so sums of weights tell. Only large logits need their maximum taken away."""
+        return max(np.abs(self.p["A"]).sum(0).max() + np.abs(self.p["a"]).max(), np.abs(self.p["B"]).sum(0).max() + np.abs(self.p["C"]).max())
+
     def log_prob(self, stream: np.ndarray, at: np.ndarray, tables: list | None = None) -> np.ndarray:
         """The log-probability of the token at each of the positions ``at``, given the tokens on both sides."""
         hidden = np.repeat(self.p["w"][None], len(at), axis=0)
@@ -145,8 +149,7 @@ class Network:
         np.tanh(hidden, out=hidden)
         kind, member = np.divmod(stream[at], MEMBERS)
         rows, total = np.arange(len(at)), np.zeros(len(at))
-        # the hidden layer is within 1, so sums of weights bound the logits; only large ones need their maximum taken away
-        bound = max(np.abs(self.p["A"]).sum(0).max() + np.abs(self.p["a"]).max(), np.abs(self.p["B"]).sum(0).max() + np.abs(self.p["C"]).max())
+        bound = self.bound()
         for logits, target in ((hidden @ self.p["A"] + self.p["a"], kind), (hidden @ self.p["B"] + self.p["C"][kind], member)):
             if bound > 80:
                 logits -= logits.max(axis=1, keepdims=True)
@@ -158,20 +161,26 @@ class Network:
     def gradients(self, stream: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability at the positions ``at``."""
         context, x, h = self._hidden(stream, at)
+        rows, n = np.arange(len(at)), np.float32(len(at))
         kind, member = np.divmod(stream[at], MEMBERS)
-        rows, n = np.arange(len(at)), len(at)
+        large = self.bound() > 80
 
         def softmax_less_target(logits, target):
-            out = np.exp(logits - logits.max(axis=1, keepdims=True))
-            out /= out.sum(axis=1, keepdims=True)
-            out[rows, target] -= 1
-            return (out / n).astype(np.float32)
+            if large:
+                logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= (logits @ np.ones(logits.shape[1], dtype=logits.dtype) * n)[:, None]
+            logits[rows, target] -= 1 / n
+            return logits
 
         ga = softmax_less_target(h @ self.p["A"] + self.p["a"], kind)
         gb = softmax_less_target(h @ self.p["B"] + self.p["C"][kind], member)
-        gh = (ga @ self.p["A"].T + gb @ self.p["B"].T) * (1 - h * h)
-        gc, ge = _summed(kind, gb, self.p["C"]), _summed(context.ravel(), (gh @ self.p["W"].T).reshape(-1, WIDTH), self.p["E"])
-        return {"E": ge, "W": x.T @ gh, "w": gh.sum(0), "A": h.T @ ga, "a": ga.sum(0), "B": h.T @ gb, "C": gc}
+        gh = ga @ self.p["A"].T
+        gh += gb @ self.p["B"].T
+        gh *= 1 - h * h
+        of_kind = (kind[:, None] == np.arange(len(self.p["C"]))).astype(gb.dtype)  # C has few rows
+        ge = _summed(context.ravel(), (gh @ self.p["W"].T).reshape(-1, WIDTH), self.p["E"])
+        return {"E": ge, "W": x.T @ gh, "w": gh.sum(0), "A": h.T @ ga, "a": ga.sum(0), "B": h.T @ gb, "C": of_kind.T @ gb}
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
@@ -189,7 +198,10 @@ class Walk:
         self.step, self.seen, self.rate, self.rng = 0, 0, rate, np.random.default_rng(seed)
 
     def texts(self, texts: list[str], known: Tokens) -> None:
-        stream, _ = tokens(texts, known)
+        self.stream(tokens(texts, known)[0])
+
+    def stream(self, stream: np.ndarray) -> None:
+        """Over the positions of a stream of tokens with pads between the texts, in an order by chance."""
         real = np.flatnonzero(stream < VOCABULARY)
         at = self.rng.permutation(real)
         for lo in range(0, len(at), STEP):
@@ -207,18 +219,25 @@ def train(docs: DataFrame, vocab: dict[str, int], text_col: str = "text", rounds
     small_batches(docs.sparkSession)
     network = Network.new()
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+
+    def encode(batches):
+        known = Tokens(vocab)
+        for pdf in batches:
+            yield pd.DataFrame({"b": [tokens(part, known)[0].astype(np.int16).tobytes() for part in chunks(pdf["_t"].tolist())]})
+
+    streams = cut(texts.mapInPandas(encode, "b binary"))  # a third of the texts, made once for all rounds
     for r in range(rounds):
         start = network
 
         def run(batches, start=start, r=r):
-            walk, known = Walk(start, seed=r), Tokens(vocab)
+            walk = Walk(start, seed=r)
             for pdf in batches:
-                for part in chunks(pdf["_t"].tolist()):
-                    walk.texts(part, known)
+                for b in pdf["b"]:
+                    walk.stream(np.frombuffer(b, dtype=np.int16).astype(np.int64))
             if walk.seen:
                 yield pd.DataFrame({"n": [walk.seen], "v": [walk.net.flat()]})
 
-        parts = texts.mapInPandas(run, "n long, v array<float>")
+        parts = streams.mapInPandas(run, "n long, v array<float>")
         sums = parts.repartition(SUMS).mapInPandas(_added, "n long, v array<double>").collect()  # a network's numbers in each of SUMS rows
         if sums:
             network = Network.of(sum(np.array(r["v"]) for r in sums) / sum(r["n"] for r in sums))

@@ -42,6 +42,16 @@ def test_a_period_takes_a_few_rows_however_long(spark):
     assert placed.count() <= 3 * 2 * ranges.levels_of(ranges.BASE)
 
 
+def test_overlaps_are_not_broadcast_and_visit_levels_in_use_only(spark):
+    days = [(1, START + dt.timedelta(days=i), START + dt.timedelta(days=i + 1)) for i in range(50)]
+    df = spark.createDataFrame(days, "k int, since timestamp, until timestamp")
+    met = ranges.overlaps(df, df, ["k"])
+    assert met.count() == 50
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    homes = ranges._levelled(df, "b", ["k"], "since", "until", ranges.BASE).select(F.bit_or(F.expr("shiftleft(1, _own)"))).scalar()
+    assert ranges._placed(df, "a", ["k"], "since", "until", ranges.BASE, homes).select("_level").distinct().count() == 1
+
+
 def test_usage_of_days_is_usage(spark, tmp_path):
     rnd = random.Random(7)
     now = dt.datetime(2024, 3, 20, 13, 30)

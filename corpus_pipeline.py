@@ -29,8 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"), search=decontaminate.every_contaminated)
+    """Drops the documents that hold a benchmark item: by SimHash blocks first, then what an exact search of the rest finds beyond the radius."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    rest = decontaminate.without_contaminated(docs, benchmark, search=decontaminate.contaminated)
+    return decontaminate.without_contaminated(rest, benchmark, search=decontaminate.every_contaminated)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@
    share, repeats counted, over the weight of the item's shingles; a shingle weighs ln(1 + items / items that have it).
 
 No radius bounds the similarity: with seven words at the edges of a 39-word item changed, similarity is exactly 0.8 and
-one window in seven lies beyond 15 bits. Steps 1 to 3 also see aligned windows only. The query and the pipeline therefore
-use ``every_contaminated``, which weighs every window of an item's length that shares a shingle with it; fingerprints
-give its distance.
+one window in seven lies beyond 15 bits. Steps 1 to 3 also see aligned windows only. What they leave goes through
+``every_contaminated`` in the pipeline, which weighs every window of an item's length that shares a shingle with it;
+fingerprints give its distance. The query uses it for all rows, because its pairs need every window.
 
 Items of fewer words than a shingle are one shingle as a whole. Broadcasts stand behind a count of rows of a fixed
 width, or of bytes where rows hold lists. A text is read as one row, however long: a row of hits takes 24 bytes for each

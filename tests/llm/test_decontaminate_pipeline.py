@@ -262,3 +262,17 @@ def test_rows_that_share_an_id_are_judged_on_their_text(spark, search):
     d, b = frames(spark, docs, items)
     kept = [(r.doc_id, r.text) for r in decontaminate.without_contaminated(d, b, search=search).collect()]
     assert sorted(kept, key=str) == sorted([*clean, (7, None), (None, None)], key=str)
+
+
+def test_the_stage_searches_by_simhash_and_then_exactly(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(39)]
+    edged = words[:32] + [f"x{i}" for i in range(7)]
+    docs = spark.createDataFrame([(1, "a b " + " ".join(words) + " c"), (2, " ".join(f"v{i}" for i in range(60))), (3, " ".join(edged))], "doc_id long, text string")
+    spark.createDataFrame([(1, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = lambda: {r.doc_id for r in corpus_pipeline.clean_of_benchmark(spark, docs, str(tmp_path)).collect()}
+    both = held()
+    nothing = lambda docs, benchmark, id_col, **names: docs.select(id_col).where("false")
+    monkeypatch.setattr(decontaminate, "every_contaminated", nothing)
+    assert 1 not in held() and 2 in held() and both <= held()  # the blocks alone find the item as it is

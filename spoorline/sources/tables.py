@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Line items that go to a task where facts are joined and folded; tables of up to ``WHOLE_ROWS`` are left to Spark.
+TASK_ROWS, WHOLE_ROWS = 125_000, 2_000_000
+
+
+def tasks_of(rows: int) -> int | None:
+    """How many tasks a table's rows are dealt to, so that a task's share stays the same however many there are; None: as Spark likes."""
+    return None if rows <= WHOLE_ROWS else -(-rows // TASK_ROWS)
+
+
 @dataclass
 class Tables:
     """Tables by name, read from ``path`` as Parquet (facts may be partitioned by ``created_date``)."""
@@ -37,6 +46,14 @@ class OrderTables:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _tasks(self) -> int | None:
+        return tasks_of(self.source("lineitem").count())  # from the footers
+
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """``df`` dealt out by ``key`` to as many tasks as line items ask for. Left alone, small stored sizes make few tasks, and their memory grows with the table."""
+        return df if self._tasks is None else df.repartition(self._tasks, key)
+
     @cached_property
     def location(self) -> DataFrame:
         region = self.source("region").select(F.col("r_regionkey").alias("n_regionkey"), F.lower("r_name").alias("type"))
@@ -83,8 +100,8 @@ class OrderTables:
     def _facts(self) -> DataFrame:
         runs = self.source("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("job_id"))
         return (
-            self.source("lineitem")
-            .join(runs, "l_orderkey")
+            self.dealt(self.source("lineitem"), "l_orderkey")
+            .join(self.dealt(runs, "l_orderkey"), "l_orderkey")
             .select(
                 F.col("l_shipdate").alias("created_at"),
                 (F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2).alias("operation_id"),
@@ -110,7 +127,7 @@ class OrderTables:
 
     @cached_property
     def operation(self) -> DataFrame:
-        item = self.source("lineitem").select((F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2).alias("id"), F.col("l_orderkey").alias("run_id"), "l_shipdate")
+        item = self.dealt(self.source("lineitem"), "l_orderkey").select((F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2).alias("id"), F.col("l_orderkey").alias("run_id"), "l_shipdate")
         return item.groupBy("id", "run_id").agg(F.min("l_shipdate").alias("created_at")).withColumn("name", F.concat(F.lit("op-"), F.col("id").cast("string")))
 
     @cached_property
@@ -125,7 +142,7 @@ class OrderTables:
         """One row for each input, output pair of an operation; the input's part is the fingerprint."""
         reads = self.source("lineitem").where("l_returnflag = 'R'").select((F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2).alias("operation_id"), F.col("l_suppkey").alias("source_dataset_id"), F.col("l_partkey").cast("string").alias("fingerprint"))
         writes = self.output.select("created_at", "operation_id", "run_id", "job_id", F.col("dataset_id").alias("target_dataset_id"))
-        return writes.join(reads, "operation_id")
+        return self.dealt(writes, "operation_id").join(self.dealt(reads, "operation_id"), "operation_id")
 
     @cached_property
     def dataset_column_relation(self) -> DataFrame:

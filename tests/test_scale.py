@@ -146,3 +146,17 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         frames.shared_dir(Session)
+
+
+def test_tasks_grow_with_the_facts(spark, monkeypatch):
+    from spoorline.sources import tables
+
+    plain = {name: getattr(OrderTables(spark, SMALL), name) for name in ("input", "output", "operation", "column_lineage")}
+    monkeypatch.setattr(tables, "WHOLE_ROWS", 0)
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    dealt = OrderTables(spark, SMALL)
+    assert io_stats.dedup_io(dealt.output).rdd.getNumPartitions() >= dealt.source("lineitem").count() // 300
+    for name, df in plain.items():
+        other = getattr(dealt, name)
+        assert other.count() == df.count() and df.exceptAll(other).isEmpty() and other.exceptAll(df).isEmpty()
+    assert tables.tasks_of(1200) == 4

@@ -292,19 +292,19 @@ def symlink_rows(out: Lineage) -> DataFrame | None:
     return rows.select("type", F.lit(DATASET).alias("from_kind"), end("from_dataset_id").alias("from_id"), F.lit(DATASET).alias("to_kind"), end("to_dataset_id").alias("to_id")).orderBy("from_id", "to_id", "type")
 
 
-def column_lineage(out: Lineage, tables) -> DataFrame | None:
+def column_lineage(out: Lineage, tables, tasks: int | None = None) -> DataFrame | None:
     """Which columns depend on which, for what a walk has shown; None where it shows no reads or no writes.
 
     Looked up by the jobs, runs or operations that the walk holds, between datasets that it shows as read and as
     written, in its period (by operations: from the earliest of their ids on); a walk over datasets takes the pairs
-    that it has found. Rows as of ``columns.combined``.
+    that it has found. Rows as of ``columns.combined``, which ``tasks`` is for.
     """
     if out.by == DATASET:
         pairs = out.all_relations()
         if pairs is None:
             return None
         pairs = pairs.select(F.col("in_dataset_id").alias("source_dataset_id"), F.col("out_dataset_id").alias("target_dataset_id"))
-        return columns.of_pairs(tables.column_lineage, tables.dataset_column_relation, pairs, out.since, out.until)
+        return columns.of_pairs(tables.column_lineage, tables.dataset_column_relation, pairs, out.since, out.until, tasks)
     reads, writes = out.merged("inputs"), out.merged("outputs")
     if reads is None or writes is None:
         return None
@@ -314,7 +314,7 @@ def column_lineage(out: Lineage, tables) -> DataFrame | None:
     since, until = (out.since, out.until) if out.by != OPERATION else (None, None)
     if out.by != JOB:
         facts = in_period(facts, bounds_of(nodes)[0])
-    return columns.of_entities(facts, tables.dataset_column_relation, ENTITY[out.by], nodes, sources, targets, since, until)
+    return columns.of_entities(facts, tables.dataset_column_relation, ENTITY[out.by], nodes, sources, targets, since, until, tasks)
 
 
 def shown_schemas(out: Lineage) -> DataFrame | None:

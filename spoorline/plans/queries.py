@@ -794,14 +794,14 @@ def lineage_parent_relations(spark, sf_dir):
 def column_lineage_pairs(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     pairs = t.column_lineage.select("source_dataset_id", "target_dataset_id").distinct()
-    return _long(_date(columns.of_pairs(t.column_lineage, t.dataset_column_relation, pairs), "last_used_at"), "types")
+    return _long(_date(columns.of_pairs(t.column_lineage, t.dataset_column_relation, pairs, tasks=t.tasks), "last_used_at"), "types")
 
 
 @query("column_lineage_by_job", _WHOLE)
 def column_lineage_by_job(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
     shown = t.dataset.select("id")
-    return _long(_date(columns.of_entities(t.column_lineage, t.dataset_column_relation, "job_id", t.job.select("id"), shown, shown), "last_used_at"), "types")
+    return _long(_date(columns.of_entities(t.column_lineage, t.dataset_column_relation, "job_id", t.job.select("id"), shown, shown, tasks=t.tasks), "last_used_at"), "types")
 
 
 @query("union_pages", "SELECT id, name, 'dataset' AS kind FROM dataset UNION SELECT id, name, 'job' FROM job")

@@ -92,7 +92,7 @@ def _columns_sql(entity: str, reads: str, writes: str, when: str) -> str:
 
 
 def _columns(out, t):
-    return _long(_date(lineage.column_lineage(out, t), "last_used_at"), "types")
+    return _long(_date(lineage.column_lineage(out, t, t.tasks), "last_used_at"), "types")
 
 
 _WITHIN = f"created_at BETWEEN {WIDE}"

@@ -47,12 +47,13 @@ class OrderTables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def _tasks(self) -> int | None:
+    def tasks(self) -> int | None:
+        """Tasks that line items, and what comes of them, are dealt to."""
         return tasks_of(self.source("lineitem").count())  # from the footers
 
     def dealt(self, df: DataFrame, key: str) -> DataFrame:
         """``df`` dealt out by ``key`` to as many tasks as line items ask for. Left alone, small stored sizes make few tasks, and their memory grows with the table."""
-        return df if self._tasks is None else df.repartition(self._tasks, key)
+        return df if self.tasks is None else df.repartition(self.tasks, key)
 
     @cached_property
     def location(self) -> DataFrame:

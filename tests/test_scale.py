@@ -160,3 +160,19 @@ def test_tasks_grow_with_the_facts(spark, monkeypatch):
         other = getattr(dealt, name)
         assert other.count() == df.count() and df.exceptAll(other).isEmpty() and other.exceptAll(df).isEmpty()
     assert tables.tasks_of(1200) == 4
+
+
+def test_column_lineage_is_folded_in_as_many_tasks_as_facts(spark, monkeypatch):
+    from spoorline.operators import columns
+    from spoorline.sources import tables
+
+    def folded(t):
+        return columns.combined(t.column_lineage, t.dataset_column_relation, tasks=t.tasks)
+
+    plain = folded(OrderTables(spark, SMALL))
+    monkeypatch.setattr(tables, "WHOLE_ROWS", 0)
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    dealt = OrderTables(spark, SMALL)
+    rows = folded(dealt)
+    assert rows.rdd.getNumPartitions() == dealt.tasks >= dealt.source("lineitem").count() // 300
+    assert rows.count() == plain.count() > 0 and rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()

@@ -63,6 +63,8 @@ class Lineage:
         parts = getattr(self, kind)
         if not parts:
             return None
+        if len(parts) == 1:  # a roll-up has one row per key as it is
+            return parts[0]
         rows = reduce(DataFrame.unionByName, (p.withColumn("_level", F.lit(i)) for i, p in enumerate(parts)))
         keys = KEYS[OPERATION] + (["types"] if "types" in rows.columns else [])
         return first_per(rows, keys, F.desc("_level")).drop("_level")

@@ -176,3 +176,11 @@ def test_column_lineage_is_folded_in_as_many_tasks_as_facts(spark, monkeypatch):
     rows = folded(dealt)
     assert rows.rdd.getNumPartitions() == dealt.tasks >= dealt.source("lineitem").count() // 300
     assert rows.count() == plain.count() > 0 and rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+
+
+def test_edges_of_one_level_need_no_window(spark):
+    t = OrderTables(spark, SMALL)
+    out = lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.OPERATION)
+    for rows in (out.merged("inputs"), out.merged("outputs")):
+        keys = [c for c in ("operation_id", "run_id", "job_id", "dataset_id", "types") if c in rows.columns]
+        assert "Window" not in plan(rows) and rows.count() == rows.select(*keys).distinct().count() > 0

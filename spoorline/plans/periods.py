@@ -10,7 +10,7 @@ from ..frames import cut, shared_dir
 from ..functions import ids
 from ..operators import analytics, extract, ranges
 from ..sources.tables import OrderTables
-from ..streaming.ingest import parse_events
+from ..streaming.ingest import parsed, valid_events
 from .queries import NOW, _date, _long
 from .registry import QUERIES, SQL, query
 
@@ -71,7 +71,8 @@ def _producer_events(spark, sf_dir):
     ended = F.when(F.col("o_orderstatus") == "F", "COMPLETE").when(F.col("o_orderstatus") == "P", "FAIL").otherwise("RUNNING")
     event = F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"), ended.alias("eventType"), job.alias("job"), F.struct(ids.incremental_uuid(at, text).alias("runId"), facets.alias("facets")).alias("run"))
     value = F.concat(F.regexp_replace(F.to_json(event), r"\}$", ""), F.lit(', "inputs": [], "outputs": []}'))
-    return extract.classified(cut(parse_events(cut(o.select(value.alias("value"))))[0]))
+    texts = cut(o.select(value.alias("value")))
+    return extract.classified(valid_events(cut(texts.select(parsed().alias("event")))))
 
 
 @query(

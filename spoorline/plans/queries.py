@@ -11,7 +11,7 @@ from ..functions import flags, ids, text
 from ..operators import analytics, columns, extract, io_stats, lineage, listing, merge
 from ..sources import partitions
 from ..sources.tables import OrderTables
-from ..streaming.ingest import parse_events
+from ..streaming.ingest import parse_events, parsed, valid_events
 from .registry import QUERIES, SQL, query
 
 DAY = dt.datetime
@@ -702,7 +702,7 @@ def _made_events(spark, sf_dir):
     """One event per line item: an operation of a Spark application (the order) that reads or writes a table behind a path."""
     t = OrderTables(spark, sf_dir)
     o = t.source("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
-    e = t.source("lineitem").join(o, "l_orderkey")
+    e = t.dealt(t.source("lineitem"), "l_orderkey").join(t.dealt(o, "l_orderkey"), "l_orderkey")
     at = F.col("o_orderdate").cast("timestamp")
     uid = lambda k: ids.incremental_uuid(at, k.cast("string"))
     op = uid(F.col("l_orderkey") * 2 + F.col("l_linenumber") % 2 + 1_000_000_000)
@@ -725,7 +725,8 @@ def _made_events(spark, sf_dir):
     )
     as_json = lambda side: F.when(side, F.concat(F.lit("["), F.to_json(data), F.lit("]"))).otherwise("[]")
     value = F.concat(F.regexp_replace(F.to_json(event), r"\}$", ""), F.lit(', "inputs": '), as_json(reads), F.lit(', "outputs": '), as_json(~reads), F.lit("}"))
-    return extract.classified(cut(parse_events(cut(e.select(value.alias("value"))))[0]))
+    texts = cut(e.select(value.alias("value")))
+    return extract.classified(valid_events(cut(texts.select(parsed().alias("event")))))
 
 
 _MADE = "(SELECT l.*, o_custkey, o_orderdate FROM lineitem l JOIN orders ON o_orderkey = l_orderkey)"

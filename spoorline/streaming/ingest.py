@@ -60,12 +60,22 @@ def parse_events(raw: DataFrame, column: str = "value", custom_prefix: str = "cu
 
     The two facets of producers without an integration keep the names ``custom_run`` and ``custom_operation``.
     """
-    parsed = raw.withColumn("event", F.from_json(F.col(column).cast("string"), run_event(custom_prefix), {"mode": "PERMISSIVE"}))
-    valid = parsed.where(is_valid()).select("event.*")
+    events = raw.withColumn("event", parsed(column, custom_prefix))
+    return valid_events(events, custom_prefix), events.where(~is_valid()).withColumn("reason", why_malformed()).drop("event")
+
+
+def parsed(column: str = "value", custom_prefix: str = "custom") -> Column:
+    """The event in a text, null fields where it has none. Store it before it is filtered: Spark puts a filter below the parsing, and then parses for both."""
+    return F.from_json(F.col(column).cast("string"), run_event(custom_prefix), {"mode": "PERMISSIVE"})
+
+
+def valid_events(events: DataFrame, custom_prefix: str = "custom") -> DataFrame:
+    """The fields of the valid ones of parsed events (column ``event``) as columns."""
+    valid = events.where(is_valid()).select("event.*")
     if custom_prefix != "custom":
         facets = F.col("run.facets").withField("custom_run", F.col(f"run.facets.{custom_prefix}_run")).withField("custom_operation", F.col(f"run.facets.{custom_prefix}_operation"))
         valid = valid.withColumn("run", F.col("run").withField("facets", facets))
-    return valid, parsed.where(~is_valid()).withColumn("reason", why_malformed()).drop("event")
+    return valid
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:

@@ -209,3 +209,20 @@ def test_partition_key_takes_the_root_then_the_parent(spark):
     rows = [event("START", SQL, "a.b", facets=root), event("START", SQL, "a.b", facets=parent(APP, "app")), event("START", APP, "app")]
     got = {r[0] for r in parsed(spark, rows)[0].select(ingest.partition_key()).collect()}
     assert got == {"run:n/top", "run:local://host/app"}
+
+
+def test_made_events_are_parsed_once(spark, monkeypatch):
+    """What is stored of the events is parsed by one projection; no filter below it parses again."""
+    from spoorline.plans import queries
+
+    plans, store = [], queries.cut
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(queries, "cut", watched)
+    events = queries._made_events(spark, "/root/testdata/sf0.001")
+    parsing = [line for p in plans for line in p.splitlines() if "from_json" in line]
+    assert len(parsing) == 1 and "Filter" not in parsing[0]
+    assert events.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()

@@ -41,24 +41,28 @@ def refresh(tables, folder: str, depths=tuple(DEPTHS), now: dt.datetime | None =
 _SUMS = ("num_bytes", "num_rows", "num_files")
 
 
-def day_sums(io: DataFrame, runs: DataFrame) -> DataFrame:
-    """(day, dataset_id, user_id, last_interaction_at, num_of_interactions, sums): one row for each day on which a user's runs touched a dataset."""
+def day_sums(io: DataFrame, runs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(day, dataset_id, user_id, last_interaction_at, num_of_interactions, sums): one row for each day on which a user's runs touched a dataset.
+
+    There are nearly as many groups as facts, so they are dealt out to ``tasks`` tasks where that is given.
+    """
     by_run = io.groupBy("run_id", "dataset_id", F.to_date("created_at").alias("day")).agg(F.max("created_at").alias("last_interaction_at"), F.count("*").alias("n"), *(F.sum(c).alias(c) for c in _SUMS))
     started = runs.select(F.col("id").alias("run_id"), F.col("started_by_user_id").alias("user_id"))
-    return _added(by_run.join(started, "run_id"), "n", "day", "dataset_id", "user_id")
+    rows, keys = by_run.join(started, "run_id"), ("day", "dataset_id", "user_id")
+    return _added(rows if tasks is None else rows.repartition(tasks, *keys), "n", *keys)
 
 
 def _added(rows: DataFrame, n: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max("last_interaction_at").alias("last_interaction_at"), F.sum(n).alias("num_of_interactions"), *(F.sum(c).alias(c) for c in _SUMS))
 
 
-def refresh_days(io: DataFrame, runs: DataFrame, path: str, days: list[dt.date] | None = None) -> None:
-    """Writes the sums of ``days`` to ``path``, by day; other days stay as they are and are not read. Without ``days`` the table is made anew."""
+def refresh_days(io: DataFrame, runs: DataFrame, path: str, days: list[dt.date] | None = None, tasks: int | None = None) -> None:
+    """Writes the sums of ``days`` to ``path``, by day; other days stay as they are and are not read. Without ``days`` the table is made anew. ``tasks`` as of ``day_sums``."""
     if days is not None:
         if not days:
             return
         io = io.where(F.col("created_date").isin(days) if "created_date" in io.columns else F.to_date("created_at").isin(days))
-    sums = day_sums(io, runs).hint("rebalance", "day")  # a day to a task, large ones to several
+    sums = day_sums(io, runs, tasks).hint("rebalance", "day")  # a day to a task, large ones to several
     sums.write.mode("overwrite").option("partitionOverwriteMode", "static" if days is None else "dynamic").partitionBy("day").parquet(path)
 
 

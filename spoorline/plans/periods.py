@@ -37,7 +37,7 @@ def _usage_by_day(depth):
     def run(spark, sf_dir):
         t = OrderTables(spark, sf_dir)
         path = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
-        analytics.refresh_days(t.output, t.run, path)
+        analytics.refresh_days(t.output, t.run, path, tasks=t.tasks)
         return _date(analytics.usage_of_days(spark.read.parquet(path), t.output, t.run, t.user, t.dataset, t.location, depth, NOW))
 
     return run

@@ -120,3 +120,12 @@ def test_a_producer_that_a_user_adds(spark):
     with pytest.raises(ValueError, match="no columns"):
         extract.register(extract.Integration("X", match=lambda: F.lit(True), runs={"colour": lambda: F.lit(1)}))
     assert extract.SPARK not in extract._ADDED
+
+
+def test_day_sums_are_dealt_to_the_tasks_asked_for(spark):
+    at = dt.datetime(2024, 3, 20, 12)
+    facts = spark.createDataFrame([(at, i, i % 5, 1, 2, 3) for i in range(100)], "created_at timestamp, run_id long, dataset_id long, num_bytes long, num_rows long, num_files long")
+    runs = spark.range(100).select("id", (F.col("id") % 3).alias("started_by_user_id"))
+    dealt = analytics.day_sums(facts, runs, tasks=7)
+    assert dealt.rdd.getNumPartitions() == 7
+    assert sorted(dealt.collect()) == sorted(analytics.day_sums(facts, runs).collect()) and dealt.count() == 15

@@ -118,6 +118,12 @@ def _within(similarity: float) -> Column:
     return sizes & let(F.zip_with("sketch_a", "sketch_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), chained)
 
 
+def _enough_left(similarity: float) -> Column:
+    """The key at place i of sides a and b can be the first that they share: what is left from it on, in either, holds all that has to be shared."""
+    needed = (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return F.least(F.col("size_a") - F.col("i_a"), F.col("size_b") - F.col("i_b")) >= needed
+
+
 def _wide_within(similarity: float) -> Column:
     """Wide sketches of sides a and b, the longer one folded to the shorter, allow the similarity."""
     n = F.least(F.size("wide_a"), F.size("wide_b"))
@@ -133,6 +139,21 @@ def _side(df: DataFrame, side: str, *columns: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
+def left_pairs(marks: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
+    """(c_a, c_b): pairs of sets of different ``label`` that may be similar enough, of those that share a key of ``marks`` (h, c, i, label).
+
+    Keys that the same sets share are one: their members are met once, at the first of those keys, not anew at each.
+    """
+    by_key = W.partitionBy("h")
+    members = [F.bit_xor(F.xxhash64("c", F.lit(i))).over(by_key).alias(f"g{i}") for i in range(2)]
+    rest = marks.select("c", "i", "label", *members).repartition("g0", "g1")
+    rest = rest.groupBy("g0", "g1", "c").agg(F.min("i").alias("i"), F.first("label").alias("label"))
+    rest = rest.join(small_side(info.select("c", "size", "sketch"), 120), "c")
+    a, b = (_side(rest, side, "g0", "g1", "c", "i", "label", "size", "sketch") for side in "ab")
+    same = (F.col("g0_a") == F.col("g0_b")) & (F.col("g1_a") == F.col("g1_b")) & (F.col("c_a") < F.col("c_b")) & (F.col("label_a") != F.col("label_b"))
+    return a.join(b, same & _enough_left(similarity) & _within(similarity)).select("c_a", "c_b")
+
+
 class _Verifier:
     """Compares pairs of classes by their whole sets, which are made anew from the texts of one row of each class."""
 
@@ -241,12 +262,7 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         pairs = pairs.join(_side(info, "a", "c", "size", "sketch"), "c_a").join(_side(info, "b", "c", "size", "sketch"), "c_b")
         compared(pairs.where(_within(similarity)).select("c_a", "c_b"))
 
-    rest = labelled().drop("size").join(small_side(info.select("c", "size", "sketch"), 120), "c")
-    a, b = (_side(rest, side, "h", "c", "i", "label", "size", "sketch") for side in "ab")
-    left = F.least("i_a", "i_b") + F.least(F.col("size_a") - F.col("i_a"), F.col("size_b") - F.col("i_b"))  # what can be shared before this key, and from it on
-    needed = (F.col("size_a") + F.col("size_b")) * F.lit(similarity / (1 + similarity)) - 1e-6
-    pairs = a.join(b, (F.col("h_a") == F.col("h_b")) & (F.col("c_a") < F.col("c_b")) & (F.col("label_a") != F.col("label_b")) & (left >= needed) & _within(similarity))
-    compared(pairs.select("c_a", "c_b").distinct())
+    compared(left_pairs(labelled(), info, similarity).distinct())
     out = begun.select("id", "th", "c").join(labels, F.col("c") == F.col("v"), "left")
     return cut(out.select("id", "th", F.coalesce("label", "c").alias("group")))
 

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoorline.llm import near_copies, quality_rules, secret_scan, simhash_dedup
@@ -289,3 +290,13 @@ def test_first_of_hot_groups(spark, monkeypatch, share):
     rows = [(i, many) for i in range(100, 40, -1)] + [(7, "another text that three rows repeat word for word")] * 3 + [(8, "a text of its own without any copy"), (None, many), (None, None)]
     got = sorted((r.doc_id for r in near_copies.keep_first(docs(spark, rows)).collect()), key=str)
     assert got == sorted([41, 7, 8, None], key=str)
+
+
+def test_sets_that_share_many_keys_meet_once(spark):
+    """Sets 1 and 2 share their first twenty keys, 3 and 4 only one so late that too little is left after it, 5 has the first key too but is far off in size."""
+    rows = [(h, c, h, c) for h in range(20) for c in (1, 2)] + [(99, c, 15, c) for c in (3, 4)] + [(0, 5, 0, 5)]
+    marks = spark.createDataFrame(rows, "h long, c long, i int, label long")
+    info = spark.createDataFrame([(c, 1000 if c == 5 else 100, [0] * near_copies.SEGMENTS) for c in range(1, 6)], "c long, size int, sketch array<long>")
+    got = [tuple(r) for r in near_copies.left_pairs(marks, info, 0.8).collect()]
+    assert set(got) == {(1, 2)} and len(got) == 2  # once with 5 among the members, once for the nineteen keys without it
+    assert near_copies.left_pairs(marks.withColumn("label", F.lit(1)), info, 0.8).count() == 0

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,7 @@ SUMS = 8  # tasks that add up the networks of all partitions
 BLOCK = 4096  # positions scored at a time, few enough for the caches
 #: The most frequent words outside the vocabulary that are told to the tasks, and the characters such a word may have: 8 MB at most.
 HEAD, HEAD_CHARS = 1 << 16, 32
+AROUND = np.r_[-REACH:0, 1 : REACH + 1]
 
 
 def words_of(text: str) -> list[str]:
@@ -72,11 +74,18 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY,
 
 
 class Tokens(dict):
-    """Token by word: the vocabulary, and rare words as they are met, up to a bound on memory that changes no result."""
+    """Token by word: the vocabulary, and rare words as they are met, up to a bound on memory that changes no result.
 
-    def __init__(self, vocab: dict[str, int], size: int = VOCABULARY, most: int = 300_000):
+    Words that are ``told`` have codes of their own beyond the pad; ``tokens`` and ``shares`` give, by code, the token and the told logarithm.
+    """
+
+    def __init__(self, vocab: dict[str, int], size: int = VOCABULARY, most: int = 300_000, told: dict[str, float] | None = None):
         super().__init__(vocab)
         self.rare, self.most = size - SHAPES, most
+        told = told or {}
+        self.update(zip(told, range(size + 1, size + 1 + len(told)), strict=True))
+        self.tokens = np.r_[np.arange(size + 1), np.array([self.rare + shape(w) for w in told], dtype=np.int64)]
+        self.shares = np.r_[np.zeros(size + 1), np.array(list(told.values()), dtype=np.float64)]
 
     def __missing__(self, word: str) -> int:
         token = self.rare + shape(word)
@@ -85,17 +94,34 @@ class Tokens(dict):
         return token
 
 
-def tokens(texts: list[str], known: Tokens, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens of all texts with ``REACH`` pads before, between and after them, number of tokens of each text)."""
+def codes(texts: list[list[str]], known: Tokens, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all texts' words with ``REACH`` pads before, between and after them, number of words of each text)."""
     pads = np.full(REACH, size, dtype=np.int64)
-    parts, counts = [pads], []
-    for t in texts:
-        words = words_of(t) if t else []
-        counts.append(len(words))
+    parts = [pads]
+    for words in texts:
         if words:
             parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
         parts.append(pads)
-    return np.concatenate(parts), np.array(counts, dtype=np.int64)
+    return np.concatenate(parts), np.array([len(words) for words in texts], dtype=np.int64)
+
+
+def tokens(texts: list[str], known: Tokens, size: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """``codes`` of texts, as tokens."""
+    found, counts = codes([words_of(t) if t else [] for t in texts], known, size)
+    return known.tokens[found], counts
+
+
+class Room:
+    """Arrays that are used again at every step; new ones would cost the system's pages each time."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple, kind) -> np.ndarray:
+        held = self.held.get(name)
+        if held is None or len(held) < shape[0] or held.shape[1:] != shape[1:] or held.dtype != kind:
+            held = self.held[name] = np.empty(shape, dtype=kind)
+        return held[: shape[0]]
 
 
 @dataclass
@@ -119,73 +145,103 @@ class Network:
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
+        return cls.over(np.array(flat, dtype=np.float32))
+
+    @classmethod
+    def over(cls, flat: np.ndarray) -> Network:
+        """The network whose arrays are views of ``flat``."""
         out, at = {}, 0
         for k, s in cls.shapes().items():
             n = int(np.prod(s))
-            out[k] = flat[at : at + n].reshape(s).astype(np.float32)
+            out[k] = flat[at : at + n].reshape(s)
             at += n
         return cls(out)
 
-    def _hidden(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        around = np.r_[-REACH:0, 1 : REACH + 1]
-        context = stream[at[:, None] + around]
-        x = self.p["E"][context].reshape(len(at), -1)
-        return context, x, np.tanh(x @ self.p["W"] + self.p["w"])
+    def output(self) -> np.ndarray:
+        """What leads from a hidden layer, with the class of the token beside it as zeros and a one, to the logits of all classes and of the class's members."""
+        classes = len(self.p["a"])
+        return np.block([[self.p["A"], self.p["B"]], [np.broadcast_to(self.p["a"], (classes, classes)), self.p["C"]]])
 
     def tables(self) -> list[tuple[int, np.ndarray]]:
         """(offset, what a token there adds to the hidden layer) for each place around a position."""
-        around = (*range(-REACH, 0), *range(1, REACH + 1))
-        return [(o, self.p["E"] @ self.p["W"][k * WIDTH : (k + 1) * WIDTH]) for k, o in enumerate(around)]
+        return [(o, self.p["E"] @ self.p["W"][k * WIDTH : (k + 1) * WIDTH]) for k, o in enumerate(AROUND)]
 
     def bound(self) -> float:
         """What no logit is above: the hidden layer is within 1, so sums of weights tell. Only large logits need their maximum taken away."""
         return max(np.abs(self.p["A"]).sum(0).max() + np.abs(self.p["a"]).max(), np.abs(self.p["B"]).sum(0).max() + np.abs(self.p["C"]).max())
 
-    def log_prob(self, stream: np.ndarray, at: np.ndarray, tables: list | None = None) -> np.ndarray:
+    def log_prob(self, stream: np.ndarray, at: np.ndarray, tables: list | None = None, room: Room | None = None) -> np.ndarray:
         """The log-probability of the token at each of the positions ``at``, given the tokens on both sides."""
-        hidden = np.repeat(self.p["w"][None], len(at), axis=0)
+        room, n, classes = Room() if room is None else room, len(at), len(self.p["a"])
+        t = self.p["W"].dtype
+        hidden, part = room("hidden", (n, HIDDEN), t), room("part", (n, HIDDEN), t)
+        hidden[:] = self.p["w"]
         for offset, table in tables or self.tables():
-            hidden += table[stream[at + offset]]
-        np.tanh(hidden, out=hidden)
-        kind, member = np.divmod(stream[at], MEMBERS)
-        rows, total = np.arange(len(at)), np.zeros(len(at))
-        bound = self.bound()
-        for logits, target in ((hidden @ self.p["A"] + self.p["a"], kind), (hidden @ self.p["B"] + self.p["C"][kind], member)):
-            if bound > 80:
-                logits -= logits.max(axis=1, keepdims=True)
-            total += logits[rows, target]
-            np.exp(logits, out=logits)
-            total -= np.log(logits.sum(axis=1))
-        return total
-
-    def gradients(self, stream: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+            hidden += np.take(table, stream[at + offset], axis=0, out=part, mode="clip")
+        logits, kind, member = self._logits(stream[at], hidden, room)
+        rows = np.arange(n)
+        total = logits[rows, kind].astype(np.float64) + logits[rows, classes + member]
+        if self.bound() > 80:
+            total -= _less_most(logits, classes)
+        np.exp(logits, out=logits)
+        return total - np.log(logits @ _halves(classes, t)).sum(axis=1, dtype=np.float64)
+
+    def _logits(self, target: np.ndarray, hidden: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logits of classes and of the target's class's members side by side, class, member); the layer itself is in ``room`` as ``layer``."""
+        n, classes, t = len(target), len(self.p["a"]), hidden.dtype
+        kind, member = np.divmod(target, MEMBERS)
+        layer = room("layer", (n, HIDDEN + classes), t)
+        np.tanh(hidden, out=layer[:, :HIDDEN])
+        layer[:, HIDDEN:] = 0
+        layer[np.arange(n), HIDDEN + kind] = 1
+        return np.matmul(layer, self.output(), out=room("logits", (n, classes + MEMBERS), t)), kind, member
+
+    def gradients(self, stream: np.ndarray, at: np.ndarray, room: Room | None = None) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability at the positions ``at``."""
-        context, x, h = self._hidden(stream, at)
-        rows, n = np.arange(len(at)), np.float32(len(at))
-        kind, member = np.divmod(stream[at], MEMBERS)
-        large = self.bound() > 80
-
-        def softmax_less_target(logits, target):
-            if large:
-                logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= (logits @ np.ones(logits.shape[1], dtype=logits.dtype) * n)[:, None]
-            logits[rows, target] -= 1 / n
-            return logits
-
-        ga = softmax_less_target(h @ self.p["A"] + self.p["a"], kind)
-        gb = softmax_less_target(h @ self.p["B"] + self.p["C"][kind], member)
-        gh = ga @ self.p["A"].T
-        gh += gb @ self.p["B"].T
-        gh *= 1 - h * h
-        of_kind = (kind[:, None] == np.arange(len(self.p["C"]))).astype(gb.dtype)  # C has few rows
-        ge = _summed(context.ravel(), (gh @ self.p["W"].T).reshape(-1, WIDTH), self.p["E"])
-        return {"E": ge, "W": x.T @ gh, "w": gh.sum(0), "A": h.T @ ga, "a": ga.sum(0), "B": h.T @ gb, "C": of_kind.T @ gb}
+        room, n, classes = Room() if room is None else room, len(at), len(self.p["a"])
+        t = self.p["W"].dtype
+        context = stream[at[:, None] + AROUND]
+        x = np.take(self.p["E"], context, axis=0, out=room("x", (n, 2 * REACH, WIDTH), t), mode="clip").reshape(n, -1)
+        hidden = np.matmul(x, self.p["W"], out=room("hidden", (n, HIDDEN), t))
+        hidden += self.p["w"]
+        g, kind, member = self._logits(stream[at], hidden, room)
+        layer = room("layer", (n, HIDDEN + classes), t)
+        if self.bound() > 80:
+            _less_most(g, classes)
+        np.exp(g, out=g)
+        share = 1 / (g @ _halves(classes, t) * t.type(n))  # softmax over both halves, divided by the positions, less the target
+        g[:, :classes] *= share[:, :1]
+        g[:, classes:] *= share[:, 1:]
+        rows = np.arange(n)
+        g[rows, kind] -= t.type(1 / n)
+        g[rows, classes + member] -= t.type(1 / n)
+        out = layer.T @ g
+        gh = np.matmul(g, np.hstack([self.p["A"], self.p["B"]]).T, out=hidden)
+        slope = np.square(layer[:, :HIDDEN], out=room("part", (n, HIDDEN), t))
+        gh *= np.subtract(1, slope, out=slope)
+        gx = np.matmul(gh, self.p["W"].T, out=room("gx", (n, 2 * REACH * WIDTH), t))
+        ge = _summed(context.ravel(), gx.reshape(-1, WIDTH), self.p["E"])
+        return {"E": ge, "W": x.T @ gh, "w": gh.sum(0), "A": out[:HIDDEN, :classes], "a": out[HIDDEN:, :classes].sum(0), "B": out[:HIDDEN, classes:], "C": out[HIDDEN:, classes:]}
+
+
+def _halves(classes: int, kind) -> np.ndarray:
+    """Adds up the logits of classes and those of members."""
+    return np.repeat(np.eye(2, dtype=kind), (classes, MEMBERS), axis=0)
+
+
+def _less_most(logits: np.ndarray, classes: int) -> np.ndarray:
+    """Takes its largest value away from either half of each row; the sum of both."""
+    total = np.zeros(len(logits))
+    for half in (logits[:, :classes], logits[:, classes:]):
+        most = half.max(axis=1, keepdims=True)
+        half -= most
+        total += most[:, 0]
+    return total
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, like: np.ndarray) -> np.ndarray:
     """Values added up by row, in the shape and type of ``like``."""
-    at = rows[:, None] * like.shape[1] + np.arange(like.shape[1])
+    at = (rows * like.shape[1])[:, None] + np.arange(like.shape[1])
     return np.bincount(at.ravel(), weights=values.ravel(), minlength=like.size).reshape(like.shape).astype(like.dtype)
 
 
@@ -193,9 +249,10 @@ class Walk:
     """Adam over the texts of one partition."""
 
     def __init__(self, network: Network, seed: int, rate: float = 0.004):
-        self.net = Network({k: v.copy() for k, v in network.p.items()})
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.net.p.items()} for _ in range(2))
-        self.step, self.seen, self.rate, self.rng = 0, 0, rate, np.random.default_rng(seed)
+        self.all = network.flat()  # of which the network's arrays are views
+        self.net = Network.over(self.all)
+        self.m, self.v, self.g, self.by = (np.zeros_like(self.all) for _ in range(4))
+        self.room, self.step, self.seen, self.rate, self.rng = Room(), 0, 0, rate, np.random.default_rng(seed)
 
     def texts(self, texts: list[str], known: Tokens) -> None:
         self.stream(tokens(texts, known)[0])
@@ -207,10 +264,20 @@ class Walk:
         for lo in range(0, len(at), STEP):
             part = at[lo : lo + STEP]
             self.step += 1
-            for k, g in self.net.gradients(stream, part).items():
-                self.m[k] = 0.9 * self.m[k] + 0.1 * g
-                self.v[k] = 0.99 * self.v[k] + 0.01 * g * g
-                self.net.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-8)
+            found = self.net.gradients(stream, part, self.room)
+            g, by = np.concatenate([found[k].ravel() for k in Network.shapes()], out=self.g), self.by
+            self.m *= 0.9
+            self.m += np.multiply(g, 0.1, out=by)
+            self.v *= 0.99
+            np.square(g, out=by)
+            by *= 0.01
+            self.v += by
+            np.divide(self.v, 1 - 0.99**self.step, out=by)
+            np.sqrt(by, out=by)
+            by += 1e-8
+            np.divide(self.m, by, out=by)
+            by *= self.rate / (1 - 0.9**self.step)
+            self.all -= by
         self.seen += len(at)
 
 
@@ -254,13 +321,30 @@ def _added(batches):
         yield pd.DataFrame({"n": [n], "v": [total]})
 
 
+def score_words(texts: list[list[str]], known: Tokens, network: Network, room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words, summed log-probability with what is told of rare words, of each text; codes of all words)."""
+    room = Room() if room is None else room
+    found, counts = codes(texts, known)
+    real = np.flatnonzero(found != VOCABULARY)
+    stream, found = known.tokens[found], found[real]
+    tables = network.tables()
+    logp = np.concatenate([network.log_prob(stream, real[lo : lo + BLOCK], tables, room) for lo in range(0, len(real), BLOCK)] or [np.zeros(0)])
+    logp += known.shares[found]
+    return counts, np.bincount(np.repeat(np.arange(len(texts)), counts), weights=logp, minlength=len(texts)), found
+
+
 def score_texts(texts: list[str], known: Tokens, network: Network) -> tuple[np.ndarray, np.ndarray]:
     """(number of tokens, summed log-probability) of each text."""
-    stream, counts = tokens(texts, known)
-    real = np.flatnonzero(stream < VOCABULARY)
-    tables = network.tables()
-    logp = np.concatenate([network.log_prob(stream, real[lo : lo + BLOCK], tables) for lo in range(0, len(real), BLOCK)] or [np.zeros(0)])
-    return counts, np.bincount(np.repeat(np.arange(len(texts)), counts), weights=logp, minlength=len(texts))
+    return score_words([words_of(t) if t else [] for t in texts], known, network)[:2]
+
+
+def untold(texts: list[list[str]], counts: np.ndarray, found: np.ndarray) -> list[Counter]:
+    """How often each text has each of the rare words that were not told; ``found`` are the codes of all words."""
+    words = list(chain.from_iterable(texts))
+    at = np.flatnonzero((found >= VOCABULARY - SHAPES) & (found < VOCABULARY))
+    ends = np.searchsorted(at, np.r_[0, np.cumsum(counts)])
+    rare = [words[i] for i in at]
+    return [Counter(rare[lo:hi]) for lo, hi in pairwise(ends)]
 
 
 def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None, head: int = HEAD) -> DataFrame:
@@ -283,15 +367,17 @@ def score(docs: DataFrame, vocab: dict[str, int], network: Network, id_col: str
         fields += [T.StructField("_row", T.LongType()), T.StructField("_w", T.ArrayType(T.StringType())), T.StructField("_n", T.ArrayType(T.LongType()))]
 
     def run(batches):
-        known = Tokens(vocab)
+        known, room = Tokens(vocab, told=told), Room()
         for pdf in batches:
-            texts = pdf["_t"].tolist()
-            counted, total = map(np.concatenate, zip(*(score_texts(part, known, network) for part in chunks(texts)), strict=True))
-            out = {"n_tokens": counted, "log_prob": total}
+            counted, total, rare = [], [], []
+            for part in chunks(pdf["_t"].tolist()):
+                words = [words_of(t) for t in part]
+                n, sums, found = score_words(words, known, network, room)
+                counted.append(n)
+                total.append(sums)
+                rare += untold(words, n, found) if inner else []
+            out = {"n_tokens": np.concatenate(counted), "log_prob": np.concatenate(total)}
             if inner:
-                rare = [Counter(w for w in words_of(t) if w not in vocab) for t in texts]
-                out["log_prob"] = total + [sum(n * told[w] for w, n in c.items() if w in told) for c in rare]
-                rare = [{w: n for w, n in c.items() if w not in told} for c in rare]
                 out |= {"_row": pdf["_row"], "_w": pd.Series([list(c) for c in rare], dtype=object), "_n": pd.Series([list(c.values()) for c in rare], dtype=object)}
             yield pd.DataFrame(out)
 

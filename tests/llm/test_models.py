@@ -422,3 +422,38 @@ def test_lm_rare_words_have_their_share_of_the_shape(spark, monkeypatch):
     for head in (0, 2, lm_score.HEAD):  # all rare words joined, some told to the tasks, all told
         got = sorted(r.log_prob for r in lm_score.score(docs, vocab, net, counts=counts, head=head).collect())
         assert np.allclose(got, want)
+
+
+def test_lm_steps_use_their_arrays_again():
+    """A shorter step after a longer one, small logits and large ones: the same as with arrays of their own; ``Walk`` keeps them, and its network is one vector."""
+    rnd = np.random.default_rng(5)
+    pads = [lm_score.VOCABULARY] * 2
+    stream = np.array(pads + rnd.integers(0, lm_score.VOCABULARY, 50).tolist() + pads)
+    room = lm_score.Room()
+    for scale in (1, 40):
+        net = lm_score.Network({k: v * np.float32(scale) for k, v in lm_score.Network.new(2).p.items()})
+        assert (net.bound() > 80) == (scale > 1)
+        for n in (50, 7):
+            at = np.arange(2, 2 + n)
+            own, again = net.gradients(stream, at), net.gradients(stream, at, room)
+            assert all(np.array_equal(own[k], again[k]) and np.isfinite(own[k]).all() for k in own)
+            assert np.array_equal(net.log_prob(stream, at), net.log_prob(stream, at, room=room))
+    walk = lm_score.Walk(lm_score.Network.new(), seed=0)
+    walk.stream(stream)
+    held = dict(walk.room.held)
+    walk.stream(np.r_[stream[:20], pads])
+    assert held and all(walk.room.held[k] is v for k, v in held.items())
+    assert np.array_equal(walk.net.flat(), walk.all) and all(np.shares_memory(v, walk.all) for v in walk.net.p.values())
+
+
+def test_lm_words_are_coded_once_for_tokens_and_shares():
+    texts = ["the cat sat", "", "zebra the zebra qq qq qq the", "cat"]
+    vocab, told = {"the": 0, "sat": 1}, {"cat": -2.0, "zebra": -3.5}
+    net, plain, known = lm_score.Network.new(1), lm_score.Tokens(vocab), lm_score.Tokens(vocab, told=told)
+    words = [lm_score.words_of(t) for t in texts]
+    counts, sums, found = lm_score.score_words(words, known, net)
+    n, want = lm_score.score_texts(texts, plain, net)
+    assert counts.tolist() == n.tolist() == [3, 0, 7, 1]
+    assert np.allclose(sums - want, [sum(told.get(w, 0) for w in x) for x in words])
+    assert lm_score.untold(words, counts, found) == [{}, {}, {"qq": 3}, {}]
+    assert all(np.array_equal(a, b) for a, b in zip(lm_score.tokens(texts, plain), lm_score.tokens(texts, known), strict=True))

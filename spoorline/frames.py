@@ -77,3 +77,14 @@ def without(df: DataFrame, seen: DataFrame, column: str = "id") -> DataFrame:
 def among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows whose ``column`` is among ``ids``; Spark broadcasts the ids where they are few."""
     return df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+
+
+#: Ids from which on a join by them is dealt out; Spark sends fewer ones to the tasks, or shuffles them cheaply.
+MANY_IDS = 125_000
+
+
+def among_many(df: DataFrame, ids: DataFrame, column: str, tasks: int | None) -> DataFrame:
+    """``among`` stored ``ids``, where they are many with both sides dealt out to ``tasks``: a task's share does not grow with the tables then."""
+    if tasks is None or ids.count() <= MANY_IDS:
+        return among(df, ids, column)
+    return among(df.repartition(tasks, column), ids.repartition(tasks, "id"), column)

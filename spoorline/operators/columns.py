@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import among
+from ..frames import among, among_many
 from ..functions.flags import RELATION_TYPES, decode_flags
 from .io_stats import in_period
 
@@ -29,8 +29,8 @@ def combined(lineage: DataFrame, relations: DataFrame, since=None, until=None, t
 
 
 def of_entities(lineage: DataFrame, relations: DataFrame, column: str, ids: DataFrame, sources: DataFrame, targets: DataFrame, since=None, until=None, tasks: int | None = None) -> DataFrame:
-    """``combined`` for the given jobs, runs or operations (``column`` names which), between datasets that are shown."""
-    rows = among(among(among(lineage, ids, column), sources, "source_dataset_id"), targets, "target_dataset_id")
+    """``combined`` for the given jobs, runs or operations (``column`` names which), between datasets that are shown. ``ids`` should be stored."""
+    rows = among(among(among_many(lineage, ids, column, tasks), sources, "source_dataset_id"), targets, "target_dataset_id")
     return combined(rows, relations, since, until, tasks)
 
 

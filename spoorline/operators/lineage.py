@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import among, cut, first_per, ids_frame, without
+from ..frames import among, among_many, cut, first_per, ids_frame, without
 from ..functions.ids import bounds_of, near_ids
 from . import columns
 from .io_stats import DATASET, JOB, KEYS, OPERATION, RUN, dataset_relations, dedup_io, in_period, roll_up_sets
@@ -57,10 +57,14 @@ class Lineage:
     by: str | None = None
     since: dt.datetime | None = None
     until: dt.datetime | None = None
+    #: Without sums there are the nodes and the pairs of entity and dataset, but no edges to show.
+    sums: bool = True
 
     def merged(self, kind: str) -> DataFrame | None:
         """Edges of all levels (``inputs`` or ``outputs``); of equal ones that of the later level stays."""
         parts = getattr(self, kind)
+        if not self.sums:
+            raise ValueError("the walk was asked for no sums")
         if not parts:
             return None
         if len(parts) == 1:  # a roll-up has one row per key as it is
@@ -69,6 +73,11 @@ class Lineage:
         keys = KEYS[OPERATION] + (["types"] if "types" in rows.columns else [])
         return first_per(rows, keys, F.desc("_level")).drop("_level")
 
+    def datasets(self, kind: str) -> DataFrame | None:
+        """The distinct ids of the datasets that are shown as read (``inputs``) or written (``outputs``)."""
+        parts = [p.select(F.col("dataset_id").alias("id")) for p in getattr(self, kind)]
+        return reduce(DataFrame.union, parts).distinct() if parts else None
+
     def nodes(self, kind: str) -> DataFrame | None:
         """The distinct ids of a kind of entity."""
         return reduce(DataFrame.union, self.ids[kind]).distinct() if self.ids[kind] else None
@@ -87,9 +96,9 @@ class Lineage:
 class Walker:
     """Walks over the tables ``input``, ``output``, ``dataset``, ``job``, ``run``, ``operation`` and ``dataset_symlink``."""
 
-    def __init__(self, tables, since=None, until=None):
-        self.t, self.since, self.until = tables, since, until
-        self.spark = tables.spark
+    def __init__(self, tables, since=None, until=None, sums: bool = True):
+        self.t, self.since, self.until, self.sums = tables, since, until, sums
+        self.spark, self.tasks = tables.spark, getattr(tables, "tasks", None)
         self.seen: dict[str, DataFrame] = {}
 
     # visited ids
@@ -112,7 +121,9 @@ class Walker:
 
     def _edges(self, io: DataFrame, ids: DataFrame, column: str, granularities, dated: bool = True, floor: dt.datetime | None = None) -> DataFrame:
         io = in_period(io, self.since, self.until) if dated else io
-        found = among(in_period(io, floor), ids, column)
+        found = among_many(in_period(io, floor), ids, column, self.tasks)
+        if not self.sums:
+            return cut(found.select(ENTITY[granularities[0]], "dataset_id").distinct())
         return cut(roll_up_sets(dedup_io(found), granularities))
 
     def from_datasets(self, out: Lineage, ids: DataFrame, direction: str, granularity: str, depth: int) -> None:
@@ -164,10 +175,10 @@ class Walker:
         """Adds entities with the coarser ones that hold them."""
         out.ids[granularity].append(ids)
         if granularity == OPERATION:
-            out.ids[RUN].append(cut(among(near_ids(self.t.operation, ids), ids, "id").select(F.col("run_id").alias("id")).distinct()))
+            out.ids[RUN].append(cut(among_many(near_ids(self.t.operation, ids), ids, "id", self.tasks).select(F.col("run_id").alias("id")).distinct()))
         if granularity in (OPERATION, RUN):
             runs = out.ids[RUN][-1]
-            out.ids[JOB].append(among(near_ids(self.t.run, runs), runs, "id").select(F.col("job_id").alias("id")).distinct())
+            out.ids[JOB].append(among_many(near_ids(self.t.run, runs), runs, "id", self.tasks).select(F.col("job_id").alias("id")).distinct())
 
     def over_datasets(self, out: Lineage, ids: DataFrame, direction: str, depth: int) -> None:
         """Dataset granularity: breadth first over dataset relations, both directions level by level.
@@ -223,28 +234,28 @@ def by_datasets(tables, ids: Collection, direction: str = DOWNSTREAM, granularit
     return out
 
 
-def by_jobs(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: str = JOB, since=None, until=None, depth: int = 1) -> Lineage:
+def by_jobs(tables, ids: Collection, direction: str = DOWNSTREAM, granularity: str = JOB, since=None, until=None, depth: int = 1, sums: bool = True) -> Lineage:
     """Lineage that starts from jobs, with edges by job or run."""
     validate(direction, depth, since, until)
-    out, walker = Lineage(by=JOB, since=since, until=until), Walker(tables, since, until)
+    out, walker = Lineage(by=JOB, since=since, until=until, sums=sums), Walker(tables, since, until, sums)
     start = among(tables.job, ids_frame(tables.spark, ids), "id").select("id")
     walker.from_entities(out, cut(start), direction, JOB, depth, finest=granularity)
     return out
 
 
-def by_runs(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, granularity: str = RUN, since=None, until=None, depth: int = 1) -> Lineage:
+def by_runs(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, granularity: str = RUN, since=None, until=None, depth: int = 1, sums: bool = True) -> Lineage:
     """Lineage that starts from runs (a frame names them in ``id``), with edges by run or operation; the sums by job go with them."""
     validate(direction, depth, since, until)
-    out, walker = Lineage(by=RUN, since=since, until=until), Walker(tables, since, until)
+    out, walker = Lineage(by=RUN, since=since, until=until, sums=sums), Walker(tables, since, until, sums)
     start, floor = _start(tables.run, ids)
     walker.from_entities(out, start, direction, RUN, depth, finest=granularity, floor=floor)
     return out
 
 
-def by_operations(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, since=None, until=None, depth: int = 1) -> Lineage:
-    """Lineage that starts from operations (a frame names them in ``id``). The period holds for the levels after the first only."""
+def by_operations(tables, ids: Collection | DataFrame, direction: str = DOWNSTREAM, since=None, until=None, depth: int = 1, sums: bool = True) -> Lineage:
+    """Lineage that starts from operations (a frame names them in ``id``), without ``sums`` for what needs nodes only, as from jobs and runs. The period holds for the levels after the first only."""
     validate(direction, depth, since, until)
-    out, walker = Lineage(by=OPERATION, since=since, until=until), Walker(tables, since, until)
+    out, walker = Lineage(by=OPERATION, since=since, until=until, sums=sums), Walker(tables, since, until, sums)
     start, floor = _start(tables.operation, ids)
     walker.from_entities(out, start, direction, OPERATION, depth, dated=False, floor=floor)
     return out
@@ -252,17 +263,19 @@ def by_operations(tables, ids: Collection | DataFrame, direction: str = DOWNSTRE
 
 def parent_relations(out: Lineage, tables) -> DataFrame:
     """(from_kind, from_id, to_kind, to_id): job to run and run to operation, among the entities that are included."""
-    parts = []
-    if out.ids[RUN]:
-        runs = among(tables.run, out.nodes(RUN), "id")
-        runs = among(runs, out.nodes(JOB), "job_id")
+    tasks = getattr(tables, "tasks", None)
+    parts, held = [], {kind: cut(out.nodes(kind)) for kind in (JOB, RUN, OPERATION) if out.ids[kind]}
+    if RUN in held:
+        runs = among_many(tables.run, held[RUN], "id", tasks)
+        runs = among(runs, held[JOB], "job_id")
         parts.append(runs.select(F.lit(JOB).alias("from_kind"), F.col("job_id").cast("string").alias("from_id"), F.lit(RUN).alias("to_kind"), F.col("id").cast("string").alias("to_id")))
-    if out.ids[OPERATION]:
-        ops = among(among(tables.operation, out.nodes(OPERATION), "id"), out.nodes(RUN), "run_id")
+    if OPERATION in held:
+        ops = among_many(among_many(tables.operation, held[OPERATION], "id", tasks), held[RUN], "run_id", tasks)
         parts.append(ops.select(F.lit(RUN).alias("from_kind"), F.col("run_id").cast("string").alias("from_id"), F.lit(OPERATION).alias("to_kind"), F.col("id").cast("string").alias("to_id")))
     if not parts:
         return tables.spark.createDataFrame([], "from_kind string, from_id string, to_kind string, to_id string")
-    return reduce(DataFrame.unionByName, parts).orderBy("from_kind", "from_id", "to_id")
+    rows, order = reduce(DataFrame.unionByName, parts), ("from_kind", "from_id", "to_id")
+    return rows.orderBy(*order) if tasks is None else rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
 
 def relation_rows(out: Lineage) -> DataFrame | None:
@@ -307,10 +320,9 @@ def column_lineage(out: Lineage, tables, tasks: int | None = None) -> DataFrame
             return None
         pairs = pairs.select(F.col("in_dataset_id").alias("source_dataset_id"), F.col("out_dataset_id").alias("target_dataset_id"))
         return columns.of_pairs(tables.column_lineage, tables.dataset_column_relation, pairs, out.since, out.until, tasks)
-    reads, writes = out.merged("inputs"), out.merged("outputs")
-    if reads is None or writes is None:
+    sources, targets = out.datasets("inputs"), out.datasets("outputs")
+    if sources is None or targets is None:
         return None
-    sources, targets = (df.select(F.col("dataset_id").alias("id")).distinct() for df in (reads, writes))
     nodes = cut(out.nodes(out.by))
     facts = tables.column_lineage
     since, until = (out.since, out.until) if out.by != OPERATION else (None, None)

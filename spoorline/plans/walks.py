@@ -101,19 +101,19 @@ _WITHIN = f"created_at BETWEEN {WIDE}"
 @query("walk_columns_by_job", _columns_sql(f"job_id IN {_J0}", f"job_id IN {_J0} AND {_WITHIN}", f"job_id IN {_J0} AND {_WITHIN}", _WITHIN))
 def walk_columns_by_job(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
-    return _columns(lineage.by_jobs(t, JOBS, lineage.BOTH, lineage.JOB, FROM, TO), t)
+    return _columns(lineage.by_jobs(t, JOBS, lineage.BOTH, lineage.JOB, FROM, TO, sums=False), t)
 
 
 @query("walk_columns_by_run", _columns_sql("true", _WITHIN, _WITHIN, _WITHIN))
 def walk_columns_by_run(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
-    return _columns(lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.RUN, FROM, TO), t)
+    return _columns(lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.RUN, FROM, TO, sums=False), t)
 
 
 @query("walk_columns_by_operation", _columns_sql("true", "true", "true", "true"))
 def walk_columns_by_operation(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
-    return _columns(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH), t)
+    return _columns(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH, sums=False), t)
 
 
 @query(

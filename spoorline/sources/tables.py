@@ -24,6 +24,8 @@ class Tables:
 
     spark: SparkSession
     path: str
+    #: Tasks that joins by many ids are dealt to; None: as Spark likes.
+    tasks: int | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")

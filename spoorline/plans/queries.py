@@ -788,7 +788,7 @@ def lineage_operation(spark, sf_dir):
 )
 def lineage_parent_relations(spark, sf_dir):
     t = OrderTables(spark, sf_dir)
-    return lineage.parent_relations(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH), t)
+    return lineage.parent_relations(lineage.by_operations(t, t.operation.select("id"), lineage.BOTH, sums=False), t)
 
 
 @query("column_lineage_pairs", _WHOLE)

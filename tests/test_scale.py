@@ -184,3 +184,27 @@ def test_edges_of_one_level_need_no_window(spark):
     for rows in (out.merged("inputs"), out.merged("outputs")):
         keys = [c for c in ("operation_id", "run_id", "job_id", "dataset_id", "types") if c in rows.columns]
         assert "Window" not in plan(rows) and rows.count() == rows.select(*keys).distinct().count() > 0
+
+
+def test_walks_without_sums_hold_the_same_nodes(spark, monkeypatch):
+    """What parents and columns are looked up by: the same without the edges' sums, also where many ids are dealt out; a fold by all granularities is not made for them."""
+    from spoorline import frames
+    from spoorline.sources import tables
+
+    t = OrderTables(spark, SMALL)
+    with_sums = lineage.by_operations(t, t.operation.select("id"), lineage.BOTH)
+    parents, found = lineage.parent_relations(with_sums, t), lineage.column_lineage(with_sums, t)
+    monkeypatch.setattr(tables, "WHOLE_ROWS", 0)
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    monkeypatch.setattr(frames, "MANY_IDS", 0)
+    dealt = OrderTables(spark, SMALL)
+    out = lineage.by_operations(dealt, dealt.operation.select("id"), lineage.BOTH, sums=False)
+    for kind in ("inputs", "outputs"):
+        assert [df.columns for df in getattr(out, kind)] == [["operation_id", "dataset_id"]]
+        assert getattr(out, kind)[0].rdd.getNumPartitions() == dealt.tasks >= 20
+        assert out.datasets(kind).exceptAll(with_sums.datasets(kind)).isEmpty() and out.datasets(kind).count() == with_sums.datasets(kind).count() > 0
+        with pytest.raises(ValueError):
+            out.merged(kind)
+    for want, got in ((parents, lineage.parent_relations(out, dealt)), (found, lineage.column_lineage(out, dealt, dealt.tasks))):
+        assert want.count() == got.count() > 0 and want.exceptAll(got).isEmpty()
+    assert lineage.parent_relations(out, dealt).collect() == parents.collect()  # sorted

@@ -433,17 +433,29 @@ def io(events: DataFrame, side: str) -> DataFrame:
 
 def _all_datasets(events: DataFrame) -> DataFrame:
     e = classified(events).where("is_operation")
-    parts = (e.select("*", F.explode(c).alias("x")) for c in ("inputs", "outputs"))
-    return reduce(DataFrame.unionByName, (p.select("integration", F.struct("x.namespace", "x.name", "x.facets").alias("d")) for p in parts))
+    sides = e.select("integration", F.explode(F.array("inputs", "outputs")).alias("xs")).select("integration", F.explode("xs").alias("x"))
+    return sides.select("integration", F.struct("x.namespace", "x.name", "x.facets").alias("d"))
+
+
+def mentions(events: DataFrame) -> DataFrame:
+    """Datasets as operations' events name them (``integration``, ``d``), each way of naming once: the rules for names are long, and datasets far fewer than their reads and writes."""
+    d = F.col("d")
+    links = F.struct(F.struct(d["facets"]["symlinks"]["identifiers"].alias("identifiers")).alias("symlinks"))
+    return _all_datasets(events).select("integration", F.struct("d.namespace", "d.name", links.alias("facets")).alias("d")).distinct()
 
 
 def symlinks(events: DataFrame) -> DataFrame:
     """Two rows for each symlink, one in either direction: METASTORE towards a table, WAREHOUSE towards a path."""
+    return _links(mentions(events))
+
+
+def _links(named: DataFrame) -> DataFrame:
     d = F.col("d")
     table = _table(d)
     from_path = F.struct(_ref(d["namespace"], d["name"]).alias("a"), _ref(table["namespace"], table["name"]).alias("b"), F.lit(True).alias("table"))
     each = F.transform(_identifiers(d), lambda x: F.struct(_ref(d["namespace"], d["name"]).alias("a"), _ref(x["namespace"], x["name"]).alias("b"), (x["type"] == "TABLE").alias("table")))
-    pairs = _all_datasets(events).select(F.when(table.isNotNull(), F.array(from_path)).otherwise(each).alias("ps")).select(F.explode("ps").alias("p")).select("p.*").distinct()
+    # of a plain explode Spark makes a filter on its size, and puts that with all its rules below the fold of mentions
+    pairs = named.select(F.when(table.isNotNull(), F.array(from_path)).otherwise(each).alias("ps")).select(F.explode_outer("ps").alias("p")).where("p is not null").select("p.*").distinct()
     forth = pairs.select(F.col("a").alias("from_dataset"), F.col("b").alias("to_dataset"), F.when(F.col("table"), "METASTORE").otherwise("WAREHOUSE").alias("type"))
     back = pairs.select(F.col("b").alias("from_dataset"), F.col("a").alias("to_dataset"), F.when(F.col("table"), "WAREHOUSE").otherwise("METASTORE").alias("type"))
     return forth.unionByName(back).distinct()
@@ -597,7 +609,19 @@ def dataset_refs(ins: DataFrame, outs: DataFrame, links: DataFrame) -> DataFrame
 
 def datasets(ins: DataFrame, outs: DataFrame, links: DataFrame) -> DataFrame:
     """One row per dataset; names differ by more than case."""
-    return dataset_refs(ins, outs, links).groupBy(*KEY, F.lower("name").alias("_key")).agg(F.min("name").alias("name")).drop("_key")
+    return _by_name(dataset_refs(ins, outs, links))
+
+
+def _by_name(refs: DataFrame) -> DataFrame:
+    return refs.groupBy(*KEY, F.lower("name").alias("_key")).agg(F.min("name").alias("name")).drop("_key")
+
+
+def named_datasets(events: DataFrame) -> DataFrame:
+    """``datasets`` of events whose reads and writes are not asked for: the rules run over ``mentions`` alone."""
+    named = cut(mentions(events))
+    links = _links(named)
+    refs = (named.select(dataset_of(F.col("d")).alias("x")), links.select(F.col("from_dataset").alias("x")), links.select(F.col("to_dataset").alias("x")))
+    return _by_name(reduce(DataFrame.union, refs).select("x.*"))
 
 
 def jobs(all_runs: DataFrame) -> DataFrame:

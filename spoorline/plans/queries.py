@@ -740,8 +740,7 @@ def ingest_jobs(spark, sf_dir):
 
 @query("ingest_datasets", f"SELECT DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN 'hive' ELSE 'hdfs' END AS location_type, CASE WHEN l_suppkey % 2 = 0 THEN 'meta:9083' ELSE 'host1:9820' END AS location_name, {_DS} AS name FROM {_MADE} UNION SELECT 'hdfs', 'host1:9820', '/data/s' || l_suppkey FROM {_MADE}", mapped=False)
 def ingest_datasets(spark, sf_dir):
-    e = _made_events(spark, sf_dir)
-    return extract.datasets(extract.io(e, "inputs"), extract.io(e, "outputs"), extract.symlinks(e))
+    return extract.named_datasets(_made_events(spark, sf_dir))
 
 
 @query("ingest_operations", f"SELECT 'app-' || o_custkey AS app, CAST(status AS BIGINT) AS status, count(*) AS n FROM (SELECT o_custkey, l_orderkey, l_linenumber % 2, max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS status FROM {_MADE} GROUP BY ALL) GROUP BY ALL", mapped=False)

@@ -226,3 +226,16 @@ def test_made_events_are_parsed_once(spark, monkeypatch):
     parsing = [line for p in plans for line in p.splitlines() if "from_json" in line]
     assert len(parsing) == 1 and "Filter" not in parsing[0]
     assert events.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_datasets_are_named_by_their_distinct_mentions(spark):
+    """The rules for names run above the fold of equal mentions, and give what reads, writes and symlinks give."""
+    from spoorline.frames import cut
+
+    e = cut(extract.classified(parsed(spark, events() * 3)[0]))
+    named = extract.mentions(e)
+    assert 0 < named.count() == named.distinct().count() <= extract._all_datasets(e).count() / 3
+    want = extract.datasets(extract.io(e, "inputs"), extract.io(e, "outputs"), extract.symlinks(e))
+    assert sorted(map(tuple, extract.named_datasets(e).collect())) == sorted(map(tuple, want.collect())) and want.count() == 7
+    below = extract.symlinks(e)._jdf.queryExecution().sparkPlan().toString().split("Aggregate(keys=[integration")[1:]
+    assert len(below) == 4 and "transform(" not in "".join(below)

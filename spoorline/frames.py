@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,6 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Later:
+    """A frame, or several, that ``make`` gives when it is first asked for; given again after that."""
+
+    def __init__(self, make: Callable):
+        self._make = make
+
+    @cached_property
+    def made(self):
+        return self._make()
+
+
+def made(part):
+    """A frame that may still have to be made."""
+    return part.made if isinstance(part, Later) else part
+
+
 class Rounds:
     """Tables of an iteration, written to the shared folder and read again.
 
@@ -83,8 +100,13 @@ def among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 MANY_IDS = 125_000
 
 
+def are_many(ids: DataFrame) -> bool:
+    """Whether stored ``ids`` are more than ``MANY_IDS``."""
+    return ids.count() > MANY_IDS
+
+
 def among_many(df: DataFrame, ids: DataFrame, column: str, tasks: int | None) -> DataFrame:
     """``among`` stored ``ids``, where they are many with both sides dealt out to ``tasks``: a task's share does not grow with the tables then."""
-    if tasks is None or ids.count() <= MANY_IDS:
+    if tasks is None or not are_many(ids):
         return among(df, ids, column)
     return among(df.repartition(tasks, column), ids.repartition(tasks, "id"), column)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,18 @@ def roll_up_sets(deduped: DataFrame, granularities) -> DataFrame:
     return out.select(*(F.col(k) if k in keys else F.lit(None).cast(kinds[k]).alias(k) for k in KEYS[OPERATION]), *(c for c in out.columns if c not in keys))
 
 
+def roll_up_steps(deduped: DataFrame, granularities) -> DataFrame:
+    """``roll_up`` for several granularities, finest first, each from the one before.
+
+    Grouping sets shuffle every row once for each granularity. Here the first one of operations is the rows as they are,
+    and rows that are dealt out by operation or run are folded where they lie.
+    """
+    parts = []
+    for g in granularities:
+        parts.append(deduped.select(*roll_up(deduped, g).columns) if g == OPERATION else roll_up(parts[-1] if parts else deduped, g))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def roll_up_all(deduped: DataFrame) -> DataFrame:
     """All three granularities in one pass; ``granularity`` names them."""
     sets = [[F.col(k) for k in KEYS[g]] for g in (OPERATION, RUN, JOB)]

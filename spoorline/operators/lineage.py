@@ -1,7 +1,9 @@
 """Bounded lineage walks over inputs and outputs, as frontier joins.
 
 A walk alternates between datasets and jobs, runs or operations. Each level reads the facts once, semi-joined to the
-frontier, and its result is written to the shared folder, so plans stay short and nothing is recomputed. What was
+frontier, and its result is written to the shared folder, so plans stay short and nothing is recomputed. Only edges of
+very many entities are not: they are as large as the facts, so they are made of the facts and the stored frontier where
+they are asked for, with the sums that are asked for. So are the entities that no further level starts from. What was
 visited is skipped as a frontier only: edges to it still appear. Facts are never older than the run or operation they
 belong to, so wherever a frontier's ids have a time in them, the earliest is a lower bound for the facts that are read at
 that level, and runs and operations are looked up in the days that their ids tell.
@@ -21,10 +23,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import among, among_many, cut, first_per, ids_frame, without
+from ..frames import Later, among, among_many, are_many, cut, first_per, ids_frame, made, without
 from ..functions.ids import bounds_of, near_ids
 from . import columns
-from .io_stats import DATASET, JOB, KEYS, OPERATION, RUN, dataset_relations, dedup_io, in_period, roll_up_sets
+from .io_stats import DATASET, JOB, KEYS, OPERATION, RUN, dataset_relations, dedup_io, in_period, roll_up_sets, roll_up_steps
 
 DOWNSTREAM, UPSTREAM, BOTH = "DOWNSTREAM", "UPSTREAM", "BOTH"
 MAX_DEPTH = 10
@@ -50,8 +52,10 @@ class Lineage:
 
     inputs: list[DataFrame] = field(default_factory=list)
     outputs: list[DataFrame] = field(default_factory=list)
-    ids: dict[str, list[DataFrame]] = field(default_factory=lambda: {DATASET: [], JOB: [], RUN: [], OPERATION: []})
-    symlinks: list[DataFrame] = field(default_factory=list)
+    ids: dict[str, list[DataFrame | Later]] = field(default_factory=lambda: {DATASET: [], JOB: [], RUN: [], OPERATION: []})
+    symlinks: list[DataFrame | Later] = field(default_factory=list)
+    #: The datasets of the edges.
+    ends: dict[str, list[DataFrame | Later]] = field(default_factory=lambda: {"inputs": [], "outputs": []})
     relations: list[DataFrame] = field(default_factory=list)
     #: What the walk was asked for: the granularity whose entities column lineage is looked up by, and the period.
     by: str | None = None
@@ -75,15 +79,14 @@ class Lineage:
 
     def datasets(self, kind: str) -> DataFrame | None:
         """The distinct ids of the datasets that are shown as read (``inputs``) or written (``outputs``)."""
-        parts = [p.select(F.col("dataset_id").alias("id")) for p in getattr(self, kind)]
-        return reduce(DataFrame.union, parts).distinct() if parts else None
+        return reduce(DataFrame.union, map(made, self.ends[kind])).distinct() if self.ends[kind] else None
 
     def nodes(self, kind: str) -> DataFrame | None:
         """The distinct ids of a kind of entity."""
-        return reduce(DataFrame.union, self.ids[kind]).distinct() if self.ids[kind] else None
+        return reduce(DataFrame.union, map(made, self.ids[kind])).distinct() if self.ids[kind] else None
 
     def all_symlinks(self) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, self.symlinks).distinct() if self.symlinks else None
+        return reduce(DataFrame.unionByName, map(made, self.symlinks)).distinct() if self.symlinks else None
 
     def all_relations(self) -> DataFrame | None:
         """Dataset relations of all levels, one per pair."""
@@ -111,40 +114,48 @@ class Walker:
 
     # steps
 
-    def closure(self, ids: DataFrame, skip_seen: bool = True) -> tuple[DataFrame, DataFrame]:
-        """(ids with those one symlink away, the symlinks). Both directions, one step."""
+    def closure(self, ids: DataFrame, skip: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(ids with those one symlink away but in ``skip``, the symlinks). Both directions, one step."""
         links = self.t.dataset_symlink
         touching = among(links, ids, "from_dataset_id").unionByName(among(links, ids, "to_dataset_id")).distinct()
         ends = touching.select(F.col("from_dataset_id").alias("id")).union(touching.select(F.col("to_dataset_id").alias("id"))).distinct()
         new = without(ends, ids)
-        return cut(ids.union(self._skip(DATASET, new) if skip_seen else new).distinct()), touching
+        return cut(ids.union(new if skip is None else without(new, skip)).distinct()), touching
 
-    def _edges(self, io: DataFrame, ids: DataFrame, column: str, granularities, dated: bool = True, floor: dt.datetime | None = None) -> DataFrame:
+    def _edges(self, out: Lineage, kind: str, ids: DataFrame, column: str, granularities, dated: bool = True, floor: dt.datetime | None = None) -> DataFrame:
+        """Adds the edges of entities; what they are between, from which the next level starts."""
+        io = self.t.input if kind == "inputs" else self.t.output
         io = in_period(io, self.since, self.until) if dated else io
         found = among_many(in_period(io, floor), ids, column, self.tasks)
         if not self.sums:
-            return cut(found.select(ENTITY[granularities[0]], "dataset_id").distinct())
-        return cut(roll_up_sets(dedup_io(found), granularities))
+            edges = pairs = cut(found.select(ENTITY[granularities[0]], "dataset_id").distinct())
+        elif not are_many(ids):
+            edges = pairs = cut(roll_up_sets(dedup_io(found), granularities))
+        else:
+            edges, pairs = roll_up_steps(dedup_io(found), granularities), found
+        ends = pairs.select(F.col("dataset_id").alias("id"))
+        getattr(out, kind).append(edges)
+        out.ends[kind].append(ends if pairs is edges else Later(lambda: cut(ends.distinct())))
+        return pairs
 
     def from_datasets(self, out: Lineage, ids: DataFrame, direction: str, granularity: str, depth: int) -> None:
         if ids.isEmpty():
             return
-        ids, links = self.closure(ids)
+        ids, links = self.closure(ids, self.seen.get(DATASET))
         out.ids[DATASET].append(ids)
         out.symlinks.append(links)
         column = ENTITY[granularity]
         nexts = []
-        for way, io, into in ((DOWNSTREAM, self.t.input, out.inputs), (UPSTREAM, self.t.output, out.outputs)):
+        for way, kind in ((DOWNSTREAM, "inputs"), (UPSTREAM, "outputs")):
             if direction in (way, BOTH):
-                edges = self._edges(io, ids, "dataset_id", WITH_SUMS[granularity])
-                into.append(edges)
+                edges = self._edges(out, kind, ids, "dataset_id", WITH_SUMS[granularity])
                 nexts.append((way, edges.select(F.col(column).alias("id")).where("id is not null").distinct()))
         self._visit(DATASET, ids)
         for way, entities in nexts:
             if depth > 1:
                 self.from_entities(out, cut(self._skip(granularity, entities)), way, granularity, depth - 1)
             else:
-                self._include(out, cut(entities), granularity)
+                self._include(out, Later(lambda entities=entities: cut(entities)), granularity)
 
     def from_entities(self, out: Lineage, ids: DataFrame, direction: str, granularity: str, depth: int, dated: bool = True, finest: str | None = None, floor: dt.datetime | None = None) -> None:
         """From jobs, runs or operations. ``finest`` is the granularity of the edges where it is finer than the entities; no fact of theirs is before ``floor``."""
@@ -153,39 +164,43 @@ class Walker:
         column, finest = ENTITY[granularity], finest or granularity
         floor = bounds_of(ids)[0] if floor is None and granularity != JOB else floor
         nexts = []
-        for way, io, into in ((UPSTREAM, self.t.input, out.inputs), (DOWNSTREAM, self.t.output, out.outputs)):
+        for way, kind in ((UPSTREAM, "inputs"), (DOWNSTREAM, "outputs")):
             if direction in (way, BOTH):
-                edges = self._edges(io, ids, column, WITH_SUMS[finest], dated, floor)
-                into.append(edges)
-                nexts.append((way, edges.select(F.col("dataset_id").alias("id")).distinct()))
+                edges = self._edges(out, kind, ids, column, WITH_SUMS[finest], dated, floor)
+                nexts.append((way, out.ends[kind][-1]))
                 if finest != granularity:
-                    self._include(out, cut(edges.select(F.col(ENTITY[finest]).alias("id")).where("id is not null").distinct()), finest)
+                    finer = edges.select(F.col(ENTITY[finest]).alias("id")).where("id is not null").distinct()
+                    self._include(out, Later(lambda finer=finer: cut(finer)), finest)
         self._include(out, ids, granularity)
         self._visit(granularity, ids)
-        for way, datasets in nexts:
-            datasets = self._skip(DATASET, datasets)
+        for way, ends in nexts:
             if depth > 1:
-                self.from_datasets(out, cut(datasets), way, finest, depth - 1)
+                self.from_datasets(out, cut(self._skip(DATASET, made(ends).distinct())), way, finest, depth - 1)
             else:
-                found, links = self.closure(cut(datasets))
-                out.ids[DATASET].append(found)
-                out.symlinks.append(links)
+                seen = self.seen.get(DATASET)
+                last = Later(lambda ends=ends, seen=seen: self.closure(cut(made(ends).distinct() if seen is None else without(made(ends).distinct(), seen)), seen))
+                out.ids[DATASET].append(Later(lambda last=last: last.made[0]))
+                out.symlinks.append(Later(lambda last=last: last.made[1]))
 
-    def _include(self, out: Lineage, ids: DataFrame, granularity: str) -> None:
+    def _include(self, out: Lineage, ids: DataFrame | Later, granularity: str) -> None:
         """Adds entities with the coarser ones that hold them."""
+
+        def holders(table: str, ids: DataFrame, column: str) -> DataFrame:
+            return among_many(near_ids(getattr(self.t, table), ids), ids, "id", self.tasks).select(F.col(column).alias("id")).distinct()
+
         out.ids[granularity].append(ids)
         if granularity == OPERATION:
-            out.ids[RUN].append(cut(among_many(near_ids(self.t.operation, ids), ids, "id", self.tasks).select(F.col("run_id").alias("id")).distinct()))
+            out.ids[RUN].append(Later(lambda: cut(holders("operation", made(ids), "run_id"))))
         if granularity in (OPERATION, RUN):
             runs = out.ids[RUN][-1]
-            out.ids[JOB].append(among_many(near_ids(self.t.run, runs), runs, "id", self.tasks).select(F.col("job_id").alias("id")).distinct())
+            out.ids[JOB].append(Later(lambda: holders("run", made(runs), "job_id")))
 
     def over_datasets(self, out: Lineage, ids: DataFrame, direction: str, depth: int) -> None:
         """Dataset granularity: breadth first over dataset relations, both directions level by level.
 
         A level reads the near side of its frontier's facts, then the far side of the operations found there.
         """
-        start, links = self.closure(ids)
+        start, links = self.closure(ids, self.seen.get(DATASET))
         out.ids[DATASET].append(start)
         out.symlinks.append(links)
         known, frontier = start, {way: start for way in (DOWNSTREAM, UPSTREAM) if direction in (way, BOTH)}
@@ -195,7 +210,7 @@ class Walker:
                 if way in frontier and not frontier[way].isEmpty():
                     found = cut(self._relations(frontier[way], way))
                     out.relations.append(found)
-                    frontier[way], links = self.closure(cut(without(found.select(F.col(far).alias("id")).distinct(), known)), skip_seen=False)
+                    frontier[way], links = self.closure(cut(without(found.select(F.col(far).alias("id")).distinct(), known)))
                     out.symlinks.append(links)
                     new.append(frontier[way])
             if not new:
@@ -278,24 +293,35 @@ def parent_relations(out: Lineage, tables) -> DataFrame:
     return rows.orderBy(*order) if tasks is None else rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
 
+#: What a relation goes between, as (kind, from_kind, to_kind): inputs and outputs by the finest id that an edge has, and relations of datasets.
+_PLACES = (*(("INPUT", DATASET, g) for g in (OPERATION, RUN, JOB)), *(("OUTPUT", g, DATASET) for g in (OPERATION, RUN, JOB)), ("INPUT", DATASET, DATASET))
+
+
 def relation_rows(out: Lineage) -> DataFrame | None:
-    """Edges as (kind, from_kind, from_id, to_kind, to_id) with their sums: an input goes from the dataset, an output to it.
+    """Edges as (kind, from_kind, from_id, to_kind, to_id) with their sums, sorted by these: an input goes from the dataset, an output to it.
 
-    A relation of two datasets is an input that goes from one to the other, without sums.
+    A relation of two datasets is an input that goes from one to the other, without sums. What is shuffled for the sort
+    are ids as they are and a number in place of the kinds; names and texts are made of them where the rows arrive.
     """
-    kind = F.when(F.col("operation_id").isNotNull(), OPERATION).when(F.col("run_id").isNotNull(), RUN).otherwise(JOB)
-    entity = F.coalesce(*(F.col(c).cast("string") for c in ("operation_id", "run_id", "job_id")))
-    dataset = F.col("dataset_id").cast("string")
+    sides, relations = [(start, rows) for start, kind in ((0, "inputs"), (3, "outputs")) if (rows := out.merged(kind)) is not None], out.all_relations()
+    ids = {k for _, rows in sides for c, k in rows.dtypes if c in KEYS[OPERATION]} | {k for c, k in (relations.dtypes if relations is not None else ()) if c.endswith("dataset_id")}
+    raw = lambda *cs: F.coalesce(*(F.col(c) if len(ids) == 1 else F.col(c).cast("string") for c in cs))
     sums = ["last_interaction_at", "num_bytes", "num_rows", "num_files"]
     parts = []
-    if (rows := out.merged("inputs")) is not None:
-        parts.append(rows.select(F.lit("INPUT").alias("kind"), F.lit(DATASET).alias("from_kind"), dataset.alias("from_id"), kind.alias("to_kind"), entity.alias("to_id"), *sums, F.lit(None).cast("int").alias("types")))
-    if (rows := out.merged("outputs")) is not None:
-        parts.append(rows.select(F.lit("OUTPUT").alias("kind"), kind.alias("from_kind"), entity.alias("from_id"), F.lit(DATASET).alias("to_kind"), dataset.alias("to_id"), *sums, "types"))
-    if (rows := out.all_relations()) is not None:
-        ends = [F.lit("INPUT").alias("kind"), F.lit(DATASET).alias("from_kind"), F.col("in_dataset_id").cast("string").alias("from_id"), F.lit(DATASET).alias("to_kind"), F.col("out_dataset_id").cast("string").alias("to_id")]
-        parts.append(rows.select(*ends, "last_interaction_at", *(F.lit(None).cast("long").alias(c) for c in sums[1:]), F.lit(None).cast("int").alias("types")))
-    return reduce(DataFrame.unionByName, parts).orderBy("kind", "from_kind", "from_id", "to_id") if parts else None
+    for start, rows in sides:
+        place = F.when(F.col("operation_id").isNotNull(), start).when(F.col("run_id").isNotNull(), start + 1).otherwise(start + 2)
+        ends = [raw("dataset_id"), raw("operation_id", "run_id", "job_id")]
+        types = F.col("types") if "types" in rows.columns else F.lit(None).cast("int")
+        parts.append(rows.select(place.alias("place"), *(c.alias(n) for c, n in zip(ends if start == 0 else ends[::-1], ("a", "b"), strict=True)), *sums, types.alias("types")))
+    if relations is not None:
+        none = [*(F.lit(None).cast("long").alias(c) for c in sums[1:]), F.lit(None).cast("int").alias("types")]
+        parts.append(relations.select(F.lit(len(_PLACES) - 1).alias("place"), raw("in_dataset_id").alias("a"), raw("out_dataset_id").alias("b"), "last_interaction_at", *none))
+    if not parts:
+        return None
+    kind, from_kind, to_kind = (F.get(F.array(*(F.lit(p[i]) for p in _PLACES)), F.col("place")) for i in range(3))
+    order = {"kind": kind, "from_kind": from_kind, "from_id": F.col("a").cast("string"), "to_kind": to_kind, "to_id": F.col("b").cast("string")}
+    rows = reduce(DataFrame.unionByName, parts).repartitionByRange(*order.values())
+    return rows.select(*(c.alias(n) for n, c in order.items()), *sums, "types").sortWithinPartitions(*order)
 
 
 def symlink_rows(out: Lineage) -> DataFrame | None:

@@ -208,3 +208,46 @@ def test_walks_without_sums_hold_the_same_nodes(spark, monkeypatch):
     for want, got in ((parents, lineage.parent_relations(out, dealt)), (found, lineage.column_lineage(out, dealt, dealt.tasks))):
         assert want.count() == got.count() > 0 and want.exceptAll(got).isEmpty()
     assert lineage.parent_relations(out, dealt).collect() == parents.collect()  # sorted
+
+
+@pytest.mark.parametrize("name", ["by_runs", "by_operations"])
+def test_edges_of_many_entities_are_not_stored(spark, monkeypatch, name):
+    """They are made of the facts when they are asked for, with the sums that are asked for, and give the same rows, sums, nodes and symlinks."""
+    from spoorline import frames
+    from spoorline.sources import tables
+
+    def walk(t):
+        return lineage.by_runs(t, t.run.select("id"), lineage.BOTH, lineage.OPERATION) if name == "by_runs" else lineage.by_operations(t, t.operation.select("id"), lineage.BOTH)
+
+    few = walk(OrderTables(spark, SMALL))
+    want = lineage.relation_rows(few).collect()
+    monkeypatch.setattr(tables, "WHOLE_ROWS", 0)
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    monkeypatch.setattr(frames, "MANY_IDS", 0)
+    stored, cut = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda df: stored.append(df.columns) or cut(df))
+    many = walk(OrderTables(spark, SMALL))
+    rows = lineage.relation_rows(many)
+    assert rows.collect() == want and len(want) > 1000 and stored == [["id"]]  # the starts
+    text = plan(rows.select("kind", "from_kind", "from_id", "to_kind", "to_id", "num_rows"))
+    assert "l_quantity" in text and "l_extendedprice" not in text and "l_partkey" not in text and "Expand" not in text
+    for kind in (lineage.DATASET, lineage.JOB, lineage.RUN, lineage.OPERATION):
+        assert many.nodes(kind).exceptAll(few.nodes(kind)).isEmpty() and many.nodes(kind).count() == few.nodes(kind).count() > 0
+    for kind in ("inputs", "outputs"):
+        assert {r.id for r in many.datasets(kind).collect()} == {r.dataset_id for r in few.merged(kind).collect()}
+    assert many.all_symlinks().exceptAll(few.all_symlinks()).isEmpty() and many.all_symlinks().count() == few.all_symlinks().count() > 0
+
+
+@pytest.mark.parametrize("of", ["input", "output"])
+def test_sums_in_steps_are_those_of_grouping_sets(spark, of):
+    deduped = io_stats.dedup_io(getattr(OrderTables(spark, SMALL), of))
+    for granularities in ((lineage.OPERATION, lineage.RUN, lineage.JOB), (lineage.RUN, lineage.JOB), (lineage.JOB,)):
+        want, got = io_stats.roll_up_sets(deduped, granularities), io_stats.roll_up_steps(deduped, granularities)
+        assert got.dtypes == want.dtypes and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_relation_rows_with_ids_of_two_types(stored):
+    run = v7(DAYS[6], 6)
+    rows = lineage.relation_rows(lineage.by_runs(stored, [run], lineage.BOTH, lineage.RUN)).collect()
+    want = [("INPUT", "DATASET", "6", "JOB", "1"), ("INPUT", "DATASET", "6", "RUN", run), ("OUTPUT", "JOB", "1", "DATASET", "7"), ("OUTPUT", "RUN", run, "DATASET", "7")]
+    assert [tuple(r)[:5] for r in rows] == want and [r.num_rows for r in rows] == [2] * 4 and [r.types for r in rows] == [None, None, 1, 1]

@@ -32,6 +32,8 @@ DOWNSTREAM, UPSTREAM, BOTH = "DOWNSTREAM", "UPSTREAM", "BOTH"
 MAX_DEPTH = 10
 #: The column of a fact that holds the entity of a granularity.
 ENTITY = {OPERATION: "operation_id", RUN: "run_id", JOB: "job_id", DATASET: "dataset_id"}
+#: Tasks' shares of facts whose edges one task sorts: of one share, what tasks send to each other would be blocks of some hundred bytes.
+SHARES = 4
 #: Granularities whose sums go with each.
 WITH_SUMS = {OPERATION: (OPERATION, RUN, JOB), RUN: (RUN, JOB), JOB: (JOB,)}
 
@@ -61,6 +63,8 @@ class Lineage:
     by: str | None = None
     since: dt.datetime | None = None
     until: dt.datetime | None = None
+    #: Tasks that edges of very many entities are sorted in; None: as Spark likes.
+    tasks: int | None = None
     #: Without sums there are the nodes and the pairs of entity and dataset, but no edges to show.
     sums: bool = True
 
@@ -133,6 +137,7 @@ class Walker:
             edges = pairs = cut(roll_up_sets(dedup_io(found), granularities))
         else:
             edges, pairs = roll_up_steps(dedup_io(found), granularities), found
+            out.tasks = self.tasks and -(-self.tasks // SHARES)
         ends = pairs.select(F.col("dataset_id").alias("id"))
         getattr(out, kind).append(edges)
         out.ends[kind].append(ends if pairs is edges else Later(lambda: cut(ends.distinct())))
@@ -320,7 +325,7 @@ def relation_rows(out: Lineage) -> DataFrame | None:
         return None
     kind, from_kind, to_kind = (F.get(F.array(*(F.lit(p[i]) for p in _PLACES)), F.col("place")) for i in range(3))
     order = {"kind": kind, "from_kind": from_kind, "from_id": F.col("a").cast("string"), "to_kind": to_kind, "to_id": F.col("b").cast("string")}
-    rows = reduce(DataFrame.unionByName, parts).repartitionByRange(*order.values())
+    rows = reduce(DataFrame.unionByName, parts).repartitionByRange(*([out.tasks] if out.tasks else []), *order.values())
     return rows.select(*(c.alias(n) for n, c in order.items()), *sums, "types").sortWithinPartitions(*order)
 
 

@@ -226,8 +226,10 @@ def test_edges_of_many_entities_are_not_stored(spark, monkeypatch, name):
     monkeypatch.setattr(frames, "MANY_IDS", 0)
     stored, cut = [], lineage.cut
     monkeypatch.setattr(lineage, "cut", lambda df: stored.append(df.columns) or cut(df))
-    many = walk(OrderTables(spark, SMALL))
+    t = OrderTables(spark, SMALL)
+    many = walk(t)
     rows = lineage.relation_rows(many)
+    assert rows.rdd.getNumPartitions() == -(-t.tasks // lineage.SHARES) > 1
     assert rows.collect() == want and len(want) > 1000 and stored == [["id"]]  # the starts
     text = plan(rows.select("kind", "from_kind", "from_id", "to_kind", "to_id", "num_rows"))
     assert "l_quantity" in text and "l_extendedprice" not in text and "l_partkey" not in text and "Expand" not in text

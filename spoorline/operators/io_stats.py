@@ -62,15 +62,17 @@ def roll_up_sets(deduped: DataFrame, granularities) -> DataFrame:
     return out.select(*(F.col(k) if k in keys else F.lit(None).cast(kinds[k]).alias(k) for k in KEYS[OPERATION]), *(c for c in out.columns if c not in keys))
 
 
-def roll_up_steps(deduped: DataFrame, granularities) -> DataFrame:
-    """``roll_up`` for several granularities, finest first, each from the one before.
+def roll_up_steps(deduped: DataFrame, granularities, tasks: int | None = None) -> DataFrame:
+    """``roll_up`` for several granularities, finest first, each from the one before; runs are dealt out to ``tasks``.
 
     Grouping sets shuffle every row once for each granularity. Here the first one of operations is the rows as they are,
-    and rows that are dealt out by operation or run are folded where they lie.
+    and rows that are dealt out by run are folded where they lie.
     """
     parts = []
     for g in granularities:
-        parts.append(deduped.select(*roll_up(deduped, g).columns) if g == OPERATION else roll_up(parts[-1] if parts else deduped, g))
+        rows = parts[-1] if parts else deduped
+        rows = rows.repartition(tasks, "run_id") if g == RUN and tasks else rows
+        parts.append(rows.select(*roll_up(rows, g).columns) if g == OPERATION else roll_up(rows, g))
     return reduce(DataFrame.unionByName, parts)
 
 

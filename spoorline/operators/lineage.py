@@ -136,7 +136,7 @@ class Walker:
         elif not are_many(ids):
             edges = pairs = cut(roll_up_sets(dedup_io(found), granularities))
         else:
-            edges, pairs = roll_up_steps(dedup_io(found), granularities), found
+            edges, pairs = roll_up_steps(dedup_io(found), granularities, self.tasks), found
             out.tasks = self.tasks and -(-self.tasks // SHARES)
         ends = pairs.select(F.col("dataset_id").alias("id"))
         getattr(out, kind).append(edges)

@@ -244,7 +244,7 @@ def test_edges_of_many_entities_are_not_stored(spark, monkeypatch, name):
 def test_sums_in_steps_are_those_of_grouping_sets(spark, of):
     deduped = io_stats.dedup_io(getattr(OrderTables(spark, SMALL), of))
     for granularities in ((lineage.OPERATION, lineage.RUN, lineage.JOB), (lineage.RUN, lineage.JOB), (lineage.JOB,)):
-        want, got = io_stats.roll_up_sets(deduped, granularities), io_stats.roll_up_steps(deduped, granularities)
+        want, got = io_stats.roll_up_sets(deduped, granularities), io_stats.roll_up_steps(deduped, granularities, 3)
         assert got.dtypes == want.dtypes and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
